@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import sha256_hex
-from ..functions.text import is_blank, trim_to_null
+from ..functions.text import is_blank
 from ..functions.web import skips_media
-from .keyed import keep_first, top_per_key
+from .keyed import keep_first
 
 ID_CELLS_HEX = 4  # 65,536 cells
 # Messages of failed states.
@@ -54,8 +54,7 @@ def discover(items: DataFrame, endpoints: DataFrame, articles: DataFrame, links:
     key = ["publisher_id", "canonical_url_hash"]
     known = articles.select(*key, F.col("id").alias("article_id"))
     matched = keyed.join(known, key, "left")
-    first_of_key = Window.partitionBy(*key).orderBy(F.asc("endpoint_id"), *ordering, F.asc("source_item_id"))
-    firsts = matched.withColumn("_rn", F.row_number().over(first_of_key)).filter("_rn = 1").drop("_rn")
+    firsts = keep_first(matched, key, [F.asc("endpoint_id"), *ordering, F.asc("source_item_id")])
     stamped = firsts.select(
         F.col("article_id").alias("id"),
         *key,
@@ -68,7 +67,7 @@ def discover(items: DataFrame, endpoints: DataFrame, articles: DataFrame, links:
         F.col("article_id").isNull().alias("is_new"),
     )
     maker = firsts.filter(F.col("article_id").isNull()).select(
-        *key, F.col("endpoint_id").alias("_ep"), F.col("source_item_id").alias("_item"), 
+        *key, F.col("endpoint_id").alias("_ep"), F.col("source_item_id").alias("_item")
     )
     linked = matched.join(maker, key, "left").select(
         "article_id",
@@ -123,6 +122,12 @@ def merge_links(links: DataFrame, found_links: DataFrame, articles: DataFrame) -
     return links.select(*cols).unionByName(fresh.select(*cols))
 
 
+STATE_COLUMNS = {
+    "status": "string", "http_status": "int", "content_fetched_at": "timestamp", "fetch_error": "string",
+    "extraction_error": "string", "content_hash": "string", "chunk_count": "int", "indexed": "boolean",
+}
+
+
 def apply_article_state(articles: DataFrame, results: DataFrame, chunks: DataFrame) -> DataFrame:
     """State of articles after fetch, extraction and indexing.
 
@@ -131,60 +136,50 @@ def apply_article_state(articles: DataFrame, results: DataFrame, chunks: DataFra
     ``chunks(article_id, chunk_count)`` says what was indexed. Articles without a result stay as
     they are.
     """
-    joined = articles.join(results.withColumn("_got", F.lit(True)), F.col("id") == F.col("article_id"), "left").drop(
-        "article_id"
-    )
-    joined = joined.join(
-        chunks.select(F.col("article_id").alias("id"), F.col("chunk_count").alias("_chunks")), "id", "left"
-    )
-    r = {c: F.col(f"_r_{c}") for c in ("http_status", "fetch_error", "extraction_error")}
-    renamed = [c for c in r if c in articles.columns]
-    results_cols = {c: results[c] for c in r}
-    base = [c for c in articles.columns if c not in renamed]
+    base = articles
+    for name, kind in STATE_COLUMNS.items():
+        if name not in articles.columns:
+            base = base.withColumn(name, F.lit(None).cast(kind))
     own = ~is_blank("raw_text")
-    view = joined.select(
-        *[F.col(c) for c in base],
-        *[articles[c].alias(f"_a_{c}") for c in renamed],
-        F.when(own, F.lit(200)).otherwise(results_cols["http_status"]).alias("_r_http_status"),
-        F.when(~own, results_cols["fetch_error"]).alias("_r_fetch_error"),
-        F.when(~own, results_cols["extraction_error"]).alias("_r_extraction_error"),
+    given = results.select(
+        F.col("article_id").alias("id"),
+        F.lit(True).alias("_got"),
+        F.when(own, F.lit(200)).otherwise(F.col("http_status")).alias("_status"),
+        F.when(~own, F.col("fetch_error")).alias("_fetch"),
+        F.when(~own, F.col("extraction_error")).alias("_extraction"),
         F.when(own, F.col("raw_text")).otherwise(F.col("extracted_text")).alias("_text"),
-        "fetched_at", "index_error", "_got", "_chunks",
-    )
-    status = r["http_status"]
-    bad_fetch = r["fetch_error"].isNotNull() | status.isNull() | ~status.between(200, 299)
-    fetch_note = F.coalesce(
-        r["fetch_error"], F.concat(F.lit("HTTP status "), status.cast("string")), F.lit(FETCH_FAILED)
+        F.col("fetched_at").alias("_at"),
+        F.col("index_error").alias("_index"),
     )
-    bad_text = r["extraction_error"].isNotNull() | is_blank("_text")
-    text_note = F.coalesce(r["extraction_error"], F.lit(NO_TEXT))
-    failed_index = F.col("index_error").isNotNull()
-    done = F.coalesce(F.col("_chunks"), F.lit(0))
-
-    def pick(untouched: Column, on_fetch: Column, on_text: Column, on_index: Column, on_done: Column) -> Column:
+    counts = chunks.select(F.col("article_id").alias("id"), F.col("chunk_count").alias("_chunks"))
+    view = base.join(given, "id", "left").join(counts, "id", "left")
+    bad_fetch = F.col("_fetch").isNotNull() | F.col("_status").isNull() | ~F.col("_status").between(200, 299)
+    fetch_note = F.coalesce("_fetch", F.concat(F.lit("HTTP status "), F.col("_status").cast("string")),
+                            F.lit(FETCH_FAILED))
+    bad_text = F.col("_extraction").isNotNull() | is_blank("_text")
+
+    def pick(name: str, on_fetch, on_text, on_index, on_done) -> Column:
+        """Value by the stage an article got to; ``None`` keeps the stored one."""
+        old = F.col(name)
+        value = lambda v: old if v is None else v
         return (
-            F.when(F.col("_got").isNull(), untouched).when(bad_fetch, on_fetch).when(bad_text, on_text)
-            .when(failed_index, on_index).otherwise(on_done)
+            F.when(F.col("_got").isNull(), old).when(bad_fetch, value(on_fetch)).when(bad_text, value(on_text))
+            .when(F.col("_index").isNotNull(), value(on_index)).otherwise(value(on_done)).alias(name)
         )
 
-    error = F.lit("ERROR")
-    none = F.lit(None).cast("string")
-    old = lambda c: F.col(f"_a_{c}") if c in renamed else none
-    new = {
-        "status": pick(F.col("status"), error, error, error, F.lit("INDEXED")),
-        "http_status": F.when(F.col("_got").isNull(), F.col("_a_http_status") if "http_status" in renamed
-                              else F.lit(None).cast("int")).otherwise(status),
-        "content_fetched_at": F.when(F.col("_got").isNull(), F.col("content_fetched_at") if "content_fetched_at"
-                                     in base else F.lit(None).cast("timestamp")).otherwise(F.col("fetched_at")),
-        "fetch_error": pick(old("fetch_error"), fetch_note, none, none, none),
-        "extraction_error": pick(
-            old("extraction_error"), old("extraction_error"), text_note,
-            F.concat(F.lit("Indexing failed: "), F.col("index_error")), none,
-        ),
-        "content_hash": pick(*[F.col("content_hash") if "content_hash" in base else none] * 3,
-                             sha256_hex("_text"), sha256_hex("_text")),
-        "chunk_count": pick(*[F.col("chunk_count") if "chunk_count" in base else F.lit(0)] * 4, done),
-        "indexed": pick(*[F.col("indexed") if "indexed" in base else F.lit(False)] * 3, F.lit(False), F.lit(True)),
-    }
-    keep = [c for c in base if c not in new]
-    return view.select(*keep, *[e.alias(c) for c, e in new.items()])
+    error, null, digest = F.lit("ERROR"), F.lit(None).cast("string"), sha256_hex("_text")
+    text_note = F.coalesce("_extraction", F.lit(NO_TEXT))
+    index_note = F.concat(F.lit("Indexing failed: "), F.col("_index"))
+    status, fetched = F.col("_status"), F.col("_at")
+    done = F.coalesce(F.col("_chunks"), F.lit(0)).cast("int")
+    return view.select(
+        *[c for c in base.columns if c not in STATE_COLUMNS],
+        pick("status", error, error, error, F.lit("INDEXED")),
+        pick("http_status", status, status, status, status),
+        pick("content_fetched_at", fetched, fetched, fetched, fetched),
+        pick("fetch_error", fetch_note, null, null, null),
+        pick("extraction_error", None, text_note, index_note, null),
+        pick("content_hash", None, None, digest, digest),
+        pick("chunk_count", None, None, None, done),
+        pick("indexed", None, None, F.lit(False), F.lit(True)),
+    )
