@@ -197,6 +197,15 @@ def _prepare(current: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     return renamed.join(current.withColumn("_found", F.lit(True)), key, "left")
 
 
+def _holders(current: DataFrame, value: Column, out: str) -> DataFrame:
+    """Per value the smallest and largest id that hold it: one row, however often it occurs."""
+    return current.groupBy(value.alias(out)).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+
+
+def _held_by_other() -> Column:
+    return F.coalesce((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")), F.lit(False))
+
+
 def _split(prepared: DataFrame, key: str, reason: Column, new: dict[str, Column], current: DataFrame,
            now: Column, stamp: str) -> tuple[DataFrame, DataFrame]:
     judged = prepared.withColumn("reject_reason", reason)
@@ -217,18 +226,18 @@ def patch_publishers(publishers: DataFrame, patches: DataFrame, ratings: DataFra
     another publisher or an earlier patch holds are rejected.
     """
     p = _prepare(publishers, patches, "id")
-    holders = publishers.select(F.lower("name").alias("_k"), F.col("id").alias("_holder"))
+    holders = _holders(publishers, F.lower("name"), "_k")
     claims = patches.filter(~is_blank("name")).groupBy(F.lower(trim_to_null("name")).alias("_k")).agg(
         F.min("id").alias("_claimer")
     )
     known = ratings.select(F.col("rating_id").alias("_n_rating_id"), F.lit(True).alias("_rated"))
     p = p.withColumn("_k", F.lower(trim_to_null("_n_name"))).join(holders, "_k", "left").join(claims, "_k", "left")
     p = p.join(known, "_n_rating_id", "left")
-    taken = (F.col("_holder") != F.col("id")) | (F.col("_claimer") < F.col("id"))
+    taken = _held_by_other() | F.coalesce(F.col("_claimer") < F.col("id"), F.lit(False))
     reason = (
         F.when(F.col("_found").isNull(), F.lit("not found"))
         .when(F.col("_n_name").isNotNull() & is_blank("_n_name"), F.lit("name must not be blank"))
-        .when(F.coalesce(taken, F.lit(False)), F.lit("name already exists"))
+        .when(taken, F.lit("name already exists"))
         .when(F.col("_n_rating_id").isNotNull() & F.col("_rated").isNull(), F.lit("rating not found"))
     )
     new = {
@@ -265,11 +274,11 @@ def patch_endpoints(endpoints: DataFrame, patches: DataFrame, publishers: DataFr
         F.coalesce(F.col(prefix + c).cast("string"), F.lit("")) for c in LOCATOR
     ])
     p = p.withColumn("_loc", locator("_v_"))
-    held = endpoints.select(locator("").alias("_loc"), F.col("id").alias("_holder"))
+    held = _holders(endpoints, locator(""), "_loc")
     taken = p.groupBy("_loc").agg(F.min("id").alias("_claimer"))
     owner = publishers.select(F.col("id").alias("_v_publisher_id"), F.lit(True).alias("_owned"))
     p = p.join(held, "_loc", "left").join(taken, "_loc", "left").join(owner, "_v_publisher_id", "left")
-    clash = (F.col("_holder") != F.col("id")) | (F.col("_claimer") < F.col("id"))
+    clash = _held_by_other() | F.coalesce(F.col("_claimer") < F.col("id"), F.lit(False))
     reason = (
         F.when(F.col("_found").isNull(), F.lit("not found"))
         .when(F.col("_owned").isNull(), F.lit("publisher not found"))
@@ -277,7 +286,7 @@ def patch_endpoints(endpoints: DataFrame, patches: DataFrame, publishers: DataFr
         .when(rss & is_blank("_v_rss_url"), F.lit("rss_url is required"))
         .when(api & is_blank("_v_api_provider"), F.lit("api_provider is required"))
         .when(api & is_blank("_v_api_query"), F.lit("api_query is required"))
-        .when(F.coalesce(clash, F.lit(False)), F.lit("endpoint already exists"))
+        .when(clash, F.lit("endpoint already exists"))
     )
     new = {c[3:]: F.col(c) for c in p.columns if c.startswith("_v_")}
     return _split(p, "id", reason, new, endpoints, now, "updated_at")

@@ -22,7 +22,8 @@ def claim_evidence(claims: DataFrame, chunks: DataFrame, *, dim: int, embedder:
     trimmed = claims.withColumn("claim_text", trim_ws("claim_text"))
     good, bad = split_rejects(trimmed, claim_reject_reason("claim_text"))
     vectors = embed(good.select("claim_id", "claim_text"), "claim_text", embedder, dim=dim)
-    return good, evidence_search(vectors.select("claim_id", "vector"), chunks, k, max_distance), bad
+    found = evidence_search(vectors.select("claim_id", "vector"), chunks, k, max_distance)
+    return good, found.withColumnRenamed("article_title", "title"), bad
 
 
 def verdict_prompts(claims: DataFrame, evidence: DataFrame, today: Column | None = None,

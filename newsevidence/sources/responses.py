@@ -24,8 +24,8 @@ def _parsed(responses: DataFrame) -> DataFrame:
 
 def hit_rejects(responses: DataFrame) -> DataFrame:
     """Responses that report errors or are not JSON."""
-    bad = (F.size("r.errors") > 0) | F.col("r.data").isNull()
-    return _parsed(responses).filter(F.coalesce(bad, F.lit(True))).select("query_id", "json")
+    bad = (F.coalesce(F.size("r.errors"), F.lit(0)) > 0) | F.col("r.data").isNull()
+    return _parsed(responses).filter(bad).select("query_id", "json")
 
 
 def parse_hits(responses: DataFrame, max_distance: float | None = None) -> DataFrame:

@@ -53,8 +53,7 @@ def stream_discover(spark: SparkSession, landing: str, schema: str, to_items: Ca
         .start()
     )
     query.awaitTermination()
-    progress = query.lastProgress
-    return (progress["batchId"] + 1) if progress and progress["numInputRows"] else _last_version(spark, state_dir)
+    return _last_version(spark, state_dir)
 
 
 def _last_version(spark: SparkSession, state_dir: str) -> int:
