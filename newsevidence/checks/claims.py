@@ -10,6 +10,7 @@ from ..plans.verify import claim_evidence, store_answers, verdict_prompts
 from . import adapters as A
 from .chunks import DIM, _chunk_table
 from .registry import check
+from .texts import VERDICT_PARTS
 from .web import landed, robots
 
 
@@ -69,7 +70,10 @@ def verify_claims(spark, d):
     return verdict_prompts(good, evidence, F.lit("2024-06-01").cast("date"))
 
 
-@check("store_answers")
+@check("store_answers", f"""
+    SELECT * FROM (WITH given AS (SELECT id, coalesce(answer, 'No text field found in AI response: '
+        || '{{"candidates":[{{"content":{{"parts":[{{}}]}}}}]}}') AS answer FROM t_answers), {VERDICT_PARTS} SELECT * FROM judged)
+    """, ("t_answers",))
 def store_answers_query(spark, d):
     log = A.answers(spark, d).selectExpr(
         "id", "'claim' as claim_text", "cast(null as string) as model_answer", "cast(null as string) as verdict",

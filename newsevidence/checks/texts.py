@@ -161,9 +161,10 @@ def iso_dates(spark, d):
     return events.select("event_id", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
-@check("verdicts", rf"""
-    WITH lines AS (
-      SELECT id, answer, {A.trim('answer')} AS t FROM t_answers
+# Parts of the verdict rule in SQL, over a table ``given(id, answer)``.
+VERDICT_PARTS = rf"""
+    lines AS (
+      SELECT id, {A.trim('answer')} AS t FROM given
     ), tagged AS (
       SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\r\n|\n|\r'), lambda s: lower({A.trim('s')})),
         lambda s: starts_with(s, 'verdict:'))[1] AS line FROM lines
@@ -171,12 +172,16 @@ def iso_dates(spark, d):
       SELECT *, trim(substr(line, 9)) AS value,
         {A.trim("regexp_replace(t, '(?is)^" + chr(92) + "s*verdict" + chr(92) + "s*:[^" + chr(92) + "n" + chr(92) + "r]*[" + chr(92) + "n" + chr(92) + "r]*', '')")} AS rest
       FROM tagged
-    )
+    ), judged AS (
     SELECT id, CASE WHEN starts_with(value, 'true') THEN 'true' WHEN starts_with(value, 'false') THEN 'false'
         WHEN starts_with(value, 'mixed') THEN 'mixed' ELSE 'unclear' END AS verdict,
       CASE WHEN rest IS NULL OR rest = '' THEN '(no explanation)' ELSE rest END AS explanation
-    FROM parts
-    """.replace("WITH lines", "SELECT * FROM (WITH lines", 1) + ")", ("t_answers",))
+    FROM parts)"""
+
+
+@check("verdicts", f"""
+    SELECT * FROM (WITH given AS (SELECT id, answer FROM t_answers), {VERDICT_PARTS} SELECT * FROM judged)
+    """, ("t_answers",))
 def verdicts(spark, d):
     parsed = A.answers(spark, d).select("id", parse_verdict("answer").alias("p"))
     return parsed.select("id", "p.verdict", "p.explanation")

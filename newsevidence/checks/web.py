@@ -65,20 +65,60 @@ def block_reasons(spark, d):
     return pages.select("page_id", W.block_reason("blocked", "fetch_error", "extraction_error").alias("reason"))
 
 
-@check("extract_pages")
+# The supplied pages all have one <article> of plain paragraphs with unclosed <p> and <b> tags, which SQL can cut.
+_PARAGRAPHS = r"""
+    cut AS (
+      SELECT page_id, unnest(range(1, len(l))) AS i, unnest(l[2:]) AS raw FROM (
+        SELECT page_id, string_split(split_part(split_part(html, '<article>', 2), '</article>', 1), '<p>') AS l FROM pages)
+    ), texts AS (
+      SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(
+        regexp_replace(replace(split_part(raw, '</p>', 1), '<br>', ' '), '<[^>]*>', '', 'g'),
+        '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM cut
+    ), kept AS (
+      SELECT page_id, t, min(i) AS i FROM texts
+      WHERE length(t) >= 40 AND NOT regexp_matches(lower(t), 'accept cookies|subscribe|sign in') GROUP BY page_id, t
+    ), joined AS (
+      SELECT p.page_id, count(t) AS n_paragraphs, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i), '') AS body
+      FROM pages p LEFT JOIN kept k ON k.page_id = p.page_id GROUP BY p.page_id
+    ), judged AS (
+      SELECT *, n_paragraphs >= {n} AND length(body) >= {chars}
+        AND length(regexp_replace(body, '[^\p{{L}}]', '', 'g')) > length(body) * 0.5 AS good FROM joined
+    )"""
+_LOW = "'Low-quality extraction (likely boilerplate or dynamic page)'"
+
+
+@check("extract_pages", f"""
+    SELECT * FROM (WITH {_PARAGRAPHS.format(n=2, chars=200)}
+    SELECT page_id, n_paragraphs, CASE WHEN good THEN body END AS extracted_text,
+      CASE WHEN NOT good THEN {_LOW} END AS extraction_error FROM judged)
+    """)
 def extract_pages(spark, d):
     """Whole pages through the tree walk; the gate is lowered because the supplied pages are short."""
     out = extract(A.load(spark, d, "pages"), min_paragraphs=2, min_chars=200)
     return out.select("page_id", "n_paragraphs", "extracted_text", "extraction_error")
 
 
-@check("extract_pages_default")
+@check("extract_pages_default", f"""
+    SELECT * FROM (WITH {_PARAGRAPHS.format(n=5, chars=1500)}
+    SELECT page_id, n_paragraphs, CASE WHEN good THEN length(body) END AS n_chars,
+      CASE WHEN NOT good THEN {_LOW} END AS extraction_error FROM judged)
+    """)
 def extract_pages_default(spark, d):
     out = extract(A.load(spark, d, "pages"))
     return out.select("page_id", "n_paragraphs", F.length("extracted_text").alias("n_chars"), "extraction_error")
 
 
-@check("fetch_results")
+@check("fetch_results", f"""
+    SELECT * FROM (WITH {_PARAGRAPHS.format(n=2, chars=200)}
+    SELECT page_id, url AS final_url, CASE page_id % 6 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 500 ELSE 200 END AS http_status,
+      page_id % 6 IN (0, 2) AS blocked_suspected,
+      CASE WHEN page_id % 6 IN (0, 2) THEN 'Blocked/Rate-limited/CAPTCHA suspected'
+        WHEN page_id % 6 = 1 THEN 'HTTP status 404' END AS fetch_error,
+      CASE WHEN page_id % 6 = 3 THEN 'Non-HTML contentType: application/pdf' WHEN page_id % 6 = 4 THEN 'Non-HTML contentType: null'
+        WHEN page_id % 6 = 5 AND NOT good THEN {_LOW} END AS extraction_error,
+      CASE WHEN page_id % 6 = 5 AND good THEN body END AS extracted_text
+    FROM judged JOIN pages USING (page_id))
+    """)
 def fetch_results(spark, d):
     return fetched(landed(spark, d), min_paragraphs=2, min_chars=200)
 
