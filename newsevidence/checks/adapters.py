@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 BASE = "2024-01-01 00:00:00"
 NOW = "1998-06-01 00:00:00"
 
@@ -16,6 +18,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def load_wide(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on, read with a partition per core at least."""
+    return spread(load(spark, folder, name))
+
+
 def at(base: str, hours: str = "0", minutes: str = "0") -> str:
     """Spark expression for a timestamp some hours and minutes after ``base``."""
     return f"timestamp'{base}' + make_dt_interval(0, cast({hours} as int), cast({minutes} as int))"
@@ -44,7 +51,7 @@ def articles(spark, folder):
 
 
 def content(spark, folder):
-    return load(spark, folder, "documents").filter("n_chars >= 100").selectExpr(
+    return load_wide(spark, folder, "documents").filter("n_chars >= 100").selectExpr(
         "doc_id as article_id", "text as extracted_text"
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences
 from ..operators import chunking as C
-from ..operators.keyed import spread
 from ..operators.search import article_chunks
 from ..operators.views import article_with_rating, chunk_count_rejects
 from ..sources import chunks as S
@@ -17,7 +16,7 @@ DIM = 64
 
 
 def _sentences(spark, d):
-    docs = spread(A.load(spark, d, "documents").select("doc_id", "text"))
+    docs = A.load_wide(spark, d, "documents").select("doc_id", "text")
     return docs.select("doc_id", split_sentences("text").alias("s"))
 
 
@@ -75,7 +74,7 @@ def chunk_vectors(spark, d):
     """)
 def embed_unique(spark, d):
     """One request per source: duplicates share the vector of the first text of their key."""
-    docs = A.load(spark, d, "documents").select("source", "doc_id", "text")
+    docs = A.load_wide(spark, d, "documents").select("source", "doc_id", "text")
     out = C.embed_unique(docs, request="source", position="doc_id", text="text", dim=DIM)
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return out.select("source", "doc_id", F.round(total, 6).alias("total"))

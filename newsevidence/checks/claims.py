@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import views as V
 from ..plans.ingest import ingest
 from ..plans.verify import claim_evidence, store_answers, verdict_prompts
+from ..session import shared_dir
 from . import adapters as A
 from .chunks import DIM, _chunk_table
 from .registry import check
@@ -107,5 +110,6 @@ def _ingested(spark, d):
     return ingest(
         items, fetches, landed(spark, d).drop("page_id"), robots(spark, d), publishers=A.publishers(spark, d),
         endpoints=A.endpoints(spark, d), ratings=A.ratings(spark, d), articles=A.known_articles(spark, d),
-        links=A.known_links(spark, d), now=A.now(), dim=DIM, min_paragraphs=2, min_chars=200,
+        links=A.known_links(spark, d), now=A.now(), dim=DIM, work_dir=f"{shared_dir(spark)}/ingest/{uuid4().hex}",
+        min_paragraphs=2, min_chars=200,
     )

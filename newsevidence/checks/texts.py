@@ -11,6 +11,10 @@ from . import adapters as A
 from .registry import check
 
 
+def _documents(spark, d):
+    return A.load_wide(spark, d, "documents")
+
+
 @check("table_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def table_scan(spark, d):
     from ..sources.tables import read_table
@@ -20,14 +24,14 @@ def table_scan(spark, d):
 
 @check("clean_text", f"SELECT doc_id, {A.clean('text')} AS cleaned FROM documents")
 def clean_text(spark, d):
-    return A.load(spark, d, "documents").select("doc_id", text.clean_text("text").alias("cleaned"))
+    return _documents(spark, d).select("doc_id", text.clean_text("text").alias("cleaned"))
 
 
 @check("sentences", """
     SELECT doc_id, unnest(range(0, len(sentences))) AS pos, unnest(sentences) AS sentence FROM t_sentences
     """, ("t_sentences",))
 def sentences(spark, d):
-    docs = A.load(spark, d, "documents")
+    docs = _documents(spark, d)
     return docs.select("doc_id", F.posexplode(text.split_sentences("text")).alias("pos", "sentence"))
 
 
@@ -37,7 +41,7 @@ def sentences(spark, d):
     """)
 def dedup_key(spark, d):
     """SQL has no NFKC; the supplied texts hold no character that NFKC changes, so both sides agree."""
-    return A.load(spark, d, "documents").select("doc_id", text.dedup_key("text").alias("dedup_key"))
+    return _documents(spark, d).select("doc_id", text.dedup_key("text").alias("dedup_key"))
 
 
 @check("url_hash", "SELECT page_id, sha256(url) AS url_hash FROM pages")
@@ -82,7 +86,7 @@ def labels_norm(spark, d):
     SELECT doc_id, coalesce(list_sum(list_transform(sentences, lambda s: length(s))), 0) // 4 AS tokens FROM t_sentences
     """, ("t_sentences",))
 def token_est(spark, d):
-    docs = A.load(spark, d, "documents")
+    docs = _documents(spark, d)
     return docs.select("doc_id", text.estimate_tokens(text.split_sentences("text")).alias("tokens"))
 
 
@@ -107,7 +111,7 @@ def chunk_ids(spark, d):
           FROM (SELECT doc_id, sha256(text) AS h FROM documents))
     """)
 def hash_embed(spark, d):
-    docs = A.load(spark, d, "documents").select("doc_id", vectors.hash_embedding("text", 64).alias("v"))
+    docs = _documents(spark, d).select("doc_id", vectors.hash_embedding("text", 64).alias("v"))
     return docs.select(
         "doc_id",
         F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
@@ -126,7 +130,7 @@ def hash_embed(spark, d):
     """)
 def embed_udf(spark, d):
     """The embedder hook, driven by a Python embedder that must agree with the native one."""
-    docs = A.load(spark, d, "documents").select("doc_id", "text")
+    docs = _documents(spark, d).select("doc_id", "text")
     out = vectors.embed(docs, "text", lambda texts: vectors.digest_matrix(texts, 64), dim=64)
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return out.select("doc_id", F.round(total, 3).alias("total"), F.size("vector").alias("dim"))
@@ -192,7 +196,7 @@ def verdicts(spark, d):
     FROM (SELECT doc_id, {A.trim('text')} AS t FROM documents)
     """)
 def snippets(spark, d):
-    return A.load(spark, d, "documents").select("doc_id", text.snippet("text").alias("snippet"))
+    return _documents(spark, d).select("doc_id", text.snippet("text").alias("snippet"))
 
 
 @check("paragraphs", f"""
@@ -206,7 +210,7 @@ def snippets(spark, d):
       GROUP BY doc_id)
     """)
 def paragraphs(spark, d):
-    docs = A.load(spark, d, "documents")
+    docs = _documents(spark, d)
     kept = docs.select("doc_id", text.keep_paragraphs(F.split("text", "\n")).alias("ps")).filter(F.size("ps") > 0)
     return kept.select("doc_id", F.size("ps").alias("n_paragraphs"), text.join_paragraphs("ps").alias("joined"))
 
@@ -217,7 +221,7 @@ def paragraphs(spark, d):
     FROM (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents)
     """)
 def quality_gate(spark, d):
-    docs = A.load(spark, d, "documents").withColumn("n", F.size(F.split("text", "\n")))
+    docs = _documents(spark, d).withColumn("n", F.size(F.split("text", "\n")))
     return docs.select("doc_id", text.passes_quality("text", "n").alias("good"))
 
 
@@ -226,7 +230,7 @@ def quality_gate(spark, d):
       WHEN length({A.trim('text')}) > 20000 THEN 'text is too long' END AS reject_reason FROM documents
     """)
 def text_gate(spark, d):
-    docs = A.load(spark, d, "documents")
+    docs = _documents(spark, d)
     return docs.select("doc_id", text_reject_reason("text", 20_000).alias("reject_reason"))
 
 
@@ -239,5 +243,5 @@ def text_gate(spark, d):
     FROM documents GROUP BY source
     """)
 def batch_gate(spark, d):
-    docs = A.load(spark, d, "documents").select("source", "text")
+    docs = _documents(spark, d).select("source", "text")
     return batch_reject_reasons(docs, "source", "text", max_chars=20_000, max_total=100_000)

@@ -14,7 +14,7 @@ from .registry import check
 
 def landed(spark, d):
     """Pages as landed answers: status, type and body vary by page."""
-    return A.load(spark, d, "pages").selectExpr(
+    return A.load_wide(spark, d, "pages").selectExpr(
         "page_id",
         "url",
         "case page_id % 6 when 0 then 403 when 1 then 404 when 2 then 500 else 200 end as http_status",
@@ -94,7 +94,7 @@ _LOW = "'Low-quality extraction (likely boilerplate or dynamic page)'"
     """)
 def extract_pages(spark, d):
     """Whole pages through the tree walk; the gate is lowered because the supplied pages are short."""
-    out = extract(A.load(spark, d, "pages"), min_paragraphs=2, min_chars=200)
+    out = extract(A.load_wide(spark, d, "pages"), min_paragraphs=2, min_chars=200)
     return out.select("page_id", "n_paragraphs", "extracted_text", "extraction_error")
 
 
@@ -104,7 +104,7 @@ def extract_pages(spark, d):
       CASE WHEN NOT good THEN {_LOW} END AS extraction_error FROM judged)
     """)
 def extract_pages_default(spark, d):
-    out = extract(A.load(spark, d, "pages"))
+    out = extract(A.load_wide(spark, d, "pages"))
     return out.select("page_id", "n_paragraphs", F.length("extracted_text").alias("n_chars"), "extraction_error")
 
 

@@ -100,4 +100,5 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder | None = None, *, out
                 vectors.extend(np.asarray(v, dtype=np.float32) for v in got)
             yield pd.Series(vectors, index=part.index, dtype=object)
 
-    return df.withColumn(out, run(F.col(text_col)))
+    # Marked so that a pushed-down filter never calls a costly model twice for a row.
+    return df.withColumn(out, run.asNondeterministic()(F.col(text_col)))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, dedup_key, split_sentences
 from ..functions.vectors import Embedder, cosine, digest_matrix, embed, hash_embedding, mean_vector
-from .keyed import spread
 
 # Defaults of the two chunking modes.
 FIXED_SENTENCES = 4
@@ -187,7 +186,8 @@ def hashed_chunks(sentences, dim: int, *, threshold: float = SIMILARITY, min_sen
             rows.append((np.flatnonzero(flags), ends, pooled))
         return pd.DataFrame(rows, columns=["boundaries", "ends", "vectors"])
 
-    return cut(col(sentences))
+    # Marked so that filters inferred for a later explode are not pushed below it, which would run it twice.
+    return cut.asNondeterministic()(col(sentences))
 
 
 def sentence_vectors(sentences, dim: int) -> Column:
@@ -202,7 +202,7 @@ def chunk_documents(docs: DataFrame, text_col: str, *, dim: int, embedder: Embed
     below that runs of four sentences are cut and embedded as they are. With an embedder the
     sentences become rows, so the model sees even batches whatever the document lengths are.
     """
-    base = spread(docs).withColumn("_sentences", split_sentences(text_col))
+    base = docs.withColumn("_sentences", split_sentences(text_col))
     long = (F.size("_sentences") >= SEMANTIC_FROM) & F.lit(semantic)
     short_rows = base.filter(~long).select(key, F.posexplode(fixed_chunks("_sentences")).alias("chunk_index", "text"))
     short_rows = embed(short_rows, "text", embedder, dim=dim)

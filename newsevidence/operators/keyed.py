@@ -11,16 +11,6 @@ Keys = Sequence[str]
 SALTS = 16
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work at least one partition per core.
-
-    Does nothing for inputs that are already split, which any large table is; only a table read
-    as fewer pieces than there are cores is redistributed.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def top_per_key(df: DataFrame, keys: Keys, order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key.
 

@@ -14,7 +14,6 @@ from ..functions.text import (
     LOW_QUALITY, MIN_ARTICLE_CHARS, MIN_ARTICLE_PARAGRAPHS, col, join_paragraphs, keep_paragraphs, passes_quality,
 )
 from ..functions.web import blocked_suspected, content_type_error, fetch_error
-from .keyed import spread
 
 # Tags, markers, phrases and weights of the extraction rules.
 DROPPED_TAGS = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript"}
@@ -198,15 +197,19 @@ def _paragraphs(pages: pd.Series) -> pd.Series:
     return pages.map(page_paragraphs, na_action="ignore")
 
 
+# Marked so that filters on its result are not pushed below it, which would parse pages twice.
+_walk_once = _paragraphs.asNondeterministic()
+
+
 def paragraphs(html) -> Column:
     """Kept paragraphs of a page; the length and repeat rules run natively after the tree walk."""
-    return keep_paragraphs(_paragraphs(col(html)))
+    return keep_paragraphs(_walk_once(col(html)))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", *, min_paragraphs: int = MIN_ARTICLE_PARAGRAPHS,
                   min_chars: int = MIN_ARTICLE_CHARS) -> DataFrame:
     """Adds ``n_paragraphs``, ``extracted_text`` and ``extraction_error`` to page rows."""
-    parsed = spread(pages).withColumn("_p", paragraphs(html))
+    parsed = pages.withColumn("_p", paragraphs(html))
     joined = parsed.withColumn("_text", join_paragraphs("_p")).withColumn("n_paragraphs", F.size("_p"))
     ok = passes_quality("_text", "n_paragraphs", min_paragraphs, min_chars)
     return joined.select(

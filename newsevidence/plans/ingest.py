@@ -17,6 +17,7 @@ from ..operators.robots import robots_filter
 from ..operators.runs import endpoint_attempt, update_endpoint_state
 from ..operators.views import article_with_rating
 from ..sources.chunks import build_chunk_rows
+from ..sources.tables import stage
 
 # Fixed value: message of a page that its robots rules keep out.
 ROBOTS_FETCH = "Robots.txt disallows fetching"
@@ -52,38 +53,45 @@ def page_results(pages: DataFrame, robots: DataFrame, now: Column, **gate) -> Da
 
 def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataFrame, *, publishers: DataFrame,
            endpoints: DataFrame, ratings: DataFrame, articles: DataFrame, links: DataFrame, now: Column, dim: int,
-           embedder: Embedder | None = None, run_id: int = 0, **gate) -> Ingested:
+           work_dir: str, embedder: Embedder | None = None, run_id: int = 0, **gate) -> Ingested:
     """One run: discover items, read their pages, chunk and embed new articles, move all states.
 
     ``items`` are feed items of due endpoints, ``fetches`` what was landed per endpoint, ``pages``
-    one landed answer per URL. Only new articles are read and indexed. Nothing runs until an output
-    is written; callers that write several outputs persist or write ``articles`` first.
+    one landed answer per URL. Only new articles are read and indexed. What several outputs share
+    (discovery, article snapshot, extracted texts, chunks) is staged under ``work_dir`` in the
+    shared folder, so each costly step runs once.
     """
     found = discover(items, endpoints, articles, links, now)
-    stored = merge_articles(articles, found.articles, now)
+    found = found._replace(
+        articles=stage(found.articles, work_dir, "found_articles"), links=stage(found.links, work_dir, "found_links")
+    )
+    stored = stage(merge_articles(articles, found.articles, now), work_dir, "stored_articles")
     stored_links = merge_links(links, found.links, stored)
     key = ["publisher_id", "canonical_url_hash"]
     new = found.articles.filter("is_new").select(*key, "canonical_url").join(
         stored.select(*key, F.col("id").alias("article_id")), key
     )
-    own_text = found.links.filter("is_new").join(
-        items.select(F.col("endpoint_id").alias("source_endpoint_id"), "source_item_id", "raw_text").filter(
-            ~is_blank("raw_text")
-        ).groupBy("source_endpoint_id", "source_item_id").agg(F.min("raw_text").alias("raw_text")),
-        ["source_endpoint_id", "source_item_id"],
-    ).select(*key, "raw_text")
+    # The item that made an article: its own text outranks the page, its place orders the attempt.
+    item_keys = ["source_endpoint_id", "source_item_id"]
+    given = items.withColumnRenamed("endpoint_id", "source_endpoint_id").groupBy(*item_keys).agg(
+        F.min("pos").alias("pos"), F.min_by("raw_text", "pos").alias("raw_text")
+    )
+    placed = found.links.join(given, item_keys)
+    own_text = placed.filter(F.col("is_new") & ~is_blank("raw_text")).select(*key, "raw_text")
+    wanted = pages.join(new.select(F.col("canonical_url").alias("url")).distinct(), "url", "left_semi")
     results = (
-        new.join(page_results(pages, robots, now, **gate), F.col("canonical_url") == F.col("url"), "left")
+        new.join(page_results(wanted, robots, now, **gate), F.col("canonical_url") == F.col("url"), "left")
         .join(own_text, key, "left")
         .withColumn("index_error", F.lit(None).cast("string"))
         .withColumn("fetched_at", now)
         .withColumn("fetch_error", F.when(F.col("url").isNull(), F.lit("Fetch failed")).otherwise(F.col("fetch_error")))
     )
-    text = F.coalesce(F.when(~is_blank("raw_text"), F.col("raw_text")), F.col("extracted_text"))
+    results = stage(results, work_dir, "results")
+    text = F.when(~is_blank("raw_text"), F.col("raw_text")).otherwise(F.col("extracted_text"))
     content = results.select("article_id", text.alias("extracted_text"), now.alias("extracted_at")).filter(
         ~is_blank("extracted_text")
     )
-    cut = chunk_documents(content, "extracted_text", dim=dim, embedder=embedder)
+    cut = stage(chunk_documents(content, "extracted_text", dim=dim, embedder=embedder), work_dir, "cut")
     counts = cut.groupBy("article_id").agg(F.count("*").cast("int").alias("chunk_count"))
     chunks = build_chunk_rows(article_with_rating(stored, publishers, ratings), cut, now)
     final = apply_article_state(stored, results, counts)
@@ -94,10 +102,7 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
         (~is_blank(text)).alias("indexed"),
         block_reason(F.coalesce("blocked_suspected", F.lit(False)), "fetch_error", "extraction_error").alias("reason"),
     )
-    positions = items.groupBy(
-        F.col("endpoint_id").alias("source_endpoint_id"), "source_item_id"
-    ).agg(F.min("pos").alias("pos"))
-    worked = found.links.join(positions, ["source_endpoint_id", "source_item_id"]).join(outcome, key, "left").select(
+    worked = placed.join(outcome, key, "left").select(
         F.lit(run_id).alias("run_id"),
         F.col("source_endpoint_id").alias("endpoint_id"),
         "pos",
@@ -105,7 +110,7 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
         "is_new",
         F.coalesce("success", F.lit(False)).alias("success"),
         F.coalesce("indexed", F.lit(False)).alias("indexed"),
-        "reason",
+        F.when(~F.coalesce("success", F.lit(False)), F.col("reason")).alias("reason"),
     )
     attempts = endpoint_attempt(fetches.withColumn("run_id", F.lit(run_id)), endpoints, worked, now)
     return Ingested(final, stored_links, content, chunks, attempts, update_endpoint_state(endpoints, attempts, now))

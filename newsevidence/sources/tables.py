@@ -30,6 +30,28 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, lower: int
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give costly per-row work on a scanned table at least one partition per core.
+
+    Does nothing for tables that are read in many pieces, which any large one is; only a table read
+    as fewer pieces than there are cores is redistributed. Meant for scans: asking a plan with
+    shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write an intermediate table under the shared ``folder`` and read it back.
+
+    Cuts the lineage: what several later tables are derived from is computed once, and a lost
+    executor costs a re-read instead of a recomputation.
+    """
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str, *, cluster_by: list[str] | None = None) -> None:
     """Write a table so that row-group statistics on ``cluster_by`` help later scans."""
     out = df
