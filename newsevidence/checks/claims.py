@@ -53,18 +53,6 @@ def claim_history(spark, d):
     return history.select("claim_id", "section", A.stamp("at"), "entry_id", "text", "note")
 
 
-@check("claim_threads", """
-    SELECT c.conv_id AS id, count(f.turn) AS n, string_agg(f.text, '|' ORDER BY f.turn) AS questions
-    FROM conversations c LEFT JOIN conversations f ON f.conv_id = c.conv_id AND f.turn > 0
-    WHERE c.turn = 0 GROUP BY c.conv_id
-    """)
-def claim_threads(spark, d):
-    claims, followups = A.threads(spark, d)
-    nested = V.claim_threads(claims, followups)
-    questions = F.array_join(F.transform("followups", lambda f: f["question"]), "|")
-    return nested.select("id", F.coalesce(F.size("followups"), F.lit(0)).cast("long").alias("n"), questions.alias("questions"))
-
-
 @check("verify_claims")
 def verify_claims(spark, d):
     """Claims to prompts over the chunk table cut from all documents."""

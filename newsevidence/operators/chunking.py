@@ -233,23 +233,29 @@ def chunk_documents(docs: DataFrame, text_col: str, *, dim: int, embedder: Embed
     )
 
 
+def _dedup_hash(text: str) -> Column:
+    return F.sha2(dedup_key(text), 256)
+
+
 def embed_unique(texts: DataFrame, *, request: str, position: str, text: str, dim: int,
                  embedder: Embedder | None = None, out: str = "vector") -> DataFrame:
     """Embed the first text of every dedup key of a request and share its vector with the rest.
 
-    The first text is found by a pre-aggregated ``min_by``; the join back has one row per key on
-    its right side, so a key repeated very often is split by adaptive execution.
+    The result has the columns of ``texts`` but the text itself. Keys are shuffled as hashes and the
+    texts only once, pre-aggregated, to find the first of each key. The join back has one row per key
+    on its right side, so a key repeated very often is split by adaptive execution.
     """
-    keyed = texts.withColumn("_key", dedup_key(text))
+    keyed = texts.withColumn("_key", _dedup_hash(text))
     first = keyed.groupBy(request, "_key").agg(F.min_by(text, position).alias("_first"))
     vectors = embed(first, "_first", embedder, out=out, dim=dim).drop("_first")
-    return keyed.join(vectors, [request, "_key"], "left").drop("_key")
+    return keyed.drop(text).join(vectors, [request, "_key"], "left").drop("_key")
 
 
 def embed_counts(texts: DataFrame, *, request: str, text: str) -> DataFrame:
     """Per request: how many texts came in and how many had to be embedded."""
-    keyed = texts.select(request, dedup_key(text).alias("_key"))
-    per_key = keyed.groupBy(request, "_key").agg(F.count("*").alias("_n"))
+    per_key = texts.select(request, _dedup_hash(text).alias("_key")).groupBy(request, "_key").agg(
+        F.count("*").alias("_n")
+    )
     return per_key.groupBy(request).agg(
         F.sum("_n").alias("original_count"), F.count("*").alias("unique_count")
     )

@@ -47,15 +47,17 @@ def discover(items: DataFrame, endpoints: DataFrame, articles: DataFrame, links:
     from :func:`assign_ids` when a snapshot is written.
     """
     ordering = [F.asc(c) for c in order]
-    fresh = new_items(valid_items(items), links)
-    fresh = keep_first(fresh, ["endpoint_id", "source_item_id"], ordering)
+    once = keep_first(valid_items(items), ["endpoint_id", "source_item_id"], ordering)
+    fresh = new_items(once, links)
     owned = fresh.join(endpoints.select(F.col("id").alias("endpoint_id"), "publisher_id"), "endpoint_id")
     keyed = owned.withColumn("canonical_url_hash", sha256_hex("external_url"))
     key = ["publisher_id", "canonical_url_hash"]
+    # One row per key meets the article table, and its answer goes back to all items of the key.
+    firsts = keep_first(keyed, key, [F.asc("endpoint_id"), *ordering, F.asc("source_item_id")])
     known = articles.select(*key, F.col("id").alias("article_id"))
-    matched = keyed.join(known, key, "left")
-    firsts = keep_first(matched, key, [F.asc("endpoint_id"), *ordering, F.asc("source_item_id")])
-    stamped = firsts.select(
+    resolved = firsts.join(known, key, "left")
+    is_new = F.col("article_id").isNull()
+    stamped = resolved.select(
         F.col("article_id").alias("id"),
         *key,
         F.col("external_url").alias("canonical_url"),
@@ -63,21 +65,20 @@ def discover(items: DataFrame, endpoints: DataFrame, articles: DataFrame, links:
         "description",
         "published_date",
         now.alias("last_seen_at"),
-        F.when(F.col("article_id").isNull(), F.lit("DISCOVERED")).alias("status"),
-        F.col("article_id").isNull().alias("is_new"),
+        F.when(is_new, F.lit("DISCOVERED")).alias("status"),
+        is_new.alias("is_new"),
     )
-    maker = firsts.filter(F.col("article_id").isNull()).select(
-        *key, F.col("endpoint_id").alias("_ep"), F.col("source_item_id").alias("_item")
+    maker = resolved.select(
+        *key, "article_id", F.col("endpoint_id").alias("_ep"), F.col("source_item_id").alias("_item")
     )
-    linked = matched.join(maker, key, "left").select(
+    made = is_new & (F.col("_ep") == F.col("endpoint_id")) & (F.col("_item") == F.col("source_item_id"))
+    linked = keyed.select(*key, "endpoint_id", "source_item_id").join(maker, key).select(
         "article_id",
         *key,
         F.col("endpoint_id").alias("source_endpoint_id"),
         "source_item_id",
         now.alias("fetched_at"),
-        F.coalesce(
-            (F.col("_ep") == F.col("endpoint_id")) & (F.col("_item") == F.col("source_item_id")), F.lit(False)
-        ).alias("is_new"),
+        made.alias("is_new"),
     )
     return Discovery(stamped, linked)
 

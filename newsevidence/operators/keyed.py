@@ -52,15 +52,21 @@ def volume_rank(df: DataFrame, volume: str, id_col: str, out: str = "rank") -> D
     """1-based rank of all rows by ``volume`` descending, then ``id_col``.
 
     No window runs over the whole table. Rows are numbered inside (volume, id bucket) cells of at
-    most ``RANK_BUCKET`` ids, and a window over the much smaller table of cells gives the offsets.
+    most ``RANK_BUCKET`` ids; cell offsets come from a window per volume. Only the table of distinct
+    volumes is ordered as a whole: n different counts need n * n / 2 counted rows, which bounds it.
     """
     celled = df.withColumn("_cell", F.floor(F.col(id_col) / RANK_BUCKET))
     cells = celled.groupBy(volume, "_cell").agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.desc(volume), F.asc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    preceding = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda w: F.coalesce(F.sum("_n").over(preceding(w)), F.lit(0))
+    volumes = cells.groupBy(volume).agg(F.sum("_n").alias("_n"))
+    volumes = volumes.select(volume, below(Window.orderBy(F.desc(volume))).alias("_above"))
+    cells = cells.select(volume, "_cell", below(Window.partitionBy(volume).orderBy("_cell")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(volume, "_cell").orderBy(id_col))
-    ranked = celled.withColumn("_in", inside).join(offsets, [volume, "_cell"])
-    return ranked.withColumn(out, F.col("_offset") + F.col("_in")).drop("_cell", "_in", "_offset")
+    ranked = celled.withColumn("_in", inside).join(cells, [volume, "_cell"]).join(volumes, volume)
+    return ranked.withColumn(out, F.col("_above") + F.col("_before") + F.col("_in")).drop(
+        "_cell", "_in", "_before", "_above"
+    )
 
 
 POLICIES = ("replace", "insert", "fill")

@@ -220,11 +220,11 @@ def extract_pages(pages: DataFrame, html: str = "html", *, min_paragraphs: int =
     )
 
 
-def fetch_results(pages: DataFrame, *, min_paragraphs: int = MIN_ARTICLE_PARAGRAPHS,
+def fetch_results(pages: DataFrame, *, keep: tuple[str, ...] = (), min_paragraphs: int = MIN_ARTICLE_PARAGRAPHS,
                   min_chars: int = MIN_ARTICLE_CHARS) -> DataFrame:
     """Fetch results of landed ``pages(page_id, url, http_status, content_type, body)``.
 
-    Only 2xx HTML bodies are parsed.
+    Only 2xx HTML bodies are parsed. Columns in ``keep`` are passed through.
     """
     noted = pages.select(
         "page_id",
@@ -234,6 +234,7 @@ def fetch_results(pages: DataFrame, *, min_paragraphs: int = MIN_ARTICLE_PARAGRA
         fetch_error("http_status", "body").alias("fetch_error"),
         content_type_error("http_status", "content_type").alias("_type_error"),
         "body",
+        *keep,
     )
     usable = F.col("fetch_error").isNull() & F.col("_type_error").isNull()
     parsed = extract_pages(
@@ -248,4 +249,5 @@ def fetch_results(pages: DataFrame, *, min_paragraphs: int = MIN_ARTICLE_PARAGRA
         "fetch_error",
         F.when(usable, F.col("extraction_error")).otherwise(F.col("_type_error")).alias("extraction_error"),
         F.when(usable, F.col("extracted_text")).alias("extracted_text"),
+        *keep,
     )

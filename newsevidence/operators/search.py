@@ -26,8 +26,13 @@ BAD_LEVELS = ["very low", "low"]
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows of one side of a vector block when the claims are past that bound.
 BLOCK_CLAIMS = 8_192
-BLOCK_CHUNKS = 65_536
+BLOCK_CHUNKS = 16_384
 PIVOTS = 64
+# Tile of the distance matrix held at a time: 32 MiB of doubles.
+TILE_CLAIMS = 1_024
+TILE_CHUNKS = 4_096
+# Estimated size of one hit row when hits are broadcast to fetch their chunk columns.
+HIT_BYTES = 64
 
 
 def is_bad_source(bias="bias", factual="factual_reporting", credibility="credibility") -> Column:
@@ -75,29 +80,45 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 class _TopK:
-    """Running k nearest chunks of a block of claims: distance first, then chunk id."""
-
-    def __init__(self, k: int, max_distance: float):
-        self.k, self.max_distance = k, max_distance
-        self.rows: pd.DataFrame | None = None
-
-    def add(self, claim_ids: np.ndarray, claims: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
-        for at in range(0, len(chunk_ids), 8_192):
-            distance = (1.0 - claims @ chunks[at : at + 8_192].T).astype(np.float32)
-            ids = chunk_ids[at : at + 8_192]
-            limit = np.full(len(claim_ids), self.max_distance)
-            if distance.shape[1] > self.k:
-                # Ties at the k-th distance stay in; the id decides about them in _trim.
-                kth = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]
-                limit = np.minimum(limit, kth.astype(np.float64))
-            q, c = np.nonzero(distance.astype(np.float64) <= limit[:, None])
-            found = pd.DataFrame({"claim_id": claim_ids[q], "chunk_id": ids[c], "distance": distance[q, c]})
-            self.rows = found if self.rows is None else pd.concat([self.rows, found])
-            self._trim()
-
-    def _trim(self) -> None:
-        ordered = self.rows.sort_values(["claim_id", "distance", "chunk_id"], kind="stable")
-        self.rows = ordered.groupby("claim_id", sort=False).head(self.k)
+    """Running k nearest chunks of a block of claims: distance first, then chunk id.
+
+    Works on tiles, so the distance matrix stays small however many claims and chunks a task holds.
+    """
+
+    def __init__(self, claim_ids: np.ndarray, claims: np.ndarray, k: int, max_distance: float):
+        self.claim_ids, self.claims, self.k = claim_ids, claims, k
+        self.bar = np.full(len(claim_ids), float(max_distance))
+        self.best = pd.DataFrame({"q": [], "chunk_id": [], "distance": []})
+
+    def add(self, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
+        found = []
+        for c0 in range(0, len(chunk_ids), TILE_CHUNKS):
+            part, ids = chunks[c0 : c0 + TILE_CHUNKS].T, chunk_ids[c0 : c0 + TILE_CHUNKS]
+            for q0 in range(0, len(self.claim_ids), TILE_CLAIMS):
+                distance = (1.0 - self.claims[q0 : q0 + TILE_CLAIMS] @ part).astype(np.float32)
+                limit = self.bar[q0 : q0 + TILE_CLAIMS]
+                if distance.shape[1] > self.k:
+                    # Ties at the k-th distance stay in; the chunk id decides about them below.
+                    kth = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]
+                    limit = np.minimum(limit, kth.astype(np.float64))
+                q, c = np.nonzero(distance.astype(np.float64) <= limit[:, None])
+                found.append(pd.DataFrame({"q": q + q0, "chunk_id": ids[c], "distance": distance[q, c]}))
+        self._keep(found)
+
+    def _keep(self, found: list[pd.DataFrame]) -> None:
+        known = [self.best] if len(self.best) else []
+        rows = pd.concat([*known, *found]).sort_values(["q", "distance", "chunk_id"], kind="stable")
+        place = rows.groupby("q", sort=False).cumcount()
+        self.best = rows[place < self.k]
+        full = rows[place == self.k - 1]
+        self.bar[full["q"].to_numpy(dtype=int)] = full["distance"].to_numpy(dtype=np.float64)
+
+    def rows(self) -> pd.DataFrame:
+        q = self.best["q"].to_numpy(dtype=int)
+        return pd.DataFrame({
+            "claim_id": self.claim_ids[q], "chunk_id": self.best["chunk_id"].to_numpy(),
+            "distance": self.best["distance"].to_numpy(dtype=np.float32),
+        })
 
 
 def _broadcast_hits(claims: pd.DataFrame, chunks: DataFrame, k: int, max_distance: float, schema: T.StructType):
@@ -109,13 +130,12 @@ def _broadcast_hits(claims: pd.DataFrame, chunks: DataFrame, k: int, max_distanc
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if shared.value is None:
             return
-        ids, matrix = shared.value
-        best = _TopK(k, max_distance)
+        best = _TopK(*shared.value, k, max_distance)
         for batch in batches:
             if len(batch):
-                best.add(ids, matrix, batch["chunk_id"].to_numpy(), _unit(batch["vector"]))
-        if best.rows is not None:
-            yield best.rows
+                best.add(batch["chunk_id"].to_numpy(), _unit(batch["vector"]))
+        if len(best.best):
+            yield best.rows()
 
     return chunks.select("chunk_id", "vector").mapInPandas(scan, schema)
 
@@ -174,31 +194,28 @@ def _cell_hits(claims: DataFrame, chunks: DataFrame, n_claims: int, k: int, max_
     claim_side = routed.withColumn("block", F.pmod(F.xxhash64("claim_id"), F.lit(n_blocks)).cast("int")).withColumn(
         "split", F.explode(F.sequence(F.lit(0), n_splits - 1))
     )
-    used = routed.select("cell", F.pmod(F.xxhash64("claim_id"), F.lit(n_blocks)).cast("int").alias("block")).distinct()
+    used = routed.select("cell", F.pmod(F.xxhash64("claim_id"), F.lit(n_blocks)).cast("int").alias("block"))
+    used = used.groupBy("cell").agg(F.collect_set("block").alias("blocks"))
+    if PIVOTS * n_blocks * 8 <= BROADCAST_BYTES:  # one row per cell with at most n_blocks numbers
+        used = F.broadcast(used)
     chunk_side = placed.drop("angle").withColumn("split", F.pmod(F.xxhash64("chunk_id"), n_splits).cast("int")).join(
-        used.groupBy("cell").agg(F.collect_set("block").alias("blocks")), "cell"
+        used, "cell"
     ).withColumn("block", F.explode("blocks")).drop("blocks")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema})
-        best = _TopK(k, max_distance)
-        best.add(left["claim_id"].to_numpy(), _unit(left["vector"]), right["chunk_id"].to_numpy(), _unit(right["vector"]))
-        return best.rows
+        best = _TopK(left["claim_id"].to_numpy(), _unit(left["vector"]), k, max_distance)
+        best.add(right["chunk_id"].to_numpy(), _unit(right["vector"]))
+        return best.rows()
 
     keys = ["cell", "split", "block"]
     return claim_side.groupBy(*keys).cogroup(chunk_side.groupBy(*keys)).applyInPandas(nearest, schema)
 
 
-def nearest_chunks(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
-                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``(claim_id, chunk_id, distance, rank)``: the k nearest chunks of each claim within the limit.
-
-    Distance is one minus cosine in single precision; ties go to the smaller chunk id. Dropping
-    rows past ``max_distance`` early does not change which rows survive both cuts. The claims are
-    counted up to the broadcast bound: below it they travel to every task, above it both sides are
-    partitioned by cell.
-    """
+def _nearest(claims: DataFrame, chunks: DataFrame, k: int, max_distance: float,
+             broadcast_bytes: int) -> tuple[DataFrame, int | None]:
+    """Hits, and the most rows they can have where the claims were few enough to count."""
     schema = T.StructType([
         T.StructField("claim_id", claims.schema["claim_id"].dataType),
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
@@ -210,10 +227,33 @@ def nearest_chunks(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_dis
     fit = max(1, broadcast_bytes // (8 * max(dim, 1)))
     small = slim.limit(fit + 1).toPandas()  # never more than the bound allows, plus one row
     if len(small) <= fit:
-        hits = _broadcast_hits(small, chunks, k, max_distance, schema)
+        hits, most = _broadcast_hits(small, chunks, k, max_distance, schema), len(small) * k
     else:
-        hits = _cell_hits(slim, chunks, slim.count(), k, max_distance, schema)
-    return top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank")
+        hits, most = _cell_hits(slim, chunks, slim.count(), k, max_distance, schema), None
+    return top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank"), most
+
+
+def nearest_chunks(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``(claim_id, chunk_id, distance, rank)``: the k nearest chunks of each claim within the limit.
+
+    Distance is one minus cosine in single precision; ties go to the smaller chunk id. Dropping
+    rows past ``max_distance`` early does not change which rows survive both cuts. The claims are
+    counted up to the broadcast bound: below it they travel to every task, above it both sides are
+    partitioned by cell.
+    """
+    return _nearest(claims, chunks, k, max_distance, broadcast_bytes)[0]
+
+
+def _with_chunk_columns(hits: DataFrame, most: int | None, chunks: DataFrame) -> DataFrame:
+    """Fetch the other columns of the hit chunks.
+
+    Few claims have few hits (k each), which are then broadcast so that the chunk table is scanned
+    but not shuffled; its vectors are not read again.
+    """
+    if most is not None and most * HIT_BYTES <= BROADCAST_BYTES:
+        hits = F.broadcast(hits)
+    return chunks.drop("vector").join(hits, "chunk_id")
 
 
 def evidence_search(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
@@ -223,19 +263,19 @@ def evidence_search(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_di
     A claim may therefore end with fewer than k rows; ``prefilter`` drops the sources first.
     """
     pool = drop_bad_sources(chunks) if prefilter else chunks
-    hits = nearest_chunks(claims, pool, k, max_distance, broadcast_bytes=broadcast_bytes)
-    found = hits.join(pool.drop("vector"), "chunk_id")
+    hits, most = _nearest(claims, pool, k, max_distance, broadcast_bytes)
+    found = _with_chunk_columns(hits, most, pool)
     return found if prefilter else drop_bad_sources(found)
 
 
 def search(claims: DataFrame, chunks: DataFrame, limit: int = SEARCH_LIMIT, min_score: float = MIN_SCORE,
-           **filters) -> DataFrame:
+           broadcast_bytes: int = BROADCAST_BYTES, **filters) -> DataFrame:
     """Vector search by score, with optional source and date filters applied first."""
     if not 1 <= limit <= SEARCH_LIMIT_MAX:
         raise ValueError("limit must be between 1 and 100")
     pool = search_filters(chunks, **filters)
-    hits = nearest_chunks(claims, pool, limit, 2.0)
-    return with_min_score(hits, min_score).join(pool.drop("vector"), "chunk_id")
+    hits, most = _nearest(claims, pool, limit, 2.0, broadcast_bytes)
+    return _with_chunk_columns(with_min_score(hits, min_score), most, pool)
 
 
 def article_chunks(chunks: DataFrame, article_id: int | None = None, limit: int = 512) -> DataFrame:

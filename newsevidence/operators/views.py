@@ -144,14 +144,6 @@ def claim_history(claims: DataFrame, followups: DataFrame, evidence: DataFrame)
     return head.unionByName(found.unionByName(asked).join(known, "claim_id", "left_semi"))
 
 
-def claim_threads(claims: DataFrame, followups: DataFrame) -> DataFrame:
-    """Nested form of the follow-ups for claims whose thread is known to be short."""
-    listed = followups.groupBy("claim_id").agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "id", "question", "answer"))).alias("followups")
-    )
-    return claims.join(listed, claims["id"] == listed["claim_id"], "left").drop("claim_id")
-
-
 # Text gates ------------------------------------------------------------------------------------
 
 def text_reject_reason(text, max_chars: int = MAX_TEXT_CHARS) -> Column:

@@ -34,19 +34,16 @@ class Ingested(NamedTuple):
 
 def page_results(pages: DataFrame, robots: DataFrame, now: Column, **gate) -> DataFrame:
     """Fetch results of landed ``pages(url, http_status, content_type, body)``, robots rules applied."""
-    judged = robots_filter(pages, robots)
     barred = ~F.col("allowed")
-    open_pages = judged.withColumn("body", F.when(~barred, F.col("body"))).withColumn("page_id", F.col("url"))
-    results = fetch_results(open_pages.select("page_id", "url", "http_status", "content_type", "body"), **gate)
-    flags = judged.select(F.col("url").alias("page_id"), barred.alias("barred"))
-    joined = results.join(flags, "page_id")
-    return joined.select(
+    judged = robots_filter(pages, robots).withColumn("body", F.when(~barred, F.col("body")))
+    results = fetch_results(judged.withColumn("page_id", F.col("url")), keep=("allowed",), **gate)
+    return results.select(
         F.col("page_id").alias("url"),
-        F.when(~F.col("barred"), F.col("http_status")).alias("http_status"),
-        (F.col("blocked_suspected") & ~F.col("barred")).alias("blocked_suspected"),
-        F.when(F.col("barred"), F.lit(ROBOTS_FETCH)).otherwise(F.col("fetch_error")).alias("fetch_error"),
-        F.when(~F.col("barred"), F.col("extraction_error")).alias("extraction_error"),
-        F.when(~F.col("barred"), F.col("extracted_text")).alias("extracted_text"),
+        F.when(~barred, F.col("http_status")).alias("http_status"),
+        (F.col("blocked_suspected") & ~barred).alias("blocked_suspected"),
+        F.when(barred, F.lit(ROBOTS_FETCH)).otherwise(F.col("fetch_error")).alias("fetch_error"),
+        F.when(~barred, F.col("extraction_error")).alias("extraction_error"),
+        F.when(~barred, F.col("extracted_text")).alias("extracted_text"),
         now.alias("fetched_at"),
     )
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import chunk_object_id
 from ..functions.text import trim_to_null
-from ..operators.keyed import upsert
 
 # Columns added to chunk tables written before ratings existed, and manual defaults.
 RATING_COLUMNS = ["bias", "factual_reporting", "credibility"]
@@ -68,12 +67,9 @@ def write_chunks(stored: DataFrame, fresh: DataFrame, *, replace_article: bool =
     Ids go by chunk index, so an article that now has fewer chunks keeps its old higher ones unless
     ``replace_article`` drops all its rows first.
     """
-    base = grow_schema(stored)
-    if replace_article:
-        return base.join(fresh.select("article_id").distinct(), "article_id", "left_anti").unionByName(
-            fresh, allowMissingColumns=True
-        )
-    return upsert(base, fresh, ["chunk_id"], "replace")
+    replaced = fresh.select("article_id").distinct() if replace_article else fresh.select("chunk_id")
+    kept = grow_schema(stored).join(replaced, replaced.columns[0], "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def manual_rows(notes: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
