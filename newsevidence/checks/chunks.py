@@ -91,10 +91,9 @@ def embed_counts(spark, d):
 
 
 def _chunk_table(spark, d):
-    texts = A.content(spark, d)
-    cut = C.chunk_documents(texts, "extracted_text", dim=DIM)
     rated = article_with_rating(A.articles(spark, d), A.publishers(spark, d), A.ratings(spark, d))
-    return S.build_chunk_rows(rated, cut, F.lit(A.BASE).cast("timestamp"))
+    texts = S.texts_with_info(A.content(spark, d), rated, F.lit(A.BASE).cast("timestamp"))
+    return S.finish_chunk_rows(C.chunk_documents(texts, "extracted_text", dim=DIM, keep=S.INFO_COLUMNS))
 
 
 @check("chunk_rows", f"""

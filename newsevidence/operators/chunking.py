@@ -160,9 +160,12 @@ def _ends(lengths, flags, min_sentences: int, max_sentences: int, max_tokens: in
 
 def hashed_chunks(sentences, dim: int, *, threshold: float = SIMILARITY, min_sentences: int = MIN_SENTENCES,
                   max_sentences: int = MAX_SENTENCES, max_tokens: int = MAX_TOKENS,
-                  overlap: int = OVERLAP) -> Column:
+                  overlap: int = OVERLAP, semantic_from: int = 0) -> Column:
     """``struct(boundaries, ends, vectors)`` under the deterministic embedding, in one numpy pass.
 
+    Documents of fewer than ``semantic_from`` sentences are cut into fixed runs, whose texts are
+    embedded as they are.
+
     Sentence vectors are made inside the task and never become a column: at the default size they
     would be a thousand times larger than the text they come from.
     """
@@ -174,6 +177,11 @@ def hashed_chunks(sentences, dim: int, *, threshold: float = SIMILARITY, min_sen
             if parts is None or not len(parts):
                 rows.append(([0], [], []))
                 continue
+            if len(parts) < semantic_from:
+                ends = [*range(FIXED_SENTENCES, len(parts), FIXED_SENTENCES), len(parts)]
+                texts = [" ".join(parts[a:b]) for a, b in zip([0, *ends], ends)]
+                rows.append(([0], ends, list(digest_matrix(texts, dim))))
+                continue
             v = digest_matrix(parts, dim)
             norms = np.linalg.norm(v, axis=1)
             scale = norms[1:] * norms[:-1]
@@ -195,46 +203,46 @@ def sentence_vectors(sentences, dim: int) -> Column:
 
 
 def chunk_documents(docs: DataFrame, text_col: str, *, dim: int, embedder: Embedder | None = None,
-                    key: str = "article_id", semantic: bool = True) -> DataFrame:
-    """Rows ``(key, chunk_index, text, vector)`` of all documents.
+                    key: str = "article_id", keep: tuple[str, ...] = (), semantic: bool = True) -> DataFrame:
+    """Rows ``(key, *keep, chunk_index, text, vector)`` of all documents.
 
     From ten sentences on the cut is semantic and a chunk's vector is the mean of its sentences;
-    below that runs of four sentences are cut and embedded as they are. With an embedder the
-    sentences become rows, so the model sees even batches whatever the document lengths are.
+    below that runs of four sentences are cut and embedded as they are. Columns in ``keep`` ride
+    along, so that what a chunk needs to know of its article is joined before the cut, to texts
+    instead of vectors. With an embedder the sentences become rows, so the model sees even batches
+    whatever the document lengths are.
     """
-    base = docs.withColumn("_sentences", split_sentences(text_col))
-    long = (F.size("_sentences") >= SEMANTIC_FROM) & F.lit(semantic)
-    short_rows = base.filter(~long).select(key, F.posexplode(fixed_chunks("_sentences")).alias("chunk_index", "text"))
-    short_rows = embed(short_rows, "text", embedder, dim=dim)
+    split = docs.select(key, *keep, split_sentences(text_col).alias("_sentences"))
+    semantic_from = SEMANTIC_FROM if semantic else 2**31 - 1
     if embedder is None:
-        chunked = base.filter(long).select(key, "_sentences", hashed_chunks("_sentences", dim).alias("_cut")).select(
-            key,
-            chunks_from_cuts("_sentences", "_cut.ends").alias("_chunks"),
-            F.col("_cut.vectors").alias("_chunk_vectors"),
-        )
-    else:
-        rows = base.filter(long).select(key, F.posexplode("_sentences").alias("_pos", "_sentence"))
-        rows = embed(rows, "_sentence", embedder, out="_v", dim=dim)
-        packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_sentence", "_v"))).alias("_rows"))
-        vectored = packed.select(
-            key,
-            F.col("_rows._sentence").alias("_sentences"),
-            F.col("_rows._v").cast("array<array<double>>").alias("_vectors"),
-        )
-        chunked = vectored.withColumn("_chunks", semantic_chunks("_sentences", "_vectors"))
-        chunked = chunked.withColumn("_chunk_vectors", chunk_vectors("_chunks", "_vectors"))
-    zipped = F.arrays_zip(F.col("_chunks.text").alias("text"), F.col("_chunk_vectors").alias("vector"))
-    long_rows = chunked.select(key, F.posexplode(zipped).alias("chunk_index", "_c")).select(
-        key, "chunk_index", F.col("_c.text").alias("text"), F.col("_c.vector").alias("vector")
-    )
-    kind = "array<double>"
-    return short_rows.withColumn("vector", F.col("vector").cast(kind)).unionByName(
-        long_rows.withColumn("vector", F.col("vector").cast(kind))
+        cut = split.withColumn("_cut", hashed_chunks("_sentences", dim, semantic_from=semantic_from))
+        overlap = lambda n: chunks_from_cuts("_sentences", "_cut.ends", n)["text"]
+        texts = F.when(F.size("_sentences") < semantic_from, overlap(0)).otherwise(overlap(OVERLAP))
+        return _chunk_rows(cut.withColumn("_texts", texts), key, keep, F.col("_cut.vectors"))
+    long = F.size("_sentences") >= semantic_from
+    short_rows = split.filter(~long).select(key, *keep, F.posexplode(fixed_chunks("_sentences")).alias("chunk_index", "text"))
+    short_rows = embed(short_rows, "text", embedder, dim=dim)
+    sentences = split.filter(long).select(key, F.posexplode("_sentences").alias("_pos", "_sentence"))
+    sentences = embed(sentences, "_sentence", embedder, out="_v", dim=dim)
+    packed = sentences.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_rows"))
+    vectored = split.filter(long).join(
+        packed.select(key, F.col("_rows._v").cast("array<array<double>>").alias("_vectors")), key
     )
+    chunked = vectored.withColumn("_chunks", semantic_chunks("_sentences", "_vectors"))
+    chunked = chunked.withColumn("_texts", F.col("_chunks.text"))
+    long_rows = _chunk_rows(chunked, key, keep, chunk_vectors("_chunks", "_vectors"))
+    return short_rows.withColumn("vector", F.col("vector").cast("array<double>")).unionByName(long_rows)
+
+
+def _chunk_rows(chunked: DataFrame, key: str, keep: tuple[str, ...], vectors: Column) -> DataFrame:
+    zipped = F.arrays_zip(F.col("_texts").alias("text"), vectors.alias("vector"))
+    rows = chunked.select(key, *keep, F.posexplode(zipped).alias("chunk_index", "_c"))
+    return rows.select(key, *keep, "chunk_index", F.col("_c.text").alias("text"), F.col("_c.vector").alias("vector"))
 
 
 def _dedup_hash(text: str) -> Column:
-    return F.sha2(dedup_key(text), 256)
+    # Never null, and stated so: a join then adds no null filter that would compute the key once more.
+    return F.coalesce(F.sha2(dedup_key(text), 256), F.lit(""))
 
 
 def embed_unique(texts: DataFrame, *, request: str, position: str, text: str, dim: int,

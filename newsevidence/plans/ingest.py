@@ -16,7 +16,7 @@ from ..operators.pages import fetch_results
 from ..operators.robots import robots_filter
 from ..operators.runs import endpoint_attempt, update_endpoint_state
 from ..operators.views import article_with_rating
-from ..sources.chunks import build_chunk_rows
+from ..sources.chunks import INFO_COLUMNS, finish_chunk_rows, texts_with_info
 from ..sources.tables import stage
 
 # Fixed value: message of a page that its robots rules keep out.
@@ -88,9 +88,10 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
     content = results.select("article_id", text.alias("extracted_text"), now.alias("extracted_at")).filter(
         ~is_blank("extracted_text")
     )
-    cut = stage(chunk_documents(content, "extracted_text", dim=dim, embedder=embedder), work_dir, "cut")
-    counts = cut.groupBy("article_id").agg(F.count("*").cast("int").alias("chunk_count"))
-    chunks = build_chunk_rows(article_with_rating(stored, publishers, ratings), cut, now)
+    known = texts_with_info(content, article_with_rating(stored, publishers, ratings), now)
+    cut = chunk_documents(known, "extracted_text", dim=dim, embedder=embedder, keep=INFO_COLUMNS)
+    chunks = stage(finish_chunk_rows(cut), work_dir, "chunks")
+    counts = chunks.groupBy("article_id").agg(F.count("*").cast("int").alias("chunk_count"))
     final = apply_article_state(stored, results, counts)
 
     outcome = results.select(

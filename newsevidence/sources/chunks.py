@@ -13,14 +13,14 @@ RATING_COLUMNS = ["bias", "factual_reporting", "credibility"]
 MANUAL_SOURCE = "manual"
 
 
-def build_chunk_rows(articles: DataFrame, chunks: DataFrame, now: Column | None = None) -> DataFrame:
-    """Rows of the chunk table from ``chunks(article_id, chunk_index, text, vector)``.
+INFO_COLUMNS = ("article_url", "article_title", "source_name", *RATING_COLUMNS, "published_date")
 
-    ``articles`` is the rated article view: id, canonical_url, title, source_name, labels,
-    published_date. Articles without chunks write nothing.
-    """
+
+def article_info(articles: DataFrame, now: Column | None = None) -> DataFrame:
+    """What every chunk of an article carries, from the rated article view: id, canonical_url,
+    title, source_name, labels, published_date."""
     stamp = F.current_timestamp() if now is None else now
-    info = articles.select(
+    return articles.select(
         F.col("id").alias("article_id"),
         F.coalesce("canonical_url", F.lit("")).alias("article_url"),
         F.coalesce("title", F.lit("")).alias("article_title"),
@@ -28,20 +28,38 @@ def build_chunk_rows(articles: DataFrame, chunks: DataFrame, now: Column | None
         *[trim_to_null(c).alias(c) for c in RATING_COLUMNS],
         F.coalesce("published_date", stamp).alias("published_date"),
     )
-    return chunks.join(info, "article_id").select(
+
+
+def texts_with_info(texts: DataFrame, articles: DataFrame, now: Column | None = None) -> DataFrame:
+    """Texts next to what their chunks must carry.
+
+    The merge hint makes the join partition by article id. A broadcast of small texts would leave
+    the costly cut on partitions by publisher, where one outlet may hold a third of all articles.
+    """
+    return texts.join(article_info(articles, now).hint("merge"), "article_id")
+
+
+def finish_chunk_rows(chunks: DataFrame) -> DataFrame:
+    """Rows of the chunk table from chunks that carry their article's columns."""
+    return chunks.select(
         chunk_object_id("article_id", "chunk_index").alias("chunk_id"),
         "text",
         "article_id",
-        "article_url",
-        "article_title",
-        "source_name",
-        *RATING_COLUMNS,
-        "published_date",
+        *INFO_COLUMNS,
         "chunk_index",
         F.col("vector").cast("array<float>").alias("vector"),
     )
 
 
+def build_chunk_rows(articles: DataFrame, chunks: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows of the chunk table from ``chunks(article_id, chunk_index, text, vector)``.
+
+    Articles without chunks write nothing. Where the texts are still at hand, start from
+    :func:`texts_with_info` and cut afterwards: that shuffles texts instead of vectors.
+    """
+    return finish_chunk_rows(chunks.join(article_info(articles, now), "article_id"))
+
+
 def pair_chunks(packed: DataFrame, key: str = "article_id") -> DataFrame:
     """Rows from arrays ``chunks`` and ``vectors``; arrays of different length raise."""
     same = F.size("chunks") == F.coalesce(F.size("vectors"), F.lit(-1))
