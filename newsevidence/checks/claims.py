@@ -10,6 +10,7 @@ from ..operators import views as V
 from ..plans.ingest import ingest
 from ..plans.verify import claim_evidence, store_answers, verdict_prompts
 from ..session import shared_dir
+from ..sources.tables import stage
 from . import adapters as A
 from .chunks import DIM, _chunk_table
 from .registry import check
@@ -56,7 +57,7 @@ def claim_history(spark, d):
 @check("verify_claims")
 def verify_claims(spark, d):
     """Claims to prompts over the chunk table cut from all documents."""
-    chunks = _chunk_table(spark, d)
+    chunks = stage(_chunk_table(spark, d), f"{shared_dir(spark)}/verify_claims/{uuid4().hex}", "chunks")
     good, evidence, _ = claim_evidence(A.claims(spark, d).select("claim_id", "claim_text"), chunks, dim=DIM)
     return verdict_prompts(good, evidence, F.lit("2024-06-01").cast("date"))
 

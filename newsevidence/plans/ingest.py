@@ -11,7 +11,7 @@ from ..functions.text import is_blank
 from ..functions.vectors import Embedder
 from ..functions.web import block_reason
 from ..operators.chunking import chunk_documents
-from ..operators.discover import apply_article_state, discover, merge_articles, merge_links
+from ..operators.discover import apply_article_state, discover, merge_articles, merge_links, valid_items
 from ..operators.pages import fetch_results
 from ..operators.robots import robots_filter
 from ..operators.runs import endpoint_attempt, update_endpoint_state
@@ -70,7 +70,8 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
     )
     # The item that made an article: its own text outranks the page, its place orders the attempt.
     item_keys = ["source_endpoint_id", "source_item_id"]
-    given = items.withColumnRenamed("endpoint_id", "source_endpoint_id").groupBy(*item_keys).agg(
+    accepted = valid_items(items).withColumnRenamed("endpoint_id", "source_endpoint_id")
+    given = accepted.groupBy(*item_keys).agg(
         F.min("pos").alias("pos"), F.min_by("raw_text", "pos").alias("raw_text")
     )
     placed = found.links.join(given, item_keys)
