@@ -416,23 +416,33 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
           WHEN 3 THEN 'VERDICT:falsey' || chr(13) || chr(10) || chr(13) || chr(10) || text WHEN 4 THEN NULL
           WHEN 5 THEN 'Verdict: **true**' || chr(10) || text WHEN 6 THEN text ELSE 'Verdict: unclear' END AS answer
         FROM conversations""", ()),
-    "t_sentences": (rf"""
+}
+
+
+def hashed(h: str) -> str:
+    """SQL for the 64 values of the deterministic embedding from a hex digest."""
+    digit = lambda at: f"strpos('0123456789abcdef', substr({h}, 2 * (j % 32) + {at}, 1)) - 1"
+    return f"list_transform(range(0, 64), lambda j: CAST(({digit(1)}) * 16 + {digit(2)} AS DOUBLE) / 255.0)"
+
+
+def chunk_tables(p: str, source: str, needs: tuple[str, ...]) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """Sentences, boundaries, the chunk fold and chunk rows of ``source(doc_id, text)``, as tables ``{p}_…``."""
+    return {
+        f"{p}_sentences": (rf"""
         SELECT doc_id, list_filter(list_transform(string_split(
             regexp_replace({clean('text')}, '([.!?]) ', '\1' || chr(30), 'g'), chr(30)), lambda s: trim(s)),
             lambda s: length(s) >= 3) AS sentences
-        FROM documents""", ()),
-    "t_sentence_vectors": ("""
-        SELECT doc_id, i, s, h, list_transform(range(0, 64), lambda j: CAST(
-            (strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 1, 1)) - 1) * 16
-            + strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 2, 1)) - 1 AS DOUBLE) / 255.0) AS v
+        FROM {source}""", needs),
+        f"{p}_sentence_vectors": (f"""
+        SELECT doc_id, i, s, h, {hashed('h')} AS v
         FROM (SELECT doc_id, unnest(range(1, len(sentences) + 1)) AS i, unnest(sentences) AS s,
-                sha256(unnest(sentences)) AS h FROM t_sentences)""", ("t_sentences",)),
-    "t_flags": ("""
+                sha256(unnest(sentences)) AS h FROM {p}_sentences)""", (f"{p}_sentences",)),
+        f"{p}_flags": (f"""
         SELECT doc_id, i, s, v, len(s) AS n, coalesce(list_cosine_similarity(v,
             lag(v) OVER (PARTITION BY doc_id ORDER BY i)) < 0.65, TRUE) AS boundary
-        FROM t_sentence_vectors""", ("t_sentence_vectors",)),
-    "t_fold": ("""
-        SELECT doc_id, 0 AS i, 0 AS start, CAST(0 AS BIGINT) AS chars, -1 AS cut FROM (SELECT DISTINCT doc_id FROM t_flags)
+        FROM {p}_sentence_vectors""", (f"{p}_sentence_vectors",)),
+        f"{p}_fold": (f"""
+        SELECT doc_id, 0 AS i, 0 AS start, CAST(0 AS BIGINT) AS chars, -1 AS cut FROM (SELECT DISTINCT doc_id FROM {p}_flags)
         UNION ALL
         SELECT doc_id, i, CASE WHEN is_cut THEN i ELSE start END, CASE WHEN is_cut THEN 0 ELSE chars END,
           CASE WHEN is_cut THEN i ELSE -1 END
@@ -440,18 +450,26 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
           SELECT f.doc_id, s.i, f.start, f.chars + s.n AS chars,
             s.i - f.start >= 2 AND (coalesce(nxt.boundary, FALSE) OR s.i - f.start >= 8
               OR (f.chars + s.n) // 4 > 400) AS is_cut
-          FROM t_fold f JOIN t_flags s ON s.doc_id = f.doc_id AND s.i = f.i + 1
-          LEFT JOIN t_flags nxt ON nxt.doc_id = f.doc_id AND nxt.i = f.i + 2)""", ("t_flags",)),
-    "t_chunk_spans": ("""
-        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stop) - 1 AS chunk_index, stop,
-          coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY stop), 0) AS begin,
-          count(*) OVER (PARTITION BY doc_id) AS n_chunks
-        FROM (SELECT doc_id, cut AS stop FROM t_fold WHERE cut > 0
-              UNION SELECT doc_id, max(i) FROM t_flags GROUP BY doc_id)""", ("t_fold", "t_flags")),
-    "t_semantic": ("""
+          FROM {p}_fold f JOIN {p}_flags s ON s.doc_id = f.doc_id AND s.i = f.i + 1
+          LEFT JOIN {p}_flags nxt ON nxt.doc_id = f.doc_id AND nxt.i = f.i + 2)""", (f"{p}_flags",)),
+        f"{p}_semantic": (f"""
         SELECT doc_id, chunk_index, CASE WHEN n_chunks > 1 THEN greatest(begin - 1, 0) ELSE begin END AS first, begin, stop
-        FROM t_chunk_spans""", ("t_chunk_spans",)),
-}
+        FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stop) - 1 AS chunk_index, stop,
+                coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY stop), 0) AS begin,
+                count(*) OVER (PARTITION BY doc_id) AS n_chunks
+              FROM (SELECT doc_id, cut AS stop FROM {p}_fold WHERE cut > 0
+                    UNION SELECT doc_id, max(i) FROM {p}_flags GROUP BY doc_id))""", (f"{p}_fold", f"{p}_flags")),
+        f"{p}_chunk_rows": (f"""
+        SELECT c.doc_id, c.chunk_index, c.first, c.stop, array_to_string(s.sentences[c.first + 1 : c.stop], ' ') AS text
+        FROM {p}_semantic c JOIN {p}_sentences s ON s.doc_id = c.doc_id WHERE len(s.sentences) >= 10
+        UNION ALL
+        SELECT doc_id, k, -1, -1, array_to_string(sentences[4 * k + 1 : 4 * k + 4], ' ')
+        FROM (SELECT doc_id, sentences, unnest(range(0, (len(sentences) + 3) // 4)) AS k FROM {p}_sentences
+              WHERE len(sentences) < 10)""", (f"{p}_semantic", f"{p}_sentences")),
+    }
+
+
+TABLES.update(chunk_tables("t", "documents", ()))
 
 
 def with_tables(sql: str, needs: tuple[str, ...]) -> str:
@@ -468,5 +486,5 @@ def with_tables(sql: str, needs: tuple[str, ...]) -> str:
         add(name)
     if not ordered:
         return sql
-    word = "WITH RECURSIVE" if "t_fold" in ordered else "WITH"
+    word = "WITH RECURSIVE" if any(n.endswith("_fold") for n in ordered) else "WITH"
     return f"{word} " + ",\n".join(f"{n} AS ({TABLES[n][0]})" for n in ordered) + "\n" + sql

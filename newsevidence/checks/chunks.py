@@ -100,17 +100,10 @@ def _chunk_table(spark, d):
     SELECT md5('a:' || doc_id || ':c:' || chunk_index) AS id_digest, doc_id AS article_id, chunk_index, text,
       canonical_url AS article_url, p.name AS source_name, {A.trim('r.bias')} AS bias_trimmed,
       strftime(coalesce(a.published_date, TIMESTAMP '{A.BASE}'), '%Y-%m-%d %H:%M:%S') AS published_date
-    FROM (
-      SELECT c.doc_id, c.chunk_index, array_to_string(s.sentences[c.first + 1 : c.stop], ' ') AS text
-      FROM t_semantic c JOIN t_sentences s ON s.doc_id = c.doc_id WHERE len(s.sentences) >= 10
-      UNION ALL
-      SELECT doc_id, k, array_to_string(sentences[4 * k + 1 : 4 * k + 4], ' ')
-      FROM (SELECT doc_id, sentences, unnest(range(0, (len(sentences) + 3) // 4)) AS k FROM t_sentences
-            WHERE len(sentences) < 10)
-    ) x JOIN t_articles a ON a.id = x.doc_id JOIN t_content ON article_id = x.doc_id
+    FROM t_chunk_rows x JOIN t_articles a ON a.id = x.doc_id JOIN t_content ON article_id = x.doc_id
     JOIN t_publishers p ON p.id = a.publisher_id LEFT JOIN t_ratings r ON r.rating_id = p.rating_id
     """.replace(A.trim('r.bias'), f"nullif({A.trim('r.bias')}, '')"),
-    ("t_semantic", "t_sentences", "t_articles", "t_content", "t_publishers", "t_ratings"))
+    ("t_chunk_rows", "t_articles", "t_content", "t_publishers", "t_ratings"))
 def chunk_rows(spark, d):
     """Documents to chunk table in one plan: sentences, cut, vectors, ratings, ids."""
     rows = _chunk_table(spark, d)

@@ -13,9 +13,10 @@ from ..session import shared_dir
 from ..sources.tables import stage
 from . import adapters as A
 from .chunks import DIM, _chunk_table
+from .hits import GOOD_SOURCE, evidence_sql
 from .registry import check
 from .texts import VERDICT_PARTS
-from .web import landed, robots
+from .web import LOW, PARAGRAPHS, landed, robots
 
 
 @check("owner_claims", "SELECT id, owner_username FROM t_claims WHERE owner_username = 'user1'", ("t_claims",))
@@ -54,12 +55,52 @@ def claim_history(spark, d):
     return history.select("claim_id", "section", A.stamp("at"), "entry_id", "text", "note")
 
 
-@check("verify_claims")
+# The plan of the claim check in SQL: chunk vectors, all distances, the five nearest, sources, prompt lines.
+_VERIFY = f"""
+    vectors AS (
+      SELECT doc_id, chunk_index, list(CAST(x AS FLOAT) ORDER BY j) AS v FROM (
+        SELECT doc_id, chunk_index, j, avg(x) AS x FROM (
+          SELECT c.doc_id, c.chunk_index, unnest(range(0, 64)) AS j, unnest(s.v) AS x
+          FROM t_chunk_rows c JOIN t_sentence_vectors s ON s.doc_id = c.doc_id AND s.i > c.first AND s.i <= c.stop)
+        GROUP BY doc_id, chunk_index, j) GROUP BY doc_id, chunk_index
+      UNION ALL
+      SELECT doc_id, chunk_index, CAST({A.hashed('h')} AS FLOAT[]) FROM (
+        SELECT doc_id, chunk_index, sha256(text) AS h FROM t_chunk_rows WHERE stop < 0)
+    ), stored AS (
+      SELECT c.doc_id, c.text, v.v, a.title, p.name AS source_name,
+        coalesce(a.published_date, TIMESTAMP '{A.BASE}') AS published_date, nullif({A.trim('r.bias')}, '') AS bias,
+        nullif({A.trim('r.factual_reporting')}, '') AS factual_reporting, nullif({A.trim('r.credibility')}, '') AS credibility,
+        md5('a:' || c.doc_id || ':c:' || c.chunk_index) AS d
+      FROM t_chunk_rows c JOIN vectors v ON v.doc_id = c.doc_id AND v.chunk_index = c.chunk_index
+      JOIN t_content t ON t.article_id = c.doc_id JOIN t_articles a ON a.id = c.doc_id
+      JOIN t_publishers p ON p.id = a.publisher_id LEFT JOIN t_ratings r ON r.rating_id = p.rating_id
+    ), asked AS (
+      SELECT claim_id, claim_text, {A.hashed('h')} AS v FROM (
+        SELECT claim_id, {A.trim('claim_text')} AS claim_text, sha256({A.trim('claim_text')}) AS h FROM t_claims)
+      WHERE length(claim_text) BETWEEN 1 AND 400
+    ), nearest AS (
+      SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY distance, substr(d, 1, 12), '3' || substr(d, 14, 3), d) AS rank
+        FROM (SELECT q.claim_id, s.*, CAST(1 - list_cosine_similarity(q.v, CAST(s.v AS DOUBLE[])) AS FLOAT) AS distance
+              FROM asked q, stored s))
+      WHERE rank <= 5 AND distance <= 0.5 AND {GOOD_SOURCE} AND NOT coalesce({A.norm('credibility')} IN ('very low', 'low'), FALSE)
+    ), blocks AS (
+      SELECT claim_id, string_agg({evidence_sql(False)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence
+      FROM nearest GROUP BY claim_id
+    )"""
+
+
+@check("verify_claims", f"""
+    SELECT * FROM (WITH {_VERIFY}
+    SELECT q.claim_id, 'Check ' || claim_text || chr(10) || 'on 2024-06-01' || chr(10) || coalesce(evidence, '(no evidence found)')
+      AS prompt FROM asked q LEFT JOIN blocks b ON b.claim_id = q.claim_id)
+    """, ("t_chunk_rows", "t_sentence_vectors", "t_content", "t_articles", "t_publishers", "t_ratings", "t_claims"))
 def verify_claims(spark, d):
     """Claims to prompts over the chunk table cut from all documents."""
     chunks = stage(_chunk_table(spark, d), f"{shared_dir(spark)}/verify_claims/{uuid4().hex}", "chunks")
     good, evidence, _ = claim_evidence(A.claims(spark, d).select("claim_id", "claim_text"), chunks, dim=DIM)
-    return verdict_prompts(good, evidence, F.lit("2024-06-01").cast("date"))
+    template = "Check {{CLAIM}}\non {{TODAY}}\n{{EVIDENCE}}"
+    return verdict_prompts(good, evidence, F.lit("2024-06-01").cast("date"), template)
 
 
 @check("store_answers", f"""
@@ -77,14 +118,78 @@ def store_answers_query(spark, d):
     return store_answers(log, responses).select("id", "verdict", "explanation")
 
 
-@check("ingest_attempts")
+# The ingestion plan in SQL. Pages answer by page number, see ``landed``; texts are cut as in ``extract_pages``.
+INGEST_TABLES = {
+    "i_found": ("""
+        SELECT k.*, k.article_id IS NULL AND first_rn = 1 AS is_new FROM (
+          SELECT n.*, a.id AS article_id, row_number() OVER (PARTITION BY n.publisher_id, n.url_hash ORDER BY n.endpoint_id, n.pos)
+            AS first_rn
+          FROM (SELECT t.*, e.publisher_id, sha256(t.external_url) AS url_hash FROM t_new t JOIN t_endpoints e ON e.id = t.endpoint_id) n
+          LEFT JOIN t_known_articles a ON a.publisher_id = n.publisher_id AND a.canonical_url_hash = n.url_hash) k
+        """, ("t_new", "t_endpoints", "t_known_articles")),
+    "i_pages": (f"""
+        SELECT url, page_id % 6 AS v, body, good, NOT CASE length(host_key) % 4
+            WHEN 0 THEN NOT (path LIKE '/en/%' AND path NOT LIKE '/en/7%') WHEN 1 THEN NOT (path LIKE '%.html' OR path LIKE '/fr%')
+            WHEN 2 THEN scheme = 'https' ELSE TRUE END AS barred
+        FROM (
+          SELECT p.url, j.*, regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS path,
+            regexp_extract(url, '^(https?)', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1))
+              || CASE regexp_extract(url, '^(https?)', 1) WHEN 'https' THEN ':443' ELSE ':80' END AS host_key
+          FROM pages p JOIN (WITH {PARAGRAPHS.format(n=2, chars=200)} SELECT * FROM judged) j ON j.page_id = p.page_id)""", ()),
+    "i_results": (f"""
+        SELECT publisher_id, url_hash, endpoint_id, pos,
+          row_number() OVER (ORDER BY url_hash, publisher_id) + (SELECT max(id) FROM t_known_articles) AS id,
+          coalesce(raw_text, CASE WHEN v = 5 AND good AND NOT barred THEN body END) AS text,
+          CASE WHEN raw_text IS NOT NULL THEN 200 WHEN v IS NULL OR barred THEN NULL
+            WHEN v = 0 THEN 403 WHEN v = 1 THEN 404 WHEN v = 2 THEN 500 ELSE 200 END AS http_status,
+          CASE WHEN raw_text IS NOT NULL THEN NULL WHEN v IS NULL THEN 'Fetch failed' WHEN barred THEN 'Robots.txt disallows fetching'
+            WHEN v IN (0, 2) THEN 'Blocked/Rate-limited/CAPTCHA suspected' WHEN v = 1 THEN 'HTTP status 404' END AS fetch_error,
+          CASE WHEN raw_text IS NOT NULL OR v IS NULL OR barred THEN NULL WHEN v = 3 THEN 'Non-HTML contentType: application/pdf'
+            WHEN v = 4 THEN 'Non-HTML contentType: null' WHEN v = 5 AND NOT good THEN {LOW} END AS extraction_error
+        FROM i_found LEFT JOIN i_pages ON url = external_url WHERE is_new""", ("i_found", "i_pages")),
+    "i_texts": ("SELECT id AS doc_id, text FROM i_results WHERE text IS NOT NULL", ("i_results",)),
+}
+A.TABLES.update(INGEST_TABLES)
+A.TABLES.update(A.chunk_tables("i", "i_texts", ("i_texts",)))
+
+
+@check("ingest_attempts", f"""
+    SELECT * FROM (WITH outcome AS (
+      SELECT endpoint_id, pos, text IS NOT NULL AS success, CASE WHEN text IS NOT NULL THEN NULL
+        WHEN fetch_error LIKE 'Blocked%' THEN 'BLOCKED_OR_CAPTCHA' WHEN fetch_error LIKE 'Robots.txt%' THEN 'ROBOTS_DISALLOWED'
+        WHEN extraction_error LIKE 'Low-quality%' THEN 'EXTRACTION_FAILED' END AS reason FROM i_results
+    ), kept AS (
+      SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN reason IN ('BLOCKED_OR_CAPTCHA', 'ROBOTS_DISALLOWED') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY endpoint_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM outcome)
+      WHERE stops = 0
+    ), counts AS (
+      SELECT endpoint_id, count(*) FILTER (success) AS processed, count(*) FILTER (NOT success) AS failed,
+        CASE WHEN bool_or(reason = 'ROBOTS_DISALLOWED') THEN 'ROBOTS_DISALLOWED'
+          WHEN bool_or(reason = 'BLOCKED_OR_CAPTCHA') THEN 'BLOCKED_OR_CAPTCHA'
+          WHEN bool_or(reason = 'EXTRACTION_FAILED') THEN 'EXTRACTION_FAILED' END AS reason FROM kept GROUP BY endpoint_id
+    )
+    SELECT i.endpoint_id, CASE WHEN skip THEN 'SKIPPED' WHEN coalesce(failed, 0) = 0 THEN 'SUCCESS' WHEN processed > 0 THEN 'PARTIAL'
+        ELSE 'FAILED' END AS status,
+      CASE WHEN skip THEN 0 ELSE fetched END AS articles_fetched, CASE WHEN skip THEN 0 ELSE coalesce(processed, 0) END AS articles_processed,
+      CASE WHEN skip THEN 0 ELSE coalesce(failed, 0) END AS articles_failed, CASE WHEN NOT skip THEN reason END AS reason
+    FROM (SELECT endpoint_id, count(*) AS fetched FROM t_items GROUP BY endpoint_id) i
+    JOIN (SELECT id, robots_disallowed OR coalesce(blocked_until > TIMESTAMP '{A.NOW}', FALSE) AS skip FROM t_endpoints) e
+      ON e.id = i.endpoint_id LEFT JOIN counts c ON c.endpoint_id = i.endpoint_id)
+    """, ("t_items", "t_endpoints", "i_results"))
 def ingest_attempts(spark, d):
     """The whole ingestion plan over the pages table: status and counts per endpoint."""
     return _ingested(spark, d).attempts.select("endpoint_id", "status", "articles_fetched", "articles_processed",
                                                "articles_failed", "reason")
 
 
-@check("ingest_articles")
+@check("ingest_articles", """
+    SELECT id, publisher_id, url_hash AS canonical_url_hash, CASE WHEN text IS NULL THEN 'ERROR' ELSE 'INDEXED' END AS status,
+      http_status, fetch_error, extraction_error, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END AS chunk_count,
+      CASE WHEN text IS NOT NULL THEN TRUE END AS indexed
+    FROM i_results LEFT JOIN (SELECT doc_id, count(*) AS n FROM i_chunk_rows GROUP BY doc_id) ON doc_id = id
+    UNION ALL
+    SELECT id, publisher_id, canonical_url_hash, 'INDEXED', NULL, NULL, NULL, NULL, NULL FROM t_known_articles
+    """, ("i_results", "i_chunk_rows", "t_known_articles"))
 def ingest_articles(spark, d):
     out = _ingested(spark, d).articles
     return out.select("id", "publisher_id", "canonical_url_hash", "status", "http_status", "fetch_error",

@@ -18,7 +18,7 @@ _NEAREST = f"""
     SELECT claim_id, chunk_id, distance, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY distance, chunk_id) AS rank FROM {{pairs}})
     WHERE rank <= {{k}} AND CAST(distance AS DOUBLE) <= {{limit}}"""
-_GOOD = (
+GOOD_SOURCE = (
     f"NOT (coalesce(regexp_matches({A.norm('bias')}, 'questionable|conspiracy|pseudoscience|satire'), FALSE)"
     f" OR coalesce({A.norm('factual_reporting')} IN ('very low', 'low'), FALSE))"
 )
@@ -27,7 +27,7 @@ _GOOD = (
 @check("evidence_search", f"""
     SELECT n.claim_id, n.chunk_id, n.rank, round(CAST(n.distance AS DOUBLE), 6) AS distance, c.source_name
     FROM ({_NEAREST.format(pairs='t_pairs', k=5, limit=MAX_DISTANCE)}) n JOIN t_chunks c ON c.chunk_id = n.chunk_id
-    WHERE {_GOOD}
+    WHERE {GOOD_SOURCE}
     """, ("t_pairs", "t_chunks"))
 def evidence_search(spark, d):
     """Flagship: for every vector as a claim its nearest chunks within the limit, bad sources dropped."""
@@ -62,7 +62,7 @@ def filtered_search(spark, d):
 
 
 @check("good_sources", f"""
-    SELECT claim_id, rank FROM t_hits WHERE {_GOOD}
+    SELECT claim_id, rank FROM t_hits WHERE {GOOD_SOURCE}
       AND NOT coalesce({A.norm('credibility')} IN ('very low', 'low'), FALSE)
     """, ("t_hits",))
 def good_sources(spark, d):
@@ -85,7 +85,7 @@ def hit_distance(spark, d):
     return S.within_distance(A.hits(spark, d)).select("claim_id", "rank")
 
 
-def _line(with_bias: bool) -> str:
+def evidence_sql(with_bias: bool) -> str:
     label = lambda name, c: f"CASE WHEN trim({c}) <> '' THEN '{name}=' || {c} END"
     parts = [label("factual_reporting", "factual_reporting"), label("credibility", "credibility")]
     if with_bias:
@@ -98,7 +98,7 @@ def _line(with_bias: bool) -> str:
 
 
 @check("evidence_lines", f"""
-    SELECT claim_id, rank, {_line(False)} AS line, {_line(True)} AS bias_line FROM t_hits
+    SELECT claim_id, rank, {evidence_sql(False)} AS line, {evidence_sql(True)} AS bias_line FROM t_hits
     """, ("t_hits",))
 def evidence_lines(spark, d):
     return A.hits(spark, d).select("claim_id", "rank", evidence_line().alias("line"),
@@ -140,8 +140,8 @@ TEMPLATE = "Claim: {{CLAIM}}\nDay: {{TODAY}}\nFound:\n{{EVIDENCE}}\n"
     SELECT c.claim_id, 'Claim: ' || c.claim_text || chr(10) || 'Day: 2024-06-01' || chr(10) || 'Found:' || chr(10)
       || coalesce(e.evidence, '(no evidence found)') || chr(10) AS prompt
     FROM t_claims c LEFT JOIN (
-      SELECT claim_id, string_agg({_line(False)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence
-      FROM t_hits WHERE {_GOOD} GROUP BY claim_id) e ON e.claim_id = c.claim_id
+      SELECT claim_id, string_agg({evidence_sql(False)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence
+      FROM t_hits WHERE {GOOD_SOURCE} GROUP BY claim_id) e ON e.claim_id = c.claim_id
     """, ("t_claims", "t_hits"))
 def prompts(spark, d):
     hits = A.hits(spark, d).filter(~S.is_bad_source(credibility="factual_reporting"))
@@ -152,7 +152,7 @@ def prompts(spark, d):
     SELECT c.claim_id, c.claim_text || ' / ' || coalesce(c.verdict, 'unclear') || chr(10)
       || coalesce(e.evidence, '(no evidence found)') AS prompt
     FROM t_claims c LEFT JOIN (
-      SELECT claim_id, string_agg({_line(True)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence
+      SELECT claim_id, string_agg({evidence_sql(True)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence
       FROM t_hits GROUP BY claim_id) e ON e.claim_id = c.claim_id
     """, ("t_claims", "t_hits"))
 def bias_prompts(spark, d):
@@ -164,7 +164,7 @@ def bias_prompts(spark, d):
       || coalesce(c.explanation, '(no explanation stored)') || ' / why?' || chr(10)
       || coalesce(e.evidence, '(no evidence found)') AS prompt
     FROM t_claims c LEFT JOIN (
-      SELECT claim_id, string_agg({_line(False)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence
+      SELECT claim_id, string_agg({evidence_sql(False)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence
       FROM t_hits GROUP BY claim_id) e ON e.claim_id = c.claim_id
     """, ("t_claims", "t_hits"))
 def followup_prompts(spark, d):

@@ -102,12 +102,10 @@ def chunk_ids(spark, d):
     return rows.select("article_id", "j", keys.chunk_object_id("article_id", "j").alias("chunk_id"))
 
 
-@check("hash_embed", """
+@check("hash_embed", f"""
     SELECT doc_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS first_value, round(v[40], 6) AS middle_value,
       len(v) AS dim
-    FROM (SELECT doc_id, list_transform(range(0, 64), lambda j: CAST(
-            (strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 1, 1)) - 1) * 16
-            + strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 2, 1)) - 1 AS DOUBLE) / 255.0) AS v
+    FROM (SELECT doc_id, {A.hashed('h')} AS v
           FROM (SELECT doc_id, sha256(text) AS h FROM documents))
     """)
 def hash_embed(spark, d):
@@ -121,11 +119,9 @@ def hash_embed(spark, d):
     )
 
 
-@check("embed_udf", """
+@check("embed_udf", f"""
     SELECT doc_id, round(list_sum(v), 3) AS total, len(v) AS dim
-    FROM (SELECT doc_id, list_transform(range(0, 64), lambda j: CAST(
-            (strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 1, 1)) - 1) * 16
-            + strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 2, 1)) - 1 AS DOUBLE) / 255.0) AS v
+    FROM (SELECT doc_id, {A.hashed('h')} AS v
           FROM (SELECT doc_id, sha256(text) AS h FROM documents))
     """)
 def embed_udf(spark, d):

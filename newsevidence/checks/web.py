@@ -66,7 +66,7 @@ def block_reasons(spark, d):
 
 
 # The supplied pages all have one <article> of plain paragraphs with unclosed <p> and <b> tags, which SQL can cut.
-_PARAGRAPHS = r"""
+PARAGRAPHS = r"""
     cut AS (
       SELECT page_id, unnest(range(1, len(l))) AS i, unnest(l[2:]) AS raw FROM (
         SELECT page_id, string_split(split_part(split_part(html, '<article>', 2), '</article>', 1), '<p>') AS l FROM pages)
@@ -84,13 +84,13 @@ _PARAGRAPHS = r"""
       SELECT *, n_paragraphs >= {n} AND length(body) >= {chars}
         AND length(regexp_replace(body, '[^\p{{L}}]', '', 'g')) > length(body) * 0.5 AS good FROM joined
     )"""
-_LOW = "'Low-quality extraction (likely boilerplate or dynamic page)'"
+LOW = "'Low-quality extraction (likely boilerplate or dynamic page)'"
 
 
 @check("extract_pages", f"""
-    SELECT * FROM (WITH {_PARAGRAPHS.format(n=2, chars=200)}
+    SELECT * FROM (WITH {PARAGRAPHS.format(n=2, chars=200)}
     SELECT page_id, n_paragraphs, CASE WHEN good THEN body END AS extracted_text,
-      CASE WHEN NOT good THEN {_LOW} END AS extraction_error FROM judged)
+      CASE WHEN NOT good THEN {LOW} END AS extraction_error FROM judged)
     """)
 def extract_pages(spark, d):
     """Whole pages through the tree walk; the gate is lowered because the supplied pages are short."""
@@ -99,9 +99,9 @@ def extract_pages(spark, d):
 
 
 @check("extract_pages_default", f"""
-    SELECT * FROM (WITH {_PARAGRAPHS.format(n=5, chars=1500)}
+    SELECT * FROM (WITH {PARAGRAPHS.format(n=5, chars=1500)}
     SELECT page_id, n_paragraphs, CASE WHEN good THEN length(body) END AS n_chars,
-      CASE WHEN NOT good THEN {_LOW} END AS extraction_error FROM judged)
+      CASE WHEN NOT good THEN {LOW} END AS extraction_error FROM judged)
     """)
 def extract_pages_default(spark, d):
     out = extract(A.load_wide(spark, d, "pages"))
@@ -109,13 +109,13 @@ def extract_pages_default(spark, d):
 
 
 @check("fetch_results", f"""
-    SELECT * FROM (WITH {_PARAGRAPHS.format(n=2, chars=200)}
+    SELECT * FROM (WITH {PARAGRAPHS.format(n=2, chars=200)}
     SELECT page_id, url AS final_url, CASE page_id % 6 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 500 ELSE 200 END AS http_status,
       page_id % 6 IN (0, 2) AS blocked_suspected,
       CASE WHEN page_id % 6 IN (0, 2) THEN 'Blocked/Rate-limited/CAPTCHA suspected'
         WHEN page_id % 6 = 1 THEN 'HTTP status 404' END AS fetch_error,
       CASE WHEN page_id % 6 = 3 THEN 'Non-HTML contentType: application/pdf' WHEN page_id % 6 = 4 THEN 'Non-HTML contentType: null'
-        WHEN page_id % 6 = 5 AND NOT good THEN {_LOW} END AS extraction_error,
+        WHEN page_id % 6 = 5 AND NOT good THEN {LOW} END AS extraction_error,
       CASE WHEN page_id % 6 = 5 AND good THEN body END AS extracted_text
     FROM judged JOIN pages USING (page_id))
     """)
