@@ -17,7 +17,7 @@ MAX_DISTANCE = 0.68
 _NEAREST = f"""
     SELECT claim_id, chunk_id, distance, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY distance, chunk_id) AS rank FROM {{pairs}})
-    WHERE rank <= {{k}} AND CAST(distance AS DOUBLE) <= {{limit}}"""
+    WHERE rank <= {{k}} AND distance <= CAST({{limit}} AS FLOAT)"""
 GOOD_SOURCE = (
     f"NOT (coalesce(regexp_matches({A.norm('bias')}, 'questionable|conspiracy|pseudoscience|satire'), FALSE)"
     f" OR coalesce({A.norm('factual_reporting')} IN ('very low', 'low'), FALSE))"
@@ -79,7 +79,7 @@ def hit_threshold(spark, d):
 
 
 @check("hit_distance", """
-    SELECT claim_id, rank FROM t_hits WHERE CAST(CAST(distance AS FLOAT) AS DOUBLE) <= 0.5
+    SELECT claim_id, rank FROM t_hits WHERE CAST(distance AS FLOAT) <= CAST(0.5 AS FLOAT)
     """, ("t_hits",))
 def hit_distance(spark, d):
     return S.within_distance(A.hits(spark, d)).select("claim_id", "rank")

@@ -83,7 +83,7 @@ def labels_norm(spark, d):
 
 
 @check("token_est", """
-    SELECT doc_id, coalesce(list_sum(list_transform(sentences, lambda s: length(s))), 0) // 4 AS tokens FROM t_sentences
+    SELECT doc_id, CAST(coalesce(list_sum(list_transform(sentences, lambda s: length(s))), 0) // 4 AS BIGINT) AS tokens FROM t_sentences
     """, ("t_sentences",))
 def token_est(spark, d):
     docs = _documents(spark, d)

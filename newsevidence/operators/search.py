@@ -56,8 +56,8 @@ def with_min_score(hits: DataFrame, min_score: float = MIN_SCORE, distance: str
 
 
 def within_distance(hits: DataFrame, max_distance: float = MAX_DISTANCE, distance: str = "distance") -> DataFrame:
-    """Keep hits within the limit. Compared as single-precision distance against the given limit."""
-    return hits.filter(F.col(distance).cast("float").cast("double") <= F.lit(max_distance))
+    """Keep hits within the limit; both sides are compared in single precision."""
+    return hits.filter(F.col(distance).cast("float") <= F.lit(max_distance).cast("float"))
 
 
 def search_filters(chunks: DataFrame, source_names: list[str] | None = None, published_after=None,
@@ -87,7 +87,7 @@ class _TopK:
 
     def __init__(self, claim_ids: np.ndarray, claims: np.ndarray, k: int, max_distance: float):
         self.claim_ids, self.claims, self.k = claim_ids, claims, k
-        self.bar = np.full(len(claim_ids), float(max_distance))
+        self.bar = np.full(len(claim_ids), max_distance, dtype=np.float32)
         self.best = pd.DataFrame({"q": [], "chunk_id": [], "distance": []})
 
     def add(self, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
@@ -100,8 +100,8 @@ class _TopK:
                 if distance.shape[1] > self.k:
                     # Ties at the k-th distance stay in; the chunk id decides about them below.
                     kth = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]
-                    limit = np.minimum(limit, kth.astype(np.float64))
-                q, c = np.nonzero(distance.astype(np.float64) <= limit[:, None])
+                    limit = np.minimum(limit, kth)
+                q, c = np.nonzero(distance <= limit[:, None])
                 found.append(pd.DataFrame({"q": q + q0, "chunk_id": ids[c], "distance": distance[q, c]}))
         self._keep(found)
 
@@ -111,7 +111,7 @@ class _TopK:
         place = rows.groupby("q", sort=False).cumcount()
         self.best = rows[place < self.k]
         full = rows[place == self.k - 1]
-        self.bar[full["q"].to_numpy(dtype=int)] = full["distance"].to_numpy(dtype=np.float64)
+        self.bar[full["q"].to_numpy(dtype=int)] = full["distance"].to_numpy(dtype=np.float32)
 
     def rows(self) -> pd.DataFrame:
         q = self.best["q"].to_numpy(dtype=int)
@@ -237,7 +237,8 @@ def nearest_chunks(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_dis
                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(claim_id, chunk_id, distance, rank)``: the k nearest chunks of each claim within the limit.
 
-    Distance is one minus cosine in single precision; ties go to the smaller chunk id. Dropping
+    Distance is one minus cosine, and it and the limit are single precision; ties go to the smaller
+    chunk id. Dropping
     rows past ``max_distance`` early does not change which rows survive both cuts. The claims are
     counted up to the broadcast bound: below it they travel to every task, above it both sides are
     partitioned by cell.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import chunk_object_id
@@ -79,6 +79,11 @@ def grow_schema(stored: DataFrame, columns: list[str] | None = None) -> DataFram
     return out
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk files of all ages: columns that older files lack read as nulls."""
+    return grow_schema(spark.read.option("mergeSchema", "true").parquet(path))
+
+
 def write_chunks(stored: DataFrame, fresh: DataFrame, *, replace_article: bool = False) -> DataFrame:
     """Chunk table after a write: same ids are replaced.
 

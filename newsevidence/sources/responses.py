@@ -50,7 +50,7 @@ def parse_hits(responses: DataFrame, max_distance: float | None = None) -> DataF
     )
     if max_distance is None:
         return out
-    return out.filter(F.col("distance").cast("double") <= F.lit(max_distance))
+    return out.filter(F.col("distance") <= F.lit(max_distance).cast("float"))
 
 
 def model_text(responses: DataFrame, body: str = "body") -> DataFrame:

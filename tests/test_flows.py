@@ -407,6 +407,14 @@ def test_chunk_pairs_and_rewrites(spark):
     assert rows(rejects, "note_id") == [(2,)]
 
 
+def test_old_chunk_files_read_with_new_columns(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    spark.createDataFrame([("a", "x")], "chunk_id string, text string").write.parquet(path)
+    assert rows(SC.read_chunks(spark, path), "chunk_id", "bias") == [("a", None)]
+    spark.createDataFrame([("b", "y", "left")], "chunk_id string, text string, bias string").write.mode("append").parquet(path)
+    assert rows(SC.read_chunks(spark, path), "chunk_id", "bias", "credibility") == [("a", None, None), ("b", "left", None)]
+
+
 def test_snapshots_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, "a", "b", NOW_TIME)], schemas.CLAIM_FOLLOWUP)
     write_snapshot(df, str(tmp_path / "claim_followup.parquet"), cluster_by=["id"])

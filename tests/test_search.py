@@ -23,7 +23,7 @@ def brute(claims, chunks, k, limit):
     out = []
     for q in range(len(claims)):
         best = sorted(range(len(chunks)), key=lambda c: (d[q, c], c))[:k]
-        out += [(q, c, r + 1) for r, c in enumerate(best) if d[q, c] <= limit]
+        out += [(q, c, r + 1) for r, c in enumerate(best) if d[q, c] <= np.float32(limit)]
     return sorted(out)
 
 
@@ -55,6 +55,11 @@ def test_bad_sources_after_the_limit_unless_prefiltered(spark):
     assert ids(S.evidence_search(claims, chunks, 4)) == [3]
 
 
+def test_limit_is_single_precision(spark):
+    hits = spark.createDataFrame([(0.68,), (0.6800001,)], "distance double")
+    assert S.within_distance(hits, 0.68).count() == 1
+
+
 def test_score_is_compared_in_single_precision(spark):
     hits = spark.createDataFrame([(0.2,), (0.2,), (0.9,), (0.3,)], "distance double")
     assert S.with_min_score(hits, 0.3).count() == 3
