@@ -62,7 +62,7 @@ def clean_text(c) -> Column:
 def split_sentences(c) -> Column:
     """Array of trimmed sentences; a boundary is ``.``, ``!`` or ``?`` followed by whitespace."""
     marked = F.regexp_replace(clean_text(c), r"([.!?])\s+", "$1" + _MARK)
-    parts = F.transform(F.split(marked, _MARK), F.trim)
+    parts = F.transform(F.split(marked, _MARK), lambda s: F.trim(s))
     return F.coalesce(
         F.filter(parts, lambda s: F.length(s) >= MIN_SENTENCE_CHARS),
         F.array().cast("array<string>"),

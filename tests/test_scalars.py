@@ -31,6 +31,12 @@ def test_sentences(spark):
     assert got == [["One here.", "Two!", "Three?", "Four"], [], [], ["No end"]]
 
 
+def test_sentences_keep_digits_that_equal_their_position(spark):
+    parts = [f"{i} of {i}" + "." for i in range(15)]
+    assert strings(spark, [" ".join(parts) + " 15"], text.split_sentences) == [parts]
+    assert strings(spark, ["a b. 1. 2!! 31 3"], text.split_sentences) == [["a b.", "2!!", "31 3"]]
+
+
 def test_dedup_key_equals_plain_python(spark):
     cases = ["A b", "a  B ", "ﬁne Ｔext", "x\u001cy z", "", None, "Straße ÉTÉ", " wide "]
     want = ["" if c is None else " ".join(unicodedata.normalize("NFKC", c).lower().split()) for c in cases]
