@@ -241,7 +241,8 @@ def discover_links(spark, d):
     """, ("t_new", "t_endpoints", "t_known_articles"))
 def merge_articles(spark, d):
     known = A.known_articles(spark, d)
-    merged = D.merge_articles(known, _discovery(spark, d).articles, A.now())
+    found = _discovery(spark, d).articles
+    merged = D.merge_articles(known, D.new_article_rows(known, found, A.now()), D.seen_again(found))
     return merged.select("id", "publisher_id", "canonical_url_hash", "status", A.stamp("last_seen_at"))
 
 

@@ -103,24 +103,37 @@ def assign_ids(rows: DataFrame, existing: DataFrame, key: str = "canonical_url_h
     )
 
 
-def merge_articles(articles: DataFrame, found: DataFrame, now: Column) -> DataFrame:
-    """Article snapshot after a discovery: new rows added, known ones seen again."""
-    new = assign_ids(found.filter("is_new"), articles).select(
+def new_article_rows(articles: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """Rows a discovery adds to the article table, ids included."""
+    return assign_ids(found.filter("is_new"), articles).select(
         "id", "publisher_id", "canonical_url", "canonical_url_hash", "title", "description", "published_date",
         now.alias("first_seen_at"), "last_seen_at", "status",
     )
-    seen = found.filter(~F.col("is_new")).select("id", F.col("last_seen_at").alias("_seen"))
-    kept = articles.join(seen, "id", "left")
-    kept = kept.withColumn("last_seen_at", F.coalesce("_seen", "last_seen_at")).drop("_seen")
-    return kept.unionByName(new, allowMissingColumns=True)
-
-
-def merge_links(links: DataFrame, found_links: DataFrame, articles: DataFrame) -> DataFrame:
-    """Link snapshot after a discovery; new links take their article id from the new snapshot."""
-    ids = articles.select("publisher_id", "canonical_url_hash", F.col("id").alias("article_id"))
-    fresh = found_links.drop("article_id").join(ids, ["publisher_id", "canonical_url_hash"])
-    cols = ["article_id", "source_endpoint_id", "source_item_id", "fetched_at"]
-    return links.select(*cols).unionByName(fresh.select(*cols))
+
+
+def seen_again(found: DataFrame) -> DataFrame:
+    """``(id, last_seen_at)`` of known articles a discovery met again."""
+    return found.filter(~F.col("is_new")).select("id", "last_seen_at")
+
+
+def new_link_rows(found_links: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows a discovery adds to the link table; only links to ``fresh`` articles have to look up an id."""
+    key = ["publisher_id", "canonical_url_hash"]
+    ids = fresh.select(*key, F.col("id").alias("_id"))
+    return found_links.join(ids, key, "left").select(
+        F.coalesce("article_id", "_id").alias("article_id"), "source_endpoint_id", "source_item_id", "fetched_at"
+    )
+
+
+def merge_articles(articles: DataFrame, fresh: DataFrame, seen: DataFrame) -> DataFrame:
+    """Article snapshot with new rows added and the latest sightings applied."""
+    last = seen.groupBy("id").agg(F.max("last_seen_at").alias("_seen"))
+    kept = articles.unionByName(fresh, allowMissingColumns=True).join(last, "id", "left")
+    return kept.withColumn("last_seen_at", F.coalesce("_seen", "last_seen_at")).drop("_seen")
+
+
+def merge_links(links: DataFrame, fresh: DataFrame) -> DataFrame:
+    return links.select(*fresh.columns).unionByName(fresh)
 
 
 STATE_COLUMNS = {

@@ -11,7 +11,9 @@ from ..functions.text import is_blank
 from ..functions.vectors import Embedder
 from ..functions.web import block_reason
 from ..operators.chunking import chunk_documents
-from ..operators.discover import apply_article_state, discover, merge_articles, merge_links, valid_items
+from ..operators.discover import (
+    apply_article_state, discover, merge_articles, merge_links, new_article_rows, new_link_rows, seen_again, valid_items,
+)
 from ..operators.pages import fetch_results
 from ..operators.robots import robots_filter
 from ..operators.runs import endpoint_attempt, update_endpoint_state
@@ -62,12 +64,11 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
     found = found._replace(
         articles=stage(found.articles, work_dir, "found_articles"), links=stage(found.links, work_dir, "found_links")
     )
-    stored = stage(merge_articles(articles, found.articles, now), work_dir, "stored_articles")
-    stored_links = merge_links(links, found.links, stored)
+    fresh = stage(new_article_rows(articles, found.articles, now), work_dir, "new_articles")
+    stored = stage(merge_articles(articles, fresh, seen_again(found.articles)), work_dir, "stored_articles")
+    stored_links = merge_links(links, new_link_rows(found.links, fresh))
     key = ["publisher_id", "canonical_url_hash"]
-    new = found.articles.filter("is_new").select(*key, "canonical_url").join(
-        stored.select(*key, F.col("id").alias("article_id")), key
-    )
+    new = fresh.select(*key, "canonical_url", F.col("id").alias("article_id"))
     # The item that made an article: its own text outranks the page, its place orders the attempt.
     item_keys = ["source_endpoint_id", "source_item_id"]
     accepted = valid_items(items).withColumnRenamed("endpoint_id", "source_endpoint_id")
@@ -89,7 +90,7 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
     content = results.select("article_id", text.alias("extracted_text"), now.alias("extracted_at")).filter(
         ~is_blank("extracted_text")
     )
-    known = texts_with_info(content, article_with_rating(stored, publishers, ratings), now)
+    known = texts_with_info(content, article_with_rating(fresh, publishers, ratings), now)
     cut = chunk_documents(known, "extracted_text", dim=dim, embedder=embedder, keep=INFO_COLUMNS)
     chunks = stage(finish_chunk_rows(cut), work_dir, "chunks")
     counts = chunks.groupBy("article_id").agg(F.count("*").cast("int").alias("chunk_count"))

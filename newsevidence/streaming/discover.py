@@ -1,23 +1,46 @@
-"""Discovery over a stream of landed feed items; same result as the batch operator."""
+"""Discovery over a stream of landed feed items; same result as the batch operator.
+
+The state is append-only: version ``n + 1`` of a table is a folder ``v=n+1`` with the rows batch ``n``
+added (new articles, new links, sightings of known articles). A micro-batch reads the key columns of
+the versions before it and writes its own folder, so its cost does not include rewriting the tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.discover import discover, merge_articles, merge_links
+from ..operators.discover import discover, merge_articles, new_article_rows, new_link_rows, seen_again
+
 
-STATE = ("articles", "links")
+def _write(df: DataFrame, state_dir: str, name: str, version: int) -> None:
+    df.write.mode("overwrite").parquet(f"{state_dir}/{name}/v={version}")
 
 
-def _version_path(state_dir: str, name: str, version: int) -> str:
-    return f"{state_dir}/{name}/v={version}"
+def _read(spark: SparkSession, state_dir: str, name: str, version: int) -> DataFrame:
+    """Rows of all versions up to ``version``; later folders may stem from an attempt that failed."""
+    return spark.read.parquet(f"{state_dir}/{name}").filter(F.col("v") <= version).drop("v")
 
 
 def read_state(spark: SparkSession, state_dir: str, version: int) -> tuple[DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(_version_path(state_dir, name, version)) for name in STATE)
+    """Article and link tables as of ``version``, sightings applied."""
+    articles, seen, links = (_read(spark, state_dir, name, version) for name in ("articles", "seen", "links"))
+    return merge_articles(articles, articles.limit(0), seen), links
+
+
+def last_version(spark: SparkSession, state_dir: str) -> int | None:
+    """Newest complete version of a state, or None where there is no state yet.
+
+    A one-row marker is written after the other folders of a version.
+    """
+    try:
+        marks = spark.read.parquet(f"{state_dir}/done")
+    except AnalysisException:
+        return None
+    return marks.agg(F.max("v").alias("v")).first()["v"]
 
 
 def stream_discover(spark: SparkSession, landing: str, schema: str, to_items: Callable[[DataFrame], DataFrame],
@@ -25,38 +48,38 @@ def stream_discover(spark: SparkSession, landing: str, schema: str, to_items: Ca
                     files_per_trigger: int = 100) -> int:
     """Run discovery over all files now in ``landing`` and return the last state version.
 
-    Each micro-batch reads state version ``n`` and writes version ``n + 1`` of both tables, where
-    ``n`` is the batch id. A batch that is run again after a failure overwrites the same version
-    from the same input, so late or repeated items change nothing but ``last_seen_at``.
+    ``start`` holds the article and link tables before the stream; a state that is there already is
+    gone on with. A batch that is run again after a failure overwrites its own folders from the same
+    input, so late or repeated items change nothing but ``last_seen_at``.
     """
-    for name, table in zip(STATE, start):
-        table.write.mode("overwrite").parquet(_version_path(state_dir, name, 0))
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
-    )
+    if last_version(spark, state_dir) is None:
+        articles, links = start
+        link_columns = ["article_id", "source_endpoint_id", "source_item_id", "fetched_at"]
+        _write(articles, state_dir, "articles", 0)
+        _write(articles.select("id", "last_seen_at").limit(0), state_dir, "seen", 0)
+        _write(links.select(*link_columns), state_dir, "links", 0)
+        _write(spark.range(1), state_dir, "done", 0)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        articles, links = read_state(session, state_dir, batch_id)
-        found = discover(to_items(batch), endpoints, articles, links, now)
-        merged = merge_articles(articles, found.articles, now)
-        merged.write.mode("overwrite").parquet(_version_path(state_dir, "articles", batch_id + 1))
-        stored = session.read.parquet(_version_path(state_dir, "articles", batch_id + 1))
-        merge_links(links, found.links, stored).write.mode("overwrite").parquet(
-            _version_path(state_dir, "links", batch_id + 1)
-        )
+        session, version = batch.sparkSession, batch_id + 1
+        known = _read(session, state_dir, "articles", batch_id)
+        linked = _read(session, state_dir, "links", batch_id)
+        found = discover(to_items(batch), endpoints, known, linked, now)
+        rows = known.limit(0).unionByName(new_article_rows(known, found.articles, now), allowMissingColumns=True)
+        _write(rows.select(*known.columns), state_dir, "articles", version)
+        _write(seen_again(found.articles), state_dir, "seen", version)
+        fresh = session.read.parquet(f"{state_dir}/articles/v={version}")
+        _write(new_link_rows(found.links, fresh), state_dir, "links", version)
+        _write(session.range(1), state_dir, "done", version)
 
     query = (
-        stream.writeStream.foreachBatch(step)
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(landing)
+        .writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{state_dir}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return _last_version(spark, state_dir)
-
-
-def _last_version(spark: SparkSession, state_dir: str) -> int:
-    """Highest version both tables have, from the partition column of the state folder."""
-    versions = spark.read.parquet(f"{state_dir}/links").agg(F.max("v").alias("v")).first()["v"]
-    return int(versions or 0)
+    return last_version(spark, state_dir)

@@ -178,10 +178,12 @@ def test_discover_and_second_run(spark):
         (20, "https://b", "other publisher", True)]
     assert rows(found.links, "source_item_id", "is_new") == [
         ("https://b", True), ("i3", False), ("i4", False), ("i6", True), ("i7", True)]
-    merged = D.merge_articles(articles, found.articles, now())
+    fresh = D.new_article_rows(articles, found.articles, now())
+    merged = D.merge_articles(articles, fresh, D.seen_again(found.articles))
     assert sorted(r.id for r in merged.collect()) == [5, 6, 7, 8]
     assert {r.id: r.last_seen_at for r in merged.collect()}[5] == NOW_TIME
-    stored = D.merge_links(links, found.links, merged)
+    stored = D.merge_links(links, D.new_link_rows(found.links, fresh))
+    assert stored.filter("article_id is null").count() == 0
     again = D.discover(items, endpoints, merged, stored, now())
     assert again.articles.count() == 0 and again.links.count() == 0
 
@@ -212,10 +214,18 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert version == 4
     got_articles, got_links = read_state(spark, state, version)
     found = D.discover(items, endpoints, articles, links, now())
-    want = D.merge_articles(articles, found.articles, now())
-    assert rows(got_articles, "publisher_id", "canonical_url") == rows(want, "publisher_id", "canonical_url")
+    fresh = D.new_article_rows(articles, found.articles, now())
+    want = D.merge_articles(articles, fresh, D.seen_again(found.articles))
+    cols = ("publisher_id", "canonical_url")
+    assert rows(got_articles, *cols) == rows(want, *cols)
+    assert {r.id: r.last_seen_at for r in got_articles.collect()}[5] == NOW_TIME
+    # A restart goes on where the stream stopped: nothing new leaves the version, new files move it.
+    again = lambda: stream_discover(spark, landing, ITEM, lambda df: df, endpoints, state, (articles, links), now())
+    assert again() == 4
+    items.limit(1).coalesce(1).write.mode("append").parquet(landing)
+    assert again() == 5 and read_state(spark, state, 5)[0].count() == got_articles.count()
     keys = {(r.source_endpoint_id, r.source_item_id) for r in got_links.collect()}
-    assert keys == {(r.source_endpoint_id, r.source_item_id) for r in D.merge_links(links, found.links, want).collect()}
+    assert keys == {(r.source_endpoint_id, r.source_item_id) for r in D.merge_links(links, D.new_link_rows(found.links, fresh)).collect()}
     assert got_links.count() == len(keys)
 
 
