@@ -10,6 +10,7 @@ from ..operators import discover as D
 from ..operators.views import endpoint_counts
 from ..session import shared_dir
 from ..sources import feeds as S
+from ..sources.tables import stage
 from ..streaming.discover import read_state, stream_discover
 from . import adapters as A
 from .registry import check
@@ -89,13 +90,18 @@ def api_batches(spark, d):
     return S.batch_requests(_planned(spark, d))
 
 
-def api_pages(spark, d):
-    """API pages from the pages table: up to 100 articles each, one page per run of batch and number."""
+def _stored_plan(spark, d):
+    """The batch plan as a run stores it before it asks for pages."""
+    return stage(_planned(spark, d), f"{shared_dir(spark)}/api_plan/{uuid4().hex}", "planned")
+
+
+def api_pages(spark, d, planned):
+    """API pages from the pages table: up to 40 articles each, one page per batch and number."""
     p = A.load(spark, d, "pages").selectExpr(
         "page_id div 40 as batch", "cast(page_id % 3 + 1 as int) as page", "page_id", "url"
     )
     # Sources 'src-N' of the planned endpoints; the case and blanks vary.
-    owners = _planned(spark, d).filter("is_owner").groupBy("batch").agg(F.min("source_id").alias("source_id"))
+    owners = planned.filter("is_owner").groupBy("batch").agg(F.min("source_id").alias("source_id"))
     rows = p.join(owners, "batch", "left")
     one = F.struct(
         F.struct(F.when(F.col("page_id") % 7 == 6, F.lit("elsewhere")).otherwise(
@@ -131,7 +137,8 @@ def api_pages(spark, d):
     WHERE rn = 1)
     """, ("t_endpoints", "t_links"))
 def api_articles(spark, d):
-    flat = S.flatten_api_pages(api_pages(spark, d), _planned(spark, d))
+    planned = _stored_plan(spark, d)
+    flat = S.flatten_api_pages(api_pages(spark, d, planned), planned)
     return flat.select("endpoint_id", "batch", "external_url", "title", "description", A.stamp("published_date"))
 
 
@@ -140,7 +147,7 @@ def api_articles(spark, d):
     FROM pages WHERE (page_id // 40) % 3 = 1
     """)
 def api_rejects(spark, d):
-    return S.api_page_rejects(api_pages(spark, d))
+    return S.api_page_rejects(api_pages(spark, d, _stored_plan(spark, d)))
 
 
 @check("page_budget", """

@@ -28,6 +28,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_CLAIMS = 8_192
 BLOCK_CHUNKS = 16_384
 PIVOTS = 64
+CHUNKS_PER_PIVOT = 1_000
 # Tile of the distance matrix held at a time: 32 MiB of doubles.
 TILE_CLAIMS = 1_024
 TILE_CHUNKS = 4_096
@@ -151,7 +152,8 @@ def _cell_hits(claims: DataFrame, chunks: DataFrame, n_claims: int, k: int, max_
     """
     spark = chunks.sparkSession
     id_type = schema["chunk_id"].dataType.simpleString()
-    picked = chunks.select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(PIVOTS)
+    n_pivots = min(PIVOTS, 1 + chunks.count() // CHUNKS_PER_PIVOT)
+    picked = chunks.select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n_pivots)
     picked = picked.toPandas()  # PIVOTS rows at most
     if picked.empty:
         return spark.createDataFrame([], schema)

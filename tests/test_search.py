@@ -32,6 +32,7 @@ def brute(claims, chunks, k, limit):
 def test_both_paths_equal_brute_force(spark, monkeypatch, k, limit, bound):
     monkeypatch.setattr(S, "BLOCK_CHUNKS", 50)
     monkeypatch.setattr(S, "BLOCK_CLAIMS", 7)
+    monkeypatch.setattr(S, "CHUNKS_PER_PIVOT", 10)
     claims, chunks, q, c = tables(spark, 30, 300)
     got = S.nearest_chunks(claims, chunks, k, limit, broadcast_bytes=bound)
     assert sorted((r.claim_id, r.chunk_id, r["rank"]) for r in got.collect()) == brute(q, c, k, limit)
