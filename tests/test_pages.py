@@ -110,3 +110,16 @@ def test_host_keys(spark):
 
 def test_empty_disallow_allows():
     assert agent_rules("User-agent: *\nDisallow:", "x") == []
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    """Executors get the functions by value: a Python that cannot import the package runs them."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); print(len(f('<article><p>' + 'word ' * 20)))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(page_paragraphs), cwd=tmp_path,
+                          capture_output=True, check=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.stdout.strip() == b"1"
