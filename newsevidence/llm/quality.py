@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import SEPARATORS
+
 #: Rows of the sample that sets the order of the rules. The order never changes a verdict.
 SAMPLE_ROWS = 2_000
 
@@ -27,50 +29,46 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t-\r]+"))
 
 
-def _positions_of_repeats(keys: Column, make_keys) -> Column:
-    """Positions (from 0, ascending) of the entries of ``keys`` that occur twice or more.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often it is used, lambdas included."""
+    return F.get(F.transform(F.array(value), body), 0)
+
 
-    Sorting brings equal entries together, so the work is n log n for any number of repeats.
+def _words_in_repeats(w: Column, width: int = 3) -> Column:
+    """Words of ``w`` in windows of ``width`` that occur twice or more.
+
+    Windows are hashed and sorted with their places: equal ones become neighbours, and the places found, sorted
+    again, tell how many words they cover. The work is n log n for any number of repeats.
     """
-    sorted_ = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.array().cast("array<int>")).otherwise(make_keys(sorted_))
+    keys = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(
+        F.xxhash64(*[F.get(w, i + j) for j in range(width)]).alias("k"), i.alias("i")))
 
+    def covered(s: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(s, i)["k"] == x["k"], F.lit(False))
+        hits = F.filter(s, lambda x, i: F.when(i > 0, same(x, i - 1)).otherwise(F.lit(False)) | same(x, i + 1))
+        places = F.array_sort(F.transform(hits, lambda x: x["i"]))
+        return F.aggregate(
+            places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+            lambda a, p: F.struct((a["n"] + p + width - F.greatest(a["end"], p)).alias("n"), (p + width).alias("end")),
+            lambda a: a["n"])
 
-def _equal_neighbours(s: Column) -> Column:
-    last = F.size(s) - 1
-    hit = F.filter(s, lambda x, i: F.when(i > 0, F.get(s, i - 1)["k"] == x["k"]).otherwise(F.lit(False))
-                   | F.when(i < last, F.get(s, i + 1)["k"] == x["k"]).otherwise(F.lit(False)))
-    return F.array_sort(F.transform(hit, lambda x: x["i"]))
+    return F.when(F.size(w) > width, _let(F.sort_array(keys), covered)).otherwise(F.lit(0))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Add the counts that rules use; see :func:`quality_cascade` for their meaning.
-
-    Split and positions live in columns of their own; each step is a projection over arrays of one document.
-    """
+    """Add the counts that rules use; see :func:`quality_cascade` for their meaning."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumn("_w", words(F.col("text")))
-    triple = F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 3),
-        lambda i: F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)),
-    )
-    base = base.withColumn("_t", F.when(F.size("_w") >= 3, triple).otherwise(F.array().cast("array<bigint>")))
-    base = base.withColumn("_p", _positions_of_repeats(F.col("_t"), _equal_neighbours))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
-    base = base.withColumn("_l", lines)
-    covered = F.aggregate(
-        "_p", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n"), (p + 3).alias("end")),
-        lambda a: a["n"],
-    )
-    return base.select(
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
+    by_word = _let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), _words_in_repeats(w).alias("repeats")))
+    by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    return docs.withColumn("_w", by_word).withColumn("_l", by_line).select(
         *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
+        F.col("_w.n").cast("long").alias("n_words"),
+        F.length(F.translate(text, SEPARATORS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size("_l").cast("long").alias("n_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        F.col("_l.dup").cast("long").alias("n_dup_lines"),
+        F.col("_l.n").cast("long").alias("n_lines"),
+        F.col("_w.repeats").cast("long").alias("n_repeat_words"),
     )
 
 

@@ -56,3 +56,24 @@ def op7_chunk_pieces(spark: SparkSession, folder: str) -> DataFrame:
     coded = encode_pieces(_table(spark, folder, "documents"), path("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op2_capture_index(spark: SparkSession, folder: str) -> DataFrame:
+    from .common import run_folder
+    from .warc import look_up, resolved, url_key, write_archives, write_index
+
+    pages, place = _table(spark, folder, "pages"), run_folder(spark)
+    parts = write_index(write_archives(pages, place), place)
+    return resolved(look_up(pages.select(url_key(F.col("url"))), parts, place))
+
+
+ORACLES["op2_capture_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+k AS (SELECT payload_digest, min(page_id) AS keeper FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT d.page_id, payload_bytes, d.payload_digest,
+  CASE WHEN keeper IS NULL OR keeper = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper <> d.page_id THEN keeper END AS refers_to
+FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest AND payload_bytes >= 100
+"""
