@@ -77,3 +77,19 @@ SELECT d.page_id, payload_bytes, d.payload_digest,
   CASE WHEN keeper <> d.page_id THEN keeper END AS refers_to
 FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest AND payload_bytes >= 100
 """
+
+
+@query
+def op9_seed_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from .decontaminate import contaminated_passages
+
+    found = contaminated_passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "similarity", "end_word")
+
+
+@query
+def op6_window_graph(spark: SparkSession, folder: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    kept = remove_repeats(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
