@@ -93,3 +93,18 @@ def op6_window_graph(spark: SparkSession, folder: str) -> DataFrame:
 
     kept = remove_repeats(_table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op8_minhash_bands(spark: SparkSession, folder: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(_table(spark, folder, "documents"))
+
+
+@query
+def op4_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from .scoring import mixed_scores
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    return mixed_scores(_table(spark, folder, "documents"), held_out)
