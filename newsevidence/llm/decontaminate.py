@@ -220,3 +220,12 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = spark.createDataFrame([], schema)
     best = F.max_by(F.struct("doc_id", "item_id", "score", "similarity", "end_word"), F.struct(F.col("score"), -F.col("end_word"))).alias("b")
     return found.groupBy("row", "item_row").agg(best).select("row", "item_row", "b.*")
+
+
+def without_test_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that hold no passage of a test item, whole. ``docs`` must be a scan or a staged table, whose
+    rows number alike each time."""
+    row = F.monotonically_increasing_id()
+    bad = contaminated_passages(docs, benchmark).select("row").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row.alias("row"))
+    return whole.join(bad, "row", "left_anti").select("whole.*")

@@ -120,9 +120,13 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample
     and null ids are judged on their own. More columns are ignored. The order is set on a bounded sample and has no
     influence on ``kept``. An empty table gives an empty result.
     """
+    judged = _judged(docs.select("doc_id", "text"), rules, sample_rows)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
+def _judged(docs: DataFrame, rules: Sequence[Rule] | None, sample_rows: int) -> DataFrame:
     rules = list(rules if rules is not None else default_rules())
-    rows = measured(docs.select("doc_id", "text"))
-    sample = measured(docs.select("doc_id", "text").sample(fraction=0.1, seed=7).limit(sample_rows)).cache()
+    sample = measured(docs.select("text").sample(fraction=0.1, seed=7).limit(sample_rows)).cache()
     try:
         order = [rule for rule, _, _ in order_rules(sample, rules)]
     finally:
@@ -131,8 +135,11 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample
     for rule in reversed(order):
         failed = F.when(rule.reject, F.lit(rule.name)).otherwise(failed)
     failed_base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    out = rows.withColumn("base_failed", failed_base).withColumn("failed_rule", failed)
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), "failed_rule",
-    )
+    out = measured(docs).withColumn("base_failed", failed_base).withColumn("failed_rule", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+
+
+def good_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Rows of ``docs`` that :func:`quality_cascade` keeps, whole."""
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    return _judged(whole, rules, sample_rows).where("kept").select("whole.*")

@@ -108,3 +108,14 @@ def op4_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
     return mixed_scores(_table(spark, folder, "documents"), held_out)
+
+
+@query
+def op10_license_paths(spark: SparkSession, folder: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    docs = _table(spark, folder, "documents")
+    # The table has no paths; a document lies in the directory of its source and language.
+    part = lambda c: F.coalesce(F.col(c), F.lit("_"))
+    path = F.concat_ws("/", part("source"), part("lang"), F.col("doc_id").cast("string"))
+    return scan_licenses(docs.select("doc_id", path.alias("path"), "text"))

@@ -118,15 +118,16 @@ def _kept(docs: pa.Table, spans: pa.Table) -> pa.Table:
         found = (text or "").encode().split()
         texts.append(b" ".join(compress(found, ~mask) if n else found).decode())
         removed.append(n)
+    rest = {"rest": b.table.column("rest")} if "rest" in b.table.column_names else {}
     return pa.table({"doc_id": b.table.column("doc_id"), "n_words": np.diff(w.first).astype(np.int64),
-                     "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.string())})
+                     "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.string()), **rest})
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
+def _bucketed(docs: DataFrame, *more: Column) -> DataFrame:
     count = bucket_count(docs)
     key: Column = F.coalesce(F.col("doc_id"), F.lit(_LAST))
     return docs.select("doc_id", "text", key.alias("doc_key"), F.xxhash64("text").alias("text_hash"),
-                       bucket_of(count, "doc_id", "text").alias("bucket"))
+                       bucket_of(count, "doc_id", "text").alias("bucket"), *more)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -167,3 +168,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     base, spans = _bucketed(docs), repeated_spans(docs)
     return base.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(
         _kept, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with repeated words cut out of ``text`` (and ``n_chars`` set anew where there is such a column).
+
+    A text that loses nothing stays as it is; one that loses all its words goes. Other columns are carried along.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    base, spans = _bucketed(docs, rest), repeated_spans(docs)
+    schema = f"doc_id long, n_words long, n_removed long, kept_text string, rest {base.schema['rest'].dataType.simpleString()}"
+    kept = base.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_kept, schema)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest.text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return kept.where("n_removed = 0 or n_removed < n_words").select(
+        *[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"rest.`{c}`") for c in docs.columns])
