@@ -51,9 +51,13 @@ def articles(spark, folder):
 
 
 def content(spark, folder):
-    return load(spark, folder, "documents").filter("n_chars >= 100").selectExpr(
-        "doc_id as article_id", "text as extracted_text"
-    )
+    """Content of every article."""
+    return load(spark, folder, "documents").selectExpr("doc_id as article_id", "text as extracted_text")
+
+
+def long_content(spark, folder):
+    """Content where some articles have none yet, for the rule that lists those."""
+    return content(spark, folder).filter("length(extracted_text) >= 100")
 
 
 def links(spark, folder):
@@ -188,6 +192,14 @@ def known_articles(spark, folder):
     )
 
 
+def page_articles(spark, folder):
+    """One article per page."""
+    return load(spark, folder, "pages").selectExpr("page_id + 100 as id", "cast(length(url) as bigint) as ep", "url").join(
+        endpoints(spark, folder).selectExpr("id as ep", "publisher_id"), "ep", "left"
+    ).selectExpr("id", "publisher_id", "url as canonical_url", "sha2(url, 256) as canonical_url_hash",
+                 f"timestamp'{BASE}' as last_seen_at", "'INDEXED' as status")
+
+
 def known_links(spark, folder):
     return load(spark, folder, "pages").filter("url like '%.example.net/%'").selectExpr(
         "page_id + 100 as article_id", "cast(length(url) as bigint) as source_endpoint_id", "url as source_item_id",
@@ -306,7 +318,8 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
           CASE WHEN doc_id % 10 = 0 THEN NULL ELSE TIMESTAMP '{BASE}' + to_hours(doc_id) END AS published_date,
           (['DISCOVERED','FETCHED','EXTRACTED','INDEXED','ERROR'])[doc_id % 5 + 1] AS status
         FROM documents""", ()),
-    "t_content": ("SELECT doc_id AS article_id, text AS extracted_text FROM documents WHERE n_chars >= 100", ()),
+    "t_content": ("SELECT doc_id AS article_id, text AS extracted_text FROM documents", ()),
+    "t_long_content": ("SELECT doc_id AS article_id, text AS extracted_text FROM documents WHERE length(text) >= 100", ()),
     "t_links": (f"""
         SELECT article_id * 4 + j AS id, article_id, (article_id * 7 + j * 11) % 1500 AS source_endpoint_id,
           'item-' || article_id || '-' || j AS source_item_id,

@@ -64,10 +64,10 @@ def content_view(spark, d):
 
 @check("content_rejects", """
     SELECT id AS article_id, 'content not found' AS reject_reason FROM t_articles
-    WHERE id NOT IN (SELECT article_id FROM t_content)
-    """, ("t_articles", "t_content"))
+    WHERE id NOT IN (SELECT article_id FROM t_long_content)
+    """, ("t_articles", "t_long_content"))
 def content_rejects(spark, d):
-    return V.missing_content(A.articles(spark, d), A.content(spark, d))
+    return V.missing_content(A.articles(spark, d), A.long_content(spark, d))
 
 
 @check("latest_articles", """

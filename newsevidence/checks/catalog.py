@@ -201,7 +201,7 @@ def locator_lookup(spark, d):
 
 
 @check("deletable", """
-    SELECT 'publisher' AS kind, id, CASE WHEN id IN (SELECT publisher_id FROM t_endpoints WHERE rss_url IS NOT NULL)
+    SELECT 'publisher' AS kind, id, CASE WHEN id IN (SELECT publisher_id FROM t_endpoints)
       THEN 'source endpoints' WHEN id IN (SELECT publisher_id FROM t_articles) THEN 'articles' END AS blocked_by
     FROM t_publishers
     UNION ALL
@@ -210,8 +210,7 @@ def locator_lookup(spark, d):
     """, ("t_publishers", "t_endpoints", "t_articles", "t_ratings"))
 def deletable(spark, d):
     publishers = A.publishers(spark, d)
-    feeds = A.endpoints(spark, d).filter("rss_url is not null")
-    a = C.deletable_publishers(publishers, feeds, A.articles(spark, d))
+    a = C.deletable_publishers(publishers, A.endpoints(spark, d), A.articles(spark, d))
     b = C.deletable_ratings(A.ratings(spark, d), publishers)
     kind = lambda df, name: df.select(F.lit(name).alias("kind"), "id", "blocked_by")
     return kind(a, "publisher").unionByName(kind(b, "rating"))
@@ -239,7 +238,8 @@ def rating_list(spark, d):
     UNION ALL SELECT 'publishers', 'length_country_code', CAST(id AS VARCHAR), CAST(length(country_code) AS VARCHAR)
       FROM t_publishers WHERE length(country_code) > 2
     UNION ALL SELECT 'publishers', 'fk_rating_id', CAST(id AS VARCHAR), CAST(rating_id AS VARCHAR) FROM t_publishers p
-      WHERE rating_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_ratings r WHERE r.rating_id = p.rating_id AND p_ok(r.rating_id))
+      WHERE rating_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_ratings r WHERE r.rating_id = p.rating_id)
+    UNION ALL SELECT 'publishers', 'fk_rating_id', CAST(-c_custkey AS VARCHAR), CAST(-7 AS VARCHAR) FROM customer WHERE c_custkey % 50 = 0
     UNION ALL SELECT 'source_endpoints', 'kind_fields', CAST(id AS VARCHAR), kind FROM t_endpoints WHERE NOT (
       (kind = 'RSS' AND rss_url IS NOT NULL AND api_provider IS NULL AND api_query IS NULL)
       OR (kind = 'API' AND rss_url IS NULL AND api_provider IS NOT NULL AND api_query IS NOT NULL))
@@ -248,44 +248,104 @@ def rating_list(spark, d):
     UNION ALL SELECT 'articles', 'required_title', CAST(id AS VARCHAR), '' FROM t_articles
       WHERE title IS NULL OR trim(title, ' ' || chr(9) || chr(10) || chr(13)) = ''
     UNION ALL SELECT 'article_sources', 'fk_source_endpoint_id', CAST(article_id AS VARCHAR), CAST(source_endpoint_id AS VARCHAR)
-      FROM t_links l WHERE NOT EXISTS (SELECT 1 FROM t_endpoints e WHERE e.id = l.source_endpoint_id AND e.enabled)
+      FROM t_links l WHERE NOT EXISTS (SELECT 1 FROM t_endpoints e WHERE e.id = l.source_endpoint_id)
     UNION ALL SELECT 'ingestion_runs', 'single_running', 'RUNNING', CAST(count(*) AS VARCHAR) FROM t_runs
       WHERE status = 'RUNNING' HAVING count(*) > 1
-    """.replace(" AND p_ok(r.rating_id)", " AND r.factual_reporting IS NOT NULL"),
-    ("t_publishers", "t_ratings", "t_endpoints", "t_articles", "t_links", "t_runs"))
+    """, ("t_publishers", "t_ratings", "t_endpoints", "t_articles", "t_links", "t_runs"))
 def audit(spark, d):
     publishers, endpoints = A.publishers(spark, d), A.endpoints(spark, d)
     articles, links = A.articles(spark, d), A.links(spark, d)
-    rated = A.ratings(spark, d).filter("factual_reporting is not null")
+    unrated = A.load(spark, d, "customer").filter("c_custkey % 50 = 0").selectExpr("-c_custkey as id", "-7L as rating_id")
     lines = A.load(spark, d, "lineitem")
     return U.audit(
         U.unique(lines, "lineitem", "unique_line", [F.col("l_orderkey"), F.col("l_linenumber")]),
         U.max_length(publishers, "publishers", "country_code", 2, "id"),
-        U.foreign_key(publishers, "publishers", "rating_id", rated, "rating_id", "id"),
+        U.foreign_key(publishers.unionByName(unrated, allowMissingColumns=True), "publishers", "rating_id", A.ratings(spark, d),
+                      "rating_id", "id"),
         U.kind_fields(endpoints),
         U.allowed(articles, "articles", "status", ["DISCOVERED", "FETCHED", "EXTRACTED", "INDEXED"], "id"),
         U.required(articles, "articles", "title", "id"),
-        U.foreign_key(links, "article_sources", "source_endpoint_id", endpoints.filter("enabled"), "id", "article_id"),
+        U.foreign_key(links, "article_sources", "source_endpoint_id", endpoints, "id", "article_id"),
         U.single_running(A.runs(spark, d)),
     )
 
 
-@check("audit_catalog", """
-    SELECT rule, count(*) AS n FROM (
-      SELECT 'unique_name' AS rule FROM t_publishers GROUP BY lower(name) HAVING count(*) > 1
-      UNION ALL SELECT 'fk_rating_id' FROM t_publishers WHERE rating_id IS NOT NULL
-        AND rating_id NOT IN (SELECT rating_id FROM t_ratings)
-      UNION ALL SELECT 'unique_url' FROM t_articles GROUP BY publisher_id, canonical_url_hash HAVING count(*) > 1
-      UNION ALL SELECT 'fk_publisher_id' FROM t_articles WHERE publisher_id NOT IN (SELECT id FROM t_publishers)
-      UNION ALL SELECT 'unique_item' FROM t_links GROUP BY source_endpoint_id, source_item_id HAVING count(*) > 1
-      UNION ALL SELECT 'fk_source_endpoint_id' FROM t_links
-        WHERE source_endpoint_id NOT IN (SELECT id FROM t_endpoints WHERE kind = 'RSS')
-    ) GROUP BY rule
-    """, ("t_publishers", "t_ratings", "t_articles", "t_links", "t_endpoints"))
+# Rows added to whole tables so that each kind of rule has something to report.
+_AUDITED = """
+    p AS (SELECT id, name, country_code, rating_id FROM t_publishers
+      UNION ALL SELECT -c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(c_name) WHEN 1 THEN chr(9) || ' ' ELSE 'a|b' END,
+        CASE WHEN c_custkey % 2 = 0 THEN 'USA' END, -c_custkey FROM customer WHERE c_custkey % 40 < 3),
+    e AS (SELECT id, publisher_id, kind, rss_url, api_provider, api_query FROM t_endpoints
+      UNION ALL SELECT -s_suppkey, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'RSS' WHEN 1 THEN 'API' ELSE 'FTP' END,
+        CASE WHEN s_suppkey % 3 = 1 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'a|b' ELSE 'a' END,
+        CASE WHEN s_suppkey % 3 = 1 THEN 'c' END, NULL FROM supplier),
+    a AS (SELECT id, publisher_id, canonical_url, canonical_url_hash, status FROM t_articles
+      UNION ALL SELECT -n_nationkey - 1, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -99999 END, CASE WHEN n_nationkey % 5 = 0 THEN ' ' ELSE 'u' END,
+        'h' || (n_nationkey % 4), CASE n_nationkey % 3 WHEN 0 THEN 'GONE' WHEN 1 THEN NULL ELSE 'INDEXED' END FROM nation),
+    l AS (SELECT article_id, source_endpoint_id, source_item_id FROM t_links
+      UNION ALL SELECT -n_nationkey - 1000, n_nationkey % 4, 'item' FROM nation),
+    g AS (SELECT id, run_id, source_endpoint_id, started_at, status FROM t_logs
+      UNION ALL SELECT -n_nationkey - 1, -1, n_nationkey % 3, NULL, 'LOST' FROM nation),
+    u AS (SELECT id, started_at, status FROM t_runs)"""
+
+
+@check("audit_catalog", f"""
+    SELECT * FROM (WITH {_AUDITED}
+    SELECT 'publishers' AS table_name, 'required_name' AS rule, CAST(id AS VARCHAR) AS key, '' AS detail FROM p WHERE {A.trim("coalesce(name, '')")} = ''
+    UNION ALL SELECT 'publishers', 'length_country_code', CAST(id AS VARCHAR), CAST(length(country_code) AS VARCHAR) FROM p WHERE length(country_code) > 2
+    UNION ALL SELECT 'publishers', 'unique_name', lower(name), CAST(count(*) AS VARCHAR) FROM p GROUP BY lower(name) HAVING count(*) > 1
+    UNION ALL SELECT 'publishers', 'fk_rating_id', CAST(id AS VARCHAR), CAST(rating_id AS VARCHAR) FROM p
+      WHERE rating_id IS NOT NULL AND rating_id NOT IN (SELECT rating_id FROM t_ratings)
+    UNION ALL SELECT 'source_endpoints', 'kind_fields', CAST(id AS VARCHAR), kind FROM e WHERE NOT (
+      (kind = 'RSS' AND rss_url IS NOT NULL AND api_provider IS NULL AND api_query IS NULL)
+      OR (kind = 'API' AND rss_url IS NULL AND api_provider IS NOT NULL AND api_query IS NOT NULL))
+    UNION ALL SELECT 'source_endpoints', 'allowed_kind', CAST(id AS VARCHAR), kind FROM e WHERE kind NOT IN ('RSS', 'API')
+    UNION ALL SELECT 'source_endpoints', 'unique_locator', publisher_id || '|' || kind || '|' || coalesce(rss_url, '') || '|'
+      || coalesce(api_provider, '') || '|' || coalesce(api_query, ''), CAST(count(*) AS VARCHAR)
+      FROM e GROUP BY publisher_id, kind, rss_url, api_provider, api_query HAVING count(*) > 1
+    UNION ALL SELECT 'source_endpoints', 'fk_publisher_id', CAST(id AS VARCHAR), CAST(publisher_id AS VARCHAR) FROM e
+      WHERE publisher_id NOT IN (SELECT id FROM p)
+    UNION ALL SELECT 'articles', 'required_canonical_url', CAST(id AS VARCHAR), '' FROM a WHERE trim(canonical_url) = ''
+    UNION ALL SELECT 'articles', 'allowed_status', CAST(id AS VARCHAR), coalesce(status, 'null') FROM a
+      WHERE status IS NULL OR status NOT IN ('DISCOVERED', 'FETCHED', 'EXTRACTED', 'INDEXED', 'ERROR')
+    UNION ALL SELECT 'articles', 'unique_url', publisher_id || '|' || canonical_url_hash, CAST(count(*) AS VARCHAR) FROM a
+      GROUP BY publisher_id, canonical_url_hash HAVING count(*) > 1
+    UNION ALL SELECT 'articles', 'fk_publisher_id', CAST(id AS VARCHAR), CAST(publisher_id AS VARCHAR) FROM a
+      WHERE publisher_id NOT IN (SELECT id FROM p)
+    UNION ALL SELECT 'article_sources', 'unique_item', source_endpoint_id || '|' || source_item_id, CAST(count(*) AS VARCHAR) FROM l
+      GROUP BY source_endpoint_id, source_item_id HAVING count(*) > 1
+    UNION ALL SELECT 'article_sources', 'fk_article_id', CAST(article_id AS VARCHAR), CAST(article_id AS VARCHAR) FROM l
+      WHERE article_id NOT IN (SELECT id FROM a)
+    UNION ALL SELECT 'article_sources', 'fk_source_endpoint_id', CAST(article_id AS VARCHAR), CAST(source_endpoint_id AS VARCHAR) FROM l
+      WHERE source_endpoint_id NOT IN (SELECT id FROM e)
+    UNION ALL SELECT 'ingestion_runs', 'single_running', 'RUNNING', CAST(count(*) AS VARCHAR) FROM u WHERE status = 'RUNNING' HAVING count(*) > 1
+    UNION ALL SELECT 'ingestion_logs', 'required_source_endpoint_id', CAST(id AS VARCHAR), '' FROM g WHERE source_endpoint_id IS NULL
+    UNION ALL SELECT 'ingestion_logs', 'required_started_at', CAST(id AS VARCHAR), '' FROM g WHERE started_at IS NULL
+    UNION ALL SELECT 'ingestion_logs', 'allowed_status', CAST(id AS VARCHAR), status FROM g
+      WHERE status NOT IN ('STARTED', 'PROCESSING', 'SUCCESS', 'PARTIAL', 'FAILED', 'SKIPPED')
+    UNION ALL SELECT 'ingestion_logs', 'unique_run_endpoint', run_id || '|' || source_endpoint_id, CAST(count(*) AS VARCHAR) FROM g
+      GROUP BY run_id, source_endpoint_id HAVING count(*) > 1
+    UNION ALL SELECT 'ingestion_logs', 'fk_run_id', CAST(id AS VARCHAR), CAST(run_id AS VARCHAR) FROM g WHERE run_id NOT IN (SELECT id FROM u))
+    """, ("t_publishers", "t_ratings", "t_articles", "t_links", "t_endpoints", "t_logs", "t_runs"))
 def audit_catalog(spark, d):
-    feeds = A.endpoints(spark, d).filter("kind = 'RSS'")
-    found = U.audit_catalog(A.publishers(spark, d), feeds, A.articles(spark, d), A.ratings(spark, d), A.links(spark, d))
-    return found.groupBy("rule").agg(F.count("*").alias("n"))
+    plus = lambda df, rows: df.unionByName(rows, allowMissingColumns=True)
+    publishers = plus(A.publishers(spark, d), A.load(spark, d, "customer").filter("c_custkey % 40 < 3").selectExpr(
+        "-c_custkey as id", r"case c_custkey % 3 when 0 then lower(c_name) when 1 then '\t ' else 'a|b' end as name",
+        "if(c_custkey % 2 = 0, 'USA', null) as country_code", "-c_custkey as rating_id"))
+    endpoints = plus(A.endpoints(spark, d), A.load(spark, d, "supplier").selectExpr(
+        "-s_suppkey as id", "s_suppkey as publisher_id", "case s_suppkey % 3 when 0 then 'RSS' when 1 then 'API' else 'FTP' end as kind",
+        "case when s_suppkey % 3 = 1 then null when s_suppkey % 2 = 0 then 'a|b' else 'a' end as rss_url",
+        "if(s_suppkey % 3 = 1, 'c', null) as api_provider"))
+    nations = A.load(spark, d, "nation")
+    articles = plus(A.articles(spark, d), nations.selectExpr(
+        "-n_nationkey - 1 as id", "if(n_nationkey % 2 = 0, 1, -99999) as publisher_id", "if(n_nationkey % 5 = 0, ' ', 'u') as canonical_url",
+        "concat('h', n_nationkey % 4) as canonical_url_hash",
+        "case n_nationkey % 3 when 0 then 'GONE' when 1 then null else 'INDEXED' end as status"))
+    links = plus(A.links(spark, d), nations.selectExpr(
+        "-n_nationkey - 1000 as article_id", "n_nationkey % 4 as source_endpoint_id", "'item' as source_item_id"))
+    logs = plus(A.logs(spark, d), nations.selectExpr(
+        "-n_nationkey - 1 as id", "-1 as run_id", "n_nationkey % 3 as source_endpoint_id", "'LOST' as status"))
+    return U.audit_catalog(publishers, endpoints, articles, A.ratings(spark, d), links, A.runs(spark, d), logs)
 
 
 @check("apply_patches", """
@@ -299,7 +359,9 @@ def audit_catalog(spark, d):
     ), judged AS (
       SELECT q.*, p.name AS old_name, CASE WHEN p.id IS NULL THEN 'not found' WHEN trim(q.name) = '' THEN 'name must not be blank'
         WHEN EXISTS (SELECT 1 FROM t_publishers o WHERE lower(o.name) = lower(trim(q.name)) AND o.id <> q.id)
-          OR EXISTS (SELECT 1 FROM patches e WHERE lower(trim(e.name)) = lower(trim(q.name)) AND trim(e.name) <> '' AND e.id < q.id)
+          OR EXISTS (SELECT 1 FROM patches e WHERE lower(trim(e.name)) = lower(trim(q.name)) AND trim(e.name) <> '' AND e.id < q.id
+            AND e.id IN (SELECT id FROM t_publishers) AND (e.rating_id IS NULL OR e.rating_id IN (SELECT rating_id FROM t_ratings))
+            AND NOT EXISTS (SELECT 1 FROM t_publishers o WHERE lower(o.name) = lower(trim(e.name)) AND o.id <> e.id))
           THEN 'name already exists'
         WHEN q.rating_id IS NOT NULL AND q.rating_id NOT IN (SELECT rating_id FROM t_ratings) THEN 'rating not found' END AS reject_reason
       FROM patches q LEFT JOIN t_publishers p ON p.id = q.id
@@ -338,17 +400,20 @@ def apply_patches(spark, d):
         CASE WHEN coalesce(p.kind, e.kind) = 'API' THEN coalesce(p.api_provider, e.api_provider) END AS api_provider,
         CASE WHEN coalesce(p.kind, e.kind) = 'API' THEN coalesce(p.api_query, e.api_query) END AS api_query
       FROM patches p JOIN t_endpoints e ON e.id = p.id
-    ), judged AS (
+    ), fielded AS (
       SELECT m.*, CASE WHEN kind = 'RSS' AND trim(coalesce(rss_url, '')) = '' THEN 'rss_url is required'
         WHEN kind = 'API' AND trim(coalesce(api_provider, '')) = '' THEN 'api_provider is required'
         WHEN kind = 'API' AND trim(coalesce(api_query, '')) = '' THEN 'api_query is required'
         WHEN EXISTS (SELECT 1 FROM t_endpoints o WHERE o.id <> m.id AND o.publisher_id = m.publisher_id AND o.kind = m.kind
             AND coalesce(o.rss_url, '') = coalesce(m.rss_url, '') AND coalesce(o.api_provider, '') = coalesce(m.api_provider, '')
-            AND coalesce(o.api_query, '') = coalesce(m.api_query, ''))
-          OR EXISTS (SELECT 1 FROM merged o WHERE o.id < m.id AND o.publisher_id = m.publisher_id AND o.kind = m.kind
+            AND coalesce(o.api_query, '') = coalesce(m.api_query, '')) THEN 'endpoint already exists' END AS wrong
+      FROM merged m
+    ), judged AS (
+      SELECT m.* EXCLUDE (wrong), CASE WHEN wrong IS NOT NULL THEN wrong
+        WHEN EXISTS (SELECT 1 FROM fielded o WHERE o.wrong IS NULL AND o.id < m.id AND o.publisher_id = m.publisher_id AND o.kind = m.kind
             AND coalesce(o.rss_url, '') = coalesce(m.rss_url, '') AND coalesce(o.api_provider, '') = coalesce(m.api_provider, '')
             AND coalesce(o.api_query, '') = coalesce(m.api_query, '')) THEN 'endpoint already exists' END AS reject_reason
-      FROM merged m
+      FROM fielded m
     )
     SELECT id, kind, rss_url, api_provider, api_query, reject_reason FROM judged WHERE reject_reason IS NULL
     UNION ALL SELECT id, NULL, NULL, NULL, NULL, reject_reason FROM judged WHERE reject_reason IS NOT NULL

@@ -283,11 +283,10 @@ def stream_discover_query(spark, d):
           AS extraction_error,
         CASE WHEN v IN (5, 6, 7) THEN 3 END AS chunk_count,
         CASE WHEN v = 4 THEN FALSE WHEN v IN (5, 6, 7) THEN TRUE END AS indexed
-      FROM (SELECT p.page_id, p.page_id % 9 AS v FROM pages p JOIN t_endpoints e ON e.id = length(p.url)
-            WHERE p.url LIKE 'https://%'))
-    """, ("t_endpoints",))
+      FROM (SELECT page_id, page_id % 9 AS v FROM pages))
+    """)
 def article_state(spark, d):
-    articles = A.known_articles(spark, d)
+    articles = A.page_articles(spark, d)
     v = "(id - 100) % 9"
     results = articles.filter(f"{v} <> 8").selectExpr(
         "id as article_id",

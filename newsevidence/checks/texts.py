@@ -196,18 +196,18 @@ def snippets(spark, d):
 
 
 @check("paragraphs", f"""
-    SELECT doc_id, len(ps) AS n_paragraphs, array_to_string(ps, chr(10) || chr(10)) AS joined
-    FROM (
+    SELECT d.doc_id, coalesce(len(ps), 0) AS n_paragraphs, coalesce(array_to_string(ps, chr(10) || chr(10)), '') AS joined
+    FROM documents d LEFT JOIN (
       SELECT doc_id, coalesce(list(p ORDER BY i), []) AS ps
       FROM (SELECT doc_id, p, min(i) AS i
             FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS p FROM (
                 SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: {A.trim('s')}) AS l FROM documents))
             WHERE length(p) >= 40 GROUP BY doc_id, p)
-      GROUP BY doc_id)
+      GROUP BY doc_id) k ON k.doc_id = d.doc_id
     """)
 def paragraphs(spark, d):
     docs = _documents(spark, d)
-    kept = docs.select("doc_id", text.keep_paragraphs(F.split("text", "\n")).alias("ps")).filter(F.size("ps") > 0)
+    kept = docs.select("doc_id", text.keep_paragraphs(F.split("text", "\n")).alias("ps"))
     return kept.select("doc_id", F.size("ps").alias("n_paragraphs"), text.join_paragraphs("ps").alias("joined"))
 
 

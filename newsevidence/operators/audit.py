@@ -21,9 +21,11 @@ def _rows(df: DataFrame, table: str, rule: str, key: Column, detail: Column) ->
 
 
 def unique(df: DataFrame, table: str, rule: str, keys: list[Column]) -> DataFrame:
-    key = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
-    counted = df.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
-    return _rows(counted.filter("_n > 1"), table, rule, F.col("_key"), F.col("_n"))
+    """Values that several rows share. Rows are grouped by the columns themselves; the reported key joins them by ``|``."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    counted = df.select(*named).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_n"))
+    key = F.concat_ws("|", *[F.coalesce(F.col(f"_k{i}").cast("string"), F.lit("")) for i in range(len(keys))])
+    return _rows(counted.filter("_n > 1"), table, rule, key, F.col("_n"))
 
 
 def foreign_key(df: DataFrame, table: str, column: str, parent: DataFrame, parent_key: str, id_col: str) -> DataFrame:
@@ -68,28 +70,73 @@ def audit(*rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
+def row_rules(df: DataFrame, table: str, id_col: str, rules: list[tuple[str, Column, Column | None]]) -> DataFrame:
+    """Rows that break any of ``rules`` (name, what must hold, detail), found in one scan of the table."""
+    found = F.array_compact(F.array(*[
+        F.when(~F.coalesce(good, F.lit(False)), F.struct(F.lit(name).alias("rule"), _text(detail).alias("detail")))
+        for name, good, detail in rules
+    ]))
+    bad = df.select(F.col(id_col).cast("string").alias("key"), F.explode(found).alias("_v"))
+    return bad.select(F.lit(table).alias("table_name"), F.col("_v.rule").alias("rule"), "key", F.col("_v.detail").alias("detail"))
+
+
+def _text(detail: Column | None) -> Column:
+    return F.lit("") if detail is None else F.coalesce(detail.cast("string"), F.lit("null"))
+
+
+def _filled(column: str) -> tuple[str, Column, None]:
+    return f"required_{column}", ~is_blank(F.col(column).cast("string")), None
+
+
+def _one_of(column: str, values: list[str]) -> tuple[str, Column, Column]:
+    return f"allowed_{column}", F.col(column).isin(values), F.col(column)
+
+
+def _at_most(column: str, limit: int) -> tuple[str, Column, Column]:
+    return f"length_{column}", F.col(column).isNull() | (F.length(column) <= limit), F.length(column)
+
+
 def audit_catalog(publishers: DataFrame, endpoints: DataFrame, articles: DataFrame, ratings: DataFrame,
-                  links: DataFrame) -> DataFrame:
-    """The rules of the catalog and article tables."""
+                  links: DataFrame, runs: DataFrame | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """The rules of the catalog and article tables, and of runs and logs where given.
+
+    Each table is scanned once for its row rules and once per key rule.
+    """
     from ..schemas import ALLOWED
 
     locator = ["publisher_id", "kind", "rss_url", "api_provider", "api_query"]
-    return audit(
+    rss = (F.col("kind") == "RSS") & F.col("rss_url").isNotNull() & F.col("api_provider").isNull() & F.col(
+        "api_query").isNull()
+    api = (F.col("kind") == "API") & F.col("rss_url").isNull() & F.col("api_provider").isNotNull() & F.col(
+        "api_query").isNotNull()
+    rules = [
+        row_rules(publishers, "publishers", "id", [_filled("name"), _at_most("name", 255), _at_most("country_code", 2)]),
         unique(publishers, "publishers", "unique_name", [F.lower("name")]),
-        required(publishers, "publishers", "name", "id"),
-        max_length(publishers, "publishers", "name", 255, "id"),
-        max_length(publishers, "publishers", "country_code", 2, "id"),
         foreign_key(publishers, "publishers", "rating_id", ratings, "rating_id", "id"),
+        row_rules(endpoints, "source_endpoints", "id", [
+            ("kind_fields", rss | api, F.col("kind")), _one_of("kind", ALLOWED["source_endpoints", "kind"])]),
         unique(endpoints, "source_endpoints", "unique_locator", [F.col(c) for c in locator]),
-        kind_fields(endpoints),
-        allowed(endpoints, "source_endpoints", "kind", ALLOWED["source_endpoints", "kind"], "id"),
         foreign_key(endpoints, "source_endpoints", "publisher_id", publishers, "id", "id"),
+        row_rules(articles, "articles", "id", [
+            _filled("canonical_url"), _filled("canonical_url_hash"), _one_of("status", ALLOWED["articles", "status"])]),
         unique(articles, "articles", "unique_url", [F.col("publisher_id"), F.col("canonical_url_hash")]),
-        required(articles, "articles", "canonical_url", "id"),
-        required(articles, "articles", "canonical_url_hash", "id"),
-        allowed(articles, "articles", "status", ALLOWED["articles", "status"], "id"),
         foreign_key(articles, "articles", "publisher_id", publishers, "id", "id"),
         unique(links, "article_sources", "unique_item", [F.col("source_endpoint_id"), F.col("source_item_id")]),
         foreign_key(links, "article_sources", "article_id", articles, "id", "article_id"),
         foreign_key(links, "article_sources", "source_endpoint_id", endpoints, "id", "article_id"),
-    )
+    ]
+    if runs is not None:
+        rules += [
+            row_rules(runs, "ingestion_runs", "id", [
+                _filled("started_at"), _one_of("status", ALLOWED["ingestion_runs", "status"])]),
+            single_running(runs),
+        ]
+    if logs is not None:
+        rules += [
+            row_rules(logs, "ingestion_logs", "id", [
+                _filled("source_endpoint_id"), _filled("started_at"), _one_of("status", ALLOWED["ingestion_logs", "status"])]),
+            unique(logs.filter("run_id is not null"), "ingestion_logs", "unique_run_endpoint", [F.col("run_id"), F.col("source_endpoint_id")]),
+        ]
+        if runs is not None:
+            rules.append(foreign_key(logs, "ingestion_logs", "run_id", runs, "id", "id"))
+    return audit(*rules)

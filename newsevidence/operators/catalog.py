@@ -227,18 +227,22 @@ def patch_publishers(publishers: DataFrame, patches: DataFrame, ratings: DataFra
     """
     p = _prepare(publishers, patches, "id")
     holders = _holders(publishers, F.lower("name"), "_k")
-    claims = patches.filter(~is_blank("name")).groupBy(F.lower(trim_to_null("name")).alias("_k")).agg(
-        F.min("id").alias("_claimer")
-    )
     known = ratings.select(F.col("rating_id").alias("_n_rating_id"), F.lit(True).alias("_rated"))
-    p = p.withColumn("_k", F.lower(trim_to_null("_n_name"))).join(holders, "_k", "left").join(claims, "_k", "left")
+    p = p.withColumn("_k", F.lower(trim_to_null("_n_name"))).join(holders, "_k", "left")
     p = p.join(known, "_n_rating_id", "left")
+    # Only patches that pass the other rules claim a name.
+    missing, blank = F.col("_found").isNull(), F.col("_n_name").isNotNull() & is_blank("_n_name")
+    unrated = F.col("_n_rating_id").isNotNull() & F.col("_rated").isNull()
+    claims = p.filter(~missing & ~blank & ~unrated & ~_held_by_other() & F.col("_k").isNotNull()).groupBy("_k").agg(
+        F.min("id").alias("_claimer")
+    )
+    p = p.join(claims, "_k", "left")
     taken = _held_by_other() | F.coalesce(F.col("_claimer") < F.col("id"), F.lit(False))
     reason = (
-        F.when(F.col("_found").isNull(), F.lit("not found"))
-        .when(F.col("_n_name").isNotNull() & is_blank("_n_name"), F.lit("name must not be blank"))
+        F.when(missing, F.lit("not found"))
+        .when(blank, F.lit("name must not be blank"))
         .when(taken, F.lit("name already exists"))
-        .when(F.col("_n_rating_id").isNotNull() & F.col("_rated").isNull(), F.lit("rating not found"))
+        .when(unrated, F.lit("rating not found"))
     )
     new = {
         "name": _patched("name", "name", nullable=False),
@@ -275,19 +279,21 @@ def patch_endpoints(endpoints: DataFrame, patches: DataFrame, publishers: DataFr
     ])
     p = p.withColumn("_loc", locator("_v_"))
     held = _holders(endpoints, locator(""), "_loc")
-    taken = p.groupBy("_loc").agg(F.min("id").alias("_claimer"))
     owner = publishers.select(F.col("id").alias("_v_publisher_id"), F.lit(True).alias("_owned"))
-    p = p.join(held, "_loc", "left").join(taken, "_loc", "left").join(owner, "_v_publisher_id", "left")
-    clash = _held_by_other() | F.coalesce(F.col("_claimer") < F.col("id"), F.lit(False))
-    reason = (
+    p = p.join(held, "_loc", "left").join(owner, "_v_publisher_id", "left")
+    wrong = (
         F.when(F.col("_found").isNull(), F.lit("not found"))
         .when(F.col("_owned").isNull(), F.lit("publisher not found"))
         .when(F.col("_v_kind").isNull(), F.lit("kind is required"))
         .when(rss & is_blank("_v_rss_url"), F.lit("rss_url is required"))
         .when(api & is_blank("_v_api_provider"), F.lit("api_provider is required"))
         .when(api & is_blank("_v_api_query"), F.lit("api_query is required"))
-        .when(clash, F.lit("endpoint already exists"))
     )
+    # Only patches that pass the other rules claim a locator.
+    claims = p.filter(wrong.isNull() & ~_held_by_other()).groupBy("_loc").agg(F.min("id").alias("_claimer"))
+    p = p.join(claims, "_loc", "left")
+    clash = _held_by_other() | F.coalesce(F.col("_claimer") < F.col("id"), F.lit(False))
+    reason = F.coalesce(wrong, F.when(clash, F.lit("endpoint already exists")))
     new = {c[3:]: F.col(c) for c in p.columns if c.startswith("_v_")}
     return _split(p, "id", reason, new, endpoints, now, "updated_at")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
+
 Keys = Sequence[str]
 SALTS = 16
 
@@ -98,7 +100,7 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Keys, policy: str = "re
             return F.when(had, F.col(c)).otherwise(F.col(f"_new_{c}"))
         blank = F.col(c).isNull()
         if dict(current.dtypes)[c] == "string":
-            blank = blank | (F.trim(F.col(c)) == "")
+            blank = is_blank(c)
         return F.when(blank, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c))
 
     differs = F.lit(False)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,40 +51,19 @@ _WS = re.compile(r"[ \t\n\f\r\xa0]+")
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    """Element of a page. ``at``/``end`` number it and its subtree in document order, ``lo``/``hi`` its text pieces."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "depth", "at", "end", "lo", "hi")
 
     def __init__(self, tag: str, attrs: dict, parent: "_Node | None"):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.depth = 0 if parent is None else parent.depth + 1
 
-    def walk(self):
-        for child in self.children:
-            if isinstance(child, _Node):
-                yield child
-                yield from child.walk()
-
-    def ancestors(self):
-        node = self.parent
-        while node is not None:
+    def lineage(self, most: int):
+        node = self
+        while node is not None and most > 0:
             yield node
-            node = node.parent
-
-    def _pieces(self, out: list[str]) -> None:
-        for child in self.children:
-            if isinstance(child, str):
-                out.append(child)
-            elif child.tag == "br":
-                out.append(" ")
-            elif child.tag in BLOCK_TAGS:
-                out.append(" ")
-                child._pieces(out)
-                out.append(" ")
-            else:
-                child._pieces(out)
-
-    def text(self) -> str:
-        out: list[str] = []
-        self._pieces(out)
-        return _WS.sub(" ", "".join(out)).strip()
+            node, most = node.parent, most - 1
 
 
 class _Tree(HTMLParser):
@@ -92,21 +74,60 @@ class _Tree(HTMLParser):
         self.root = _Node("html", {}, None)
         self.body: _Node | None = None
         self.open = [self.root]
+        self.counts: Counter = Counter()
         self.feed(html)
         self.close()
+        self.nodes: list[_Node] = []
+        self.pieces: list[str] = []
+        self._number()
+
+    def _number(self) -> None:
+        """One walk with a stack of its own: document order, and the text pieces below each element."""
+        stack: list = [(self.root, False)]
+        while stack:
+            item, leaving = stack.pop()
+            if isinstance(item, str):
+                self.pieces.append(item)
+            elif leaving:
+                item.end, item.hi = len(self.nodes), len(self.pieces)
+                if item.tag in BLOCK_TAGS:
+                    self.pieces.append(" ")
+            else:
+                if item.tag == "br" or item.tag in BLOCK_TAGS:
+                    self.pieces.append(" ")
+                item.at, item.lo = len(self.nodes), len(self.pieces)
+                self.nodes.append(item)
+                stack.append((item, True))
+                stack.extend((child, False) for child in reversed(item.children))
+
+    def text(self, node: _Node) -> str:
+        return _WS.sub(" ", "".join(self.pieces[node.lo:node.hi])).strip()
+
+    def below(self, node: _Node, sorted_nodes: list[_Node]) -> list[_Node]:
+        """Those of ``sorted_nodes`` (document order) that lie under ``node``."""
+        key = lambda n: n.at
+        return sorted_nodes[bisect_right(sorted_nodes, node.at, key=key):bisect_left(sorted_nodes, node.end, key=key)]
+
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.counts[node.tag] -= 1
+        del self.open[i:]
 
     def _ensure_body(self) -> None:
         if self.body is None:
             self.body = _Node("body", {}, self.root)
             self.root.children.append(self.body)
-        del self.open[1:]
+        self._cut(1)
         self.open.append(self.body)
+        self.counts["body"] += 1
 
     def _pop_to(self, tags: set[str], stop: set[str]) -> bool:
+        if not any(self.counts[t] for t in tags):
+            return False
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return True
             if tag in stop:
                 return False
@@ -130,6 +151,7 @@ class _Tree(HTMLParser):
             self.open[-1].children.append(node)
         if tag not in VOID_TAGS:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -145,37 +167,38 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def _container(tree: _Tree) -> _Node | None:
-    nodes = list(tree.root.walk())
+def _container(tree: _Tree, paragraphs: list[_Node], texts: list[str]) -> _Node | None:
     wanted = (
         lambda n: n.tag == "article",
         lambda n: n.attrs.get("itemprop") == "articleBody",
         lambda n: n.tag == "main",
     )
     for test in wanted:
-        found = next((n for n in nodes if test(n)), None)
+        found = next((n for n in tree.nodes[1:] if test(n)), None)
         if found is not None:
             return found
+    order = [p.at for p in paragraphs]
+    filled = [i for i, t in enumerate(texts) if t]
+    summed = [0, *accumulate(len(texts[i]) for i in filled)]
     best, best_score = tree.body, 0
-    for node in nodes:
+    for node in tree.nodes:
         if node.tag not in ("div", "section"):
             continue
-        paragraphs = [n for n in node.walk() if n.tag == "p"]
-        if len(paragraphs) < MIN_CONTAINER_PARAGRAPHS:
+        first, last = bisect_right(order, node.at), bisect_left(order, node.end)
+        if last - first < MIN_CONTAINER_PARAGRAPHS:
             continue
-        texts = [t for t in (p.text() for p in paragraphs) if t][:SCORED_PARAGRAPHS]
-        depth = sum(1 for _ in node.ancestors())
-        points = sum(map(len, texts)) - DEPTH_WEIGHT * min(MAX_DEPTH, depth)
+        low = bisect_left(filled, first)
+        high = min(low + SCORED_PARAGRAPHS, bisect_left(filled, last))
+        points = summed[high] - summed[low] - DEPTH_WEIGHT * min(MAX_DEPTH, node.depth)
         if points > best_score:
             best, best_score = node, points
     return best
 
 
-def _is_boilerplate(p: _Node, text: str) -> bool:
-    lineage = [p, *p.ancestors()][:ANCESTRY]
-    if any(n.tag in BOILERPLATE_TAGS for n in lineage) or not text:
+def _is_boilerplate(tree: _Tree, p: _Node, text: str, anchors: list[_Node]) -> bool:
+    if not text or any(n.tag in BOILERPLATE_TAGS for n in p.lineage(ANCESTRY)):
         return True
-    links = " ".join(n.text() for n in p.walk() if n.tag == "a")
+    links = " ".join(tree.text(n) for n in tree.below(p, anchors))
     if len(links) / len(text) > MAX_LINK_SHARE:
         return True
     names = f"{p.attrs.get('class') or ''} {p.attrs.get('id') or ''}".lower()
@@ -184,17 +207,32 @@ def _is_boilerplate(p: _Node, text: str) -> bool:
 
 
 def page_paragraphs(html: str) -> list[str]:
-    """Paragraph texts of the main container that are not boilerplate."""
-    container = _container(_Tree(html))
+    """Paragraph texts of the main container that are not boilerplate.
+
+    The page is walked once, so the time follows its length whatever the nesting.
+    """
+    tree = _Tree(html)
+    paragraphs = [n for n in tree.nodes if n.tag == "p"]
+    texts = [tree.text(p) for p in paragraphs]
+    container = _container(tree, paragraphs, texts)
     if container is None:
         return []
-    texts = [(n, n.text()) for n in container.walk() if n.tag == "p"]
-    return [t for n, t in texts if not _is_boilerplate(n, t)]
+    anchors = [n for n in tree.nodes if n.tag == "a"]
+    inside = range(bisect_right(paragraphs, container.at, key=lambda n: n.at), bisect_left(paragraphs, container.end, key=lambda n: n.at))
+    return [texts[i] for i in inside if not _is_boilerplate(tree, paragraphs[i], texts[i], anchors)]
+
+
+def _safe_paragraphs(html: str) -> list[str]:
+    """A page that can't be read has no paragraphs and so ends as an error row; it does not end the job."""
+    try:
+        return page_paragraphs(html)
+    except Exception:  # noqa: BLE001
+        return []
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _paragraphs(pages: pd.Series) -> pd.Series:
-    return pages.map(page_paragraphs, na_action="ignore")
+    return pages.map(_safe_paragraphs, na_action="ignore")
 
 
 # Marked so that filters on its result are not pushed below it, which would parse pages twice.

@@ -438,3 +438,29 @@ def test_gates(spark):
     assert got == [(1, "a text is empty"), (2, "a text is too long"), (3, None), (4, "too many texts in one request")]
     claim = lambda t: spark.createDataFrame([(t,)], "t string").select(V.claim_reject_reason("t")).first()[0]
     assert [claim(t) for t in (" ", "x" * 400, "x" * 401, None)] == ["claim is empty", None, "claim is too long", "claim is empty"]
+
+
+def test_fill_sees_tabs_as_blank(spark):
+    current = spark.createDataFrame([(1, "\t", "x"), (2, "kept", None)], "id int, a string, b string")
+    changes = spark.createDataFrame([(1, "new", "y"), (2, "new", "y")], "id int, a string, b string")
+    got = {r.id: (r.a, r.b) for r in K.upsert(current, changes, ["id"], "fill").collect()}
+    assert got == {1: ("new", "x"), 2: ("kept", "y")}
+
+
+def test_unique_groups_by_columns(spark):
+    from newsevidence.operators.audit import unique
+
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("x", "y"), ("x", "y")], "p string, q string")
+    assert [(r.key, r.detail) for r in unique(rows, "t", "r", [F.col("p"), F.col("q")]).collect()] == [("x|y", "2")]
+
+
+def test_rejected_patches_claim_nothing(spark):
+    from newsevidence.operators.catalog import patch_publishers
+
+    schema = "id bigint, name string, country_code string, website_url string, rating_id bigint"
+    held = spark.createDataFrame([(1, "one", None, None, None), (2, "two", None, None, None)], schema)
+    patches = spark.createDataFrame([(1, "same", None, None, -5), (2, "Same", None, None, None), (9, "other", None, None, None)], schema)
+    ratings = spark.createDataFrame([(1,)], "rating_id bigint")
+    kept, rejects = patch_publishers(held, patches, ratings, F.lit(None).cast("timestamp"))
+    assert {r.id: r.name for r in kept.collect()} == {1: "one", 2: "Same"}
+    assert {r.id: r.reject_reason for r in rejects.collect()} == {1: "rating not found", 9: "not found"}

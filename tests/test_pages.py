@@ -1,5 +1,7 @@
 """Page extraction, fetch results and robots rules on literal pages."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,13 @@ def test_task_functions_need_no_installed_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(page_paragraphs), cwd=tmp_path,
                           capture_output=True, check=True, env={"PATH": "/usr/bin:/bin"})
     assert done.stdout.strip() == b"1"
+
+
+def test_deep_and_wide_pages_are_read_in_one_walk():
+    deep = "<body>" + "<b>" * 5_000 + "<p>" + "w" * 60
+    assert page_paragraphs(deep) == ["w" * 60]
+    assert page_paragraphs("<body>" + "<div>" * 5_000 + "<p>" + "w" * 60) == ["w" * 60]
+    wide = "<body>" + "<div>" * 800 + "".join(f"<p>paragraph {i} with some text" for i in range(2_000))
+    start = time.perf_counter()
+    assert len(page_paragraphs(wide)) == 2_000
+    assert time.perf_counter() - start < 2
