@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS
 
-#: Rows of the sample that sets the order of the rules. The order never changes a verdict.
-SAMPLE_ROWS = 2_000
+#: Rows of the sample that sets the order of the rules, and their longest text. The order never changes a verdict.
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 100_000
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,9 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample
 
 def _judged(docs: DataFrame, rules: Sequence[Rule] | None, sample_rows: int) -> DataFrame:
     rules = list(rules if rules is not None else default_rules())
-    sample = measured(docs.select("text").sample(fraction=0.1, seed=7).limit(sample_rows)).cache()
+    # take() stops after as many partitions as it needs; a limit() would gather rows of every task.
+    texts = docs.select("text").where(F.length("text") <= SAMPLE_CHARS).take(sample_rows)
+    sample = measured(docs.sparkSession.createDataFrame([(r["text"],) for r in texts], "text string")).cache()
     try:
         order = [rule for rule, _, _ in order_rules(sample, rules)]
     finally:
