@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import discover as D
@@ -54,6 +55,47 @@ def rss_items(spark, d):
     return items.select("endpoint_id", "title", "external_url", "source_item_id", "description", A.stamp("published_date"))
 
 
+def _mixed_feeds(spark, d):
+    """One document per page: RSS, Atom, RDF, or something no reader takes."""
+    p = A.load(spark, d, "pages").selectExpr("page_id", "replace(replace(url, '&', '&amp;'), '<', '&lt;') as u")
+    return p.selectExpr("page_id as endpoint_id", """case page_id % 6
+        when 0 then concat('<rss><channel><item><title>P', page_id, '</title><link>', u, '</link><pubDate>Mon, 01 Jan 24 10:00 GMT</pubDate></item></channel></rss>')
+        when 1 then concat('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>P', page_id, '</title><link href="', u,
+          '"/><id>i', page_id, '</id><updated>2024-01-01T10:00:00Z</updated></entry></feed>')
+        when 2 then concat('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><item><title>P', page_id, '</title><link>', u, '</link></item></rdf:RDF>')
+        when 3 then concat('<rss><channel><item><title>P', page_id)
+        when 4 then '<html><body>no feed</body></html>' else null end as xml""")
+
+
+@check("feed_formats", f"""
+    SELECT page_id AS endpoint_id, 'P' || page_id AS title, url AS external_url,
+      CASE WHEN page_id % 6 = 1 THEN 'i' || page_id ELSE url END AS source_item_id,
+      CASE WHEN page_id % 6 = 2 THEN strftime(TIMESTAMP '{A.NOW}', '%Y-%m-%d %H:%M:%S') ELSE '2024-01-01 10:00:00' END AS published_date
+    FROM pages WHERE page_id % 6 < 3
+    """)
+def feed_formats(spark, d):
+    items = S.parse_rss(_mixed_feeds(spark, d), A.now())
+    return items.select("endpoint_id", "title", "external_url", "source_item_id", A.stamp("published_date"))
+
+
+@check("feed_rejects", """
+    SELECT page_id AS endpoint_id, CASE page_id % 6 WHEN 3 THEN 'feed is not well-formed' WHEN 4 THEN 'not a feed' ELSE 'feed is empty' END
+      AS reject_reason FROM pages WHERE page_id % 6 >= 3
+    """)
+def feed_rejects(spark, d):
+    return S.feed_rejects(_mixed_feeds(spark, d))
+
+
+@check("rating_rejects", """
+    SELECT p_partkey AS part, 'not a JSON array of ratings' AS reject_reason FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT p_partkey, 'body is empty' FROM part WHERE p_partkey % 3 = 2
+    """)
+def rating_rejects(spark, d):
+    bodies = A.load(spark, d, "part").selectExpr(
+        "p_partkey as part", "case p_partkey % 3 when 0 then concat('[{\"Source\": \"', p_name, '\"}]') when 1 then concat('{\"Source', p_name) else ' ' end as body")
+    return S.rating_rejects(bodies)
+
+
 def _planned(spark, d):
     endpoints = A.endpoints(spark, d)
     return S.plan_api_batches(endpoints, endpoint_counts(endpoints, A.links(spark, d)))
@@ -127,8 +169,9 @@ def api_pages(spark, d, planned):
         CASE WHEN page_id % 5 = 0 THEN 'https://same.example.com/' || (page_id // 40) ELSE url END AS url
       FROM pages WHERE page_id % 7 <> 6 AND page_id % 8 <> 7 AND (page_id // 40) % 3 <> 1
     )
-    SELECT endpoint_id, batch, external_url, title, description, published_date FROM (
-      SELECT p.endpoint_id, r.batch, r.url AS external_url, 'Page ' || r.page_id AS title, '' AS description,
+    SELECT endpoint_id, batch, external_url, title, description, published_date,
+      row_number() OVER (PARTITION BY endpoint_id, batch ORDER BY page, page_id) AS feed_order FROM (
+      SELECT p.endpoint_id, r.batch, r.page, r.page_id, r.url AS external_url, 'Page ' || r.page_id AS title, '' AS description,
         CASE WHEN r.page_id % 4 = 0 THEN NULL
           ELSE strftime(TIMESTAMP '{A.BASE}' + to_hours(r.page_id), '%Y-%m-%d %H:%M:%S') END AS published_date,
         row_number() OVER (PARTITION BY p.endpoint_id, r.batch, r.url ORDER BY r.page, r.page_id) AS rn
@@ -139,7 +182,8 @@ def api_pages(spark, d, planned):
 def api_articles(spark, d):
     planned = _stored_plan(spark, d)
     flat = S.flatten_api_pages(api_pages(spark, d, planned), planned)
-    return flat.select("endpoint_id", "batch", "external_url", "title", "description", A.stamp("published_date"))
+    order = F.row_number().over(Window.partitionBy("endpoint_id", "batch").orderBy("pos")).cast("long")
+    return flat.select("endpoint_id", "batch", "external_url", "title", "description", A.stamp("published_date"), order.alias("feed_order"))
 
 
 @check("api_rejects", """

@@ -15,10 +15,19 @@ MAX_PAGES = 5
 MAX_SOURCES = 20
 MAX_REQUESTS = 100
 
-RSS_SCHEMA = (
-    "channel struct<item: array<struct<title: string, link: string, description: string, pubDate: string, "
-    "guid: string>>>"
+_ITEM = (
+    "struct<title: string, link: string, description: string, pubDate: string, guid: string, date: string, encoded: string>"
 )
+_ENTRY = (
+    "struct<title: string, link: array<struct<_href: string, _rel: string>>, id: string, summary: string, content: string, "
+    "published: string, updated: string>"
+)
+# RSS keeps its items in a channel, RDF beside it, Atom calls them entries.
+FEED_SCHEMA = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ENTRY}>, _broken string"
+_FEED_OPTIONS = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
+_FEED_ROOT = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(?:\w+:)?(rss|feed|RDF)[\s>/]"
+# A page holds fewer articles than this, so (page, place) is one order per batch.
+PAGE_STEP = 10_000
 API_SCHEMA = (
     "status string, totalResults int, code string, message string, articles array<struct<"
     "source: struct<id: string, name: string>, author: string, title: string, description: string, "
@@ -39,27 +48,59 @@ RATING_ID_KEY = "Source ID#"
 
 
 def parse_feed_date(c: Column) -> Column:
-    """RFC 822 date; the weekday is optional and the zone may be a name or an offset."""
+    """RFC 822 date; weekday and seconds are optional, the year may have two digits, the zone is a name or an offset.
+
+    ISO dates, which Atom and RDF use, are read as well.
+    """
     text = F.trim(F.regexp_replace(c, r"^\s*[A-Za-z]{3},\s*", ""))
-    named = F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss z"))
-    offset = F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z"))
-    return F.coalesce(named, offset)
+    forms = [f"d MMM {year} {clock} {zone}" for year in ("yyyy", "yy") for clock in ("HH:mm:ss", "HH:mm") for zone in ("z", "Z")]
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in forms], parse_iso_utc(c))
+
+
+def _feeds(feeds: DataFrame) -> DataFrame:
+    clean = F.regexp_replace("xml", "^\ufeff", "")
+    return feeds.select("endpoint_id", clean.alias("xml"), F.from_xml(clean, FEED_SCHEMA, _FEED_OPTIONS).alias("f"))
+
+
+def _broken() -> Column:
+    root = F.regexp_extract("xml", _FEED_ROOT, 1)
+    closed = F.col("xml").rlike(r"(?s)(</(?:\w+:)?(rss|feed|RDF)\s*>|<(?:\w+:)?(rss|feed|RDF)[^>]*/>)\s*(<!--.*?-->\s*)*$")
+    return (
+        F.when(is_blank("xml"), F.lit("feed is empty"))
+        .when(root == "", F.lit("not a feed"))
+        .when(F.col("f").isNull() | F.col("f._broken").isNotNull() | ~closed, F.lit("feed is not well-formed"))
+    )
+
+
+def feed_rejects(feeds: DataFrame) -> DataFrame:
+    """``(endpoint_id, reject_reason)`` of the feeds that :func:`parse_rss` can't read."""
+    return _feeds(feeds).select("endpoint_id", _broken().alias("reject_reason")).filter("reject_reason is not null")
 
 
 def parse_rss(feeds: DataFrame, now: Column | None = None) -> DataFrame:
-    """One row per entry of ``feeds(endpoint_id, xml)``; entries without link or title are dropped."""
+    """One row per entry of ``feeds(endpoint_id, xml)``, which may be RSS, RDF or Atom.
+
+    Entries without link or title are dropped; feeds that can't be read are listed by :func:`feed_rejects`.
+    """
     stamp = F.current_timestamp() if now is None else now
-    parsed = feeds.select("endpoint_id", F.from_xml("xml", RSS_SCHEMA).alias("f"))
-    items = parsed.select("endpoint_id", F.posexplode("f.channel.item").alias("pos", "i"))
+    parsed = _feeds(feeds).filter(_broken().isNull())
+    plain = F.transform(F.coalesce("f.channel.item", "f.item"), lambda i: F.struct(
+        i["title"].alias("title"), i["link"].alias("link"), F.coalesce(i["guid"], i["link"]).alias("id"),
+        F.coalesce(i["description"], i["encoded"]).alias("text"), F.coalesce(i["pubDate"], i["date"]).alias("date")))
+    main = lambda links: F.get(F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"]
+    atom = F.transform("f.entry", lambda i: F.struct(
+        i["title"].alias("title"), main(i["link"]).alias("link"), F.coalesce(i["id"], main(i["link"])).alias("id"),
+        F.coalesce(i["summary"], i["content"]).alias("text"), F.coalesce(i["published"], i["updated"]).alias("date")))
+    items = parsed.select("endpoint_id", F.posexplode(F.coalesce(plain, atom)).alias("pos", "i"))
     return items.filter(F.col("i.link").isNotNull() & ~is_blank(F.col("i.title"))).select(
         "endpoint_id",
         "pos",
-        F.coalesce(F.col("i.guid"), F.col("i.link")).alias("source_item_id"),
+        F.col("i.id").alias("source_item_id"),
         F.col("i.link").alias("external_url"),
         F.col("i.title").alias("title"),
-        F.coalesce(F.col("i.description"), F.lit("")).alias("description"),
+        F.coalesce(F.col("i.text"), F.lit("")).alias("description"),
         F.lit(None).cast("string").alias("raw_text"),
-        F.coalesce(parse_feed_date(F.col("i.pubDate")), stamp).alias("published_date"),
+        F.coalesce(parse_feed_date(F.col("i.date")), stamp).alias("published_date"),
     )
 
 
@@ -130,6 +171,7 @@ def flatten_api_pages(pages: DataFrame, planned: DataFrame) -> DataFrame:
     """Articles of ``pages(batch, page, json)`` as feed items of the endpoint that owns their source.
 
     Only sources owned by an endpoint of the page's own batch count. The first row of a URL per endpoint and batch wins.
+    ``pos`` counts on over the pages of a batch, so it is one order per endpoint.
     """
     parsed = pages.select("batch", "page", F.from_json("json", API_SCHEMA).alias("r")).filter("r.status = 'ok'")
     rows = parsed.select("batch", "page", F.posexplode("r.articles").alias("pos", "a")).select(
@@ -144,7 +186,7 @@ def flatten_api_pages(pages: DataFrame, planned: DataFrame) -> DataFrame:
         "endpoint_id",
         "batch",
         "page",
-        "pos",
+        ((F.col("page") - 1) * PAGE_STEP + F.col("pos")).cast("int").alias("pos"),
         F.col("url").alias("source_item_id"),
         F.col("url").alias("external_url"),
         "title",
@@ -172,6 +214,14 @@ def parse_ratings(bodies: DataFrame, body: str = "body") -> DataFrame:
     return bodies.select(*others, F.posexplode(entries).alias("pos", "e")).select(*others, "pos", *_rating_columns("e"))
 
 
+def rating_rejects(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Bodies that are no JSON array of entries, with a reason."""
+    text = F.regexp_replace(F.col(body), "^\ufeff", "")
+    others = [c for c in bodies.columns if c != body]
+    reason = F.when(is_blank(text), "body is empty").when(F.from_json(text, f"array<{_rating_struct()}>").isNull(), "not a JSON array of ratings")
+    return bodies.select(*others, reason.alias("reject_reason")).filter("reject_reason is not null")
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Rating files on disk: JSON arrays of objects, unknown keys ignored."""
     bodies = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")

@@ -50,6 +50,31 @@ def test_rss(spark):
     assert got[0].raw_text is None
 
 
+def test_atom_rdf_and_odd_dates(spark):
+    atom = ("<?xml version='1.0'?><feed xmlns='http://www.w3.org/2005/Atom'><title>f</title><entry><title type='html'>A</title>"
+            "<link rel='self' href='https://e.com/self'/><link href='https://e.com/a'/><id>tag:a</id><summary>s</summary>"
+            "<updated>2024-12-18T10:00:00Z</updated></entry></feed>")
+    rdf = ("<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:dc='http://purl.org/dc/elements/1.1/'>"
+           "<channel><title>f</title></channel><item><title>R</title><link>https://e.com/r</link><dc:date>2024-12-18T11:00:00Z</dc:date>"
+           "</item></rdf:RDF>")
+    rss = ("<rss><channel><item><title>S</title><link>https://e.com/s</link><pubDate>Wed, 18 Dec 24 10:00 GMT</pubDate></item>"
+           "<item><title>T</title><link>https://e.com/t</link><pubDate>18 Dec 2024 12:30 +0000</pubDate></item></channel></rss>")
+    feeds = spark.createDataFrame([(1, atom), (2, rdf), (3, rss), (4, rss[:-20]), (5, "<html><body/></html>"), (6, " "), (7, None),
+                                   (8, "<rss><channel/></rss>")], "endpoint_id long, xml string")
+    got = rows(S.parse_rss(feeds, now()), "endpoint_id", "source_item_id", "external_url", "title", "description", "published_date")
+    assert got == [
+        (1, "tag:a", "https://e.com/a", "A", "s", datetime(2024, 12, 18, 10)), (2, "https://e.com/r", "https://e.com/r", "R", "", datetime(2024, 12, 18, 11)),
+        (3, "https://e.com/s", "https://e.com/s", "S", "", datetime(2024, 12, 18, 10)), (3, "https://e.com/t", "https://e.com/t", "T", "", datetime(2024, 12, 18, 12, 30)),
+    ]
+    assert rows(S.feed_rejects(feeds), "endpoint_id", "reject_reason") == [
+        (4, "feed is not well-formed"), (5, "not a feed"), (6, "feed is empty"), (7, "feed is empty")]
+
+
+def test_unreadable_ratings_are_listed(spark):
+    bodies = spark.createDataFrame([(1, "[]"), (2, "{broken"), (3, ""), (4, None)], "id long, body string")
+    assert rows(S.rating_rejects(bodies), "id", "reject_reason") == [(2, "not a JSON array of ratings"), (3, "body is empty"), (4, "body is empty")]
+
+
 ENDPOINT = "id long, enabled boolean, kind string, api_provider string, api_query string"
 
 
