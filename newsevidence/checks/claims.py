@@ -120,11 +120,12 @@ def store_answers_query(spark, d):
 
 # The ingestion plan in SQL. Pages answer by page number, see ``landed``; texts are cut as in ``extract_pages``.
 INGEST_TABLES = {
-    "i_found": ("""
+    "i_found": (f"""
         SELECT k.*, k.article_id IS NULL AND first_rn = 1 AS is_new FROM (
           SELECT n.*, a.id AS article_id, row_number() OVER (PARTITION BY n.publisher_id, n.url_hash ORDER BY n.endpoint_id, n.pos)
             AS first_rn
-          FROM (SELECT t.*, e.publisher_id, sha256(t.external_url) AS url_hash FROM t_new t JOIN t_endpoints e ON e.id = t.endpoint_id) n
+          FROM (SELECT t.*, e.publisher_id, sha256(t.external_url) AS url_hash FROM t_new t JOIN t_endpoints e ON e.id = t.endpoint_id
+            AND NOT (e.robots_disallowed OR coalesce(e.blocked_until > TIMESTAMP '{A.NOW}', FALSE))) n
           LEFT JOIN t_known_articles a ON a.publisher_id = n.publisher_id AND a.canonical_url_hash = n.url_hash) k
         """, ("t_new", "t_endpoints", "t_known_articles")),
     "i_pages": (f"""
@@ -136,9 +137,8 @@ INGEST_TABLES = {
             regexp_extract(url, '^(https?)', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1))
               || CASE regexp_extract(url, '^(https?)', 1) WHEN 'https' THEN ':443' ELSE ':80' END AS host_key
           FROM pages p JOIN (WITH {PARAGRAPHS.format(n=2, chars=200)} SELECT * FROM judged) j ON j.page_id = p.page_id)""", ()),
-    "i_results": (f"""
-        SELECT publisher_id, url_hash, endpoint_id, pos,
-          row_number() OVER (ORDER BY url_hash, publisher_id) + (SELECT max(id) FROM t_known_articles) AS id,
+    "i_judged": (f"""
+        SELECT publisher_id, url_hash, endpoint_id, pos, source_item_id,
           coalesce(raw_text, CASE WHEN v = 5 AND good AND NOT barred THEN body END) AS text,
           CASE WHEN raw_text IS NOT NULL THEN 200 WHEN v IS NULL OR barred THEN NULL
             WHEN v = 0 THEN 403 WHEN v = 1 THEN 404 WHEN v = 2 THEN 500 ELSE 200 END AS http_status,
@@ -147,6 +147,14 @@ INGEST_TABLES = {
           CASE WHEN raw_text IS NOT NULL OR v IS NULL OR barred THEN NULL WHEN v = 3 THEN 'Non-HTML contentType: application/pdf'
             WHEN v = 4 THEN 'Non-HTML contentType: null' WHEN v = 5 AND NOT good THEN {LOW} END AS extraction_error
         FROM i_found LEFT JOIN i_pages ON url = external_url WHERE is_new""", ("i_found", "i_pages")),
+    # An endpoint's items up to its first stop signal.
+    "i_stops": ("""
+        SELECT endpoint_id, min(pos) AS stop FROM i_judged
+        WHERE text IS NULL AND (fetch_error LIKE 'Blocked%' OR fetch_error LIKE 'Robots.txt%') GROUP BY endpoint_id""", ("i_judged",)),
+    "i_results": ("""
+        SELECT j.*, row_number() OVER (ORDER BY url_hash, publisher_id) + (SELECT max(id) FROM t_known_articles) AS id
+        FROM i_judged j LEFT JOIN i_stops s ON s.endpoint_id = j.endpoint_id WHERE stop IS NULL OR pos <= stop
+        """, ("i_judged", "i_stops", "t_known_articles")),
     "i_texts": ("SELECT id AS doc_id, text FROM i_results WHERE text IS NOT NULL", ("i_results",)),
 }
 A.TABLES.update(INGEST_TABLES)
@@ -196,6 +204,22 @@ def ingest_articles(spark, d):
                       "extraction_error", "chunk_count", "indexed")
 
 
+@check("ingest_links", """
+    SELECT source_endpoint_id, source_item_id FROM t_known_links
+    UNION ALL
+    SELECT f.endpoint_id, f.source_item_id FROM i_found f LEFT JOIN i_stops s ON s.endpoint_id = f.endpoint_id
+    WHERE (stop IS NULL OR f.pos <= stop) AND (f.article_id IS NOT NULL OR EXISTS (
+      SELECT 1 FROM i_results r WHERE r.publisher_id = f.publisher_id AND r.url_hash = f.url_hash))
+    """, ("t_known_links", "i_found", "i_stops", "i_results"))
+def ingest_links(spark, d):
+    return _ingested(spark, d).links.select("source_endpoint_id", "source_item_id")
+
+
+@check("ingest_chunks", "SELECT doc_id AS article_id, count(*) AS n FROM i_chunk_rows GROUP BY doc_id", ("i_chunk_rows",))
+def ingest_chunks(spark, d):
+    return _ingested(spark, d).chunks.groupBy("article_id").agg(F.count("*").alias("n"))
+
+
 def _ingested(spark, d):
     items = A.feed_items(spark, d)
     fetches = items.groupBy("endpoint_id").agg(F.count("*").alias("fetched")).withColumns({

@@ -64,9 +64,10 @@ def agent_rules(body: str, agent: str) -> list[tuple[bool, str, int]]:
 def robots_rules(robots: DataFrame, agent: str = "newsevidence") -> DataFrame:
     """``(host_key, rules)`` from ``robots(host_key, status, body)``, each body parsed once per host.
 
-    Only 2xx answers restrict anything.
+    Only 2xx answers restrict anything. Of several answers of a host the first body in text order counts.
     """
     usable = robots.filter(F.col("status").between(200, 299) & F.col("body").isNotNull())
+    usable = usable.groupBy("host_key").agg(F.min("body").alias("body"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

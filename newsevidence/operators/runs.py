@@ -94,6 +94,19 @@ def item_counts(items: DataFrame, keys: tuple[str, ...] = ("run_id", "endpoint_i
     )
 
 
+def worked_endpoints(fetches: DataFrame, endpoints: DataFrame, now: Column) -> DataFrame:
+    """``(endpoint_id)`` whose attempt gets to its items: no flag, block or fetch error, sample URL not barred."""
+    state = endpoints.select(F.col("id").alias("endpoint_id"), "robots_disallowed", "blocked_until")
+    free = ~F.coalesce("robots_disallowed", F.lit(False)) & ~F.coalesce(F.col("blocked_until") > now, F.lit(False))
+    sampled = F.col("sample_url").isNull() | F.coalesce("sample_allowed", F.lit(True))
+    return fetches.join(state, "endpoint_id").filter(free & F.col("fetch_error").isNull() & sampled).select("endpoint_id").distinct()
+
+
+def first_stops(items: DataFrame, keys: tuple[str, ...], pos: str = "pos", reason: str = "reason") -> DataFrame:
+    """Per key the place of the first robots or block signal, where there is one."""
+    return items.filter(F.col(reason).isin(STOP_REASONS)).groupBy(*keys).agg(F.min(pos).alias("stop"))
+
+
 def endpoint_attempt(fetches: DataFrame, endpoints: DataFrame, items: DataFrame, now: Column) -> DataFrame:
     """One row per (run, endpoint) attempt with its status and counts.
 

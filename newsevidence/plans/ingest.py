@@ -14,9 +14,10 @@ from ..operators.chunking import chunk_documents
 from ..operators.discover import (
     apply_article_state, discover, merge_articles, merge_links, new_article_rows, new_link_rows, seen_again, valid_items,
 )
+from ..operators.keyed import salted_join
 from ..operators.pages import fetch_results
 from ..operators.robots import robots_filter
-from ..operators.runs import endpoint_attempt, update_endpoint_state
+from ..operators.runs import endpoint_attempt, first_stops, update_endpoint_state, worked_endpoints
 from ..operators.views import article_with_rating
 from ..sources.chunks import INFO_COLUMNS, finish_chunk_rows, texts_with_info
 from ..sources.tables import stage
@@ -37,7 +38,9 @@ class Ingested(NamedTuple):
 def page_results(pages: DataFrame, robots: DataFrame, now: Column, **gate) -> DataFrame:
     """Fetch results of landed ``pages(url, http_status, content_type, body)``, robots rules applied."""
     barred = ~F.col("allowed")
-    judged = robots_filter(pages, robots).withColumn("body", F.when(~barred, F.col("body")))
+    # The rules meet URLs only; bodies don't travel by host.
+    verdict = robots_filter(pages.select("url").distinct(), robots).select("url", "allowed")
+    judged = pages.join(verdict, "url").withColumn("body", F.when(~barred, F.col("body")))
     results = fetch_results(judged.withColumn("page_id", F.col("url")), keep=("allowed",), **gate)
     return results.select(
         F.col("page_id").alias("url"),
@@ -56,37 +59,53 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
     """One run: discover items, read their pages, chunk and embed new articles, move all states.
 
     ``items`` are feed items of due endpoints, ``fetches`` what was landed per endpoint, ``pages``
-    one landed answer per URL. Only new articles are read and indexed. What several outputs share
-    (discovery, article snapshot, extracted texts, chunks) is staged under ``work_dir`` in the
+    one landed answer per URL. Endpoints that are flagged, blocked, failed or barred discover nothing. The others end
+    at the first stop signal among the pages of their new items; only items up to it make articles and links, so an
+    endpoint's new articles are those its attempt counts. Only new articles are read and indexed. What several outputs
+    share (discovery, page verdicts, article snapshot, chunks) is staged under ``work_dir`` in the
     shared folder, so each costly step runs once.
     """
-    found = discover(items, endpoints, articles, links, now)
+    due = items.join(worked_endpoints(fetches, endpoints, now), "endpoint_id", "left_semi")
+    found = discover(due, endpoints, articles, links, now)
     found = found._replace(
         articles=stage(found.articles, work_dir, "found_articles"), links=stage(found.links, work_dir, "found_links")
     )
-    fresh = stage(new_article_rows(articles, found.articles, now), work_dir, "new_articles")
-    stored = stage(merge_articles(articles, fresh, seen_again(found.articles)), work_dir, "stored_articles")
-    stored_links = merge_links(links, new_link_rows(found.links, fresh))
     key = ["publisher_id", "canonical_url_hash"]
-    new = fresh.select(*key, "canonical_url", F.col("id").alias("article_id"))
     # The item that made an article: its own text outranks the page, its place orders the attempt.
     item_keys = ["source_endpoint_id", "source_item_id"]
-    accepted = valid_items(items).withColumnRenamed("endpoint_id", "source_endpoint_id")
+    accepted = valid_items(due).withColumnRenamed("endpoint_id", "source_endpoint_id")
     given = accepted.groupBy(*item_keys).agg(
         F.min("pos").alias("pos"), F.min_by("raw_text", "pos").alias("raw_text")
     )
     placed = found.links.join(given, item_keys)
     own_text = placed.filter(F.col("is_new") & ~is_blank("raw_text")).select(*key, "raw_text")
-    wanted = pages.join(new.select(F.col("canonical_url").alias("url")).distinct(), "url", "left_semi")
-    results = (
-        new.join(page_results(wanted, robots, now, **gate), F.col("canonical_url") == F.col("url"), "left")
+    candidates = found.articles.filter("is_new").select(*key, "canonical_url")
+    wanted = pages.join(candidates.select(F.col("canonical_url").alias("url")).distinct(), "url", "left_semi")
+    judged = (
+        candidates.join(page_results(wanted, robots, now, **gate), F.col("canonical_url") == F.col("url"), "left")
         .join(own_text, key, "left")
         .withColumn("index_error", F.lit(None).cast("string"))
         .withColumn("fetched_at", now)
         .withColumn("fetch_error", F.when(F.col("url").isNull(), F.lit("Fetch failed")).otherwise(F.col("fetch_error")))
     )
-    results = stage(results, work_dir, "results")
     text = F.when(~is_blank("raw_text"), F.col("raw_text")).otherwise(F.col("extracted_text"))
+    judged = stage(judged.withColumn("reason", F.when(is_blank(text), block_reason(
+        F.coalesce("blocked_suspected", F.lit(False)), "fetch_error", "extraction_error"))), work_dir, "judged")
+    # An endpoint ends at its first stop signal: what follows is not touched and comes again in a later run.
+    owners = placed.filter("is_new").select("source_endpoint_id", "pos", *key)
+    stops = first_stops(owners.join(judged.select(*key, "reason"), key), ("source_endpoint_id",))
+    placed = salted_join(placed, stops, ["source_endpoint_id"], ["source_endpoint_id", "pos"], "left")
+    placed = stage(placed.filter(F.col("stop").isNull() | (F.col("pos") <= F.col("stop"))).drop("stop"), work_dir, "placed")
+    made = placed.filter("is_new").select(*key)
+    placed = placed.join(made.withColumn("_made", F.lit(True)), key, "left").filter("article_id is not null or _made").drop("_made")
+    touched = placed.select(*key).distinct()
+    kept = found.articles.join(touched, key, "left_semi")
+    fresh = stage(new_article_rows(articles, kept, now), work_dir, "new_articles")
+    stored = stage(merge_articles(articles, fresh, seen_again(kept)), work_dir, "stored_articles")
+    stored_links = merge_links(links, new_link_rows(placed.select(*found.links.columns), fresh))
+    new = fresh.select(*key, F.col("id").alias("article_id"))
+    results = new.join(judged, key)
+    results = stage(results, work_dir, "results")
     content = results.select("article_id", text.alias("extracted_text"), now.alias("extracted_at")).filter(
         ~is_blank("extracted_text")
     )
@@ -100,7 +119,7 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
         *key,
         (~is_blank(text)).alias("success"),
         (~is_blank(text)).alias("indexed"),
-        block_reason(F.coalesce("blocked_suspected", F.lit(False)), "fetch_error", "extraction_error").alias("reason"),
+        "reason",
     )
     worked = placed.join(outcome, key, "left").select(
         F.lit(run_id).alias("run_id"),
