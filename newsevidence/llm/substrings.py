@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bucket_count, bucket_of, gram_docs, grams, words_of
 
@@ -177,7 +178,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
     base, spans = _bucketed(docs, rest), repeated_spans(docs)
-    schema = f"doc_id long, n_words long, n_removed long, kept_text string, rest {base.schema['rest'].dataType.simpleString()}"
+    schema = T.StructType([*T.DataType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string"), base.schema["rest"]])
     kept = base.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_kept, schema)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars"))} if "n_chars" in docs.columns else {"text": text}
