@@ -223,10 +223,10 @@ def _nearest(claims: DataFrame, chunks: DataFrame, k: int, max_distance: float,
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
         T.StructField("distance", T.FloatType()),
     ])
-    slim = claims.select("claim_id", "vector")
-    head = slim.select(F.size("vector").alias("dim")).limit(1).collect()
-    dim = head[0]["dim"] if head else 1
-    fit = max(1, broadcast_bytes // (8 * max(dim, 1)))
+    slim = claims.select("claim_id", "vector").filter(unusable_vector("vector").isNull())
+    # The largest vector of all claims sets how many fit the bound.
+    dim = slim.agg(F.max(F.size("vector")).alias("dim")).first()["dim"] or 1
+    fit = max(1, broadcast_bytes // (8 * dim))
     small = slim.limit(fit + 1).toPandas()  # never more than the bound allows, plus one row
     if len(small) <= fit:
         hits, most = _broadcast_hits(small, chunks, k, max_distance, schema), len(small) * k
@@ -235,13 +235,27 @@ def _nearest(claims: DataFrame, chunks: DataFrame, k: int, max_distance: float,
     return top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank"), most
 
 
+def unusable_vector(vector: str = "vector") -> Column:
+    """Why a claim can't be searched: no vector, an empty one, or one with a missing number."""
+    return (
+        F.when(F.col(vector).isNull(), F.lit("vector is missing"))
+        .when(F.size(vector) == 0, F.lit("vector is empty"))
+        .when(F.exists(vector, lambda x: x.isNull()), F.lit("vector has missing numbers"))
+    )
+
+
+def claim_vector_rejects(claims: DataFrame) -> DataFrame:
+    """``(claim_id, reject_reason)`` of claims that :func:`nearest_chunks` leaves out."""
+    return claims.select("claim_id", unusable_vector().alias("reject_reason")).filter("reject_reason is not null")
+
+
 def nearest_chunks(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(claim_id, chunk_id, distance, rank)``: the k nearest chunks of each claim within the limit.
 
     Distance is one minus cosine, and it and the limit are single precision; ties go to the smaller
-    chunk id. Dropping
-    rows past ``max_distance`` early does not change which rows survive both cuts. The claims are
+    chunk id. Dropping rows past ``max_distance`` early does not change which rows survive both cuts.
+    Claims without a usable vector have no hits, see :func:`claim_vector_rejects`. The others are
     counted up to the broadcast bound: below it they travel to every task, above it both sides are
     partitioned by cell.
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from ..operators.evidence import prompt_table
 from ..operators.keyed import upsert
 from ..operators.search import MAX_DISTANCE, TOP_K, evidence_search
 from ..operators.views import claim_reject_reason, split_rejects
+from ..session import shared_dir
 from ..sources.responses import model_text
+from ..sources.tables import stage
 from . import templates
 
 
@@ -21,7 +25,9 @@ def claim_evidence(claims: DataFrame, chunks: DataFrame, *, dim: int, embedder:
     """(valid claims, their evidence, rejected claims) from ``claims(claim_id, claim_text)``."""
     trimmed = claims.withColumn("claim_text", trim_ws("claim_text"))
     good, bad = split_rejects(trimmed, claim_reject_reason("claim_text"))
-    vectors = embed(good.select("claim_id", "claim_text"), "claim_text", embedder, dim=dim)
+    # Staged: the search reads the vectors more than once, the embedder runs once.
+    vectors = embed(good.select("claim_id", "claim_text"), "claim_text", embedder, dim=dim).select("claim_id", "vector")
+    vectors = stage(vectors, f"{shared_dir(claims.sparkSession)}/claim_vectors/{uuid4().hex}", "vectors")
     found = evidence_search(vectors.select("claim_id", "vector"), chunks, k, max_distance)
     return good, found.withColumnRenamed("article_title", "title"), bad
 

@@ -32,15 +32,21 @@ def apply_options(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folders of local sessions without a configured one, by application; removed when Python ends.
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A local folder is made only when nothing is configured, which is the case in tests.
+    A local session without one, as in tests, gets one temporary folder; a cluster without one is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="newsevidence-")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.TemporaryDirectory(prefix="newsevidence-", ignore_cleanup_errors=True)
+    return _LOCAL[context.applicationId].name

@@ -80,3 +80,14 @@ def test_article_chunks_cut_before_blanks(spark):
     got = S.article_chunks(df, limit=3).orderBy("article_id", "chunk_index").collect()
     assert [(r.article_id, r.text) for r in got] == [(1, "t0"), (1, "t2"), (2, "x")]
     assert S.article_chunks(df, 2).count() == 1
+
+
+def test_claims_without_a_usable_vector_are_listed(spark):
+    from newsevidence.operators.search import claim_vector_rejects, nearest_chunks
+
+    claims = spark.createDataFrame([(1, None), (2, []), (3, [1.0, 0.0]), (4, [None, 1.0])], "claim_id long, vector array<float>")
+    chunks = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.0, 1.0])], "chunk_id string, vector array<float>")
+    for bound in (1, 1 << 20):
+        got = nearest_chunks(claims, chunks, 1, 0.5, broadcast_bytes=bound).collect()
+        assert [(r.claim_id, r.chunk_id) for r in got] == [(3, "a")]
+    assert {r.claim_id for r in claim_vector_rejects(claims).collect()} == {1, 2, 4}
