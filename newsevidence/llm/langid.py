@@ -178,6 +178,6 @@ def identify_languages(docs: DataFrame, train: Column, dim: int = DIMENSIONS) ->
     marked = docs.select("doc_id", "text", "lang", (~F.coalesce(train, F.lit(False))).alias("held_out"))
     table = staged(language_prototypes(marked.where("not held_out"), dim), run_folder(docs.sparkSession), "prototypes")
     found = sorted(((r["lang"], r["vector"]) for r in table.collect()), key=lambda r: r[0])
-    vectors = np.array([v for _, v in found], np.float64).reshape(len(found), -1)
+    vectors = np.array([v for _, v in found], np.float64).reshape(len(found), dim)
     rows = marked.select("doc_id", "held_out", "text")
     return rows.mapInArrow(_predict([n for n, _ in found], vectors), "doc_id long, held_out boolean, lang_pred string, score double")
