@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, vectors
 from ..functions.answers import parse_verdict
-from ..operators.views import batch_reject_reasons, text_reject_reason
+from ..operators.views import batch_reject_reasons, sentences_reject_reason, text_reject_reason, vector_reject_reason
 from . import adapters as A
 from .registry import check
 
@@ -241,3 +241,25 @@ def text_gate(spark, d):
 def batch_gate(spark, d):
     docs = _documents(spark, d).select("source", "text")
     return batch_reject_reasons(docs, "source", "text", max_chars=20_000, max_total=100_000)
+
+
+@check("sentence_gate", f"""
+    SELECT doc_id, CASE WHEN len(l) > 40 THEN 'too many sentences in one request'
+      WHEN list_sum(list_transform(l, lambda x: length({A.trim('x')}))) > 8000 THEN 'total size exceeds the limit'
+      WHEN len(list_filter(l, lambda x: {A.trim('x')} = '')) > 0 THEN 'a sentence is empty'
+      WHEN len(list_filter(l, lambda x: length(x) > 400)) > 0 THEN 'a sentence is too long' END AS reject_reason
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+    """)
+def sentence_gate(spark, d):
+    docs = _documents(spark, d).withColumn("l", F.split("text", "\n"))
+    return docs.select("doc_id", sentences_reject_reason("l", 40, 400, 8_000).alias("reject_reason"))
+
+
+@check("vector_gate", """
+    SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'vector size is -1' WHEN vec_id % 7 = 0 THEN 'vector size is 3'
+      WHEN len(embedding) <> 64 THEN 'vector size is ' || len(embedding) END AS reject_reason FROM embeddings
+    """)
+def vector_gate(spark, d):
+    cut = A.load(spark, d, "embeddings").selectExpr(
+        "vec_id", "case when vec_id % 11 = 0 then null when vec_id % 7 = 0 then slice(embedding, 1, 3) else embedding end as v")
+    return cut.select("vec_id", vector_reject_reason("v", 64).alias("reject_reason"))

@@ -158,6 +158,20 @@ def claim_reject_reason(text, max_chars: int = MAX_CLAIM_CHARS) -> Column:
     )
 
 
+def sentences_reject_reason(sentences, max_items: int = MAX_BATCH_ITEMS, max_chars: int = MAX_TEXT_CHARS,
+                            max_total: int = MAX_BATCH_CHARS) -> Column:
+    """Why a list of sentences may not be embedded; null when it may. Single sentences count with their blanks."""
+    s = F.col(sentences) if isinstance(sentences, str) else sentences
+    total = F.aggregate(s, F.lit(0), lambda n, x: n + F.coalesce(F.length(trim_ws(x)), F.lit(0)))
+    return (
+        F.when(F.coalesce(F.size(s), F.lit(-1)) <= 0, F.lit("sentences list is empty"))
+        .when(F.size(s) > max_items, F.lit("too many sentences in one request"))
+        .when(total > max_total, F.lit("total size exceeds the limit"))
+        .when(F.exists(s, lambda x: is_blank(x)), F.lit("a sentence is empty"))
+        .when(F.exists(s, lambda x: F.length(x) > max_chars), F.lit("a sentence is too long"))
+    )
+
+
 def vector_reject_reason(vector, dim: int) -> Column:
     size = F.coalesce(F.size(vector), F.lit(-1))
     return F.when(size != dim, F.concat(F.lit("vector size is "), size.cast("string")))
