@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import gram_docs, grams, run_folder, slices, staged, words_of
 
-#: Words of a seed, and run of seed positions of an item of which the rarest stays.
-SEED, SPACING = 3, 2
+#: Words of a seed. Every position of an item is one: an edited copy may have kept any of them.
+SEED = 3
 #: Alignment scores per word.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A passage counts when its score is at least this share of the best possible one for the item (or for a full part
@@ -68,37 +68,6 @@ def _all_hits(words, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _count(block: list):
-    """Documents that hold each seed, summed per task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(block)
-        distinct = np.unique(items.hash)
-        total = np.zeros(len(distinct), np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                doc, _, at = _all_hits(words_of(part.column("text"), lower=True), distinct)
-                pairs = np.unique(doc * max(1, len(distinct)) + at) % max(1, len(distinct))
-                total += np.bincount(pairs, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"seed": pa.array(distinct[seen].view(np.int64)), "n": pa.array(total[seen])})
-
-    return run
-
-
-def rare_seeds(items: _Items, counts: dict[int, int]) -> np.ndarray:
-    """Which seeds are used: of each run of SPACING positions of an item the one in fewest documents (first on a tie).
-
-    Rarity is relative, so an item whose every word is frequent, as one that leaked into very many documents, still
-    has seeds all along its text.
-    """
-    n = np.array([counts.get(h, 0) for h in items.hash.view(np.int64).tolist()], np.int64)
-    order = np.lexsort((items.pos, n, items.pos // SPACING, items.item))
-    run = np.stack([items.item[order], items.pos[order] // SPACING])
-    first = np.ones(len(order), bool)
-    first[1:] = (run[:, 1:] != run[:, :-1]).any(axis=0)
-    return np.sort(order[first])
-
-
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Best local alignments of pairs: columns score, end (behind the last aligned word of the passage).
 
@@ -137,11 +106,10 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _find(block: list, counts: dict[int, int]):
+def _find(block: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _Items(block)
-        use = rare_seeds(items, counts)
-        use = use[np.argsort(items.hash[use], kind="stable")]
+        use = np.argsort(items.hash, kind="stable")
         distinct, first, copies = np.unique(items.hash[use], return_index=True, return_counts=True)
         for batch in batches:
             for part in slices(batch):
@@ -162,7 +130,8 @@ def _find(block: list, counts: dict[int, int]):
                 if not len(begin):
                     continue
                 d, it = doc[begin], item[begin]
-                slack = length[begin] // 2 + 8
+                # So many words may stand between those of a copy before its score is too low.
+                slack = length[begin] * MATCH - np.ceil(SHARE * np.minimum(length[begin], PART) * MATCH).astype(np.int64)
                 low = np.maximum(words.first[d], start[begin] - slack)
                 high = np.minimum(words.first[d + 1], start[last] + length[begin] + slack)
                 found = align([items.codes[i] for i in it.tolist()], [words.codes[a:b] for a, b in zip(low.tolist(), high.tolist())])
@@ -196,11 +165,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, int, str]]]:
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document (``doc_id``, ``text``) and a test item (``item_id``, ``text``) that it holds a copy of.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z). A first pass counts the documents that hold each seed, an
-    n-gram of SEED words of an item; the rarest seed of every SPACING positions stays. A second pass joins all
-    documents with the seeds, cuts a passage around neighbouring hits of an item and aligns it with the whole item.
+    Words are ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z). One pass joins all documents with the seeds, all n-grams of
+    SEED words of an item, cuts a passage around neighbouring hits of an item and aligns it with the whole item. The
+    passage reaches as far as a copy through a hit can. No seed is left out for being frequent or rare.
     Kept: score at least SHARE of the item's best possible score, where more than PART words count as PART.
-    Test items are the query set: they go to the tasks in blocks of bounded size, one pair of passes for each.
+    Test items are the query set: they go to the tasks in blocks of bounded size, one pass for each.
 
     Returns ``row, doc_id, item_row, item_id, score, similarity, end_word``, the best passage of each pair of rows (the
     first on a tie). ``row`` numbers the rows of ``docs``, so repeated and null ids stay apart. Null and empty texts
@@ -212,9 +181,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "row long, doc_id long, item_row long, item_id long, score long, similarity double, end_word long"
     found = None
     for n, block in enumerate(_blocks(benchmark)):
-        counted = rows.select("text").mapInArrow(_count(block), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        counts = {r["seed"]: r["n"] for r in counted.collect()}
-        part = staged(rows.mapInArrow(_find(block, counts), schema), folder, f"block{n}")
+        part = staged(rows.mapInArrow(_find(block), schema), folder, f"block{n}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -285,6 +285,32 @@ def test_decontamination(spark, odd, none, monkeypatch):
     assert decontaminate.contaminated_passages(odd, tests.limit(0)).count() == 0
 
 
+def test_edited_copies_are_found(spark):
+    """Copies with every 3rd, 4th or 5th word changed, at each offset, and with words put between."""
+    items = {n: prose(700 + n, n, [f"i{n}{x}" for x in VOCABULARY]) for n in (14, 20, 27, 30, 37, 46)}
+    texts = []
+    for n, item in items.items():
+        w = item.split(" ")
+        for step in (3, 4, 5):
+            for phase in range(step):
+                texts.append(" ".join("other" if i % step == phase else x for i, x in enumerate(w)))
+        for more in (1, 2, 3):
+            texts.append(" ".join(x + " between" * more * (i > 8 and i % 2) for i, x in enumerate(w)))
+    r = random.Random(6)
+    for share in (0.15, 0.2, 0.3):
+        texts += [" ".join("other" if r.random() < share else x for x in t.split(" ")) for t in items.values() for _ in range(5)]
+    docs = [(i, f"{prose(i, 90)} {t} {prose(i + 500, 90)}") for i, t in enumerate(texts)]
+    want = Counter((d, i) for d, t in docs for i in B.contaminated(t, items))
+    assert len(want) > 60
+    found = decontaminate.contaminated_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert bag(found, "doc_id", "item_id") == want
+    # Alone in a table: what the edits broke is found in no document.
+    alone = [(n, " ".join("other" if i % 4 == 3 else x for i, x in enumerate(t.split(" ")))) for n, t in items.items()]
+    assert all(n in B.contaminated(t, items) for n, t in alone)
+    found = decontaminate.contaminated_passages(spark.createDataFrame(alone, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert bag(found, "doc_id", "item_id") == Counter((n, n) for n in items)
+
+
 def test_alignment_equals_the_plain_one():
     import numpy as np
 
