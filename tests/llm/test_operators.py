@@ -162,6 +162,17 @@ def test_mixing_learns(spark):
     assert again[0] == pytest.approx(known, rel=1e-6) and again[1] == again[2] < 0
 
 
+def test_all_training_texts_move_the_weights(spark):
+    """Which source comes first in the table decides nothing."""
+    other = [f"{c}{x}" for c in "ÀÉÎ" for x in VOCABULARY]
+    first = [(2 * i, prose(i, 60)) for i in range(450)]
+    second = [(2 * i + 1000, prose(i, 60, other)) for i in range(450)]
+    held = [(2 * i + 1, prose(5_000 + i, 60, VOCABULARY if i % 2 else other)) for i in range(20)]
+    runs = [spark.createDataFrame([*rows, *held], "doc_id long, text string").coalesce(1) for rows in (first + second, second + first)]
+    got = [{r.doc_id: r.bits_per_byte for r in scoring.mixed_scores(d, F.col("doc_id") % 2 == 1).where("held_out").collect()} for d in runs]
+    assert len(got[0]) == 20 and all(got[1][i] == pytest.approx(b, rel=1e-3) for i, b in got[0].items())
+
+
 # 5 ----------------------------------------------------------------------------------------------
 
 def test_quality(odd, none, plain):
