@@ -358,3 +358,20 @@ def test_seed_terms_lose_no_match():
         line = " ".join(x for x in w if r.random() < 0.8) + " " + " ".join(r.choice(VOCABULARY) for _ in range(r.randint(0, 3)))
         if known.best(line)[0] >= min(licenses.HEADER, licenses.FILE):
             assert any(s in line for s in known.seeds)
+
+
+def test_wrapped_headers_and_full_texts(spark):
+    from pathlib import Path
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the\nSoftware without restriction."
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    bsd = "Copyright (c) 2020 Someone. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met."
+    cases = {"MIT": mit, "GPL-3.0": gpl, "BSD-3-Clause": bsd}
+    rows = [(n, "\n".join(f" {mark} {x}" for x in f"{prose(1, 9)}\n{text}\n{prose(2, 90)}".split("\n"))) for n, text in cases.items() for mark in ("*", "//", "#", "")]
+    rows += [("MPL-2.0", f"{prose(3, 80)} This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. {prose(4, 80)}")]
+    folder = Path(licenses.__file__).parent / "license_texts"
+    rows += [(f.stem, f.read_text()) for f in sorted(folder.iterdir())] + [(None, prose(i, 80)) for i in range(200)]
+    files = spark.createDataFrame([(i, f"d{i}/x", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(files).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
