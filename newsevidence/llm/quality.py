@@ -14,6 +14,9 @@ from .common import SEPARATORS
 #: Rows of the sample that sets the order of the rules, and their longest text. The order never changes a verdict.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 100_000
 
+#: Letters of scripts that put no spaces between words. Where they are half of a text, words may be of any length.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -79,8 +82,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("too_few_words", n < 50),
         Rule("repeated_windows", F.col("n_repeat_words") * 100 > n * 50),
-        Rule("too_many_words", n > 1_000_000),
-        Rule("word_length", (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20)),
+        Rule("word_length", (F.col("word_chars") < n * 2) | F.when(F.col("word_chars") > n * 20, F.length(F.regexp_replace(text, _UNSPACED, "")) * 2 > F.length(text)).otherwise(F.lit(False))),
         Rule("symbols", F.col("n_symbols") * 10 > n),
         Rule("repeated_lines", F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
         Rule("no_letters", F.length(F.regexp_replace(text, r"\P{L}+", "")) * 2 < F.col("word_chars")),

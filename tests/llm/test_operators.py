@@ -184,6 +184,15 @@ def test_quality(odd, none, plain):
     assert quality.quality_cascade(none).count() == 0
 
 
+def test_long_texts_and_unspaced_scripts_are_kept(spark):
+    r = random.Random(5)
+    han = " ".join("".join(chr(r.randint(0x4E00, 0x9FA0)) for _ in range(30)) for _ in range(80))
+    latin = " ".join("".join(r.choice("abcdefgh") for _ in range(30)) for _ in range(80))
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}{chr(97 + i // 456976)}" for i in range(1_000_001))
+    docs = spark.createDataFrame([(1, han), (2, latin), (3, long)], "doc_id long, text string")
+    assert {x.doc_id: x.failed_rule for x in quality.quality_cascade(docs).collect()} == {1: None, 2: "word_length", 3: None}
+
+
 def test_rules_are_ordered_by_rejection_per_cost(odd):
     cheap, idle = quality.Rule("cheap", F.col("n_words") < 1_000), quality.Rule("idle", F.lit(False))
     sample = quality.measured(odd.select("text")).cache()
