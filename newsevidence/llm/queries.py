@@ -119,3 +119,11 @@ def op10_license_paths(spark: SparkSession, folder: str) -> DataFrame:
     part = lambda c: F.coalesce(F.col(c), F.lit("_"))
     path = F.concat_ws("/", part("source"), part("lang"), F.col("doc_id").cast("string"))
     return scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
+@query
+def op11_neighbour_descent(spark: SparkSession, folder: str) -> DataFrame:
+    from .neighbours import nearest
+
+    rows = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
