@@ -127,3 +127,47 @@ def op11_neighbour_descent(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op12_packed_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, folder, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_packed_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS parts
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_dot_product(a.parts, c.parts) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+@query
+def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from .periodic import contract_rewrite, periodic_runs
+
+    found = periodic_runs(_table(spark, folder, "documents"), contract_rewrite)
+    runs = F.arrays_zip("lengths", "starts", "periods")
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["lengths"]).alias("less"), r["starts"].alias("start"), r["periods"].alias("period"))))
+    found = found.withColumn("best", best).withColumn("length", -F.col("best.less"))
+    return found.select(
+        "doc_id", F.size("starts").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("length") / F.col("best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")

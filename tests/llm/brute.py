@@ -1,6 +1,7 @@
 """Plain versions of the operators over lists of rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -115,3 +116,62 @@ def contaminated(text, items):
         if a and set(zip(a, a[1:], a[2:])) & set(zip(w, w[1:], w[2:])) and smith_waterman(a, w) >= 0.5 * min(2 * len(a), 60):
             out.add(i)
     return out
+
+
+def runs(w, shortest=12):
+    """Maximal runs (start, length, smallest period) of a list of words."""
+    n, out = len(w), {}
+    for p in range(1, n // 2 + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and w[j] == w[j + p]:
+                j += 1
+            if j + p - i >= max(shortest, 2 * p):
+                out.setdefault((i, j + p), p)
+            i = j + 1
+    return sorted((s, e - s, p) for (s, e), p in out.items())
+
+
+def made_periodic(doc_id, w):
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+
+
+def run_columns(doc_id, text):
+    w = made_periodic(doc_id, words(text))
+    found = runs(w)
+    gone = {i for s, n, p in found for i in range(s + p, s + n)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else None
+    return (doc_id, len(found), *(best or (None, None, None)), 1000 * best[1] // best[2] if best else None,
+            sha("".join(f"{s},{n},{p}\n" for s, n, p in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def nearest(rows, query, k):
+    """(vec_id, score) of the largest inner products; rows are (vec_id, vector), the query's own left out once."""
+    rest = list(rows)
+    rest.remove(query)
+    scored = [(i, sum(float(a) * float(b) for a, b in zip(query[1], v))) for i, v in rest]
+    return sorted(scored, key=lambda r: (-r[1], r[0]))[:k]
+
+
+def hard_negatives(rows, is_anchor, k=5):
+    """Rows (vec_id, label, vector) to tuples of anchor, positive, rank, negative and both scores."""
+    size = max((len(v) for _, _, v in rows), default=0)
+    whole = [(i, c, [math.floor(256 * x) for x in v] + [0] * (size - len(v))) for i, c, v in rows]
+    place = lambda r: (-r[0], LAST if r[1] is None else r[1], r[2])
+    out = []
+    for n, (i, c, v) in enumerate(whole):
+        if not is_anchor(i):
+            continue
+        scored = [(sum(a * b for a, b in zip(v, u)), j, m, d) for m, (j, d, u) in enumerate(whole) if m != n]
+        scored.sort(key=place)
+        for p in [s for s in scored if s[3] == c][:k]:
+            inside = [s for s in scored if s[3] != c and 80 * p[0] <= 100 * s[0] <= 100 * p[0]][:k]
+            out += [(i, p[1], r + 1, s[1], p[0], s[0]) for r, s in enumerate(inside)]
+    return out
