@@ -141,9 +141,9 @@ def op12_packed_negatives(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op12_packed_negatives"] = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS parts
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS parts
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
   SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
     CAST(list_dot_product(a.parts, c.parts) AS BIGINT) AS score
