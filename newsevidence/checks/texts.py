@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, vectors
 from ..functions.answers import parse_verdict
+from ..operators.sentences import split_sentences_trained, train_sentences
 from ..operators.views import batch_reject_reasons, sentences_reject_reason, text_reject_reason, vector_reject_reason
 from . import adapters as A
 from .registry import check
@@ -35,6 +36,74 @@ def sentences(spark, d):
     return docs.select("doc_id", F.posexplode(text.split_sentences("text")).alias("pos", "sentence"))
 
 
+_LEFT, _RIGHT = r"""["''“”‘’«»(\[{]""", r"""["''“”‘’«»)\]},;:!?]"""
+
+
+def _type(w: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({w}), '^{_LEFT}+|{_RIGHT}+$', '', 'g'), '\.$', '')"
+
+
+_MARKED = r"""([.!?])["''”’»)\]]*$"""
+_MODEL = rf"""
+    WITH words AS (
+      SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w
+      FROM (SELECT doc_id, list_filter(string_split({A.clean('text')}, ' '), lambda x: x <> '') AS w FROM documents)),
+    tokens AS (
+      SELECT doc_id, i, w, {_type('w')} AS type, regexp_extract(w, '{_MARKED}', 1) AS mark,
+        regexp_replace(lower(w), '^{_LEFT}+|{_RIGHT}+$', '', 'g') LIKE '%.' AS stop,
+        lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS next, lead({_type('w')}) OVER (PARTITION BY doc_id ORDER BY i) AS after
+      FROM words),
+    counts AS (
+      SELECT type, count(*) FILTER (stop) AS d, count(*) FILTER (NOT stop) AS r FROM tokens WHERE regexp_matches(type, '\p{{L}}') GROUP BY 1),
+    totals AS (SELECT CAST(sum(d + r) AS DOUBLE) AS n, sum(d) / sum(d + r) AS p FROM counts),
+    abbreviations AS (
+      SELECT type, -2 * ((d * ln(p) + r * ln(1 - p)) - (d * ln(0.99) + r * ln(0.01))) * exp(-len(replace(type, '.', '')))
+        * (len(type) - len(replace(type, '.', '')) + 1) * pow(CAST(len(replace(type, '.', '')) AS DOUBLE), -r) AS score
+      FROM counts, totals WHERE d > 0),
+    short AS (SELECT * FROM abbreviations WHERE score >= 0.3),
+    follows AS (
+      SELECT after AS type, CAST(count(*) AS DOUBLE) AS ab FROM tokens t
+      WHERE mark <> '' AND next IS NOT NULL AND (mark <> '.' OR len(type) > 1 AND type NOT LIKE '%.'
+        AND type NOT IN (SELECT type FROM short)) GROUP BY 1),
+    found AS (
+      SELECT f.type, ab, CAST(d + r AS DOUBLE) AS b, (SELECT sum(ab) FROM follows) AS a, n
+      FROM follows f JOIN counts c ON f.type = c.type, totals),
+    firsts AS (
+      SELECT type, -2 * (ab * ln(b / n) + (a - ab) * ln(1 - b / n) + (b - ab) * ln(b / n) + (n - a - b + ab) * ln(1 - b / n)
+        - ab * ln(least(ab / a, 1 - 1e-12)) - (a - ab) * ln(greatest(1 - ab / a, 1e-12))
+        - (b - ab) * ln(greatest((b - ab) / (n - a), 1e-12)) - (n - a - b + ab) * ln(least(1 - (b - ab) / (n - a), 1 - 1e-12))) AS score
+      FROM found WHERE ab / b > a / n),
+    starters AS (SELECT * FROM firsts WHERE score >= 30)
+    """
+
+
+@check("sentence_model", _MODEL + """
+    SELECT 'abbreviation' AS kind, type, round(score, 6) AS score FROM short
+    UNION ALL SELECT 'starter', type, round(score, 6) FROM starters
+    """)
+def sentence_model(spark, d):
+    return train_sentences(_documents(spark, d)).select("kind", "type", F.round("score", 6).alias("score"))
+
+
+@check("sentences_trained", _MODEL + rf"""
+    , flags AS (
+      SELECT doc_id, i, w, next IS NOT NULL AND mark <> '' AND CASE
+        WHEN mark <> '.' THEN TRUE
+        WHEN type IN (SELECT type FROM short) OR regexp_matches(type, '^\p{{L}}$') OR type LIKE '%.'
+          THEN after IN (SELECT type FROM starters) AND regexp_matches(next, '^{_LEFT}*\p{{Lu}}')
+        WHEN regexp_matches(type, '^\p{{N}}[\p{{N}}.,]*$') THEN NOT regexp_matches(next, '^{_LEFT}*\p{{Ll}}')
+        ELSE TRUE END AS ends
+      FROM tokens),
+    placed AS (SELECT doc_id, i, w, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM flags),
+    whole AS (SELECT doc_id, s, string_agg(w, ' ' ORDER BY i) AS sentence FROM placed GROUP BY 1, 2)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS pos, sentence FROM whole WHERE length(sentence) >= 3
+    """)
+def sentences_trained(spark, d):
+    docs = _documents(spark, d)
+    split = split_sentences_trained(docs, train_sentences(docs))
+    return split.select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+
+
 @check("dedup_key", rf"""
     SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x{{0B}}\x{{1C}}-\x{{1F}}]+', ' ', 'g')) AS dedup_key
     FROM documents
