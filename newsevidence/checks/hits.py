@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.answers import evidence_line
 from ..operators import evidence as E
 from ..operators import search as S
+from ..session import shared_dir
 from ..sources import responses as R
 from . import adapters as A
 from .registry import check
@@ -46,6 +49,49 @@ def evidence_search_cells(spark, d):
     return found.select("claim_id", "chunk_id", "rank", F.round(F.col("distance").cast("double"), 6).alias("distance"))
 
 
+# The supplied vectors, every third one again, and some that nothing can be compared with.
+_ODD_CHUNKS = f"""
+    SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    UNION ALL SELECT vec_id + 1000000, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 3 = 0
+    UNION ALL SELECT vec_id + 2000000, list_transform(range(0, 64), lambda j: 0.0) FROM embeddings WHERE vec_id % 50 = 0"""
+
+
+def _odd_chunks(spark, d):
+    v = A.vector_chunks(spark, d).select("chunk_id", "vector", "source_name")
+    again = v.where("chunk_id % 3 = 0").withColumn("chunk_id", F.col("chunk_id") + 1_000_000)
+    zero = v.where("chunk_id % 50 = 0").select(F.col("chunk_id") + 2_000_000, F.expr("array_repeat(0F, 64)"), "source_name")
+    none = v.where("chunk_id % 10 = 0").select(F.col("chunk_id") + 3_000_000, F.expr("""
+        case chunk_id % 40 when 0 then null when 10 then array() when 20 then slice(vector, 1, 63)
+        else transform(vector, (x, i) -> if(i = 5, if(chunk_id % 80 = 30, null, float('nan')), x)) end"""), "source_name")
+    return v.unionByName(again).union(zero).union(none)
+
+
+@check("evidence_search_stored", f"""
+    SELECT claim_id, chunk_id, rank, round(CAST(distance AS DOUBLE), 6) AS distance, 'src' || e.label AS source_name
+    FROM ({_NEAREST.format(pairs=f"""(
+        SELECT q.vec_id AS claim_id, c.chunk_id, CAST(1 - coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), c.v), 0) AS FLOAT) AS distance
+        FROM embeddings q, ({_ODD_CHUNKS}) c WHERE c.chunk_id < 2000000)""", k=5, limit=MAX_DISTANCE)}) n
+    JOIN embeddings e ON e.vec_id = n.chunk_id % 1000000
+    """)
+def evidence_search_stored(spark, d):
+    """Search over a layout stored by cell: copies, zero vectors, and vectors that can't be used among the chunks."""
+    folder = f"{shared_dir(spark)}/stored_cells/{uuid4().hex}"
+    cells = S.build_cells(_odd_chunks(spark, d), folder, cell_rows=50)
+    hits = S.search_cells(A.vector_claims(spark, d), cells, 5, MAX_DISTANCE, f"{folder}/run")
+    return S.with_cell_columns(hits, cells).select(
+        "claim_id", "chunk_id", "rank", F.round(F.col("distance").cast("double"), 6).alias("distance"), "source_name")
+
+
+@check("chunk_vector_rejects", """
+    SELECT vec_id + 3000000 AS chunk_id, CASE vec_id % 40 WHEN 0 THEN 'vector is missing' WHEN 10 THEN 'vector is empty'
+      WHEN 20 THEN 'vector has 63 numbers, not 64' ELSE CASE WHEN vec_id % 80 = 30 THEN 'vector has missing numbers'
+      ELSE 'vector has numbers that are not finite' END END AS reject_reason
+    FROM embeddings WHERE vec_id % 10 = 0
+    """)
+def chunk_vector_rejects(spark, d):
+    return S.chunk_vector_rejects(_odd_chunks(spark, d), 64)
+
+
 @check("filtered_search", f"""
     SELECT claim_id, n.chunk_id, rank, round(CAST(CAST(1 AS FLOAT) - distance AS DOUBLE), 5) AS score
     FROM ({_NEAREST.format(pairs='''(SELECT p.* FROM t_pairs p JOIN t_chunks c ON c.chunk_id = p.chunk_id

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import col, is_blank, normalize_label
+from ..session import shared_dir
+from .cells import Cells, build_cells, common_size, open_cells, search_cells, with_cell_columns  # noqa: F401
 from .keyed import top_per_key
+from .vectorset import TopK, chunk_vector_rejects, claim_vector_rejects, unit_rows, unusable_vector  # noqa: F401
 
 # Search defaults and the labels of badly rated sources.
 TOP_K = 5
@@ -24,14 +27,6 @@ BAD_LEVELS = ["very low", "low"]
 
 # Size bound under which the claim vectors may be sent to every task.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows of one side of a vector block when the claims are past that bound.
-BLOCK_CLAIMS = 8_192
-BLOCK_CHUNKS = 16_384
-PIVOTS = 64
-CHUNKS_PER_PIVOT = 1_000
-# Tile of the distance matrix held at a time: 32 MiB of doubles.
-TILE_CLAIMS = 1_024
-TILE_CHUNKS = 4_096
 # Estimated size of one hit row when hits are broadcast to fetch their chunk columns.
 HIT_BYTES = 64
 
@@ -74,192 +69,67 @@ def search_filters(chunks: DataFrame, source_names: list[str] | None = None, pub
     return out
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-class _TopK:
-    """Running k nearest chunks of a block of claims: distance first, then chunk id.
-
-    Works on tiles, so the distance matrix stays small however many claims and chunks a task holds.
-    """
-
-    def __init__(self, claim_ids: np.ndarray, claims: np.ndarray, k: int, max_distance: float):
-        self.claim_ids, self.claims, self.k = claim_ids, claims, k
-        self.bar = np.full(len(claim_ids), max_distance, dtype=np.float32)
-        self.best = pd.DataFrame({"q": [], "chunk_id": [], "distance": []})
-
-    def add(self, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
-        found = []
-        for c0 in range(0, len(chunk_ids), TILE_CHUNKS):
-            part, ids = chunks[c0 : c0 + TILE_CHUNKS].T, chunk_ids[c0 : c0 + TILE_CHUNKS]
-            for q0 in range(0, len(self.claim_ids), TILE_CLAIMS):
-                distance = (1.0 - self.claims[q0 : q0 + TILE_CLAIMS] @ part).astype(np.float32)
-                limit = self.bar[q0 : q0 + TILE_CLAIMS]
-                if distance.shape[1] > self.k:
-                    # Ties at the k-th distance stay in; the chunk id decides about them below.
-                    kth = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]
-                    limit = np.minimum(limit, kth)
-                q, c = np.nonzero(distance <= limit[:, None])
-                found.append(pd.DataFrame({"q": q + q0, "chunk_id": ids[c], "distance": distance[q, c]}))
-        self._keep(found)
-
-    def _keep(self, found: list[pd.DataFrame]) -> None:
-        known = [self.best] if len(self.best) else []
-        rows = pd.concat([*known, *found]).sort_values(["q", "distance", "chunk_id"], kind="stable")
-        place = rows.groupby("q", sort=False).cumcount()
-        self.best = rows[place < self.k]
-        full = rows[place == self.k - 1]
-        self.bar[full["q"].to_numpy(dtype=int)] = full["distance"].to_numpy(dtype=np.float32)
-
-    def rows(self) -> pd.DataFrame:
-        q = self.best["q"].to_numpy(dtype=int)
-        return pd.DataFrame({
-            "claim_id": self.claim_ids[q], "chunk_id": self.best["chunk_id"].to_numpy(),
-            "distance": self.best["distance"].to_numpy(dtype=np.float32),
-        })
-
-
 def _broadcast_hits(claims: pd.DataFrame, chunks: DataFrame, k: int, max_distance: float, schema: T.StructType):
     """One pass over the chunks; every task holds the bounded claim matrix and keeps k rows per claim."""
     shared = chunks.sparkSession.sparkContext.broadcast(
-        (claims["claim_id"].to_numpy(), _unit(claims["vector"])) if len(claims) else None
+        (claims["claim_id"].to_numpy(), unit_rows(claims["vector"])) if len(claims) else None
     )
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if shared.value is None:
             return
-        best = _TopK(*shared.value, k, max_distance)
+        best = TopK(*shared.value, k, max_distance)
         for batch in batches:
             if len(batch):
-                best.add(batch["chunk_id"].to_numpy(), _unit(batch["vector"]))
+                best.add(batch["chunk_id"].to_numpy(), unit_rows(batch["vector"]))
         if len(best.best):
             yield best.rows()
 
     return chunks.select("chunk_id", "vector").mapInPandas(scan, schema)
 
 
-def _cell_hits(claims: DataFrame, chunks: DataFrame, n_claims: int, k: int, max_distance: float,
-               schema: T.StructType) -> DataFrame:
-    """Exact search without a broadcast of either side.
+def _nearest(claims: DataFrame, chunks: DataFrame, k: int, max_distance: float, broadcast_bytes: int,
+             cells: Cells | None = None) -> tuple[DataFrame, int | None]:
+    """Hits, and the most rows they can have where the claims were few enough to count.
 
-    Chunks go to the cell of their nearest pivot. By the triangle inequality for angles a claim can
-    only have hits in cells whose ring of angles meets its own search cone; all other cells are left
-    out. Cells are split on both sides into bounded blocks, so a cell that holds a third of all rows
-    becomes many tasks. Each task keeps at most k rows per claim.
+    Vectors that can't be compared take no part on either side: the claims' commonest size, or the layout's, is expected.
     """
-    spark = chunks.sparkSession
-    id_type = schema["chunk_id"].dataType.simpleString()
-    n_pivots = min(PIVOTS, 1 + chunks.count() // CHUNKS_PER_PIVOT)
-    picked = chunks.select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n_pivots)
-    picked = picked.toPandas()  # PIVOTS rows at most
-    if picked.empty:
-        return spark.createDataFrame([], schema)
-    pivots = spark.sparkContext.broadcast(_unit(picked["vector"]))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                similarity = np.clip(_unit(batch["vector"]) @ pivots.value.T, -1.0, 1.0)
-                cell = similarity.argmax(axis=1)
-                angle = np.arccos(similarity[np.arange(len(cell)), cell])
-                yield batch.assign(cell=cell.astype(np.int32), angle=angle)
-
-    placed = chunks.select("chunk_id", "vector").mapInPandas(
-        place, f"chunk_id {id_type}, vector {dict(chunks.dtypes)['vector']}, cell int, angle double"
-    )
-    ring = placed.groupBy("cell").agg(
-        F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")
-    ).toPandas()  # one row per pivot at most
-    reach = float(np.arccos(np.clip(1.0 - min(max_distance, 2.0), -1.0, 1.0))) + 1e-3
-    splits = dict(zip(ring["cell"], (-(-ring["n"] // BLOCK_CHUNKS)).astype(int)))
-    n_blocks = max(1, -(-n_claims // BLOCK_CLAIMS))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi = ring["lo"].to_numpy(), ring["hi"].to_numpy()
-        for batch in batches:
-            if not len(batch):
-                continue
-            angle = np.arccos(np.clip(_unit(batch["vector"]) @ pivots.value[ring["cell"]].T, -1.0, 1.0))
-            bound = np.maximum(np.maximum(angle - hi, lo - angle), 0.0)
-            q, at = np.nonzero(bound <= reach)
-            routed = batch.iloc[q].assign(cell=ring["cell"].to_numpy()[at].astype(np.int32))
-            yield routed
-
-    claim_type = schema["claim_id"].dataType.simpleString()
-    routed = claims.select("claim_id", "vector").mapInPandas(
-        route, f"claim_id {claim_type}, vector {dict(claims.dtypes)['vector']}, cell int"
-    )
-    n_splits = F.element_at(F.create_map(*[F.lit(int(x)) for pair in splits.items() for x in pair]), F.col("cell"))
-    claim_side = routed.withColumn("block", F.pmod(F.xxhash64("claim_id"), F.lit(n_blocks)).cast("int")).withColumn(
-        "split", F.explode(F.sequence(F.lit(0), n_splits - 1))
-    )
-    used = routed.select("cell", F.pmod(F.xxhash64("claim_id"), F.lit(n_blocks)).cast("int").alias("block"))
-    used = used.groupBy("cell").agg(F.collect_set("block").alias("blocks"))
-    if PIVOTS * n_blocks * 8 <= BROADCAST_BYTES:  # one row per cell with at most n_blocks numbers
-        used = F.broadcast(used)
-    chunk_side = placed.drop("angle").withColumn("split", F.pmod(F.xxhash64("chunk_id"), n_splits).cast("int")).join(
-        used, "cell"
-    ).withColumn("block", F.explode("blocks")).drop("blocks")
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
-        best = _TopK(left["claim_id"].to_numpy(), _unit(left["vector"]), k, max_distance)
-        best.add(right["chunk_id"].to_numpy(), _unit(right["vector"]))
-        return best.rows()
-
-    keys = ["cell", "split", "block"]
-    return claim_side.groupBy(*keys).cogroup(chunk_side.groupBy(*keys)).applyInPandas(nearest, schema)
-
-
-def _nearest(claims: DataFrame, chunks: DataFrame, k: int, max_distance: float,
-             broadcast_bytes: int) -> tuple[DataFrame, int | None]:
-    """Hits, and the most rows they can have where the claims were few enough to count."""
+    spark = claims.sparkSession
+    dim = cells.dim if cells else common_size(claims.select("vector"))
+    id_type = cells.id_type if cells else chunks.schema["chunk_id"].dataType
     schema = T.StructType([
         T.StructField("claim_id", claims.schema["claim_id"].dataType),
-        T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+        T.StructField("chunk_id", id_type),
         T.StructField("distance", T.FloatType()),
     ])
-    slim = claims.select("claim_id", "vector").filter(unusable_vector("vector").isNull())
-    # The largest vector of all claims sets how many fit the bound.
-    dim = slim.agg(F.max(F.size("vector")).alias("dim")).first()["dim"] or 1
+    if dim is None:  # no claim to search for
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])), 0
+    folder = f"{shared_dir(spark)}/search/{uuid4().hex}"
+    if cells:
+        return search_cells(claims, cells, k, max_distance, folder), None
+    slim = claims.select("claim_id", "vector").filter(unusable_vector("vector", dim).isNull())
     fit = max(1, broadcast_bytes // (8 * dim))
     small = slim.limit(fit + 1).toPandas()  # never more than the bound allows, plus one row
-    if len(small) <= fit:
-        hits, most = _broadcast_hits(small, chunks, k, max_distance, schema), len(small) * k
-    else:
-        hits, most = _cell_hits(slim, chunks, slim.count(), k, max_distance, schema), None
-    return top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank"), most
-
-
-def unusable_vector(vector: str = "vector") -> Column:
-    """Why a claim can't be searched: no vector, an empty one, or one with a missing number."""
-    return (
-        F.when(F.col(vector).isNull(), F.lit("vector is missing"))
-        .when(F.size(vector) == 0, F.lit("vector is empty"))
-        .when(F.exists(vector, lambda x: x.isNull()), F.lit("vector has missing numbers"))
-    )
-
-
-def claim_vector_rejects(claims: DataFrame) -> DataFrame:
-    """``(claim_id, reject_reason)`` of claims that :func:`nearest_chunks` leaves out."""
-    return claims.select("claim_id", unusable_vector().alias("reject_reason")).filter("reject_reason is not null")
+    if len(small) > fit:
+        made = build_cells(chunks.select("chunk_id", "vector"), f"{folder}/cells", dim)
+        return search_cells(slim, made, k, max_distance, folder).drop("cell"), None
+    usable = chunks.filter(unusable_vector("vector", dim).isNull())
+    hits = _broadcast_hits(small, usable, k, max_distance, schema)
+    return top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank"), len(small) * k
 
 
-def nearest_chunks(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
-                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def nearest_chunks(claims: DataFrame, chunks: DataFrame | None, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
+                   broadcast_bytes: int = BROADCAST_BYTES, cells: Cells | None = None) -> DataFrame:
     """``(claim_id, chunk_id, distance, rank)``: the k nearest chunks of each claim within the limit.
 
     Distance is one minus cosine, and it and the limit are single precision; ties go to the smaller
     chunk id. Dropping rows past ``max_distance`` early does not change which rows survive both cuts.
-    Claims without a usable vector have no hits, see :func:`claim_vector_rejects`. The others are
-    counted up to the broadcast bound: below it they travel to every task, above it both sides are
-    partitioned by cell.
+    Claims and chunks without a usable vector have no part in it, see :func:`claim_vector_rejects` and
+    :func:`chunk_vector_rejects`. With ``cells``, a stored layout, only cells that can hold a hit are
+    read. Without it the claims are counted up to the broadcast bound: below it they travel to every
+    task, above it a layout is made for this search.
     """
-    return _nearest(claims, chunks, k, max_distance, broadcast_bytes)[0]
+    return _nearest(claims, chunks, k, max_distance, broadcast_bytes, cells)[0].drop("cell")
 
 
 def _with_chunk_columns(hits: DataFrame, most: int | None, chunks: DataFrame) -> DataFrame:
@@ -273,12 +143,19 @@ def _with_chunk_columns(hits: DataFrame, most: int | None, chunks: DataFrame) ->
     return chunks.drop("vector").join(hits, "chunk_id")
 
 
-def evidence_search(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
-                    prefilter: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def evidence_search(claims: DataFrame, chunks: DataFrame | None, k: int = TOP_K, max_distance: float = MAX_DISTANCE, *,
+                    prefilter: bool = False, broadcast_bytes: int = BROADCAST_BYTES, cells: Cells | None = None) -> DataFrame:
     """Evidence of every claim: top k, distance limit, then badly rated sources dropped.
 
-    A claim may therefore end with fewer than k rows; ``prefilter`` drops the sources first.
+    A claim may therefore end with fewer than k rows; ``prefilter`` drops the sources first. With ``cells``, the layout
+    that :func:`build_cells` has stored, neither vectors nor texts of cells without a hit are read; a prefilter must have been
+    applied before the layout was made.
     """
+    if cells:
+        if prefilter:
+            raise ValueError("a stored layout is filtered when it is made")
+        hits, _ = _nearest(claims, chunks, k, max_distance, broadcast_bytes, cells)
+        return drop_bad_sources(with_cell_columns(hits, cells))
     pool = drop_bad_sources(chunks) if prefilter else chunks
     hits, most = _nearest(claims, pool, k, max_distance, broadcast_bytes)
     found = _with_chunk_columns(hits, most, pool)
@@ -291,7 +168,8 @@ def search(claims: DataFrame, chunks: DataFrame, limit: int = SEARCH_LIMIT, min_
     if not 1 <= limit <= SEARCH_LIMIT_MAX:
         raise ValueError("limit must be between 1 and 100")
     pool = search_filters(chunks, **filters)
-    hits, most = _nearest(claims, pool, limit, 2.0, broadcast_bytes)
+    # What scores less can't come out; the slack leaves the exact cut to the score itself.
+    hits, most = _nearest(claims, pool, limit, min(2.0, 1.0 - min_score + 1e-3), broadcast_bytes)
     return _with_chunk_columns(with_min_score(hits, min_score), most, pool)
 
 

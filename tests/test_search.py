@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsevidence.operators import cells as C
 from newsevidence.operators import search as S
 
 
@@ -30,9 +31,9 @@ def brute(claims, chunks, k, limit):
 @pytest.mark.parametrize("k, limit", [(5, 0.5), (3, 2.0), (200, 0.9)])
 @pytest.mark.parametrize("bound", [1, S.BROADCAST_BYTES])
 def test_both_paths_equal_brute_force(spark, monkeypatch, k, limit, bound):
-    monkeypatch.setattr(S, "BLOCK_CHUNKS", 50)
-    monkeypatch.setattr(S, "BLOCK_CLAIMS", 7)
-    monkeypatch.setattr(S, "CHUNKS_PER_PIVOT", 10)
+    monkeypatch.setattr(C, "BLOCK_CHUNKS", 50)
+    monkeypatch.setattr(C, "BLOCK_CLAIMS", 7)
+    monkeypatch.setattr(C, "CELL_ROWS", 10)
     claims, chunks, q, c = tables(spark, 30, 300)
     got = S.nearest_chunks(claims, chunks, k, limit, broadcast_bytes=bound)
     assert sorted((r.claim_id, r.chunk_id, r["rank"]) for r in got.collect()) == brute(q, c, k, limit)
@@ -85,9 +86,60 @@ def test_article_chunks_cut_before_blanks(spark):
 def test_claims_without_a_usable_vector_are_listed(spark):
     from newsevidence.operators.search import claim_vector_rejects, nearest_chunks
 
-    claims = spark.createDataFrame([(1, None), (2, []), (3, [1.0, 0.0]), (4, [None, 1.0])], "claim_id long, vector array<float>")
-    chunks = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.0, 1.0])], "chunk_id string, vector array<float>")
+    rows = [(1, None), (2, []), (3, [1.0, 0.0]), (4, [None, 1.0]), (5, [1.0]), (6, [1.0, float("nan")]), (7, [0.9, 0.1])]
+    claims = spark.createDataFrame(rows, "claim_id long, vector array<float>")
+    odd = [("c", None), ("d", []), ("e", [1.0, None]), ("f", [1.0, 0.0, 0.0]), ("g", [float("inf"), 0.0])]
+    chunks = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.0, 1.0]), *odd], "chunk_id string, vector array<float>")
     for bound in (1, 1 << 20):
         got = nearest_chunks(claims, chunks, 1, 0.5, broadcast_bytes=bound).collect()
-        assert [(r.claim_id, r.chunk_id) for r in got] == [(3, "a")]
-    assert {r.claim_id for r in claim_vector_rejects(claims).collect()} == {1, 2, 4}
+        assert sorted((r.claim_id, r.chunk_id) for r in got) == [(3, "a"), (7, "a")]
+    assert {r.claim_id for r in claim_vector_rejects(claims).collect()} == {1, 2, 4, 6}
+    assert {r.claim_id: r.reject_reason for r in claim_vector_rejects(claims, 2).collect()}[5] == "vector has 1 numbers, not 2"
+    assert {r.chunk_id for r in S.chunk_vector_rejects(chunks, 2).collect()} == set("cdefg")
+
+
+@pytest.mark.parametrize("k, limit", [(5, 0.5), (3, 2.0), (40, 1.0)])
+def test_stored_cells(spark, monkeypatch, tmp_path, k, limit):
+    monkeypatch.setattr(C, "BLOCK_CHUNKS", 60)
+    claims, chunks, q, c = tables(spark, 30, 600, seed=2)
+    odd = spark.createDataFrame([(1000, None), (1001, [1.0]), (1002, [None] * 16)], "chunk_id long, vector array<float>")
+    text = chunks.unionByName(odd).withColumn("text", F.concat(F.lit("t"), "chunk_id")).withColumn("bias", F.lit(None).cast("string"))
+    stored = S.build_cells(text, str(tmp_path / "cells"), cell_rows=20)
+    assert stored.rows.sum() == 600 and len(stored.rows) > 10 and stored.dim == 16
+    cells = S.open_cells(spark, stored.folder)
+    got = S.nearest_chunks(claims, None, k, limit, cells=cells)
+    assert sorted((r.claim_id, r.chunk_id, r["rank"]) for r in got.collect()) == brute(q, c, k, limit)
+    rows = spark.read.parquet(f"{stored.folder}/chunks")
+    assert "text" in rows.columns and rows.where("cell is null").count() == 0
+
+
+def test_evidence_from_stored_cells(spark, tmp_path):
+    claims, chunks, _, _ = tables(spark, 10, 200, seed=4)
+    level = F.when(F.col("chunk_id") % 4 == 0, "Very_Low").otherwise("high")
+    wide = chunks.select("*", F.concat(F.lit("t"), "chunk_id").alias("text"), F.lit("center").alias("bias"), level.alias("factual_reporting"),
+                         F.lit(None).cast("string").alias("credibility"))
+    cells = S.build_cells(wide, str(tmp_path / "cells"), cell_rows=10)
+    bag = lambda df: sorted((r.claim_id, r.chunk_id, r["rank"], r.text) for r in df.collect())
+    want = bag(S.evidence_search(claims, wide, 5, 0.9))
+    assert bag(S.evidence_search(claims, None, 5, 0.9, cells=cells)) == want and len(want) > 10
+
+
+def test_cells_spare_what_cannot_match(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(40, 16)) * 4
+    chunks = (middles[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))).astype(np.float32)
+    claims = (middles[:20] + rng.normal(size=(20, 16))).astype(np.float32)
+    to_df = lambda m, c: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{c} long, vector array<float>")
+    cells = S.build_cells(to_df(chunks, "chunk_id"), str(tmp_path / "cells"), cell_rows=50)
+    hits = C.search_cells(to_df(claims, "claim_id"), cells, 5, 0.5, str(tmp_path / "run"))
+    assert sorted((r.claim_id, r.chunk_id, r["rank"]) for r in hits.collect()) == brute(claims, chunks, 5, 0.5)
+    copies = spark.read.parquet(str(tmp_path / "run/routes")).groupBy("claim_id").count().agg(F.avg("count"), F.max("count")).first()
+    assert copies[0] < 0.6 * len(cells.rows)  # of some 80 cells
+
+
+def test_empty_layouts(spark, tmp_path):
+    claims, chunks, _, _ = tables(spark, 3, 9)
+    none = S.build_cells(chunks.limit(0), str(tmp_path / "none"))
+    assert S.nearest_chunks(claims, None, cells=none).count() == 0
+    some = S.build_cells(chunks, str(tmp_path / "some"))
+    assert S.nearest_chunks(claims.limit(0), None, cells=some).count() == 0
