@@ -24,6 +24,8 @@ from .common import staged
 REVISIT_BYTES = 100
 #: Lines of an index block, and bytes after which an archive file is closed.
 BLOCK_LINES, ARCHIVE_BYTES = 256, 1 << 30
+#: Size up to which the digests of repeated payloads may travel to every task.
+BROADCAST_BYTES = 32 << 20
 #: Records carry this date; the tables have no capture time.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,15 +47,15 @@ def url_key(url: Column) -> Column:
     return F.when(host == "", F.concat(F.lit(")"), url)).otherwise(F.concat(back, F.lit(")"), path))
 
 
-def _record(kind: str, row: dict) -> bytes:
+def _record(kind: str, name: str, row: dict) -> bytes:
     payload = (row["html"] or "").encode()
     block = _HTTP + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:{row['seq']}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{name}>", f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + "".join((row["url"] or "urn:none").split()), f"WARC-Payload-Digest: sha256:{row['digest']}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:capture:{row['keeper_seq']}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:{row['target']}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -63,14 +65,15 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-_ENTRY = "key string, page_id long, seq long, kind string, keeper_id long, keeper_seq long, file string, offset long, length long"
+_ENTRY = "key string, page_id long, record string, kind string, keeper_id long, target string, file string, offset long, length long"
+_COLUMNS = [f.split(" ")[0] for f in _ENTRY.split(", ")]
 
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        out, name, at = None, "", 0
+        out, file, at = None, "", 0
         try:
             for batch in batches:
                 found = []
@@ -79,19 +82,18 @@ def _write(folder: str):
                         if out is not None:
                             out.close()
                         # Each attempt of a task has files of its own; only those it reports are ever read.
-                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    kind = "response" if row["keeper_seq"] is None or row["keeper_seq"] == row["seq"] else "revisit"
-                    data = _gzip(_record(kind, row))
+                        file, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{root}/{file}", compression=None)
+                    kind = "response" if row["target"] is None else "revisit"
+                    # There is one response to a payload that others may revisit, so the payload names it.
+                    name = f"sha256:{row['digest']}" if kind == "response" and row["bytes"] >= REVISIT_BYTES else f"record:{file}:{at}"
+                    data = _gzip(_record(kind, name, row))
                     out.write(data)
-                    again = kind == "revisit"
-                    found.append((row["key"], row["page_id"], row["seq"], kind, row["keeper_id"] if again else None,
-                                  row["keeper_seq"] if again else None, name, at, len(data)))
+                    found.append((row["key"], row["page_id"], name, kind, row["keeper_id"], row["target"], file, at, len(data)))
                     at += len(data)
                 if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64() if i in (1, 2, 4, 5, 7, 8) else pa.string()) for i, c in enumerate(zip(*found))],
-                        names=["key", "page_id", "seq", "kind", "keeper_id", "keeper_seq", "file", "offset", "length"])
+                        [pa.array(c, pa.int64() if i in (1, 4, 7, 8) else pa.string()) for i, c in enumerate(zip(*found))], names=_COLUMNS)
         finally:
             if out is not None:
                 out.close()
@@ -103,21 +105,35 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write one WARC record per row of ``pages`` (``page_id``, ``url``, ``html``) and return the captures.
 
     Payload is the html in UTF-8, null is empty. Among equal payloads of at least ``REVISIT_BYTES`` the smallest
-    ``page_id`` (null last, then scan order) is the response and the others revisit it; all others are responses.
-    Every record is a gzip member of its own. ``pages`` are staged with a row number first, so repeated and null ids
-    stay apart. Columns: key, page_id, seq, kind, keeper_id, keeper_seq, file, offset, length.
+    ``page_id`` (null last, then url) is the response and the others revisit it; all others are responses. Fully equal
+    rows are as many records. Every record is a gzip member of its own. Which payloads occur again is settled on digests, counted
+    by row content; responses are then written straight from a second scan, and revisits, which have no payload, from the
+    counts. Payloads are neither staged nor shuffled while the table of repeated digests is within ``BROADCAST_BYTES``;
+    beyond that they are joined with it. Columns: key, page_id, record, kind, keeper_id, target, file, offset, length.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", "html", url_key(F.col("url")).alias("key"),
-                        F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"),
-                        F.monotonically_increasing_id().alias("seq"))
-    rows = staged(rows, folder, "numbered")
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("seq").alias("seq"))
-    keepers = (rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes")
-               .agg(F.min(order).alias("k"), F.count("*").alias("n")).where("n > 1")
-               .select("digest", "bytes", F.col("k.id").alias("keeper_id"), F.col("k.seq").alias("keeper_seq")))
-    joined = rows.join(keepers, ["digest", "bytes"], "left").select("page_id", "url", "html", "key", "digest", "seq", "keeper_id", "keeper_seq")
-    return staged(joined.mapInArrow(_write(f"{folder}/archives"), _ENTRY), folder, "captures")
+    size, digest = F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("digest")
+    counted = pages.select("page_id", "url", size, digest).where(F.col("bytes") >= REVISIT_BYTES)
+    counted = staged(counted.groupBy("digest", "bytes", "page_id", "url").agg(F.count("*").alias("n")), folder, "counted")
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("url").isNull().alias("bare"), F.col("url").alias("url"))
+    again = counted.groupBy("digest", "bytes").agg(F.min(order).alias("k"), F.sum("n").alias("all"), F.min_by("n", order).alias("twins")).where(F.col("all") > 1)
+    again = staged(again.select("digest", "bytes", F.col("k.id").alias("keeper_id"), F.col("k.url").alias("keeper_url"), "twins"), folder, "again")
+    held = F.broadcast(again) if again.count() * 256 <= BROADCAST_BYTES else again
+    known = held.withColumn("repeated", F.lit(True))
+    is_keeper = F.col("page_id").eqNullSafe(F.col("keeper_id")) & F.col("url").eqNullSafe(F.col("keeper_url"))
+
+    rows = pages.select("page_id", "url", "html", size, digest).join(known, ["digest", "bytes"], "left")
+    names = ["page_id", "url", "html", "key", "digest", "bytes", "keeper_id", "target"]
+    none = [F.lit(None).cast("long").alias("keeper_id"), F.lit(None).cast("string").alias("target")]
+    key = url_key(F.col("url")).alias("key")
+    single = rows.where(F.col("repeated").isNull() | (is_keeper & (F.col("twins") == 1))).select("page_id", "url", "html", key, "digest", "bytes", *none)
+    one_of = rows.where(is_keeper & (F.col("twins") > 1)).dropDuplicates(["digest", "bytes"]).select("page_id", "url", "html", key, "digest", "bytes", *none)
+    copies = counted.join(held, ["digest", "bytes"]).withColumn("copies", (F.col("n") - is_keeper.cast("long")).cast("int")).where("copies > 0")
+    copies = copies.withColumn("turn", F.explode(F.sequence(F.lit(1), "copies")))
+    target = F.concat(F.lit("sha256:"), "digest").alias("target")
+    revisits = copies.select("page_id", "url", F.lit(None).cast("string").alias("html"), key, "digest", "bytes", "keeper_id", target)
+    written = [df.select(*names).mapInArrow(_write(f"{folder}/archives"), _ENTRY) for df in (single, one_of, revisits)]
+    return staged(written[0].unionByName(written[1]).unionByName(written[2]), folder, "captures")
 
 
 def _index(folder: str):
@@ -139,7 +155,7 @@ def _index(folder: str):
             for row in batch.to_pylist():
                 out = out or store.open_output_stream(f"{root}/{name}.blocks", compression=None)
                 first = first if lines else row["key"]
-                lines.append(json.dumps([row[c] for c in ("key", "page_id", "seq", "kind", "keeper_id", "keeper_seq", "file", "offset", "length")]))
+                lines.append(json.dumps([row[c] for c in _COLUMNS]))
                 last = row["key"]
                 if len(lines) == BLOCK_LINES:
                     close_block()
@@ -157,10 +173,10 @@ def _index(folder: str):
 def write_index(captures: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
     """Sort captures by key into index parts and return ``part, first, last, blocks``, one row per part.
 
-    Keys are range-partitioned together with the row number, so captures of one very frequent key spread over parts.
+    Keys are range-partitioned together with the place of the record, so captures of one very frequent key spread over parts.
     """
     parts = parts or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = captures.repartitionByRange(parts, "key", "seq").sortWithinPartitions("key", "seq")
+    ordered = captures.repartitionByRange(parts, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     return staged(ordered.mapInArrow(_index(f"{folder}/index"), "part string, first string, last string, blocks long"), folder, "parts")
 
 
@@ -187,7 +203,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
-_CAPTURE = "key string, page_id long, seq long, record_type string, target_id long, target_seq long, payload_digest string, payload binary"
+_CAPTURE = "key string, page_id long, record string, record_type string, target_id long, target string, payload_digest string, payload binary"
 
 
 def _read(folder: str):
@@ -216,8 +232,8 @@ def _read(folder: str):
             nonlocal found, size
             columns = list(zip(*found))
             found, size = [], 0
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["key", "page_id", "seq", "record_type", "target_id", "target_seq", "payload_digest", "payload"]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            names = ["key", "page_id", "record", "record_type", "target_id", "target", "payload_digest", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
@@ -236,8 +252,8 @@ def _read(folder: str):
                             continue
                         fields, payload = record(*entry[6:9])
                         again = fields["WARC-Type"] == "revisit"
-                        target = int(fields["WARC-Refers-To"][len("<urn:capture:"):-1]) if again else None
-                        found.append((key, entry[1], int(fields["WARC-Record-ID"][len("<urn:capture:"):-1]), fields["WARC-Type"],
+                        target = fields["WARC-Refers-To"][len("<urn:"):-1] if again else None
+                        found.append((key, entry[1], fields["WARC-Record-ID"][len("<urn:"):-1], fields["WARC-Type"],
                                       entry[4], target, fields["WARC-Payload-Digest"].removeprefix("sha256:"), None if again else payload))
                         size += len(payload)
                         if size > 4 << 20:
@@ -254,7 +270,7 @@ def look_up(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
     """All captures of the distinct values of ``keys`` (one column), read back from the archives.
 
     Only the bounds of the index parts reach the driver (one row per part, their number set by the writer). Columns:
-    key, page_id, seq, record_type, target_id, target_seq, payload_digest (as stored), payload (null for revisits).
+    key, page_id, record, record_type, target_id, target, payload_digest (as stored), payload (null for revisits).
     Keys without a capture and null keys give no row.
     """
     bounds = sorted((tuple(r) for r in parts.select("part", "first", "last").collect()), key=lambda b: (b[1], b[2]))
@@ -271,12 +287,12 @@ def resolved(captures: DataFrame) -> DataFrame:
     it refers to; the join moves numbers only.
     """
     measured = captures.select(
-        "page_id", "seq", "record_type", "target_id", "target_seq", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "page_id", "record", "record_type", "target_id", "target", F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).alias("payload_digest"))
     measured = staged(measured)
     first = measured.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = measured.where("record_type = 'revisit'").select("page_id", "target_id", "target_seq")
-    kept = measured.where("record_type = 'response'").select(F.col("seq").alias("target_seq"), "payload_bytes", "payload_digest")
-    kept = kept.join(again.select("target_seq").distinct(), "target_seq", "left_semi")
-    again = again.join(kept, "target_seq").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("target_id").alias("refers_to"))
+    again = measured.where("record_type = 'revisit'").select("page_id", "target_id", "target")
+    kept = measured.where("record_type = 'response'").select(F.col("record").alias("target"), "payload_bytes", "payload_digest")
+    kept = kept.join(again.select("target").distinct(), "target", "left_semi")
+    again = again.join(kept, "target").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("target_id").alias("refers_to"))
     return first.unionByName(again)

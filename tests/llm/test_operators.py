@@ -112,6 +112,19 @@ def test_archives(spark):
     assert warc.look_up(keys, parts, empty).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 32 << 20])
+def test_archives_of_equal_rows(spark, monkeypatch, bound):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", bound)
+    a, b = "a" * 100, "b" * 99
+    rows = [(1, "http://x.org/", a)] * 3 + [(1, "http://w.org/", a)] + [(2, "http://x.org/", a)] * 2 + [(3, None, b)] * 2 + [(None, None, "c" * 200)] * 2
+    place = run_folder(spark)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    parts = warc.write_index(warc.write_archives(pages, place), place)
+    got = bag(warc.resolved(warc.look_up(pages.select(warc.url_key(F.col("url"))), parts, place)), "page_id", "payload_bytes", "record_type", "refers_to")
+    assert got == Counter({(1, 100, "response", None): 1, (1, 100, "revisit", 1): 3, (2, 100, "revisit", 1): 2, (3, 99, "response", None): 2,
+                           (None, 200, "response", None): 1, (None, 200, "revisit", None): 1})
+
+
 # 3 ----------------------------------------------------------------------------------------------
 
 def test_languages(spark, odd, none, folder):
