@@ -78,6 +78,38 @@ def feed_formats(spark, d):
     return items.select("endpoint_id", "title", "external_url", "source_item_id", A.stamp("published_date"))
 
 
+# Feeds as sites publish them: elements of other vocabularies before and behind the core ones, HTML entities, CDATA.
+_OTHERS = "<media:title>Media</media:title><media:description>of the picture</media:description><itunes:author>A</itunes:author>"
+_WILD = f"""
+    SELECT page_id AS endpoint_id, CASE page_id % 6
+      WHEN 0 THEN '<rss xmlns:media="m" xmlns:atom="a"><channel><title>f</title><atom:link href="self" rel="self"/><item><title>P' || page_id
+        || '</title>{_OTHERS}<link>' || u || '</link><atom:link href="other" rel="related"/><description>text</description></item></channel></rss>'
+      WHEN 1 THEN '<rss><channel><item>{_OTHERS}<title>P' || page_id || '&nbsp;&eacute; A&T &copy; &unknown; x&#233;</title><link>' || u
+        || '</link><content:encoded>whole</content:encoded><dc:date>2024-01-01T10:00:00Z</dc:date></item></channel></rss>'
+      WHEN 2 THEN '<atom:feed xmlns:atom="http://www.w3.org/2005/Atom" xmlns:media="m"><atom:entry><media:title>Media</media:title><atom:title>P' || page_id
+        || '</atom:title><atom:link rel="self" href="self"/><atom:link href="' || u || '"/><atom:id>i' || page_id || '</atom:id></atom:entry></atom:feed>'
+      WHEN 3 THEN '<rss><channel><item><title><![CDATA[P' || page_id || ' & <b>&nbsp;</b>]]>' || '</title><link>' || u
+        || '</link><description><![CDATA[a &amp; b]]>' || '</description></item></channel></rss>'
+      WHEN 4 THEN '<rdf:RDF xmlns:rdf="r" xmlns="http://purl.org/rss/1.0/"><channel rdf:about="x"/><item rdf:about="y"><title>P' || page_id || '</title><link>' || u
+        || '</link><dc:date>2024-01-01T10:00:00Z</dc:date><dc:title>Other</dc:title></item></rdf:RDF>'
+      ELSE '<rss><channel><item><media:title>Only media</media:title><atom:link href="x"/></item></channel></rss>' END AS xml
+    FROM (SELECT page_id, replace(replace(url, '&', '&amp;'), '<', '&lt;') AS u FROM pages)"""
+
+
+@check("feed_namespaces", f"""
+    SELECT page_id AS endpoint_id, 'P' || page_id || CASE page_id % 6 WHEN 1 THEN chr(160) || 'é A&T © &unknown; xé' WHEN 3 THEN ' & <b>&nbsp;</b>' ELSE '' END AS title,
+      url AS external_url, CASE WHEN page_id % 6 = 2 THEN 'i' || page_id ELSE url END AS source_item_id,
+      CASE page_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'whole' WHEN 3 THEN 'a &amp; b' ELSE '' END AS description,
+      CASE WHEN page_id % 6 IN (1, 4) THEN '2024-01-01 10:00:00' ELSE strftime(TIMESTAMP '{A.NOW}', '%Y-%m-%d %H:%M:%S') END AS published_date
+    FROM pages WHERE page_id % 6 < 5
+    """)
+def feed_namespaces(spark, d):
+    A.load(spark, d, "pages").createOrReplaceTempView("wild_pages")
+    feeds = spark.sql(_WILD.replace("FROM pages", "FROM wild_pages").replace("chr(160)", "char(160)"))
+    items = S.parse_rss(feeds, A.now())
+    return items.select("endpoint_id", "title", "external_url", "source_item_id", "description", A.stamp("published_date"))
+
+
 @check("feed_rejects", """
     SELECT page_id AS endpoint_id, CASE page_id % 6 WHEN 3 THEN 'feed is not well-formed' WHEN 4 THEN 'not a feed' ELSE 'feed is empty' END
       AS reject_reason FROM pages WHERE page_id % 6 >= 3

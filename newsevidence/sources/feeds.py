@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ MAX_PAGES = 5
 MAX_SOURCES = 20
 MAX_REQUESTS = 100
 
+# Core elements bear no prefix; date and encoded text come from the extensions that RSS and RDF feeds use for them.
 _ITEM = (
-    "struct<title: string, link: string, description: string, pubDate: string, guid: string, date: string, encoded: string>"
+    "struct<title: string, link: string, description: string, pubDate: string, guid: string, `dc:date`: string, `content:encoded`: string>"
 )
 _ENTRY = (
     "struct<title: string, link: array<struct<_href: string, _rel: string>>, id: string, summary: string, content: string, "
@@ -24,8 +27,11 @@ _ENTRY = (
 )
 # RSS keeps its items in a channel, RDF beside it, Atom calls them entries.
 FEED_SCHEMA = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ENTRY}>, _broken string"
-_FEED_OPTIONS = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
+_FEED_OPTIONS = {"ignoreNamespace": "false", "columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
+# What XML itself defines; all other names are HTML's.
+_XML_NAMES = ("amp", "lt", "gt", "quot", "apos")
 _FEED_ROOT = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(?:\w+:)?(rss|feed|RDF)[\s>/]"
+_FEED_PREFIX = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(\w+):(?:rss|feed|RDF)[\s>/]"
 # A page holds fewer articles than this, so (page, place) is one order per batch.
 PAGE_STEP = 10_000
 API_SCHEMA = (
@@ -57,8 +63,44 @@ def parse_feed_date(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in forms], parse_iso_utc(c))
 
 
+def _known_entities(text: Column) -> Column:
+    """Named HTML entities become numbers, and an ampersand that begins none is escaped."""
+    numbers = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() if name not in _XML_NAMES for x in (name, f"&#{code};")])
+
+    def healed(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*|#[0-9]+|#x[0-9A-Fa-f]+);", 1)
+        kept = F.concat(F.lit("&"), part)
+        number = F.element_at(numbers, name)
+        return (
+            F.when(name == "", F.concat(F.lit("&amp;"), part))
+            .when(name.startswith("#") | name.isin(*_XML_NAMES), kept)
+            .when(number.isNotNull(), F.concat(number, F.substr(part, F.length(name) + 2)))
+            .otherwise(F.concat(F.lit("&amp;"), part))
+        )
+
+    return F.array_join(F.transform(F.split(text, "&"), lambda part, i: F.when(i == 0, part).otherwise(healed(part))), "")
+
+
+def heal_entities(xml: Column) -> Column:
+    """Make entities that only HTML defines readable as XML; character data sections stay as they are."""
+    opening, closing = "<![CDATA[", "]]>"
+
+    def section(part: Column, i: Column) -> Column:
+        end = F.instr(part, closing)
+        outside = F.when(end > 0, F.concat(F.substr(part, F.lit(1), end + 2), _known_entities(F.substr(part, end + 3)))).otherwise(part)
+        return F.when(i == 0, _known_entities(part)).otherwise(outside)
+
+    whole = F.array_join(F.transform(F.split(xml, r"<!\[CDATA\["), section), opening)
+    return F.when(F.contains(xml, F.lit("&")), whole).otherwise(xml)
+
+
 def _feeds(feeds: DataFrame) -> DataFrame:
     clean = F.regexp_replace("xml", "^\ufeff", "")
+    # A root with a prefix (as in <atom:feed>) makes that prefix the one of the core elements.
+    prefix = F.regexp_extract(clean, _FEED_PREFIX, 1)
+    plain = F.when(prefix == "", clean).otherwise(F.regexp_replace(clean, F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1")))
+    feeds = feeds.select("endpoint_id", heal_entities(plain).alias("xml"))
+    clean = F.col("xml")
     return feeds.select("endpoint_id", clean.alias("xml"), F.from_xml(clean, FEED_SCHEMA, _FEED_OPTIONS).alias("f"))
 
 
@@ -80,13 +122,16 @@ def feed_rejects(feeds: DataFrame) -> DataFrame:
 def parse_rss(feeds: DataFrame, now: Column | None = None) -> DataFrame:
     """One row per entry of ``feeds(endpoint_id, xml)``, which may be RSS, RDF or Atom.
 
-    Entries without link or title are dropped; feeds that can't be read are listed by :func:`feed_rejects`.
+    Only core elements make an entry: those of other vocabularies (``media:title``, ``atom:link``, ``itunes:author``)
+    don't stand in for them, but for ``dc:date`` and ``content:encoded`` where the core ones are missing. HTML entities
+    and bare ampersands are read as text. Entries without link or title are dropped; feeds that can't be read are listed by
+    :func:`feed_rejects`.
     """
     stamp = F.current_timestamp() if now is None else now
     parsed = _feeds(feeds).filter(_broken().isNull())
     plain = F.transform(F.coalesce("f.channel.item", "f.item"), lambda i: F.struct(
         i["title"].alias("title"), i["link"].alias("link"), F.coalesce(i["guid"], i["link"]).alias("id"),
-        F.coalesce(i["description"], i["encoded"]).alias("text"), F.coalesce(i["pubDate"], i["date"]).alias("date")))
+        F.coalesce(i["description"], i["content:encoded"]).alias("text"), F.coalesce(i["pubDate"], i["dc:date"]).alias("date")))
     main = lambda links: F.get(F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"]
     atom = F.transform("f.entry", lambda i: F.struct(
         i["title"].alias("title"), main(i["link"]).alias("link"), F.coalesce(i["id"], main(i["link"])).alias("id"),
