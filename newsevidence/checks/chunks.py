@@ -21,7 +21,8 @@ def _sentences(spark, d):
 
 
 def _cut(spark, d):
-    return _sentences(spark, d).select("doc_id", "s", C.hashed_chunks("s", DIM).alias("cut"))
+    """Chunks of all documents by the operator that takes any embedder, here the deterministic one."""
+    return C.stream_chunks(_sentences(spark, d), F.col("s"), C.hash_embedder(DIM), keep=("doc_id",), semantic_from=0)
 
 
 @check("fixed_chunks", """
@@ -36,8 +37,7 @@ def fixed_chunks(spark, d):
     SELECT doc_id, i - 1 AS boundary FROM t_flags WHERE boundary
     """, ("t_flags",))
 def boundaries(spark, d):
-    cut = _cut(spark, d).filter(F.size("s") > 0)
-    return cut.select("doc_id", F.explode("cut.boundaries").alias("boundary"))
+    return _cut(spark, d).select("doc_id", F.explode("boundaries").alias("boundary"))
 
 
 @check("semantic_chunks", """
@@ -46,9 +46,7 @@ def boundaries(spark, d):
     FROM t_semantic c JOIN t_sentences s ON s.doc_id = c.doc_id
     """, ("t_semantic", "t_sentences"))
 def semantic_chunks(spark, d):
-    rows = _cut(spark, d).select("doc_id", F.posexplode(C.chunks_from_cuts("s", "cut.ends")).alias("chunk_index", "c"))
-    return rows.select("doc_id", "chunk_index", F.col("c.start").alias("start"), F.col("c.end").alias("end_"),
-                       F.col("c.overlap_count").alias("overlap_count"), F.col("c.text").alias("text"))
+    return _cut(spark, d).select("doc_id", "chunk_index", "start", F.col("end").alias("end_"), "overlap_count", "text")
 
 
 @check("chunk_vectors", """
@@ -58,10 +56,39 @@ def semantic_chunks(spark, d):
     GROUP BY c.doc_id, c.chunk_index
     """, ("t_semantic", "t_sentence_vectors"))
 def chunk_vectors(spark, d):
-    rows = _cut(spark, d).select("doc_id", F.posexplode("cut.vectors").alias("chunk_index", "v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("doc_id", "chunk_index", F.round(F.col("v")[0], 6).alias("first_value"),
-                       F.round(F.col("v")[31], 6).alias("last_value"), F.round(total, 5).alias("total"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return _cut(spark, d).select("doc_id", "chunk_index", F.round(F.col("vector")[0], 6).alias("first_value"),
+                                 F.round(F.col("vector")[31], 6).alias("last_value"), F.round(total, 5).alias("total"))
+
+
+# A model that takes no short text: documents with one among what it is given fall back to fixed runs.
+_TOO_SHORT = 25
+
+
+def _strict_embedder(texts):
+    if any(len(t) < _TOO_SHORT for t in texts):
+        raise ValueError("text is too short")
+    return C.hash_embedder(DIM)(texts)
+
+
+@check("chunk_fallbacks", f"""
+    SELECT * FROM (WITH runs AS (
+      SELECT doc_id, n, k, array_to_string(sentences[4 * k + 1 : 4 * k + 4], ' ') AS text
+      FROM (SELECT doc_id, sentences, len(sentences) AS n, unnest(range(0, (len(sentences) + 3) // 4)) AS k FROM t_sentences)),
+    failing AS (
+      SELECT doc_id FROM t_sentences WHERE len(sentences) >= 10 AND list_min(list_transform(sentences, lambda s: length(s))) < {_TOO_SHORT}
+      UNION SELECT doc_id FROM runs WHERE n < 10 AND length(text) < {_TOO_SHORT})
+    SELECT c.doc_id, c.chunk_index, array_to_string(s.sentences[c.first + 1 : c.stop], ' ') AS text, TRUE AS semantic, TRUE AS has_vector, FALSE AS failed
+    FROM t_semantic c JOIN t_sentences s ON s.doc_id = c.doc_id WHERE len(s.sentences) >= 10 AND c.doc_id NOT IN (SELECT doc_id FROM failing)
+    UNION ALL
+    SELECT doc_id, k, text, FALSE, length(text) >= {_TOO_SHORT}, doc_id IN (SELECT doc_id FROM failing)
+    FROM runs WHERE n < 10 OR doc_id IN (SELECT doc_id FROM failing))
+    """, ("t_semantic", "t_sentences"))
+def chunk_fallbacks(spark, d):
+    """An embedder that fails on short texts: documents with one are cut into fixed runs, all others are as ever."""
+    rows = C.stream_chunks(_sentences(spark, d), F.col("s"), _strict_embedder, keep=("doc_id",))
+    return rows.select("doc_id", "chunk_index", "text", "semantic", F.col("vector").isNotNull().alias("has_vector"),
+                       F.col("error").isNotNull().alias("failed"))
 
 
 @check("embed_unique", r"""

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, dedup_key, split_sentences
-from ..functions.vectors import Embedder, cosine, digest_matrix, embed, hash_embedding, mean_vector
-
-# Defaults of the two chunking modes.
-FIXED_SENTENCES = 4
-SIMILARITY = 0.65
-MIN_SENTENCES = 2
-MAX_SENTENCES = 8
-MAX_TOKENS = 400
-OVERLAP = 1
-SEMANTIC_FROM = 10
-
+from ..functions.vectors import Embedder, cosine, embed, hash_embedding, mean_vector
+from .chunk_stream import (
+    FIXED_SENTENCES,
+    MAX_SENTENCES,
+    MAX_TOKENS,
+    MIN_SENTENCES,
+    OVERLAP,
+    SEMANTIC_FROM,
+    SIMILARITY,
+    hash_embedder,
+    stream_chunks,
+)
 
 def _bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
@@ -145,99 +144,24 @@ def chunk_vectors(chunks, vectors) -> Column:
     )
 
 
-def _ends(lengths, flags, min_sentences: int, max_sentences: int, max_tokens: int) -> list[int]:
-    """The rule of :func:`chunk_cuts` plus the remainder, for one document inside a task."""
-    ends, start, chars = [], 0, 0
-    for i, length in enumerate(lengths, 1):
-        chars += length
-        boundary = i < len(flags) and flags[i]
-        full = i - start >= max_sentences or chars // 4 > max_tokens
-        if i - start >= min_sentences and (boundary or full):
-            ends.append(i)
-            start, chars = i, 0
-    return ends if start == len(lengths) else [*ends, len(lengths)]
-
-
-def hashed_chunks(sentences, dim: int, *, threshold: float = SIMILARITY, min_sentences: int = MIN_SENTENCES,
-                  max_sentences: int = MAX_SENTENCES, max_tokens: int = MAX_TOKENS,
-                  overlap: int = OVERLAP, semantic_from: int = 0) -> Column:
-    """``struct(boundaries, ends, vectors)`` under the deterministic embedding, in one numpy pass.
-
-    Documents of fewer than ``semantic_from`` sentences are cut into fixed runs, whose texts are
-    embedded as they are.
-
-    Sentence vectors are made inside the task and never become a column: at the default size they
-    would be a thousand times larger than the text they come from.
-    """
-
-    @F.pandas_udf("boundaries array<int>, ends array<int>, vectors array<array<double>>")
-    def cut(docs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for parts in docs:
-            if parts is None or not len(parts):
-                rows.append(([0], [], []))
-                continue
-            if len(parts) < semantic_from:
-                ends = [*range(FIXED_SENTENCES, len(parts), FIXED_SENTENCES), len(parts)]
-                texts = [" ".join(parts[a:b]) for a, b in zip([0, *ends], ends)]
-                rows.append(([0], ends, list(digest_matrix(texts, dim))))
-                continue
-            v = digest_matrix(parts, dim)
-            norms = np.linalg.norm(v, axis=1)
-            scale = norms[1:] * norms[:-1]
-            dots = np.einsum("ij,ij->i", v[1:], v[:-1])
-            similar = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-            flags = np.concatenate([[True], similar < threshold])
-            ends = _ends([len(p) for p in parts], flags, min_sentences, max_sentences, max_tokens)
-            back = overlap if len(ends) > 1 else 0
-            pooled = [v[max(a - back, 0) : b].mean(axis=0) for a, b in zip([0, *ends], ends)]
-            rows.append((np.flatnonzero(flags), ends, pooled))
-        return pd.DataFrame(rows, columns=["boundaries", "ends", "vectors"])
-
-    # Marked so that filters inferred for a later explode are not pushed below it, which would run it twice.
-    return cut.asNondeterministic()(col(sentences))
-
-
 def sentence_vectors(sentences, dim: int) -> Column:
     return F.transform(col(sentences), lambda s: hash_embedding(s, dim))
 
 
 def chunk_documents(docs: DataFrame, text_col: str, *, dim: int, embedder: Embedder | None = None,
-                    key: str = "article_id", keep: tuple[str, ...] = (), semantic: bool = True) -> DataFrame:
-    """Rows ``(key, *keep, chunk_index, text, vector)`` of all documents.
+                    key: str = "article_id", keep: tuple[str, ...] = (), semantic: bool = True, errors: bool = False) -> DataFrame:
+    """Rows ``(key, *keep, chunk_index, text, vector)`` of all documents, see :func:`chunk_stream.stream_chunks`.
 
     From ten sentences on the cut is semantic and a chunk's vector is the mean of its sentences;
     below that runs of four sentences are cut and embedded as they are. Columns in ``keep`` ride
     along, so that what a chunk needs to know of its article is joined before the cut, to texts
-    instead of vectors. With an embedder the sentences become rows, so the model sees even batches
-    whatever the document lengths are.
+    instead of vectors. Without an embedder the deterministic one is used. A document that the
+    embedder fails on is cut into fixed runs; ``errors`` adds a column that says why.
     """
-    split = docs.select(key, *keep, split_sentences(text_col).alias("_sentences"))
     semantic_from = SEMANTIC_FROM if semantic else 2**31 - 1
-    if embedder is None:
-        cut = split.withColumn("_cut", hashed_chunks("_sentences", dim, semantic_from=semantic_from))
-        overlap = lambda n: chunks_from_cuts("_sentences", "_cut.ends", n)["text"]
-        texts = F.when(F.size("_sentences") < semantic_from, overlap(0)).otherwise(overlap(OVERLAP))
-        return _chunk_rows(cut.withColumn("_texts", texts), key, keep, F.col("_cut.vectors"))
-    long = F.size("_sentences") >= semantic_from
-    short_rows = split.filter(~long).select(key, *keep, F.posexplode(fixed_chunks("_sentences")).alias("chunk_index", "text"))
-    short_rows = embed(short_rows, "text", embedder, dim=dim)
-    sentences = split.filter(long).select(key, F.posexplode("_sentences").alias("_pos", "_sentence"))
-    sentences = embed(sentences, "_sentence", embedder, out="_v", dim=dim)
-    packed = sentences.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_rows"))
-    vectored = split.filter(long).join(
-        packed.select(key, F.col("_rows._v").cast("array<array<double>>").alias("_vectors")), key
-    )
-    chunked = vectored.withColumn("_chunks", semantic_chunks("_sentences", "_vectors"))
-    chunked = chunked.withColumn("_texts", F.col("_chunks.text"))
-    long_rows = _chunk_rows(chunked, key, keep, chunk_vectors("_chunks", "_vectors"))
-    return short_rows.withColumn("vector", F.col("vector").cast("array<double>")).unionByName(long_rows)
-
-
-def _chunk_rows(chunked: DataFrame, key: str, keep: tuple[str, ...], vectors: Column) -> DataFrame:
-    zipped = F.arrays_zip(F.col("_texts").alias("text"), vectors.alias("vector"))
-    rows = chunked.select(key, *keep, F.posexplode(zipped).alias("chunk_index", "_c"))
-    return rows.select(key, *keep, "chunk_index", F.col("_c.text").alias("text"), F.col("_c.vector").alias("vector"))
+    rows = stream_chunks(docs.select(key, *keep, text_col), split_sentences(text_col), embedder or hash_embedder(dim), keep=(key, *keep),
+                         semantic_from=semantic_from)
+    return rows.select(key, *keep, "chunk_index", "text", "vector", *(["error"] if errors else []))
 
 
 def _dedup_hash(text: str) -> Column:

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from newsevidence.operators import chunk_stream as S
 from newsevidence.operators import chunking as C
 
 
@@ -68,7 +70,11 @@ def test_native_and_task_rules_equal_brute_force(spark, overlap):
     for (sentences, flags), chunks in zip(docs, got):
         lengths = [len(s) for s in sentences]
         spans = brute(lengths, {i for i, f in enumerate(flags) if f}, 2, 8, 400)
-        assert C._ends(lengths, flags, 2, 8, 400) == [b for _, b in spans]
+        cutter = S.Cutter(2, 8, 400, overlap)
+        pushed = [cutter.push(s, np.ones(2) * i, f) for i, (s, f) in enumerate(zip(sentences, flags))] + [cutter.finish()]
+        pushed = [p for p in pushed if p]
+        assert [(p[2] + p[4], p[3]) for p in pushed] == spans and [(p[0], p[2]) for p in pushed] == [(c.text, c.start) for c in chunks]
+        assert all(p[1][0] == pytest.approx((p[2] + p[3] - 1) / 2) for p in pushed)
         assert [(c.start + c.overlap_count, c.end) for c in chunks] == spans
         # Overlap of the recursive rule: not before the opened start of the chunk before.
         opened = 0
@@ -77,17 +83,64 @@ def test_native_and_task_rules_equal_brute_force(spark, overlap):
             assert chunks[i].start == opened and chunks[i].text == " ".join(sentences[opened:b])
 
 
-def test_hashed_path_equals_native_path(spark):
+def test_stream_equals_native_path(spark):
     rng = random.Random(3)
-    docs = [([f"s{rng.random()}" for _ in range(n)],) for n in (0, 1, 2, 9, 30, 77)]
-    df = spark.createDataFrame(docs, "s array<string>").withColumn("v", C.sentence_vectors("s", 48))
-    df = df.withColumn("h", C.hashed_chunks("s", 48))
-    df = df.withColumn("native", C.semantic_chunks("s", "v")).withColumn("task", C.chunks_from_cuts("s", "h.ends"))
-    df = df.withColumn("b", C.semantic_boundaries("s", "v")).filter(F.size("s") > 0)
-    for row in df.withColumn("cv", C.chunk_vectors("native", "v")).collect():
-        assert row.native == row.task and row.b == row.h.boundaries
-        for x, y in zip(row.cv, row.h.vectors):
-            assert x == pytest.approx(y)
+    docs = [(i, [f"s{rng.random()}" for _ in range(n)]) for i, n in enumerate((0, 1, 2, 9, 30, 77))]
+    df = spark.createDataFrame(docs, "id long, s array<string>")
+    native = df.withColumn("v", C.sentence_vectors("s", 48)).where(F.size("s") > 0)
+    native = native.select("id", C.semantic_chunks("s", "v").alias("c"), C.semantic_boundaries("s", "v").alias("b"), "v")
+    native = {r.id: r for r in native.withColumn("cv", C.chunk_vectors("c", "v")).collect()}
+    for batch in (1, 7, 100):
+        rows = C.stream_chunks(df, F.col("s"), C.hash_embedder(48), keep=("id",), batch=batch, semantic_from=0).collect()
+        for i, want in native.items():
+            got = sorted((r for r in rows if r.id == i), key=lambda r: r.chunk_index)
+            assert [(r.text, r.start, r.end, r.overlap_count) for r in got] == [(c.text, c.start, c.end, c.overlap_count) for c in want.c]
+            assert [x for r in got for x in r.boundaries] == want.b
+            for r, v in zip(got, want.cv):
+                assert r.vector == pytest.approx(v)
+
+
+@pytest.mark.parametrize("batch", [3, 100])
+def test_one_bad_document_leaves_the_rest_unchanged(spark, batch):
+    rng = random.Random(5)
+    docs = [(i, [f"sentence {rng.random()}" for _ in range(n)]) for i, n in enumerate((12, 15, 4, 30, 11))]
+    docs += [(5, ["fine one", "bad", "fine two"]), (6, [f"text {i}" if i != 7 else "bad" for i in range(12)]), (7, None), (8, [])]
+    df = spark.createDataFrame(docs, "id long, s array<string>").coalesce(1)
+
+    def embedder(texts):
+        if "bad" in texts:
+            raise RuntimeError("no vector")
+        return C.hash_embedder(16)(texts)
+
+    run = lambda e: [r.asDict() for r in C.stream_chunks(df, F.col("s"), e, keep=("id",), batch=batch).orderBy("id", "chunk_index").collect()]
+    good, some = run(C.hash_embedder(16)), run(embedder)
+    assert [r for r in some if r["id"] < 6] == [r for r in good if r["id"] < 6]
+    six = [r for r in some if r["id"] == 6]
+    assert [(r["start"], r["end"], r["semantic"]) for r in six] == [(0, 4, False), (4, 8, False), (8, 12, False)]
+    assert all(r["error"] == "RuntimeError: no vector" and r["vector"] is not None for r in six) and not any(r["id"] > 6 for r in some)
+    short = lambda texts: C.hash_embedder(16)(texts)[:-1]
+    assert all(r["vector"] is None and "mismatch" in r["error"] for r in run(short))
+    ragged = lambda texts: [[1.0] * (1 + len(t) % 2) for t in texts]
+    assert any(r["error"] for r in run(ragged))
+
+
+def test_long_documents_hand_over_before_their_end(spark, monkeypatch):
+    monkeypatch.setattr(S, "HELD_BYTES", 4096)
+    monkeypatch.setattr(S, "SLICE_BYTES", 2048)
+    parts = [f"sentence number {i}" for i in range(300)]
+    df = spark.createDataFrame([(1, parts), (2, parts[:20])], "id long, s array<string>").coalesce(1)
+    rows = C.stream_chunks(df, F.col("s"), C.hash_embedder(64), keep=("id",)).collect()
+    native = df.withColumn("v", C.sentence_vectors("s", 64)).select("id", F.posexplode(C.semantic_chunks("s", "v")).alias("i", "c")).collect()
+    assert sorted((r.id, r.chunk_index, r.text) for r in rows) == sorted((r.id, r.i, r.c.text) for r in native)
+
+    def late(texts):
+        if parts[250] in texts:
+            raise RuntimeError("late")
+        return C.hash_embedder(64)(texts)
+
+    one = sorted((r for r in C.stream_chunks(df, F.col("s"), late, keep=("id",)).collect() if r.id == 1), key=lambda r: r.chunk_index)
+    assert [r.chunk_index for r in one] == list(range(len(one))) and one[0].semantic and not one[-1].semantic
+    assert {i for r in one for i in range(r.start, r.end)} == set(range(300))
 
 
 def test_documents_with_an_embedder_equal_the_hash_path(spark):
