@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import evidence_line
 from ..operators import evidence as E
 from ..operators import search as S
+from ..operators.signatures import approximate_search, build_signatures, recall_report
 from ..session import shared_dir
 from ..sources import responses as R
 from . import adapters as A
@@ -82,6 +83,32 @@ def evidence_search_stored(spark, d):
         "claim_id", "chunk_id", "rank", F.round(F.col("distance").cast("double"), 6).alias("distance"), "source_name")
 
 
+def _approx_recall(spark, claims, chunks):
+    """Recall of the approximate form against the exact one."""
+    folder = f"{shared_dir(spark)}/signatures/{uuid4().hex}"
+    index = build_signatures(chunks, folder, similarity=0.5, recall=0.97)
+    found = approximate_search(claims, index, 5, 0.5, f"{folder}/run")
+    exact = S.nearest_chunks(claims, chunks, 5, 0.5)
+    return recall_report(exact, found).select("n_exact", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+_EXACT_COUNT = f"""
+    SELECT count(*) AS n_exact, TRUE AS recall_reached FROM ({_NEAREST.format(pairs='t_pairs', k=5, limit=0.5)})
+    """
+
+
+@check("approximate_search", _EXACT_COUNT, ("t_pairs",))
+def approximate_search_64(spark, d):
+    return _approx_recall(spark, A.vector_claims(spark, d), A.vector_chunks(spark, d))
+
+
+@check("approximate_search_3072", _EXACT_COUNT, ("t_pairs",))
+def approximate_search_3072(spark, d):
+    """The same angles at the size of a real model's vectors."""
+    wide = F.flatten(F.array_repeat("vector", 48)).alias("vector")
+    return _approx_recall(spark, A.vector_claims(spark, d).select("claim_id", wide), A.vector_chunks(spark, d).select("chunk_id", wide))
+
+
 @check("chunk_vector_rejects", """
     SELECT vec_id + 3000000 AS chunk_id, CASE vec_id % 40 WHEN 0 THEN 'vector is missing' WHEN 10 THEN 'vector is empty'
       WHEN 20 THEN 'vector has 63 numbers, not 64' ELSE CASE WHEN vec_id % 80 = 30 THEN 'vector has missing numbers'

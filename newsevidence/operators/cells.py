@@ -28,6 +28,9 @@ PIVOT_BYTES = 64 * 1024 * 1024
 #: Rows of one side of a block of comparisons.
 BLOCK_CLAIMS = 8_192
 BLOCK_CHUNKS = 16_384
+#: Folders that cells are dealt over; within one, files are in order of the cell, so row groups of others are skipped.
+SHELVES = 512
+NAMED_CELLS = 1_000
 # Room for the single precision of distances.
 _SLACK = 1e-3
 
@@ -47,7 +50,14 @@ class Cells:
     def table(self, spark: SparkSession, *columns: str) -> DataFrame:
         """The chunk table with ``cell``; only the columns named are read."""
         chunks = spark.read.parquet(f"{self.folder}/chunks")
-        return chunks.select("cell", *columns) if columns else chunks.drop("angle")
+        return chunks.select("cell", "shelf", *columns) if columns else chunks.drop("angle")
+
+    def part(self, spark: SparkSession, used: list[int], *columns: str) -> DataFrame:
+        """The rows of the cells ``used``, as a partition and row-group filter where they are not too many to name."""
+        chunks = self.table(spark, *columns)
+        if len(used) <= NAMED_CELLS:
+            chunks = chunks.where(F.col("shelf").isin(sorted({c % SHELVES for c in used})) & F.col("cell").isin(used))
+        return chunks.drop("shelf")
 
 
 def _nearest_pivot(matrix: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +100,7 @@ def build_cells(chunks: DataFrame, folder: str, dim: int | None = None, cell_row
 
     schema = T.StructType([*good.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
     placed = good.mapInPandas(place, schema)
-    # Rebalancing brings a cell together, but splits one that is far larger than the others.
-    placed.hint("rebalance", "cell").write.partitionBy("cell").mode("overwrite").parquet(f"{folder}/chunks")
+    shelve(placed, f"{folder}/chunks")
     ring = spark.read.schema("cell int, angle double").parquet(f"{folder}/chunks").groupBy("cell").agg(
         F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n"))
     index = pd.DataFrame({"cell": np.arange(len(pivots), dtype=np.int32), "vector": [v.tolist() for v in pivots]})
@@ -101,6 +110,12 @@ def build_cells(chunks: DataFrame, folder: str, dim: int | None = None, cell_row
     return open_cells(spark, folder)
 
 
+def shelve(placed: DataFrame, path: str) -> None:
+    """Write rows with a ``cell`` by shelf and cell. Rebalancing brings a cell together, but splits a far larger one."""
+    shelved = placed.withColumn("shelf", F.pmod("cell", F.lit(SHELVES)).cast("int")).hint("rebalance", "shelf", "cell")
+    shelved.sortWithinPartitions("shelf", "cell").write.partitionBy("shelf").mode("overwrite").parquet(path)
+
+
 def open_cells(spark: SparkSession, folder: str) -> Cells:
     """Read the pivots of a stored layout (PIVOT_BYTES at most); cells without rows are not kept."""
     stored = spark.read.parquet(f"{folder}/pivots")
@@ -154,7 +169,7 @@ def _route_away(sent):
     return run
 
 
-def _compare(routed: DataFrame, cells: Cells, k: int, schema: T.StructType) -> DataFrame:
+def compare_in_cells(routed: DataFrame, cells: Cells, k: int, schema: T.StructType) -> DataFrame:
     """Hits of routed claims (``claim_id, vector, cell, bar``) in their cells, at most ``k`` per claim and block.
 
     Both sides of a cell are cut into bounded blocks. The chunk table is read for the cells in use only.
@@ -165,9 +180,7 @@ def _compare(routed: DataFrame, cells: Cells, k: int, schema: T.StructType) -> D
     cut = spark.createDataFrame(used.assign(splits=splits.astype(np.int32)), "cell int, blocks int, splits int")
     claim_side = routed.join(F.broadcast(cut), "cell").withColumn("block", F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int")) \
         .withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("blocks", "splits")
-    chunks = cells.table(spark, "chunk_id", "vector")
-    if len(used) <= 1000:  # as a partition filter; beyond that the join prunes
-        chunks = chunks.where(F.col("cell").isin(used["cell"].tolist()))
+    chunks = cells.part(spark, used["cell"].tolist(), "chunk_id", "vector")
     chunk_side = chunks.join(F.broadcast(cut), "cell").withColumn("split", F.pmod(F.xxhash64("chunk_id"), F.col("splits")).cast("int")) \
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "splits")
 
@@ -199,20 +212,18 @@ def search_cells(claims: DataFrame, cells: Cells, k: int, max_distance: float, f
     good = claims.select("claim_id", "vector").where(unusable_vector("vector", cells.dim).isNull())
     kind = f"claim_id {schema['claim_id'].dataType.simpleString()}, vector {dict(claims.dtypes)['vector']}"
     home = stage(good.mapInPandas(_route_home(sent), f"{kind}, cell int").withColumn("bar", F.lit(float(max_distance)).cast("float")), folder, "home")
-    first = stage(top_per_key(_compare(home, cells, k, schema), ["claim_id"], order, k), folder, "first")
+    first = stage(top_per_key(compare_in_cells(home, cells, k, schema), ["claim_id"], order, k), folder, "first")
     kth = first.groupBy("claim_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") >= k).select("claim_id", "kth")
     bounded = home.join(kth, "claim_id", "left").withColumn("bar", F.least("bar", F.coalesce("kth", "bar"))).select("claim_id", "vector", "cell", "bar")
     away = stage(bounded.mapInPandas(_route_away(sent), f"{kind}, cell int, bar float"), folder, "away")
     stage(home.select("claim_id", "cell").unionByName(away.select("claim_id", "cell")), folder, "routes")
-    rest = _compare(away, cells, k, schema)
+    rest = compare_in_cells(away, cells, k, schema)
     return stage(top_per_key(first.unionByName(rest), ["claim_id"], order, k, rank="rank").select("claim_id", "chunk_id", "distance", "rank", "cell"), folder, "hits")
 
 
 def with_cell_columns(hits: DataFrame, cells: Cells) -> DataFrame:
     """Fetch the other columns of hit chunks from their cells; vectors are not read, cells without a hit neither."""
     spark = hits.sparkSession
-    used = [r["cell"] for r in hits.select("cell").distinct().limit(1001).collect()]
-    chunks = cells.table(spark).drop("vector")
-    if len(used) <= 1000:
-        chunks = chunks.where(F.col("cell").isin(used))
+    used = [r["cell"] for r in hits.select("cell").distinct().limit(NAMED_CELLS + 1).collect()]
+    chunks = cells.part(spark, used).drop("vector")
     return chunks.join(hits, ["cell", "chunk_id"]).drop("cell")

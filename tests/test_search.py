@@ -143,3 +143,36 @@ def test_empty_layouts(spark, tmp_path):
     assert S.nearest_chunks(claims, None, cells=none).count() == 0
     some = S.build_cells(chunks, str(tmp_path / "some"))
     assert S.nearest_chunks(claims.limit(0), None, cells=some).count() == 0
+
+
+def test_plans_of_signatures():
+    from newsevidence.operators.signatures import plan_signatures
+
+    for rows in (1, 100, 10_000, 10_000_000):
+        for similarity in (0.5, 0.8, 0.95):
+            plan = plan_signatures(rows, similarity, 0.95)
+            assert plan.recall >= 0.95 and plan.tables <= 8 and plan.flips <= plan.bits
+    big = plan_signatures(10_000_000, 0.9, 0.95)
+    assert big.tables * big.probes / 2**big.bits < 0.05  # share of the table a claim is compared with
+
+
+def test_approximate_search(spark, tmp_path):
+    from newsevidence.operators.signatures import approximate_search, build_signatures, recall_report
+
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(60, 24)) * 2
+    chunks = (middles[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 24)) * 0.7).astype(np.float32)
+    chunks[:500] = chunks[0]
+    claims = (middles[:40] + rng.normal(size=(40, 24)) * 0.7).astype(np.float32)
+    to_df = lambda m, c: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{c} long, vector array<float>")
+    odd = spark.createDataFrame([(9000, None), (9001, [1.0])], "chunk_id long, vector array<float>")
+    index = build_signatures(to_df(chunks, "chunk_id").unionByName(odd), str(tmp_path / "i"), similarity=0.8, recall=0.97)
+    assert index.plan.bits > 0 and index.rows.sum() == 6000 * index.plan.tables
+    found = approximate_search(to_df(claims, "claim_id"), index, 10, 0.5, str(tmp_path / "r"))
+    exact = S.nearest_chunks(to_df(claims, "claim_id"), to_df(chunks, "chunk_id"), 10, 0.5)
+    report = recall_report(exact, found).first()
+    assert report.n_exact == 400 and report.recall >= 0.95
+    known = {(r.claim_id, r.chunk_id): r.distance for r in exact.collect()}
+    assert all(known.get((r.claim_id, r.chunk_id), r.distance) == pytest.approx(r.distance, abs=1e-6) for r in found.collect())
+    none = build_signatures(to_df(chunks, "chunk_id").limit(0), str(tmp_path / "n"))
+    assert approximate_search(to_df(claims, "claim_id"), none, 5, 0.5, str(tmp_path / "rn")).count() == 0
