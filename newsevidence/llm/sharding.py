@@ -14,30 +14,46 @@ from pyspark.sql import types as T
 from .common import run_folder, staged
 
 
-def shard_of(key: Column, weights: Sequence[float], racks: int = 2, shards_per_rack: int = 5) -> Column:
+def shard_of(key: Column, weights: Sequence[float], racks: int = 2, shards_per_rack: int = 5, grown: Sequence[float] = ()) -> Column:
     """The shard a key descends to.
 
-    Shard ``s`` hangs in rack ``s // shards_per_rack``, ``racks`` racks to a region. A shard draws an exponential
-    waiting time of its weight's rate, fixed by key and shard; each node above draws the minimum of its children's
-    draws. That minimum is exponential in the summed weight, so every level picks a child in proportion to its weight,
-    and a changed weight changes the draws of one path only: rows move within the subtrees on that path, and one more
-    shard takes rows only into itself. Weights must be positive.
+    Shard ``s`` hangs in rack ``s // shards_per_rack``, ``racks`` racks to a region. At each level the children of the
+    node reached draw an exponential waiting time each, fixed by the key and the child, at a rate that is the weight of its
+    subtree; the least wins, so a child is chosen in proportion to its weight. Draws are made along the path only: one per
+    region, then one per rack of that region, then one per shard of that rack. A changed weight changes draws of the nodes
+    above it alone, so rows move only into (or out of) those subtrees, and none between two others. Each weight of
+    ``grown`` is one more shard in a region of its own: no other draw changes, so it takes rows only into itself. Weights
+    must be positive.
     """
-    if not weights or min(weights) <= 0:
+    if not weights or min([*weights, *grown]) <= 0:
         raise ValueError("every shard needs a positive weight")
 
-    def nested(nodes: list[Column], size: int) -> list[Column]:
-        return [F.array(*nodes[i:i + size]) for i in range(0, len(nodes), size)]
+    def cut(nodes: list, size: int) -> list:
+        return [nodes[i:i + size] for i in range(0, len(nodes), size)]
 
-    def draw(leaf: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, leaf["shard"]), 11).cast("double")
-        return F.struct((-F.log((bits + 0.5) / float(1 << 53)) / leaf["weight"]).alias("draw"), leaf["shard"].alias("shard"))
+    def branch(name: str, weight: float, kids: list[Column]) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.array(*kids).alias("kids"))
 
-    leaves = [F.struct(F.lit(s).alias("shard"), F.lit(float(w)).alias("weight")) for s, w in enumerate(weights)]
-    tree = F.array(*nested(nested(leaves, shards_per_rack), racks))
-    rack = lambda leaves: F.array_min(F.transform(leaves, draw))
-    region = lambda nodes: F.array_min(F.transform(nodes, rack))
-    return F.array_min(F.transform(tree, region))["shard"]
+    def leaf(s: int, weight: float) -> Column:
+        return F.struct(F.lit(f"shard {s}").alias("name"), F.lit(float(weight)).alias("weight"), F.lit(s).alias("shard"))
+
+    shards = cut(list(enumerate(weights)), shards_per_rack)
+    places = [[(f"rack {r * racks + i}", rack) for i, rack in enumerate(part)] for r, part in enumerate(cut(shards, racks))]
+    places += [[(f"grown rack {i}", [(len(weights) + i, w)])] for i, w in enumerate(grown)]
+    total = lambda rack: sum(w for _, w in rack)
+    tree = F.array(*[branch(f"region {r}" if r < len(places) - len(grown) else f"grown region {r - len(places) + len(grown)}",
+                            sum(total(rack) for _, rack in region), [branch(name, total(rack), [leaf(*s) for s in rack]) for name, rack in region])
+                     for r, region in enumerate(places)])
+
+    def drawn(nodes: Column, then) -> Column:
+        """``then`` of the node that wins, which is looked up once."""
+        def wait(node: Column, i: Column) -> Column:
+            bits = F.shiftrightunsigned(F.xxhash64(key, node["name"]), 11).cast("double")
+            return F.struct((-F.log((bits + 0.5) / float(1 << 53)) / node["weight"]).alias("wait"), i.alias("i"))
+
+        return F.get(F.transform(F.array(F.array_min(F.transform(nodes, wait))["i"]), lambda i: then(F.get(nodes, i))), 0)
+
+    return drawn(tree, lambda region: drawn(region["kids"], lambda rack: drawn(rack["kids"], lambda shard: shard["shard"])))
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +77,7 @@ def tree_shards(docs: DataFrame, shards: int = 40, weights: Sequence[float] | No
     UTF-8 bytes plus 16; a null text counts as empty (checksum 0). Rows with equal or null ids go to one shard, each
     with its own slot. Slots number a shard's rows from 0 without gaps: tasks number their own rows, and a small table
     of counts per task and shard gives the offsets, so no shard is gathered in one place. ``grown_shard`` is the place
-    with one more shard of weight ``grow``. An empty table gives an empty result.
+    with one more shard of weight ``grow``, in a region of its own. An empty table gives an empty result.
     """
     weights = list(weights or [1.0] * shards)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -71,7 +87,7 @@ def tree_shards(docs: DataFrame, shards: int = 40, weights: Sequence[float] | No
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(F.col("doc_id"), weights).cast("int").alias("shard"),
-        shard_of(F.col("doc_id"), [*weights, grow]).cast("int").alias("grown_shard"),
+        shard_of(F.col("doc_id"), weights, grown=[grow]).cast("int").alias("grown_shard"),
         F.spark_partition_id().alias("part"),
     )
     schema = T.StructType([*placed.schema, T.StructField("rank", T.LongType())])
