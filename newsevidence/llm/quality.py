@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,19 +10,26 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS
 
-#: Rows of the sample that sets the order of the rules, and their longest text. The order never changes a verdict.
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 100_000
+#: Rows of the sample, on average, that sets the order of the rules. The order never changes a verdict.
+SAMPLE_ROWS = 500
 
 #: Letters of scripts that put no spaces between words. Where they are half of a text, words may be of any length.
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+"
 
 
+Measures = Mapping[str, Column]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` is true for a bad document; ``parts`` are the measured columns it needs beyond the text."""
+    """``test`` is true for a bad document, ``work`` tells how many steps it takes to find out.
+
+    Both are given the text (never null) as ``text`` and the counts of :func:`quality_cascade` by name, and may use any.
+    """
 
     name: str
-    reject: Column
+    test: Callable[[Measures], Column]
+    work: Callable[[Measures], Column]
 
 
 def words(text: Column) -> Column:
@@ -58,56 +64,81 @@ def _words_in_repeats(w: Column, width: int = 3) -> Column:
     return F.when(F.size(w) > width, _let(F.sort_array(keys), covered)).otherwise(F.lit(0))
 
 
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
+
+
+def _measures(text: Column, w: Column) -> dict[str, Column]:
+    """Every count as an expression of the text and its words, none of them computed yet."""
+    lines = _lines(text)
+    return {
+        "text": text,
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.translate(text, SEPARATORS, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_repeat_words": _words_in_repeats(w).cast("long"),
+    }
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """Add the counts that rules use; see :func:`quality_cascade` for their meaning."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
-    by_word = _let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), _words_in_repeats(w).alias("repeats")))
-    by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    return docs.withColumn("_w", by_word).withColumn("_l", by_line).select(
-        *docs.columns,
-        F.col("_w.n").cast("long").alias("n_words"),
-        F.length(F.translate(text, SEPARATORS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.col("_l.dup").cast("long").alias("n_dup_lines"),
-        F.col("_l.n").cast("long").alias("n_lines"),
-        F.col("_w.repeats").cast("long").alias("n_repeat_words"),
-    )
+    names = [n for n in _measures(text, F.lit(None)) if n != "text"]
+    every = _let(words(F.col("text")), lambda w: F.struct(*[c.alias(n) for n, c in _measures(text, w).items() if n != "text"]))
+    return docs.withColumn("_m", every).select(*docs.columns, *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
 def default_rules() -> list[Rule]:
-    """Published web-text heuristics (word count, word length, symbols, repeated lines and windows, bullets)."""
-    n = F.col("n_words")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Published web-text heuristics (word count, word length, symbols, repeated lines and windows, bullets).
+
+    Work is counted in characters looked at; sorting the windows of a text takes n log n steps of some 40 characters each.
+    """
+    chars = lambda times: lambda m: F.length(m["text"]) * times
+    long_words = lambda m: F.when(m["word_chars"] > m["n_words"] * 20, F.length(F.regexp_replace(m["text"], _UNSPACED, "")) * 2 > F.length(m["text"])).otherwise(F.lit(False))
+    bullets = lambda m: F.size(F.filter(F.split(m["text"], "\n"), lambda x: x.rlike(r"^[ \t]*[-*•]")))
     return [
-        Rule("too_few_words", n < 50),
-        Rule("repeated_windows", F.col("n_repeat_words") * 100 > n * 50),
-        Rule("word_length", (F.col("word_chars") < n * 2) | F.when(F.col("word_chars") > n * 20, F.length(F.regexp_replace(text, _UNSPACED, "")) * 2 > F.length(text)).otherwise(F.lit(False))),
-        Rule("symbols", F.col("n_symbols") * 10 > n),
-        Rule("repeated_lines", F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
-        Rule("no_letters", F.length(F.regexp_replace(text, r"\P{L}+", "")) * 2 < F.col("word_chars")),
-        Rule("bullets", F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^[ \t]*[-*•]"))) * 10 > F.col("n_lines") * 9),
+        Rule("too_few_words", lambda m: m["n_words"] < 50, lambda m: F.lit(1)),
+        Rule("repeated_windows", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50, lambda m: 40 * m["n_words"] * F.log2(m["n_words"] + 2)),
+        Rule("word_length", lambda m: (m["word_chars"] < m["n_words"] * 2) | long_words(m), chars(1)),
+        Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"], chars(1)),
+        Rule("repeated_lines", lambda m: m["n_dup_lines"] * 10 > m["n_lines"] * 3, chars(4)),
+        Rule("no_letters", lambda m: F.length(F.regexp_replace(m["text"], r"\P{L}+", "")) * 2 < m["word_chars"], chars(6)),
+        Rule("bullets", lambda m: bullets(m) * 10 > m["n_lines"] * 9, chars(5)),
     ]
 
 
-def order_rules(sample: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, float, float]]:
-    """Rules by rejection per cost, best first, with their measured (rejected share, seconds).
+#: What fails the base rules is not kept, whatever the rules of a cascade are.
+_BASE = ("too_few_words", "repeated_windows")
 
-    ``sample`` is bounded and cached by the caller. One pass per rule over it gives the time, less that of an empty
-    pass. Rules that never reject come last, cheapest first.
-    """
-    def timed(column: Column) -> tuple[float, float]:
-        best, share = float("inf"), 0.0
-        for _ in range(2):
-            began = time.perf_counter()
-            row = sample.agg(F.avg(F.coalesce(column, F.lit(False)).cast("double")).alias("r")).first()
-            best, share = min(best, time.perf_counter() - began), float(row["r"] or 0.0)
-        return share, best
 
-    floor = timed(F.lit(False))[1]
-    found = [(rule, *timed(rule.reject)) for rule in rules]
-    found = [(rule, share, max(cost - floor, 1e-4)) for rule, share, cost in found]
-    return sorted(found, key=lambda x: (-x[1] / x[2], x[2], x[0].name))
+def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """Rules by rejection per cost, best first, with the rejected share and the mean work that the sample has of each.
+
+    The sample are the rows whose hash (of id and text) falls below a limit, so it is the same in each run and however rows are dealt;
+    it is measured where it lies, and only a number per rule comes to the driver. Rules that never reject come last, the
+    cheapest first; ties by name.
+    """
+    if not rules:
+        return []
+    total = docs.count()
+    limit = int(min(1.0, sample_rows / max(total, 1)) * (1 << 31))
+    key = [c for c in ("doc_id", "text") if c in docs.columns]  # copies of a text are drawn one by one
+    sample = measured(docs.where(F.pmod(F.xxhash64(*key), F.lit(1 << 31)) < limit).select("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    m = {n: F.col(n) for n in sample.columns}
+    found = sample.agg(*[F.avg(F.coalesce(r.test(m), F.lit(False)).cast("double")).alias(f"share{i}") for i, r in enumerate(rules)],
+                       *[F.avg(r.work(m).cast("double")).alias(f"work{i}") for i, r in enumerate(rules)]).first()
+    known = [(r, float(found[f"share{i}"] or 0), max(float(found[f"work{i}"] or 0), 1.0)) for i, r in enumerate(rules)]
+    return sorted(known, key=lambda x: (-x[1] / x[2], x[2], x[0].name))
+
+
+def _first_failed(order: Sequence[Rule], m: Measures) -> Column:
+    """The first rule that rejects; those after it are not evaluated."""
+    failed = F.lit(None).cast("string")
+    for rule in reversed(order):
+        failed = F.when(rule.test(m), F.lit(rule.name)).otherwise(failed)
+    return failed
 
 
 def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -118,32 +149,29 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample
     ``#*$%&|<>``, ``n_dup_lines`` the lines with a word that equal an earlier line, ``n_repeat_words`` the words in
     windows of three words found twice or more. ``base_failed``: under 50 words, or over half of them repeated.
     ``kept`` is true when no rule rejects; ``failed_rule`` names the first that does in the chosen order, the rules
-    after it are not evaluated. Null and blank texts have no words and fail. Rows keep their number: repeated rows
+    after it are not evaluated (here all counts are results as well; :func:`good_documents` spares them). Null and blank texts
+    have no words and fail. Rows keep their number: repeated rows
     and null ids are judged on their own. More columns are ignored. The order is set on a bounded sample and has no
     influence on ``kept``. An empty table gives an empty result.
     """
-    judged = _judged(docs.select("doc_id", "text"), rules, sample_rows)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
-
-
-def _judged(docs: DataFrame, rules: Sequence[Rule] | None, sample_rows: int) -> DataFrame:
-    rules = list(rules if rules is not None else default_rules())
-    # take() stops after as many partitions as it needs; a limit() would gather rows of every task.
-    texts = docs.select("text").where(F.length("text") <= SAMPLE_CHARS).take(sample_rows)
-    sample = measured(docs.sparkSession.createDataFrame([(r["text"],) for r in texts], "text string")).cache()
-    try:
-        order = [rule for rule, _, _ in order_rules(sample, rules)]
-    finally:
-        sample.unpersist()
-    failed = F.lit(None).cast("string")
-    for rule in reversed(order):
-        failed = F.when(rule.reject, F.lit(rule.name)).otherwise(failed)
+    order = [rule for rule, _, _ in order_rules(docs, list(rules if rules is not None else default_rules()), sample_rows)]
+    counted = measured(docs.select("doc_id", "text"))
+    m = {n: F.col(n) for n in counted.columns} | {"text": F.coalesce(F.col("text"), F.lit(""))}
     failed_base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    out = measured(docs).withColumn("base_failed", failed_base).withColumn("failed_rule", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    judged = counted.withColumn("base_failed", failed_base).withColumn("failed_rule", _first_failed(order, m))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), "failed_rule")
 
 
 def good_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Rows of ``docs`` that :func:`quality_cascade` keeps, whole."""
+    """Rows of ``docs`` that :func:`quality_cascade` keeps, whole.
+
+    Only the words of a text are always cut; each count is made inside the branch of the rule that needs it, so a row that
+    an earlier rule rejects is spared it.
+    """
+    own = list(rules if rules is not None else default_rules())
+    own += [r for r in default_rules() if r.name in _BASE and r.name not in {x.name for x in own}]
+    order = [rule for rule, _, _ in order_rules(docs, own, sample_rows)]
     whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    return _judged(whole, rules, sample_rows).where("kept").select("whole.*")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return whole.where(_let(words(F.col("text")), lambda w: _first_failed(order, _measures(text, w))).isNull()).select("whole.*")

@@ -6,6 +6,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import regex
+
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = (1 << 63) - 1
 
@@ -39,7 +42,8 @@ def quality(text):
     out["base_failed"] = len(w) < 50 or 100 * out["n_repeat_words"] > 50 * len(w)
     letters = sum(c.isalpha() for c in t)
     bullets = sum(bool(re.match(r"[ \t]*[-*•]", x)) for x in t.split("\n"))
-    bad = (len(w) > 1_000_000 or out["word_chars"] < 2 * len(w) or out["word_chars"] > 20 * len(w) or out["n_symbols"] * 10 > len(w)
+    unspaced = sum(bool(UNSPACED.match(c)) for c in t)
+    bad = (out["word_chars"] < 2 * len(w) or (out["word_chars"] > 20 * len(w) and (len(t) - unspaced) * 2 > len(t)) or out["n_symbols"] * 10 > len(w)
            or out["n_dup_lines"] * 10 > len(lines) * 3 or letters * 2 < out["word_chars"] or bullets * 10 > len(lines) * 9)
     out["kept"] = not out["base_failed"] and not bad
     return out

@@ -72,20 +72,36 @@ def test_shards(spark, odd, none, plain):
     assert sharding.tree_shards(none).count() == 0
 
 
-def test_a_new_or_heavier_shard_only_draws_rows(spark):
+def test_each_level_draws_by_weight(spark):
     ids = spark.range(20_000)
     place = lambda w, **o: [r[0] for r in ids.select(sharding.shard_of(F.col("id"), w, **o)).collect()]
     for n in (1, 7, 12):
-        before, after = place([1.0] * n, racks=2, shards_per_rack=3), place([1.0] * (n + 1), racks=2, shards_per_rack=3)
+        before, after = place([1.0] * n, racks=2, shards_per_rack=3), place([1.0] * n, racks=2, shards_per_rack=3, grown=[1.0])
         assert all(a in (b, n) for a, b in zip(after, before)) and 0.7 < after.count(n) * (n + 1) / 20_000 < 1.3
-    weights = [1.0, 2.0, 3.0, 4.0]
-    before, after = Counter(place(weights)), place([1.0, 2.0, 6.0, 4.0])
-    assert all(abs(before[s] / 20_000 - w / 10) < 0.02 for s, w in enumerate(weights))
-    assert all(a in (b, 2) for a, b in zip(after, place(weights)))
+    weights = [1.0, 2.0, 3.0, 4.0, 2.0, 5.0, 1.0, 2.0]
+    old, new = place(weights, racks=2, shards_per_rack=2), place([*weights[:2], 6.0, *weights[3:]], racks=2, shards_per_rack=2)
+    assert all(abs(old.count(s) / 20_000 - w / 20) < 0.02 for s, w in enumerate(weights))
+    # Shard 2 got heavier: rows enter region 0 from outside, rack 1 from the rest of the region, shard 2 from the rest of the rack.
+    moved = [(a, b) for a, b in zip(old, new) if a != b]
+    assert moved and all(b // 4 == 0 for _, b in moved)
+    assert all(b // 2 == 1 for a, b in moved if a // 4 == 0) and all(b == 2 for a, b in moved if a // 2 == 1)
     with pytest.raises(ValueError):
         sharding.shard_of(F.col("id"), [1.0, 0.0])
 
 
+def test_levels_equal_plain_draws(spark):
+    """The descent against draws made one by one; the first level's choice must not depend on what lies below it."""
+    weights = [1.0, 3.0, 2.0, 2.0, 5.0, 1.0]
+    wait = lambda name, w: -F.log((F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(name)), 11).cast("double") + 0.5) / float(1 << 53)) / w
+    names = {"region 0": 8.0, "region 1": 6.0, "rack 0": 4.0, "rack 1": 4.0, "rack 2": 6.0, **{f"shard {i}": w for i, w in enumerate(weights)}}
+    rows = spark.range(500).select("id", sharding.shard_of(F.col("id"), weights, racks=2, shards_per_rack=2).alias("s"),
+                                   *[wait(n, w).alias(n) for n, w in names.items()]).collect()
+    for r in rows:
+        region = min((0, 1), key=lambda i: r[f"region {i}"])
+        rack = min((0, 1) if region == 0 else (2,), key=lambda i: r[f"rack {i}"])
+        assert r.s == min((2 * rack, 2 * rack + 1), key=lambda i: r[f"shard {i}"])
+
+
 # 2 ----------------------------------------------------------------------------------------------
 
 def test_archives(spark):
@@ -207,10 +223,21 @@ def test_long_texts_and_unspaced_scripts_are_kept(spark):
 
 
 def test_rules_are_ordered_by_rejection_per_cost(odd):
-    cheap, idle = quality.Rule("cheap", F.col("n_words") < 1_000), quality.Rule("idle", F.lit(False))
-    sample = quality.measured(odd.select("text")).cache()
-    order = quality.order_rules(sample, [idle, cheap])
-    assert [r.name for r, _, _ in order] == ["cheap", "idle"] and order[0][1] > 0.8
+    rule = lambda name, test, work: quality.Rule(name, test, lambda m: F.lit(work))
+    most = lambda m: m["n_words"] < 1_000
+    rules = [rule("idle", lambda m: F.lit(False), 1), rule("dear", most, 50), rule("cheap", most, 2), rule("also cheap", most, 2), rule("null", lambda m: F.lit(None).cast("boolean"), 3)]
+    for df in (odd, odd.repartition(7)):
+        order = quality.order_rules(df, rules, sample_rows=1_000)
+        assert [r.name for r, _, _ in order] == ["also cheap", "cheap", "dear", "idle", "null"] and order[0][1] > 0.8 and order[0][2] == 2
+    failed = [{(r.doc_id, r.n_words): r.failed_rule for r in quality.quality_cascade(df, rules).collect()} for df in (odd, odd.repartition(5))]
+    assert failed[0] == failed[1] and set(failed[0].values()) == {"also cheap", None}
+    # The base rules hold in any cascade.
+    assert bag(quality.good_documents(odd, [rules[0]]), "doc_id") == bag(quality.quality_cascade(odd, [rules[0]]).where("kept"), "doc_id")
+
+
+def test_counts_are_made_once_and_only_when_needed(odd):
+    plan = quality.good_documents(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and plan.count("array_distinct(") == 1
 
 
 # 6 ----------------------------------------------------------------------------------------------
