@@ -44,7 +44,32 @@ def op3_letter_profiles(spark: SparkSession, folder: str) -> DataFrame:
 def op5_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
     from .quality import quality_cascade
 
-    return quality_cascade(_table(spark, folder, "documents"))
+    return quality_cascade(_table(spark, folder, "documents")).drop("failed_rule")
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+ORACLES["op5_rule_cascade"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, t, lines, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN repeats USING (r)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars >= 2 * n_words AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * len(lines)
+  AND NOT (word_chars > 20 * n_words
+    AND 2 * length(regexp_replace(t, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}\p{{Tibetan}}]+', '', 'g')) > length(t))
+  AND 2 * length(regexp_replace(t, '\P{{L}}+', '', 'g')) >= word_chars
+  AND 10 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) <= 9 * len(lines) AS kept
+FROM j
+"""
 
 
 @query
@@ -95,6 +120,20 @@ def op6_window_graph(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLES["op6_window_graph"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) > 12)),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS f FROM windows) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM later),
+places AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p.i) AS t
+  FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY 1)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op8_minhash_bands(spark: SparkSession, folder: str) -> DataFrame:
     from .jaccard import jaccard_join
@@ -102,6 +141,26 @@ def op8_minhash_bands(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(_table(spark, folder, "documents"))
 
 
+ORACLES["op8_minhash_bands"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS w FROM documents),
+texts AS (SELECT min(doc_id) AS id, text, count(*) AS copies, any_value(w) AS w FROM w WHERE len(w) > 0 GROUP BY text),
+grams AS (
+  SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS g
+  FROM (SELECT id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM texts)),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY 1),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id
+  JOIN sizes x ON x.id = a.id JOIN sizes y ON y.id = b.id
+  GROUP BY a.id, b.id HAVING count(*) >= 0.8 * (any_value(x.n) + any_value(y.n) - count(*)) - 1e-9),
+degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1),
+reach AS (SELECT id AS a, id AS b FROM texts UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+class AS (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(t.id, w.doc_id) AS text_id, coalesce(copies, 1) AS n_copies, coalesce(n, 0) AS n_links,
+  coalesce(class_id, w.doc_id) AS class_id
+FROM w LEFT JOIN texts t ON t.text = w.text LEFT JOIN degree g ON g.id = t.id LEFT JOIN class c ON c.id = t.id
+"""
+
+
 @query
 def op4_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from .scoring import mixed_scores
