@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import sha256_hex
 from ..functions.text import is_blank
 from ..functions.web import skips_media
+from .history import touched_history
 from .keyed import keep_first
 
 ID_CELLS_HEX = 4  # 65,536 cells
@@ -26,7 +27,8 @@ def valid_items(items: DataFrame) -> DataFrame:
 
 
 def new_items(items: DataFrame, links: DataFrame) -> DataFrame:
-    """Items whose (endpoint, item id) is not linked yet."""
+    """Items whose (endpoint, item id) is not linked yet. Of the link history only what the items can meet is shuffled."""
+    links = touched_history(links, items, {"source_endpoint_id": "endpoint_id", "source_item_id": "source_item_id"})
     known = links.select(F.col("source_endpoint_id").alias("endpoint_id"), "source_item_id")
     return items.join(known, ["endpoint_id", "source_item_id"], "left_anti")
 
@@ -54,7 +56,9 @@ def discover(items: DataFrame, endpoints: DataFrame, articles: DataFrame, links:
     key = ["publisher_id", "canonical_url_hash"]
     # One row per key meets the article table, and its answer goes back to all items of the key.
     firsts = keep_first(keyed, key, [F.asc("endpoint_id"), *ordering, F.asc("source_item_id")])
-    known = articles.select(*key, F.col("id").alias("article_id"))
+    # Few articles are met: they are filtered where they lie, by the publishers and URL hashes of the batch.
+    met = touched_history(articles, firsts, {c: c for c in key})
+    known = met.select(*key, F.col("id").alias("article_id"))
     resolved = firsts.join(known, key, "left")
     is_new = F.col("article_id").isNull()
     stamped = resolved.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from typing import NamedTuple
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +63,10 @@ def ingest(items: DataFrame, fetches: DataFrame, pages: DataFrame, robots: DataF
     one landed answer per URL. Endpoints that are flagged, blocked, failed or barred discover nothing. The others end
     at the first stop signal among the pages of their new items; only items up to it make articles and links, so an
     endpoint's new articles are those its attempt counts. Only new articles are read and indexed. What several outputs
-    share (discovery, page verdicts, article snapshot, chunks) is staged under ``work_dir`` in the
-    shared folder, so each costly step runs once.
+    share (discovery, page verdicts, article snapshot, chunks) is staged in a folder of the run's own under ``work_dir``
+    in the shared folder, so each costly step runs once.
     """
+    work_dir = f"{work_dir}/run-{uuid4().hex}"  # a later run must not write over what this one's result still reads
     due = items.join(worked_endpoints(fetches, endpoints, now), "endpoint_id", "left_semi")
     found = discover(due, endpoints, articles, links, now)
     found = found._replace(

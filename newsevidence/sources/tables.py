@@ -58,3 +58,9 @@ def write_snapshot(df: DataFrame, path: str, *, cluster_by: list[str] | None = N
     if cluster_by:
         out = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     out.write.mode("overwrite").parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whichever file system it is in; nothing happens if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

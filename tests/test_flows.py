@@ -254,6 +254,48 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert got_links.count() == len(keys)
 
 
+def test_stream_state_is_compacted(spark, tmp_path, monkeypatch):
+    from newsevidence.streaming import discover as stream
+
+    monkeypatch.setattr(stream, "COMPACT_AFTER", 3)
+    items, endpoints, articles, links = discovery(spark)
+    landing, state = str(tmp_path / "landing"), str(tmp_path / "state")
+    run = lambda: stream.stream_discover(spark, landing, ITEM, lambda df: df, endpoints, state, (articles, links), now(), files_per_trigger=1)
+    for low, high in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 8), (0, 8), (3, 8)):
+        items.filter(f"pos between {low} and {high}").coalesce(1).write.mode("append").parquet(landing)
+        if low == 4:
+            assert run() == 3
+    assert run() == 7
+    found = D.discover(items, endpoints, articles, links, now())
+    fresh = D.new_article_rows(articles, found.articles, now())
+    got_articles, got_links = stream.read_state(spark, state, 7)
+    cols = ("publisher_id", "canonical_url")
+    assert rows(got_articles, *cols) == rows(D.merge_articles(articles, fresh, D.seen_again(found.articles)), *cols)
+    assert got_links.count() == D.merge_links(links, D.new_link_rows(found.links, fresh)).count()
+    for name in ("articles", "links", "seen"):
+        assert sorted(p.name for p in (tmp_path / "state" / name).iterdir() if p.is_dir()) == ["v=7"]
+        assert sorted(p.name for p in (tmp_path / "state" / f"base_{name}").iterdir() if p.is_dir()) == ["v=6"]
+    assert not [p for p in (tmp_path / "state" / "work").iterdir() if p.is_dir()]
+
+
+def test_history_is_scanned_but_not_shuffled(spark, tmp_path, monkeypatch):
+    from newsevidence.operators import history as H
+
+    spark.range(2000).selectExpr("id as article_id", "id % 7 as source_endpoint_id", "concat('item', id) as source_item_id").write.parquet(str(tmp_path / "links"))
+    links = spark.read.parquet(str(tmp_path / "links"))
+    batch = spark.createDataFrame([(i % 7, f"item{i}", "u") for i in range(1990, 2010)] + [(None, "x", "u")], "endpoint_id long, source_item_id string, url string")
+    keys = {"source_endpoint_id": "endpoint_id", "source_item_id": "source_item_id"}
+    met = H.touched_history(links, batch, keys)
+    assert met.count() == 10 and met.columns == links.columns
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange") + 1  # the keys' own
+    new = lambda: sorted(r.source_item_id for r in D.new_items(batch, links).collect())
+    want = sorted([f"item{i}" for i in range(2000, 2010)] + ["x"])
+    assert new() == want
+    assert H.touched_history(links, batch, keys, most_bytes=64).count() == 2000  # a batch past the bound: left to the join
+    assert H.touched_history(links, batch.limit(0), keys).count() == 0
+
+
 # Runs ------------------------------------------------------------------------------------------
 
 LOG = "run_id long, status string, error_details string, completed_at timestamp"
