@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from html.parser import HTMLParser
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,10 @@ CLOSES_SELF = {
 }
 SELF_SCOPE = {"ul", "ol", "dl", "select", "table", "body", "html"}
 BLOCK_TAGS = CLOSES_P | {"body", "html", "td", "th", "tr", "tbody", "thead", "option"}
-_WS = re.compile(r"[ \t\n\f\r\xa0]+")
+_BLANKS = np.array([ord(c) for c in " \t\n\f\r\xa0"], np.uint32)
+
+
+UNREADABLE = "Page can't be read: "
 
 
 class _Node:
@@ -80,6 +83,7 @@ class _Tree(HTMLParser):
         self.nodes: list[_Node] = []
         self.pieces: list[str] = []
         self._number()
+        self._lay_out()
 
     def _number(self) -> None:
         """One walk with a stack of its own: document order, and the text pieces below each element."""
@@ -100,13 +104,31 @@ class _Tree(HTMLParser):
                 stack.append((item, True))
                 stack.extend((child, False) for child in reversed(item.children))
 
-    def text(self, node: _Node) -> str:
-        return _WS.sub(" ", "".join(self.pieces[node.lo:node.hi])).strip()
+    def _lay_out(self) -> None:
+        """The text of the whole page, runs of blanks made one, and where each piece of it begins."""
+        raw = np.frombuffer("".join(self.pieces).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        blank = np.isin(raw, _BLANKS)
+        raw[blank] = 32
+        keep = np.ones(len(raw), bool)
+        keep[1:] = ~(blank[1:] & blank[:-1])
+        place = np.concatenate(([0], np.cumsum(keep)))
+        ends = np.cumsum([0] + [len(piece) for piece in self.pieces])
+        self.flat = raw[keep].tobytes().decode("utf-32-le", "surrogatepass")
+        self.place = place[ends].tolist()
+
+    def span(self, node: _Node) -> tuple[int, int]:
+        """Where the text of an element lies in the page's, blanks at its ends left out."""
+        low, high = self.place[node.lo], self.place[node.hi]
+        # A run of blanks that the element shares with what stands before it is counted there.
+        if low < high and self.flat[low] == " ":
+            low += 1
+        if low < high and self.flat[high - 1] == " ":
+            high -= 1
+        return low, max(low, high)
 
-    def below(self, node: _Node, sorted_nodes: list[_Node]) -> list[_Node]:
-        """Those of ``sorted_nodes`` (document order) that lie under ``node``."""
-        key = lambda n: n.at
-        return sorted_nodes[bisect_right(sorted_nodes, node.at, key=key):bisect_left(sorted_nodes, node.end, key=key)]
+    def text(self, node: _Node) -> str:
+        low, high = self.span(node)
+        return self.flat[low:high]
 
     def _cut(self, i: int) -> None:
         for node in self.open[i:]:
@@ -167,7 +189,7 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def _container(tree: _Tree, paragraphs: list[_Node], texts: list[str]) -> _Node | None:
+def _container(tree: _Tree, paragraphs: list[_Node], lengths: list[int]) -> _Node | None:
     wanted = (
         lambda n: n.tag == "article",
         lambda n: n.attrs.get("itemprop") == "articleBody",
@@ -178,8 +200,8 @@ def _container(tree: _Tree, paragraphs: list[_Node], texts: list[str]) -> _Node
         if found is not None:
             return found
     order = [p.at for p in paragraphs]
-    filled = [i for i, t in enumerate(texts) if t]
-    summed = [0, *accumulate(len(texts[i]) for i in filled)]
+    filled = [i for i, n in enumerate(lengths) if n]
+    summed = [0, *accumulate(lengths[i] for i in filled)]
     best, best_score = tree.body, 0
     for node in tree.nodes:
         if node.tag not in ("div", "section"):
@@ -195,11 +217,10 @@ def _container(tree: _Tree, paragraphs: list[_Node], texts: list[str]) -> _Node
     return best
 
 
-def _is_boilerplate(tree: _Tree, p: _Node, text: str, anchors: list[_Node]) -> bool:
+def _is_boilerplate(p: _Node, text: str, linked: int) -> bool:
     if not text or any(n.tag in BOILERPLATE_TAGS for n in p.lineage(ANCESTRY)):
         return True
-    links = " ".join(tree.text(n) for n in tree.below(p, anchors))
-    if len(links) / len(text) > MAX_LINK_SHARE:
+    if linked / len(text) > MAX_LINK_SHARE:
         return True
     names = f"{p.attrs.get('class') or ''} {p.attrs.get('id') or ''}".lower()
     lower = text.lower()
@@ -209,30 +230,39 @@ def _is_boilerplate(tree: _Tree, p: _Node, text: str, anchors: list[_Node]) -> b
 def page_paragraphs(html: str) -> list[str]:
     """Paragraph texts of the main container that are not boilerplate.
 
-    The page is walked once, so the time follows its length whatever the nesting.
+    The page is walked once. Lengths of texts and links are differences of running sums, so the time follows the length
+    of the page and of what comes out, whatever the nesting.
     """
     tree = _Tree(html)
     paragraphs = [n for n in tree.nodes if n.tag == "p"]
-    texts = [tree.text(p) for p in paragraphs]
-    container = _container(tree, paragraphs, texts)
+    spans = [tree.span(p) for p in paragraphs]
+    container = _container(tree, paragraphs, [b - a for a, b in spans])
     if container is None:
         return []
     anchors = [n for n in tree.nodes if n.tag == "a"]
-    inside = range(bisect_right(paragraphs, container.at, key=lambda n: n.at), bisect_left(paragraphs, container.end, key=lambda n: n.at))
-    return [texts[i] for i in inside if not _is_boilerplate(tree, paragraphs[i], texts[i], anchors)]
-
-
-def _safe_paragraphs(html: str) -> list[str]:
-    """A page that can't be read has no paragraphs and so ends as an error row; it does not end the job."""
-    try:
-        return page_paragraphs(html)
-    except Exception:  # noqa: BLE001
-        return []
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _paragraphs(pages: pd.Series) -> pd.Series:
-    return pages.map(_safe_paragraphs, na_action="ignore")
+    order = [n.at for n in anchors]
+    # The links of a paragraph count with a blank between them.
+    linked = [0, *accumulate(b - a + 1 for a, b in map(tree.span, anchors))]
+    first = bisect_right(paragraphs, container.at, key=lambda n: n.at)
+    last = bisect_left(paragraphs, container.end, key=lambda n: n.at)
+    out = []
+    for p, (a, b) in zip(paragraphs[first:last], spans[first:last]):
+        text, low, high = tree.flat[a:b], bisect_right(order, p.at), bisect_left(order, p.end)
+        if not _is_boilerplate(p, text, max(0, linked[high] - linked[low] - 1)):
+            out.append(text)
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField("paragraphs", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]))
+def _paragraphs(pages: pd.Series) -> pd.DataFrame:
+    """A page that can't be read says why; it does not end the job."""
+    rows = []
+    for html in pages:
+        try:
+            rows.append((None if html is None else page_paragraphs(html), None))
+        except Exception as e:  # noqa: BLE001
+            rows.append(([], f"{type(e).__name__}: {e}"))
+    return pd.DataFrame(rows, columns=["paragraphs", "error"])
 
 
 # Marked so that filters on its result are not pushed below it, which would parse pages twice.
@@ -241,20 +271,25 @@ _walk_once = _paragraphs.asNondeterministic()
 
 def paragraphs(html) -> Column:
     """Kept paragraphs of a page; the length and repeat rules run natively after the tree walk."""
-    return keep_paragraphs(_walk_once(col(html)))
+    return keep_paragraphs(_walk_once(col(html))["paragraphs"])
 
 
 def extract_pages(pages: DataFrame, html: str = "html", *, min_paragraphs: int = MIN_ARTICLE_PARAGRAPHS,
                   min_chars: int = MIN_ARTICLE_CHARS) -> DataFrame:
-    """Adds ``n_paragraphs``, ``extracted_text`` and ``extraction_error`` to page rows."""
-    parsed = pages.withColumn("_p", paragraphs(html))
+    """Adds ``n_paragraphs``, ``extracted_text`` and ``extraction_error`` to page rows.
+
+    A page that the walk fails on has no paragraphs and names the fault.
+    """
+    read = pages.withColumn("_read", _walk_once(col(html)))
+    parsed = read.withColumn("_p", keep_paragraphs(F.col("_read.paragraphs")))
     joined = parsed.withColumn("_text", join_paragraphs("_p")).withColumn("n_paragraphs", F.size("_p"))
     ok = passes_quality("_text", "n_paragraphs", min_paragraphs, min_chars)
     return joined.select(
         *pages.columns,
         "n_paragraphs",
         F.when(ok, F.col("_text")).alias("extracted_text"),
-        F.when(~ok, F.lit(LOW_QUALITY)).alias("extraction_error"),
+        F.when(F.col("_read.error").isNotNull(), F.concat(F.lit(UNREADABLE), "_read.error"))
+        .when(~ok, F.lit(LOW_QUALITY)).alias("extraction_error"),
     )
 
 

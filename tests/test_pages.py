@@ -135,3 +135,42 @@ def test_deep_and_wide_pages_are_read_in_one_walk():
     start = time.perf_counter()
     assert len(page_paragraphs(wide)) == 2_000
     assert time.perf_counter() - start < 2
+
+
+def test_time_follows_length_whatever_the_nesting():
+    import time
+
+    from newsevidence.operators.pages import page_paragraphs
+
+    for inner in ("<object><p>", "<div><p>x ", "<object><p>a <a>b</a> "):
+        began = time.perf_counter()
+        found = page_paragraphs("<body>" + inner * 8_000 + "end")
+        assert found and time.perf_counter() - began < 2.5
+
+
+def test_texts_equal_plain_ones():
+    """Texts cut from the page's own against texts joined piece by piece."""
+    import random
+    import re
+
+    from newsevidence.operators.pages import _Tree
+
+    r = random.Random(2)
+    parts = ["<p>", "</p>", "<div>", "</div>", " ", "\n", "a", "bc ", " d", "<b>", "</b>", "<br>", "&nbsp;", "<a>", "</a>", "é😀", "<object>", "</object>"]
+    for _ in range(300):
+        tree = _Tree("".join(r.choice(parts) for _ in range(r.randint(1, 60))))
+        for n in tree.nodes:
+            assert tree.text(n) == re.sub("[ \\t\\n\\f\\r\\xa0]+", " ", "".join(tree.pieces[n.lo:n.hi])).strip()
+
+
+def test_a_page_that_fails_names_the_fault(spark, monkeypatch):
+    import pandas as pd
+
+    from newsevidence.operators import pages as P
+
+    monkeypatch.setattr(P, "MAX_LINK_SHARE", None)
+    found = P._paragraphs.func(pd.Series(["<p>x</p>", None, ""]))
+    assert found["error"].tolist() == ["TypeError: '>' not supported between instances of 'float' and 'NoneType'", None, None]
+    monkeypatch.setattr(P, "_walk_once", lambda html: F.struct(F.array().cast("array<string>").alias("paragraphs"), F.when(html == "x", "Fault").alias("error")))
+    df = spark.createDataFrame([(1, "x"), (2, None)], "page_id long, html string")
+    assert {r.page_id: r.extraction_error for r in P.extract_pages(df).collect()} == {1: "Page can't be read: Fault", 2: P.LOW_QUALITY}
