@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as U
 from ..operators import catalog as C
+from ..operators import creates
 from ..operators.keyed import upsert
 from . import adapters as A
 from .registry import check
 
 
-
 @check("upsert_publishers", f"""
     SELECT coalesce(p.id, s.id) AS id, CASE WHEN s.id IS NOT NULL THEN s.name ELSE p.name END AS name,
       CASE WHEN s.id IS NOT NULL THEN s.country_code ELSE p.country_code END AS country_code,
@@ -461,3 +461,82 @@ def rating_patches(spark, d):
     )
     kept, _ = C.patch_ratings(A.ratings(spark, d), patches, A.now())
     return kept.select("rating_id", "source_name", "bias", "source_url", "source_url_domain")
+
+
+# Requests in order of their place: blank, taken, repeated and new names; known and unknown ratings.
+_NEW_PUBLISHERS = """
+    SELECT p_partkey AS pos, CASE p_partkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN upper('Customer#' || lpad(CAST(p_partkey % 40 AS {text}), 9, '0'))
+        ELSE ' New ' || (p_partkey % 60) || CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '' END END AS name,
+      CASE WHEN p_partkey % 3 = 0 THEN ' DE ' ELSE ' ' END AS country_code, CAST(NULL AS {text}) AS website_url,
+      CASE WHEN p_partkey % 7 = 0 THEN p_partkey + 100000000 WHEN p_partkey % 7 = 1 THEN p_partkey END AS rating_id
+    FROM {part}"""
+
+
+def _requests(spark, d, table, sql):
+    A.load(spark, d, table).createOrReplaceTempView(f"asked_{table}")
+    return spark.sql(sql.format(text="STRING", **{table: f"asked_{table}"}))
+
+
+@check("publisher_creates", f"""
+    SELECT * FROM (WITH asked AS ({_NEW_PUBLISHERS.format(text='VARCHAR', part='part')}),
+    keyed AS (SELECT *, lower(nullif({A.trim('name')}, '')) AS k FROM asked),
+    judged AS (
+      SELECT *, CASE WHEN k IS NULL THEN 'name must not be blank' WHEN k IN (SELECT lower(name) FROM t_publishers) THEN 'publisher already exists'
+        WHEN rating_id > 100000000 THEN 'rating not found' END AS wrong FROM keyed),
+    settled AS (
+      SELECT *, coalesce(wrong, CASE WHEN pos > min(pos) FILTER (wrong IS NULL) OVER (PARTITION BY k) THEN 'publisher already exists' END) AS reject_reason FROM judged)
+    SELECT pos, CASE WHEN reject_reason IS NULL THEN (SELECT max(id) FROM t_publishers)
+        + row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY sha256(k)) END AS id, reject_reason,
+      CASE WHEN reject_reason IS NULL THEN {A.trim('name')} END AS name, CASE WHEN reject_reason IS NULL AND pos % 3 = 0 THEN 'DE' END AS country_code
+    FROM settled)
+    """, ("t_publishers",))
+def publisher_creates(spark, d):
+    publishers = A.publishers(spark, d)
+    made = creates.create_publishers(publishers, _requests(spark, d, "part", _NEW_PUBLISHERS), A.ratings(spark, d), A.now())
+    return made.results.join(made.publishers.select("id", "name", "country_code"), "id", "left").select("pos", "id", "reject_reason", "name", "country_code")
+
+
+# Owners by id, by name and new ones; each kind with and without its locator; locators held, repeated and new.
+_NEW_ENDPOINTS = """
+    SELECT p_partkey AS pos, CASE p_partkey % 6 WHEN 0 THEN p_partkey % 30 + 1 WHEN 1 THEN p_partkey + 100000000 END AS publisher_id,
+      CASE p_partkey % 6 WHEN 2 THEN ' ' WHEN 3 THEN upper('Customer#' || lpad(CAST(p_partkey % 30 + 1 AS {text}), 9, '0')) ELSE 'Owner ' || (p_partkey % 25) END AS publisher_name,
+      CASE WHEN p_partkey % 4 = 0 THEN 'C' || p_partkey END AS country_code, CAST(NULL AS {text}) AS website_url,
+      CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'RSS' ELSE 'API' END AS kind, 'Feed ' || p_partkey AS display_name,
+      CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE 'https://new.example.com/' || (p_partkey % 9) END AS rss_url, 'newsapi' AS api_provider,
+      CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE 'q' || (p_partkey % 8) END AS api_query, CAST(NULL AS BOOLEAN) AS enabled,
+      CASE WHEN p_partkey % 5 = 0 THEN 60 END AS fetch_interval_minutes
+    FROM {part}"""
+
+
+@check("endpoint_creates", f"""
+    SELECT * FROM (WITH asked AS ({_NEW_ENDPOINTS.format(text='VARCHAR', part='part')}),
+    named AS (SELECT a.*, lower(nullif({A.trim('publisher_name')}, '')) AS k FROM asked a),
+    found AS (
+      SELECT n.*, CASE WHEN publisher_id IS NULL THEN p.id ELSE i.id END AS owner, publisher_id IS NOT NULL AND i.id IS NULL AS lost
+      FROM named n LEFT JOIN t_publishers i ON i.id = n.publisher_id LEFT JOIN (SELECT lower(name) AS k, min(id) AS id FROM t_publishers GROUP BY 1) p ON p.k = n.k),
+    plain AS (SELECT * REPLACE (CASE WHEN kind = 'API' THEN NULL ELSE rss_url END AS rss_url, CASE WHEN kind = 'RSS' THEN NULL ELSE api_provider END AS api_provider,
+        CASE WHEN kind = 'RSS' THEN NULL ELSE api_query END AS api_query), coalesce(CAST(owner AS VARCHAR), 'name:' || k) AS who FROM found),
+    located AS (SELECT *, concat_ws(chr(31), who, coalesce(kind, ''), coalesce(rss_url, ''), coalesce(api_provider, ''), coalesce(api_query, '')) AS loc FROM plain),
+    judged AS (
+      SELECT *, CASE WHEN lost THEN 'publisher not found' WHEN publisher_id IS NULL AND k IS NULL THEN 'publisher_name is required'
+        WHEN kind IS NULL THEN 'kind is required' WHEN kind = 'RSS' AND trim(rss_url) = '' THEN 'rss_url is required'
+        WHEN kind = 'API' AND api_query IS NULL THEN 'api_query is required'
+        WHEN EXISTS (SELECT 1 FROM t_endpoints e WHERE CAST(e.publisher_id AS VARCHAR) = who AND e.kind = l.kind AND coalesce(e.rss_url, '') = coalesce(l.rss_url, '')
+          AND coalesce(e.api_provider, '') = coalesce(l.api_provider, '') AND coalesce(e.api_query, '') = coalesce(l.api_query, '')) THEN 'endpoint already exists' END AS wrong
+      FROM located l),
+    settled AS (
+      SELECT *, coalesce(wrong, CASE WHEN pos > min(pos) FILTER (wrong IS NULL) OVER (PARTITION BY loc) THEN 'endpoint already exists' END) AS reject_reason FROM judged),
+    made AS (SELECT k, (SELECT max(id) FROM t_publishers) + row_number() OVER (ORDER BY sha256(k)) AS id FROM (
+      SELECT DISTINCT k FROM settled WHERE reject_reason IS NULL AND owner IS NULL)),
+    owned AS (SELECT s.*, CASE WHEN reject_reason IS NULL THEN coalesce(owner, m.id) END AS publisher FROM settled s LEFT JOIN made m ON m.k = s.k),
+    said AS (SELECT publisher, max_by(country_code, pos) FILTER (country_code IS NOT NULL) AS country FROM owned WHERE publisher IS NOT NULL GROUP BY 1)
+    SELECT pos, CASE WHEN reject_reason IS NULL THEN (SELECT max(id) FROM t_endpoints) + row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY sha256(loc)) END AS id,
+      reject_reason, o.publisher AS publisher_id, CASE WHEN reject_reason IS NULL THEN coalesce(fetch_interval_minutes, 30) END AS minutes,
+      CASE WHEN reject_reason IS NULL THEN coalesce(country, p.country_code) END AS country
+    FROM owned o LEFT JOIN said ON said.publisher = o.publisher LEFT JOIN t_publishers p ON p.id = o.publisher)
+    """, ("t_publishers", "t_endpoints"))
+def endpoint_creates(spark, d):
+    made = creates.create_endpoints(A.endpoints(spark, d), A.publishers(spark, d), _requests(spark, d, "part", _NEW_ENDPOINTS), A.now())
+    rows = made.results.join(made.endpoints.select("id", "publisher_id", F.col("fetch_interval_minutes").alias("minutes")), "id", "left")
+    owner = made.publishers.select(F.col("id").alias("publisher_id"), F.col("country_code").alias("country"))
+    return rows.join(owner, "publisher_id", "left").select("pos", "id", "reject_reason", "publisher_id", "minutes", "country")
