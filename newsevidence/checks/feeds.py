@@ -350,6 +350,22 @@ def stream_discover_query(spark, d):
     return articles.select("id", "publisher_id", "canonical_url_hash", "status")
 
 
+@check("article_validators", """
+    SELECT page_id + 100 AS id, CASE page_id % 4 WHEN 0 THEN 'old' WHEN 1 THEN 'old' WHEN 2 THEN 'new' || page_id END AS http_etag,
+      CASE page_id % 4 WHEN 0 THEN 'before' WHEN 1 THEN 'before' WHEN 2 THEN 'after' END AS http_last_modified FROM pages
+    """)
+def article_validators(spark, d):
+    """Untouched articles and those with own text keep their validators; a fetch sets what it was told, or nothing."""
+    articles = A.page_articles(spark, d).withColumns({"http_etag": F.lit("old"), "http_last_modified": F.lit("before")})
+    v = "(id - 100) % 4"
+    results = articles.filter(f"{v} <> 0").selectExpr(
+        "id as article_id", f"if({v} = 1, 'own text', null) as raw_text", "200 as http_status", "cast(null as string) as fetch_error",
+        "cast(null as string) as extraction_error", "'text' as extracted_text", f"timestamp'{A.NOW}' as fetched_at", "cast(null as string) as index_error",
+        f"if({v} <> 3, concat('new', id - 100), null) as http_etag", f"if({v} <> 3, 'after', null) as http_last_modified")
+    chunks = results.selectExpr("article_id", "1 as chunk_count")
+    return D.apply_article_state(articles, results, chunks).select("id", "http_etag", "http_last_modified")
+
+
 @check("article_state", """
     SELECT page_id + 100 AS id, status, http_status, fetch_error, extraction_error, chunk_count, indexed FROM (
       SELECT page_id, CASE WHEN v IN (0, 1, 2, 3, 4) THEN 'ERROR' WHEN v = 8 THEN 'INDEXED' ELSE 'INDEXED' END AS status,

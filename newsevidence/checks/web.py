@@ -123,6 +123,28 @@ def fetch_results(spark, d):
     return fetched(landed(spark, d), min_paragraphs=2, min_chars=200)
 
 
+@check("fetch_validators", f"""
+    SELECT * FROM (WITH {PARAGRAPHS.format(n=2, chars=200)}, answers AS (
+      SELECT page_id, 200 AS http_status, CAST(NULL AS VARCHAR) AS type_error, 0 AS v FROM pages
+      UNION ALL SELECT page_id + 1000000, CASE page_id % 4 WHEN 0 THEN 403 WHEN 1 THEN 404 ELSE 200 END,
+        CASE WHEN page_id % 4 = 2 THEN 'Non-HTML contentType: application/pdf' WHEN page_id % 4 = 3 THEN 'Non-HTML contentType: null' END, 1 FROM pages)
+    SELECT a.page_id, a.http_status, CASE a.http_status WHEN 403 THEN 'Blocked/Rate-limited/CAPTCHA suspected' WHEN 404 THEN 'HTTP status 404' END AS fetch_error,
+      CASE WHEN v = 0 AND NOT good THEN {LOW} ELSE type_error END AS extraction_error, CASE WHEN v = 0 AND good THEN body END AS extracted_text,
+      CASE WHEN a.page_id % 3 > 0 THEN 'W/"' || a.page_id || '"' END AS http_etag,
+      CASE WHEN a.page_id % 2 = 0 THEN 'Mon, 01 Jan 2024 10:00:00 GMT' END AS http_last_modified
+    FROM answers a LEFT JOIN judged j ON j.page_id = a.page_id)
+    """)
+def fetch_validators(spark, d):
+    """Every page as a good answer, and once more as one that fails; answers carry validators or not."""
+    p = A.load_wide(spark, d, "pages").select("page_id", "url", F.col("html").alias("body"))
+    good = p.selectExpr("page_id", "url", "200 as http_status", "'text/html' as content_type", "body")
+    bad = p.selectExpr("page_id + 1000000 as page_id", "url", "case page_id % 4 when 0 then 403 when 1 then 404 else 200 end as http_status",
+                       "case page_id % 4 when 2 then 'application/pdf' when 3 then null else 'text/html' end as content_type", "body")
+    answers = good.union(bad).selectExpr("*", """if(page_id % 3 > 0, concat('W/"', page_id, '"'), null) as http_etag""",
+                                         "if(page_id % 2 = 0, 'Mon, 01 Jan 2024 10:00:00 GMT', null) as http_last_modified")
+    return fetched(answers, min_paragraphs=2, min_chars=200).drop("final_url", "blocked_suspected")
+
+
 def robots(spark, d):
     """One robots body per host of the pages, by the length of the host name."""
     hosts = A.load(spark, d, "pages").select(host_key("url").alias("host_key")).distinct()

@@ -152,9 +152,11 @@ def apply_article_state(articles: DataFrame, results: DataFrame, chunks: DataFra
     ``results`` has one row per enriched article: article_id, raw_text, http_status, fetch_error,
     extraction_error, extracted_text, fetched_at, index_error. Own text counts as a 200 answer.
     ``chunks(article_id, chunk_count)`` says what was indexed. Articles without a result stay as
-    they are.
+    they are. Results may have ``http_etag`` and ``http_last_modified``: a fetch sets both, to null where its answer had
+    none, and own text leaves them.
     """
-    base = articles
+    base, told = articles, [c for c in ("http_etag", "http_last_modified") if c in results.columns]
+    base = base.withColumns({c: F.lit(None).cast("string") for c in told if c not in articles.columns})
     for name, kind in STATE_COLUMNS.items():
         if name not in articles.columns:
             base = base.withColumn(name, F.lit(None).cast(kind))
@@ -168,6 +170,8 @@ def apply_article_state(articles: DataFrame, results: DataFrame, chunks: DataFra
         F.when(own, F.col("raw_text")).otherwise(F.col("extracted_text")).alias("_text"),
         F.col("fetched_at").alias("_at"),
         F.col("index_error").alias("_index"),
+        (~own).alias("_fetched"),
+        *[F.col(c).alias(f"_{c}") for c in told],
     )
     counts = chunks.select(F.col("article_id").alias("id"), F.col("chunk_count").alias("_chunks"))
     view = base.join(given, "id", "left").join(counts, "id", "left")
@@ -191,7 +195,8 @@ def apply_article_state(articles: DataFrame, results: DataFrame, chunks: DataFra
     status, fetched = F.col("_status"), F.col("_at")
     done = F.coalesce(F.col("_chunks"), F.lit(0)).cast("int")
     return view.select(
-        *[c for c in base.columns if c not in STATE_COLUMNS],
+        *[c for c in base.columns if c not in STATE_COLUMNS and c not in told],
+        *[F.when(F.coalesce("_fetched", F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in told],
         pick("status", error, error, error, F.lit("INDEXED")),
         pick("http_status", status, status, status, status),
         pick("content_fetched_at", fetched, fetched, fetched, fetched),

@@ -50,6 +50,8 @@ BLOCK_TAGS = CLOSES_P | {"body", "html", "td", "th", "tr", "tbody", "thead", "op
 _BLANKS = np.array([ord(c) for c in " \t\n\f\r\xa0"], np.uint32)
 
 
+#: What an answer says about the version of its page.
+VALIDATORS = ("http_etag", "http_last_modified")
 UNREADABLE = "Page can't be read: "
 
 
@@ -297,8 +299,10 @@ def fetch_results(pages: DataFrame, *, keep: tuple[str, ...] = (), min_paragraph
                   min_chars: int = MIN_ARTICLE_CHARS) -> DataFrame:
     """Fetch results of landed ``pages(page_id, url, http_status, content_type, body)``.
 
-    Only 2xx HTML bodies are parsed. Columns in ``keep`` are passed through.
+    Only 2xx HTML bodies are parsed. Columns in ``keep`` are passed through, and so are the validators of an answer
+    (``http_etag``, ``http_last_modified``) where it was landed with them, whatever its status.
     """
+    keep = (*[c for c in VALIDATORS if c in pages.columns and c not in keep], *keep)
     noted = pages.select(
         "page_id",
         F.col("url").alias("final_url"),

@@ -16,7 +16,7 @@ from ..operators.discover import (
     apply_article_state, discover, merge_articles, merge_links, new_article_rows, new_link_rows, seen_again, valid_items,
 )
 from ..operators.keyed import salted_join
-from ..operators.pages import fetch_results
+from ..operators.pages import VALIDATORS, fetch_results
 from ..operators.robots import robots_filter
 from ..operators.runs import endpoint_attempt, first_stops, update_endpoint_state, worked_endpoints
 from ..operators.views import article_with_rating
@@ -37,7 +37,10 @@ class Ingested(NamedTuple):
 
 
 def page_results(pages: DataFrame, robots: DataFrame, now: Column, **gate) -> DataFrame:
-    """Fetch results of landed ``pages(url, http_status, content_type, body)``, robots rules applied."""
+    """Fetch results of landed ``pages(url, http_status, content_type, body)``, robots rules applied.
+
+    Validators that were landed come along; a page that is barred was not fetched and has none.
+    """
     barred = ~F.col("allowed")
     # The rules meet URLs only; bodies don't travel by host.
     verdict = robots_filter(pages.select("url").distinct(), robots).select("url", "allowed")
@@ -51,6 +54,7 @@ def page_results(pages: DataFrame, robots: DataFrame, now: Column, **gate) -> Da
         F.when(~barred, F.col("extraction_error")).alias("extraction_error"),
         F.when(~barred, F.col("extracted_text")).alias("extracted_text"),
         now.alias("fetched_at"),
+        *[F.when(~barred, F.col(c)).alias(c) for c in VALIDATORS if c in pages.columns],
     )
 
 
