@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from .keyed import salted_join
 
-RULES_TYPE = "array<struct<allow: boolean, pattern: string, length: int>>"
+RULE = "host_key string, allow boolean, prefix string, pattern string, length int"
 _URL = r"^(https?)://(?:[^/?#@]*@)?([^/?#:@]+)(?::(\d+))?([^#]*)"
 
 
@@ -40,8 +41,14 @@ def _regex(pattern: str) -> str:
     return "^" + ".*".join(re.escape(piece) for piece in body.split("*")) + ("$" if anchored else "")
 
 
+def _prefix(pattern: str) -> str | None:
+    """The prefix that a pattern stands for; None for one with a wildcard inside or an anchor."""
+    body = pattern.rstrip("*")
+    return None if "*" in body or pattern.endswith("$") else body
+
+
 def agent_rules(body: str, agent: str) -> list[tuple[bool, str, int]]:
-    """Rules of the group that names ``agent``, else of ``*``, as (allow, regex, pattern length)."""
+    """Rules of the group that names ``agent``, else of ``*``, as (allow, pattern, pattern length)."""
     groups: dict[str, list[tuple[bool, str, int]]] = {}
     names: list[str] = []
     open_head = False
@@ -57,41 +64,53 @@ def agent_rules(body: str, agent: str) -> list[tuple[bool, str, int]]:
             open_head = False
             if value:
                 for name in names:
-                    groups[name].append((field == "allow", _regex(value), len(value)))
+                    groups[name].append((field == "allow", value, len(value)))
     return groups.get(agent.lower(), groups.get("*", []))
 
 
 def robots_rules(robots: DataFrame, agent: str = "newsevidence") -> DataFrame:
-    """``(host_key, rules)`` from ``robots(host_key, status, body)``, each body parsed once per host.
+    """A row per rule, ``host_key, allow, prefix, pattern, length``, from ``robots(host_key, status, body)``.
 
-    Only 2xx answers restrict anything. Of several answers of a host the first body in text order counts.
+    Each body is parsed once. A plain rule has a ``prefix``, any other one a ``pattern`` (a regular expression). Only 2xx
+    answers restrict anything. Of several answers of a host the first body in text order counts.
     """
     usable = robots.filter(F.col("status").between(200, 299) & F.col("body").isNotNull())
     usable = usable.groupBy("host_key").agg(F.min("body").alias("body"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["host_key", "allow", "prefix", "pattern", "length"]
         for batch in batches:
-            yield pd.DataFrame({
-                "host_key": batch["host_key"],
-                "rules": [
-                    [{"allow": a, "pattern": p, "length": n} for a, p, n in agent_rules(body, agent)]
-                    for body in batch["body"]
-                ],
-            })
+            rows = []
+            for host, body in zip(batch["host_key"], batch["body"]):
+                for allow, value, length in agent_rules(body, agent):
+                    prefix = _prefix(value)
+                    rows.append((host, allow, prefix, None if prefix is not None else _regex(value), length))
+            yield pd.DataFrame(rows, columns=names)
 
-    return usable.select("host_key", "body").mapInPandas(parse, f"host_key string, rules {RULES_TYPE}")
+    return usable.select("host_key", "body").mapInPandas(parse, RULE)
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame, url: str = "url", agent: str = "newsevidence") -> DataFrame:
     """Adds ``allowed``. The longest matching pattern decides, allow wins a tie, no match allows.
 
-    A host's rules travel as one array next to each of its URLs: the join has one row per host on
-    its right side and never multiplies URLs.
+    Each distinct path of a host is cut to the lengths that the host's plain rules have, and those prefixes meet the rule
+    table by an equi-join; only rules with wildcards or anchors are matched one by one. What a host has of lengths and
+    patterns is one row, joined to its paths with salted keys, so a host with very many URLs is many tasks.
     """
     rules = robots_rules(robots, agent)
+    weight = F.struct("length", "allow")
+    plain = rules.filter("prefix is not null").groupBy("host_key", "prefix").agg(F.max(weight).alias("w"))
+    lengths = plain.groupBy("host_key").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))
+    patterns = rules.filter("pattern is not null").groupBy("host_key").agg(
+        F.collect_set(F.struct("pattern", "length", "allow")).alias("patterns"))
     keyed = urls.withColumn("host_key", host_key(url)).withColumn("_path", request_path(url))
-    matched = keyed.join(rules, "host_key", "left")
-    hits = F.filter("rules", lambda r: F.regexp_like(F.col("_path"), r["pattern"]))
-    weight = F.transform(hits, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow")))
-    verdict = F.array_max(weight)["allow"]
-    return matched.select(*urls.columns, F.coalesce(verdict, F.lit(True)).alias("allowed"))
+    paths = keyed.filter("host_key is not null").select("host_key", "_path").distinct()
+    cut = salted_join(paths, lengths, ["host_key"], ["_path"], "inner").withColumn(
+        "n", F.explode(F.filter("lengths", lambda n: n <= F.length("_path"))))
+    met = cut.select("host_key", "_path", F.substring(F.col("_path"), F.lit(1), F.col("n")).alias("prefix")).join(plain, ["host_key", "prefix"])
+    odd = salted_join(paths, patterns, ["host_key"], ["_path"], "inner").withColumn(
+        "r", F.explode(F.filter("patterns", lambda r: F.regexp_like(F.col("_path"), r["pattern"]))))
+    hits = met.select("host_key", "_path", "w").unionByName(odd.select("host_key", "_path", F.struct("r.length", "r.allow").alias("w")))
+    verdict = hits.groupBy("host_key", "_path").agg(F.max("w")["allow"].alias("allowed"))
+    out = keyed.join(verdict, ["host_key", "_path"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in urls.columns], F.coalesce("allowed", F.lit(True)).alias("allowed"))

@@ -174,3 +174,34 @@ def test_a_page_that_fails_names_the_fault(spark, monkeypatch):
     monkeypatch.setattr(P, "_walk_once", lambda html: F.struct(F.array().cast("array<string>").alias("paragraphs"), F.when(html == "x", "Fault").alias("error")))
     df = spark.createDataFrame([(1, "x"), (2, None)], "page_id long, html string")
     assert {r.page_id: r.extraction_error for r in P.extract_pages(df).collect()} == {1: "Page can't be read: Fault", 2: P.LOW_QUALITY}
+
+
+def test_robots_prefixes_equal_plain_matching(spark):
+    """Rule tables with many lengths, stars, anchors and ties, against every rule tried on every path."""
+    import random
+    import re
+
+    from newsevidence.operators.robots import _regex
+
+    r = random.Random(7)
+    piece = lambda: "".join(r.choice("ab/") for _ in range(r.randint(0, 4)))
+    hosts = {}
+    for h in range(12):
+        rules = []
+        for _ in range(r.randint(0, 14)):
+            value = "/" + piece() + r.choice(["", "", "", "*", "$", "*" + piece(), "*" + piece() + "$", "**"])
+            rules.append((r.random() < 0.4, value))
+        hosts[f"http://h{h}.example:80"] = rules
+    urls = [(f"http://h{r.randrange(13)}.example/{piece()}{piece()}{piece()}",) for _ in range(400)] + [("ftp://x/",), (None,)]
+    body = lambda rules: "User-agent: *\n" + "\n".join(f"{'Allow' if a else 'Disallow'}: {v}" for a, v in rules)
+    robots = spark.createDataFrame([(k, 200, body(v)) for k, v in hosts.items()], "host_key string, status int, body string")
+    got = robots_filter(spark.createDataFrame(urls, "url string"), robots).collect()
+
+    def plain(url):
+        if url is None or not url.startswith("http"):
+            return True
+        host, path = re.match(r"(http://[^/]+)(/.*)", url).groups()
+        hits = [(len(v), a) for a, v in hosts.get(f"{host}:80", []) if re.match(_regex(v), path)]
+        return max(hits)[1] if hits else True
+
+    assert len(got) == len(urls) and all(x.allowed == plain(x.url) for x in got) and {x.allowed for x in got} == {True, False}
