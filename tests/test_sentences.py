@@ -7,7 +7,9 @@ from newsevidence.operators.sentences import split_sentences_trained, train_sent
 FILL = ["We saw Dr. {0} in town. The talk went well. He left at noon.", "Then Mr. {0} spoke for an hour. She stayed. He paid 3.5 dollars.",
         "Some call it a win. The vote was near. The team of Dr. {0} was there.", "He came early. They met at 5 p.m. on Monday. The rain fell."]
 NAMES = ["Smith", "Jones", "Brown", "Weber", "Lopez", "Nguyen", "Kim", "Rossi"]
-TEXTS = [f.format(n) for f in FILL for n in NAMES] * 2
+# The words that end sentences above, inside of one: a word that only ever stands before a stop would pass for an abbreviation.
+INNER = "By noon the town was well fed, an hour went by near there, rain fell and she stayed a win for dollars early on Monday, they say"
+TEXTS = [f.format(n) for f in FILL for n in NAMES] * 2 + [f"{INNER} again and again now" for _ in range(20)]
 CASES = [
     (1000, "Dr. Smith met Mr. Jones. It was good! Was it? Yes."), (1001, "They met at 5 p.m. yesterday. He left."),
     (1002, "It ended at 5 p.m. The rain fell."), (1003, 'J. Weber said "no." He left.'), (1004, "He paid 10. Then he left."), (1005, None),
