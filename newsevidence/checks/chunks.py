@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences
 from ..operators import chunking as C
 from ..operators.search import article_chunks
+from ..operators.vector_store import embed_stored
 from ..operators.views import article_with_rating, chunk_count_rejects
+from ..session import shared_dir
 from ..sources import chunks as S
 from . import adapters as A
 from .registry import check
@@ -107,6 +111,28 @@ def embed_unique(spark, d):
     return out.select("source", "doc_id", F.round(total, 6).alias("total"))
 
 
+def _refuses(texts):
+    raise RuntimeError("nothing should be embedded again")
+
+
+@check("vector_store", r"""
+    SELECT doc_id, round(list_sum(list_transform(range(0, 64), lambda j: CAST(CAST((
+        (strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 1, 1)) - 1) * 16
+        + strpos('0123456789abcdef', substr(h, 2 * (j % 32) + 2, 1)) - 1) / 255.0 AS FLOAT) AS DOUBLE))), 5) AS total
+    FROM (SELECT doc_id, sha256(coalesce(min(text) FILTER (doc_id % 2 = 0) OVER (PARTITION BY k), min(text) OVER (PARTITION BY k))) AS h
+          FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[\s\x{0B}\x{1C}-\x{1F}]+', ' ', 'g')) AS k FROM documents))
+    """)
+def vector_store(spark, d):
+    """Half of the texts, then all of them, then all of them again, when nothing is left to embed."""
+    docs = A.load_wide(spark, d, "documents").select("doc_id", "text")
+    run = lambda texts, embedder: embed_stored(texts, folder, text="text", model="digest", embedder=embedder, dim=DIM)
+    folder = f"{shared_dir(spark)}/vector_store/{uuid4().hex}"
+    run(docs.filter("doc_id % 2 = 0"), C.hash_embedder(DIM))
+    run(docs, C.hash_embedder(DIM))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return run(docs, _refuses).select("doc_id", F.round(total, 5).alias("total"))
+
+
 @check("embed_counts", r"""
     SELECT source, count(*) AS original_count, count(DISTINCT
       trim(regexp_replace(lower(text), '[\s\x{0B}\x{1C}-\x{1F}]+', ' ', 'g'))) AS unique_count

@@ -164,7 +164,8 @@ def chunk_documents(docs: DataFrame, text_col: str, *, dim: int, embedder: Embed
     return rows.select(key, *keep, "chunk_index", "text", "vector", *(["error"] if errors else []))
 
 
-def _dedup_hash(text: str) -> Column:
+def dedup_hash(text: str) -> Column:
+    """Key under which two texts count as the same, as a hash."""
     # Never null, and stated so: a join then adds no null filter that would compute the key once more.
     return F.coalesce(F.sha2(dedup_key(text), 256), F.lit(""))
 
@@ -177,7 +178,7 @@ def embed_unique(texts: DataFrame, *, request: str, position: str, text: str, di
     texts only once, pre-aggregated, to find the first of each key. The join back has one row per key
     on its right side, so a key repeated very often is split by adaptive execution.
     """
-    keyed = texts.withColumn("_key", _dedup_hash(text))
+    keyed = texts.withColumn("_key", dedup_hash(text))
     first = keyed.groupBy(request, "_key").agg(F.min_by(text, position).alias("_first"))
     vectors = embed(first, "_first", embedder, out=out, dim=dim).drop("_first")
     return keyed.drop(text).join(vectors, [request, "_key"], "left").drop("_key")
@@ -185,7 +186,7 @@ def embed_unique(texts: DataFrame, *, request: str, position: str, text: str, di
 
 def embed_counts(texts: DataFrame, *, request: str, text: str) -> DataFrame:
     """Per request: how many texts came in and how many had to be embedded."""
-    per_key = texts.select(request, _dedup_hash(text).alias("_key")).groupBy(request, "_key").agg(
+    per_key = texts.select(request, dedup_hash(text).alias("_key")).groupBy(request, "_key").agg(
         F.count("*").alias("_n")
     )
     return per_key.groupBy(request).agg(
