@@ -24,12 +24,14 @@ Measures = Mapping[str, Column]
 class Rule:
     """``test`` is true for a bad document, ``work`` tells how many steps it takes to find out.
 
-    Both are given the text (never null) as ``text`` and the counts of :func:`quality_cascade` by name, and may use any.
+    Both are given the text (never null) as ``text``, counts by name, and may use any that follow from what the rule
+    ``needs``: the ``words`` of a text, its ``lines`` with a word, or both.
     """
 
     name: str
     test: Callable[[Measures], Column]
     work: Callable[[Measures], Column]
+    needs: tuple[str, ...] = ("words", "lines")
 
 
 def words(text: Column) -> Column:
@@ -68,26 +70,37 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
 
 
-def _measures(text: Column, w: Column) -> dict[str, Column]:
-    """Every count as an expression of the text and its words, none of them computed yet."""
-    lines = _lines(text)
-    return {
+def _counts(text: Column, parts: Mapping[str, Column]) -> dict[str, Column]:
+    """Every count that follows from the text and the ``parts`` given, as an expression that nothing has computed yet."""
+    out = {
         "text": text,
-        "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.translate(text, SEPARATORS, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_repeat_words": _words_in_repeats(w).cast("long"),
     }
+    if "words" in parts:
+        out |= {"n_words": F.size(parts["words"]).cast("long"), "n_repeat_words": _words_in_repeats(parts["words"]).cast("long")}
+    if "lines" in parts:
+        x = parts["lines"]
+        out |= {"n_lines": F.size(x).cast("long"), "n_dup_lines": (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+                "n_bullets": F.size(F.filter(x, lambda y: y.rlike(r"^[ \t]*[-*•]"))).cast("long")}
+    return out
+
+
+_PARTS = {"words": lambda: words(F.col("text")), "lines": lambda: _lines(F.coalesce(F.col("text"), F.lit("")))}
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """Add the counts that rules use; see :func:`quality_cascade` for their meaning."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = [n for n in _measures(text, F.lit(None)) if n != "text"]
-    every = _let(words(F.col("text")), lambda w: F.struct(*[c.alias(n) for n, c in _measures(text, w).items() if n != "text"]))
-    return docs.withColumn("_m", every).select(*docs.columns, *[F.col(f"_m.{n}").alias(n) for n in names])
+
+    def counted(part: str, x: Column) -> Column:
+        own = {n: c for n, c in _counts(text, {part: x}).items() if n not in _counts(text, {})}
+        return F.struct(*[c.alias(n) for n, c in own.items()])
+
+    every = docs.withColumn("_words", _let(_PARTS["words"](), lambda x: counted("words", x)))
+    every = every.withColumn("_lines", _let(_PARTS["lines"](), lambda x: counted("lines", x)))
+    rest = [c.alias(n) for n, c in _counts(text, {}).items() if n != "text"]
+    return every.select(*docs.columns, *rest, "_words.*", "_lines.*")
 
 
 def default_rules() -> list[Rule]:
@@ -97,15 +110,14 @@ def default_rules() -> list[Rule]:
     """
     chars = lambda times: lambda m: F.length(m["text"]) * times
     long_words = lambda m: F.when(m["word_chars"] > m["n_words"] * 20, F.length(F.regexp_replace(m["text"], _UNSPACED, "")) * 2 > F.length(m["text"])).otherwise(F.lit(False))
-    bullets = lambda m: F.size(F.filter(F.split(m["text"], "\n"), lambda x: x.rlike(r"^[ \t]*[-*•]")))
     return [
-        Rule("too_few_words", lambda m: m["n_words"] < 50, lambda m: F.lit(1)),
-        Rule("repeated_windows", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50, lambda m: 40 * m["n_words"] * F.log2(m["n_words"] + 2)),
-        Rule("word_length", lambda m: (m["word_chars"] < m["n_words"] * 2) | long_words(m), chars(1)),
-        Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"], chars(1)),
-        Rule("repeated_lines", lambda m: m["n_dup_lines"] * 10 > m["n_lines"] * 3, chars(4)),
-        Rule("no_letters", lambda m: F.length(F.regexp_replace(m["text"], r"\P{L}+", "")) * 2 < m["word_chars"], chars(6)),
-        Rule("bullets", lambda m: bullets(m) * 10 > m["n_lines"] * 9, chars(5)),
+        Rule("too_few_words", lambda m: m["n_words"] < 50, lambda m: F.lit(1), ("words",)),
+        Rule("repeated_windows", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50, lambda m: 40 * m["n_words"] * F.log2(m["n_words"] + 2), ("words",)),
+        Rule("word_length", lambda m: (m["word_chars"] < m["n_words"] * 2) | long_words(m), chars(1), ("words",)),
+        Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"], chars(1), ("words",)),
+        Rule("repeated_lines", lambda m: m["n_dup_lines"] * 10 > m["n_lines"] * 3, chars(4), ("lines",)),
+        Rule("no_letters", lambda m: F.length(F.regexp_replace(m["text"], r"\P{L}+", "")) * 2 < m["word_chars"], chars(6), ()),
+        Rule("bullets", lambda m: m["n_bullets"] * 10 > m["n_lines"] * 9, chars(5), ("lines",)),
     ]
 
 
@@ -134,13 +146,26 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPL
 
 
 def _first_failed(order: Sequence[Rule], m: Measures) -> Column:
-    """The first rule that rejects; those after it are not evaluated."""
+    """The first rule that rejects, by counts that are columns."""
     failed = F.lit(None).cast("string")
     for rule in reversed(order):
         failed = F.when(rule.test(m), F.lit(rule.name)).otherwise(failed)
     return failed
 
 
+def _cascade(order: Sequence[Rule], parts: Mapping[str, Column]) -> Column:
+    """The first rule that rejects. Words and lines are cut where the first rule comes that needs them, once; counts are made
+    inside their rule. What follows a rule that rejects is not evaluated."""
+    if not order:
+        return F.lit(None).cast("string")
+    rule = order[0]
+    for part in rule.needs:
+        if part not in parts:
+            return _let(_PARTS[part](), lambda x: _cascade(order, {**parts, part: x}))
+    m = _counts(F.coalesce(F.col("text"), F.lit("")), parts)
+    return F.when(rule.test(m), F.lit(rule.name)).otherwise(_cascade(order[1:], parts))
+
+
 def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Measure every row of ``docs`` (``doc_id``, ``text``) and judge it by a cascade of rules.
 
@@ -166,12 +191,11 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, sample
 def good_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``docs`` that :func:`quality_cascade` keeps, whole.
 
-    Only the words of a text are always cut; each count is made inside the branch of the rule that needs it, so a row that
-    an earlier rule rejects is spared it.
+    Words, lines and counts are made inside the branch of the rule that needs them first, so a row that an earlier rule
+    rejects is spared them.
     """
     own = list(rules if rules is not None else default_rules())
     own += [r for r in default_rules() if r.name in _BASE and r.name not in {x.name for x in own}]
     order = [rule for rule, _, _ in order_rules(docs, own, sample_rows)]
     whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return whole.where(_let(words(F.col("text")), lambda w: _first_failed(order, _measures(text, w))).isNull()).select("whole.*")
+    return whole.where(_cascade(order, {}).isNull()).select("whole.*")

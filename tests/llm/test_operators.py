@@ -237,7 +237,7 @@ def test_rules_are_ordered_by_rejection_per_cost(odd):
 
 def test_counts_are_made_once_and_only_when_needed(odd):
     plan = quality.good_documents(odd)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("sort_array(") == 1 and plan.count("array_distinct(") == 1
+    assert plan.count("sort_array(") == 1 and plan.count("array_distinct(") == 1 and plan.count("split(") == 2
 
 
 # 6 ----------------------------------------------------------------------------------------------
