@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences
+from ..functions.vectors import digest_matrix
 from ..operators import chunking as C
 from ..operators.search import article_chunks
 from ..operators.vector_store import embed_stored
@@ -72,7 +73,7 @@ _TOO_SHORT = 25
 def _strict_embedder(texts):
     if any(len(t) < _TOO_SHORT for t in texts):
         raise ValueError("text is too short")
-    return C.hash_embedder(DIM)(texts)
+    return digest_matrix(texts, DIM)
 
 
 @check("chunk_fallbacks", f"""

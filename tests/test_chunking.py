@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from newsevidence.functions.vectors import digest_matrix
 from newsevidence.operators import chunk_stream as S
 from newsevidence.operators import chunking as C
 
@@ -110,7 +111,7 @@ def test_one_bad_document_leaves_the_rest_unchanged(spark, batch):
     def embedder(texts):
         if "bad" in texts:
             raise RuntimeError("no vector")
-        return C.hash_embedder(16)(texts)
+        return digest_matrix(texts, 16)
 
     run = lambda e: [r.asDict() for r in C.stream_chunks(df, F.col("s"), e, keep=("id",), batch=batch).orderBy("id", "chunk_index").collect()]
     good, some = run(C.hash_embedder(16)), run(embedder)
@@ -118,7 +119,7 @@ def test_one_bad_document_leaves_the_rest_unchanged(spark, batch):
     six = [r for r in some if r["id"] == 6]
     assert [(r["start"], r["end"], r["semantic"]) for r in six] == [(0, 4, False), (4, 8, False), (8, 12, False)]
     assert all(r["error"] == "RuntimeError: no vector" and r["vector"] is not None for r in six) and not any(r["id"] > 6 for r in some)
-    short = lambda texts: C.hash_embedder(16)(texts)[:-1]
+    short = lambda texts: digest_matrix(texts, 16)[:-1]
     assert all(r["vector"] is None and "mismatch" in r["error"] for r in run(short))
     ragged = lambda texts: [[1.0] * (1 + len(t) % 2) for t in texts]
     assert any(r["error"] for r in run(ragged))
@@ -136,7 +137,7 @@ def test_long_documents_hand_over_before_their_end(spark, monkeypatch):
     def late(texts):
         if parts[250] in texts:
             raise RuntimeError("late")
-        return C.hash_embedder(64)(texts)
+        return digest_matrix(texts, 64)
 
     one = sorted((r for r in C.stream_chunks(df, F.col("s"), late, keep=("id",)).collect() if r.id == 1), key=lambda r: r.chunk_index)
     assert [r.chunk_index for r in one] == list(range(len(one))) and one[0].semantic and not one[-1].semantic
@@ -144,8 +145,6 @@ def test_long_documents_hand_over_before_their_end(spark, monkeypatch):
 
 
 def test_documents_with_an_embedder_equal_the_hash_path(spark):
-    from newsevidence.functions.vectors import digest_matrix
-
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(8))
     docs = [(i, " ".join(f"{word()} {word()}." for _ in range(n))) for i, n in enumerate([0, 1, 5, 9, 10, 25, 60])]
@@ -159,8 +158,6 @@ def test_documents_with_an_embedder_equal_the_hash_path(spark):
 
 
 def test_embed_unique_shares_the_first_vector(spark):
-    from newsevidence.functions.vectors import digest_matrix
-
     rows = [("r1", 0, "A b"), ("r1", 1, "a  B"), ("r2", 0, "a  B"), ("r2", 1, "ﬁn"), ("r2", 2, "FIN")]
     df = spark.createDataFrame(rows, "request string, pos int, text string")
     out = {(r.request, r.pos): r.vector for r in C.embed_unique(df, request="request", position="pos", text="text", dim=32).collect()}
