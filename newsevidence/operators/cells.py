@@ -14,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.tables import stage
 from .keyed import top_per_key
-from .vectorset import TopK, unit_rows, unusable_vector
+from .vectorset import TILE_CHUNKS, TILE_CLAIMS, TopK, Units, in_order, unit_rows, unusable_vector
 
 #: Chunks of a cell on average, and bytes of pivots that every task may hold.
 CELL_ROWS = 2_000
@@ -28,6 +30,8 @@ PIVOT_BYTES = 64 * 1024 * 1024
 #: Rows of one side of a block of comparisons.
 BLOCK_CLAIMS = 8_192
 BLOCK_CHUNKS = 16_384
+#: Where claims go to many cells, both sides are dealt over this many blocks, or more if a block's vectors take more bytes.
+LEAST_BLOCKS, BLOCK_BYTES = 8, 160 * 1024 * 1024
 #: Folders that cells are dealt over; within one, files are in order of the cell, so row groups of others are skipped.
 SHELVES = 512
 NAMED_CELLS = 1_000
@@ -129,18 +133,19 @@ def open_cells(spark: SparkSession, folder: str) -> Cells:
     return Cells(folder, int(index["dim"][0]), id_type, pivots, lo, hi, rows)
 
 
-def near_cells(claim: np.ndarray, own: np.ndarray, reach: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
-    """Claims (rows) and the cells, other than their own, that may hold a chunk within their reach (an angle)."""
-    similarity = np.clip(claim @ cells.pivots.T, -1.0, 1.0)
-    angle = np.arccos(similarity)
-    ring = np.maximum(np.maximum(angle - cells.hi, cells.lo - angle), 0.0)
+def near_cells(claim: np.ndarray, own: np.ndarray, reach: np.ndarray, cells: Cells, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Claims (rows) and the cells, other than their own, that may hold a chunk within their reach (an angle); of ``some``, if given."""
+    some = np.arange(len(cells.rows)) if some is None else some
+    pivots, owner = cells.pivots[some], cells.pivots[own]
+    angle = np.arccos(np.clip(claim @ pivots.T, -1.0, 1.0))
+    ring = np.maximum(np.maximum(angle - cells.hi[some], cells.lo[some] - angle), 0.0)
     # Distance to the plane between the own cell and the other; a chunk of the other lies beyond it.
-    across = np.sqrt(np.maximum(2.0 - 2.0 * np.clip(cells.pivots[own] @ cells.pivots.T, -1.0, 1.0), 1e-30))
-    gap = (similarity[np.arange(len(own)), own][:, None] - similarity) / across
-    plane = np.arcsin(np.clip(gap, 0.0, 1.0))
-    near = (np.maximum(ring, plane) <= reach[:, None]) & (cells.rows > 0)
-    near[np.arange(len(own)), own] = False
-    return np.nonzero(near)
+    across = np.sqrt(np.maximum(2.0 - 2.0 * np.clip(owner @ pivots.T, -1.0, 1.0), 1e-30))
+    home = np.clip(np.einsum("ij,ij->i", claim, owner), -1.0, 1.0)
+    plane = np.arcsin(np.clip((home[:, None] - np.cos(angle)) / across, 0.0, 1.0))
+    near = (np.maximum(ring, plane) <= reach[:, None]) & (cells.rows[some] > 0) & (own[:, None] != some)
+    q, at = np.nonzero(near)
+    return q, some[at]
 
 
 def _route_home(sent):
@@ -155,20 +160,91 @@ def _route_home(sent):
     return run
 
 
-def _route_away(sent):
+def blocks_for(rows: int, dim: int) -> int:
+    """Blocks that ``rows`` vectors are dealt over: a fixed number until these would grow past BLOCK_BYTES."""
+    return max(min(LEAST_BLOCKS, -(-rows // TILE_CLAIMS)), -(-rows * dim * 4 // BLOCK_BYTES), 1)
+
+
+def _reach(bar: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(1.0 - bar.astype(np.float64), -1.0, 1.0)) + _SLACK
+
+
+def _route_away(sent, slots: np.ndarray):
+    """The slots that each claim has to go to, and at the end, in a row without a claim, the cells that any came near."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells: Cells = sent.value
+        used = np.zeros(len(cells.rows), bool)
         for batch in batches:
             for low in range(0, len(batch), 1024):
                 part = batch.iloc[low:low + 1024]
-                reach = np.arccos(np.clip(1.0 - part["bar"].to_numpy(np.float64), -1.0, 1.0)) + _SLACK
-                q, at = near_cells(unit_rows(part["vector"]), part["cell"].to_numpy(), reach, cells)
+                q, at = near_cells(unit_rows(part["vector"]), part["cell"].to_numpy(), _reach(part["bar"].to_numpy()), cells)
                 if len(q):
-                    yield part.iloc[q].assign(cell=at.astype(np.int32))
+                    used[at] = True
+                    q, slot = np.divmod(np.unique(q * (slots.max() + 1) + slots[at]), slots.max() + 1)
+                    rows, first = np.unique(q, return_index=True)
+                    yield part.iloc[rows].assign(slots=np.split(slot.astype(np.int32), first[1:]), used=None)
+        if used.any():
+            yield pd.DataFrame({"claim_id": [None], "vector": [None], "cell": pd.array([None], "Int32"), "bar": [None], "slots": [None],
+                                "used": [np.flatnonzero(used).astype(np.int32)]})
 
     return run
 
 
+def compare_blocks(claims: DataFrame, chunks: DataFrame, keys: list[str], pairs: int, work, schema: T.StructType) -> DataFrame:
+    """``work`` (two Arrow tables to one of ``schema``) on each pair of a block of claims and one of chunks, some ``pairs`` in all.
+
+    The number of partitions is stated, so that a task never gets many pairs at once, however well they compress.
+    """
+    sides = [df.repartition(2 * pairs, *keys).groupBy(*keys) for df in (claims, chunks)]
+    return sides[0].cogroup(sides[1]).applyInArrow(work, schema)
+
+
+def _compare_away(away: DataFrame, sent, slots: np.ndarray, used: list[int], k: int, schema: T.StructType) -> DataFrame:
+    """Hits of claims in the cells near to them. A slot is a run of cells; a claim is sent once to a slot, not to each cell."""
+    cells, spark = sent.value, away.sparkSession
+    rows = np.bincount(slots, cells.rows)
+    blocks = blocks_for(away.count(), cells.dim)
+    parts = np.maximum(1, -(-rows.astype(np.int64) * cells.dim * 4 // BLOCK_BYTES))  # a cell of very many copies
+    dealt = spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "slot int, parts int")
+    slot_of = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(slots), dtype=np.int32), "slot": slots.astype(np.int32)}), "cell int, slot int")
+    left = away.select("claim_id", "vector", F.col("cell").alias("own"), "bar", F.explode("slots").alias("slot"),
+                       F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int").alias("block"))
+    left = left.join(F.broadcast(dealt), "slot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = cells.part(spark, used, "chunk_id", "vector").join(F.broadcast(slot_of.join(dealt, "slot")), "cell")
+    right = right.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int")).drop("parts") \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    out = to_arrow_schema(schema)
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        cells = sent.value
+        if not (asked.num_rows and held.num_rows):
+            return out.empty_table()
+        claims, chunks = (Units.of_column(t.column("vector"), cells.dim) for t in (asked, held))
+        ids, cell = held.column("chunk_id").to_pandas().to_numpy(), held.column("cell").to_numpy()
+        order = in_order(ids)
+        order = order[np.argsort(cell[order], kind="stable")]
+        some, first = np.unique(cell[order], return_index=True)
+        last = np.append(first[1:], len(order))
+        best = TopK(asked.column("claim_id").to_pandas().to_numpy(), claims, k, asked.column("bar").to_numpy())
+        own = asked.column("own").to_numpy()
+        near = []
+        for a in range(0, len(claims), TILE_CLAIMS):
+            rows = np.arange(a, min(a + TILE_CLAIMS, len(claims)))
+            q, at = near_cells(claims.exact(rows), own[rows], _reach(best.bar[rows]), cells, some)
+            near.append((rows[q].astype(np.int32), at.astype(np.int32)))
+        who, at = (np.concatenate(x) for x in zip(*near))
+        who = who[np.argsort(at, kind="stable")]
+        ends = np.cumsum(np.bincount(np.searchsorted(some, at), minlength=len(some)))
+        for i in range(len(some)):
+            asking = who[ends[i - 1] if i else 0:ends[i]]
+            for c0 in range(first[i], last[i] if len(asking) else 0, TILE_CHUNKS):
+                best.compare(asking, ids, chunks, order[c0:min(c0 + TILE_CHUNKS, last[i])])
+        hits = best.rows().assign(cell=cell[best.best["place"].to_numpy(dtype=int)])
+        return pa.Table.from_pandas(hits, schema=out, preserve_index=False)
+
+    return compare_blocks(left, right, ["slot", "part", "block"], blocks * int(parts.sum()), work, schema)
+
+
 def compare_in_cells(routed: DataFrame, cells: Cells, k: int, schema: T.StructType) -> DataFrame:
     """Hits of routed claims (``claim_id, vector, cell, bar``) in their cells, at most ``k`` per claim and block.
 
@@ -195,12 +271,19 @@ def compare_in_cells(routed: DataFrame, cells: Cells, k: int, schema: T.StructTy
     return claim_side.groupBy(*keys).cogroup(chunk_side.groupBy(*keys)).applyInPandas(nearest, schema)
 
 
+def slots_of(cells: Cells) -> np.ndarray:
+    """The slot of each cell: cells one behind the other, slots of about equal numbers of rows."""
+    total = int(cells.rows.sum())
+    before = np.cumsum(cells.rows) - cells.rows
+    return (before * blocks_for(total, cells.dim) // max(total, 1)).astype(np.int64)
+
+
 def search_cells(claims: DataFrame, cells: Cells, k: int, max_distance: float, folder: str) -> DataFrame:
     """``claim_id, chunk_id, distance, rank, cell``: the k nearest chunks of each claim within the limit, staged below ``folder``.
 
     Distance is one minus cosine in single precision, ties go to the smaller chunk id, and a zero vector is at distance 1
     of everything. Claims without a usable vector of the layout's size have no hits. Rows of one ``claim_id`` should be equal.
-    The copies of a claim that were made are in ``folder/routes``: ``claim_id, cell``.
+    The copies of a claim that were made are in ``folder/routes``: ``claim_id, slot``, where the slot of the copy in its own cell is null.
     """
     spark = claims.sparkSession
     schema = T.StructType([T.StructField("claim_id", claims.schema["claim_id"].dataType), T.StructField("chunk_id", cells.id_type),
@@ -215,9 +298,12 @@ def search_cells(claims: DataFrame, cells: Cells, k: int, max_distance: float, f
     first = stage(top_per_key(compare_in_cells(home, cells, k, schema), ["claim_id"], order, k), folder, "first")
     kth = first.groupBy("claim_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") >= k).select("claim_id", "kth")
     bounded = home.join(kth, "claim_id", "left").withColumn("bar", F.least("bar", F.coalesce("kth", "bar"))).select("claim_id", "vector", "cell", "bar")
-    away = stage(bounded.mapInPandas(_route_away(sent), f"{kind}, cell int, bar float"), folder, "away")
-    stage(home.select("claim_id", "cell").unionByName(away.select("claim_id", "cell")), folder, "routes")
-    rest = compare_in_cells(away, cells, k, schema)
+    slots = slots_of(cells)
+    routed = stage(bounded.mapInPandas(_route_away(sent, slots), f"{kind}, cell int, bar float, slots array<int>, used array<int>"), folder, "away")
+    used = [r[0] for r in routed.select(F.explode("used")).distinct().collect()]  # a row per cell at most
+    away = routed.where("slots is not null").drop("used")
+    stage(home.select("claim_id", F.lit(None).cast("int").alias("slot")).unionByName(away.select("claim_id", F.explode("slots").alias("slot"))), folder, "routes")
+    rest = _compare_away(away, sent, slots, used, k, schema)
     return stage(top_per_key(first.unionByName(rest), ["claim_id"], order, k, rank="rank").select("claim_id", "chunk_id", "distance", "rank", "cell"), folder, "hits")
 
 

@@ -3,7 +3,8 @@
 A signature says on which side of each plane a vector lies; two vectors at an angle t differ in a bit with probability
 t / pi. Each of a few tables puts a chunk into the bucket of its signature. A claim probes its own bucket and those a few
 bits away, and is compared exactly with what lies there. How many bits, tables and probes there are follows from the
-similarity and the recall asked for.
+similarity and the recall asked for. Vectors are stored and sent once with their buckets in all tables, not once per table
+or probe; which pairs are probed is settled where a block of claims meets a block of chunks.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.tables import stage
-from .cells import Cells, common_size, compare_in_cells, shelve
+from .cells import Cells, blocks_for, common_size, compare_blocks, shelve
 from .keyed import top_per_key
-from .vectorset import unit_rows, unusable_vector
+from .vectorset import TILE_CHUNKS, TopK, Units, in_order, unit_rows, unusable_vector
 
 #: Copies of the chunk vectors that may be stored, and chunks of a bucket below which smaller ones don't pay.
 MOST_TABLES, BUCKET_ROWS = 8, 64
@@ -64,7 +67,7 @@ def plan_signatures(rows: int, similarity: float, recall: float, most_tables: in
 
 @dataclass(frozen=True)
 class Signatures(Cells):
-    """A stored index; cell ``t << bits | bucket`` holds the chunks of a bucket in table t."""
+    """A stored index; ``rows[t << bits | bucket]`` is the number of chunks of a bucket in table t. Cells are those of the first table."""
 
     plan: Plan
     seed: int
@@ -82,7 +85,7 @@ def _buckets(matrix: np.ndarray, plan: Plan, normals: np.ndarray) -> np.ndarray:
 
 def build_signatures(chunks: DataFrame, folder: str, dim: int | None = None, similarity: float = 0.5, recall: float = 0.95,
                      most_tables: int = MOST_TABLES, seed: int = 11) -> Signatures:
-    """Write ``chunks`` (``chunk_id``, ``vector``) once per table, by bucket, below ``folder``.
+    """Write ``chunks`` (``chunk_id``, ``vector``) with their ``buckets``, by that of the first table, below ``folder``.
 
     Rows without a usable vector of ``dim`` numbers are left out, as in :func:`cells.build_cells`.
     """
@@ -96,56 +99,97 @@ def build_signatures(chunks: DataFrame, folder: str, dim: int | None = None, sim
         for batch in batches:
             for low in range(0, len(batch), 2048):
                 part = batch.iloc[low:low + 2048]
-                buckets = _buckets(unit_rows(part["vector"]), plan, normals)
-                for t in range(plan.tables):
-                    yield part.assign(cell=((t << plan.bits) | buckets[:, t]).astype(np.int32))
+                buckets = _buckets(unit_rows(part["vector"]), plan, normals).astype(np.int32)
+                yield part.assign(cell=buckets[:, 0], buckets=list(buckets))
 
-    shelve(good.mapInPandas(place, T.StructType([*good.schema.fields, T.StructField("cell", T.IntegerType())])), f"{folder}/chunks")
+    kinds = [T.StructField("cell", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))]
+    shelve(good.mapInPandas(place, T.StructType([*good.schema.fields, *kinds])), f"{folder}/chunks")
     rows = np.zeros(plan.tables << plan.bits, np.int64)
-    counted = spark.read.schema("cell int").parquet(f"{folder}/chunks").groupBy("cell").count().toPandas()  # a row per bucket
+    counted = spark.read.schema("buckets array<int>").parquet(f"{folder}/chunks").select(F.posexplode("buckets").alias("t", "b")) \
+        .select((F.col("t") * F.lit(1 << plan.bits) + F.col("b")).alias("cell")).groupBy("cell").count().toPandas()  # a row per bucket
     rows[counted["cell"].to_numpy(int)] = counted["count"]
     none = np.zeros(0)
     return Signatures(folder, dim, good.schema["chunk_id"].dataType, none, none, none, rows, plan, seed)
 
 
-def _probe_order(plan: Plan) -> list[tuple[int, ...]]:
-    from itertools import combinations
-
-    return [c for i in range(plan.flips + 1) for c in combinations(range(plan.bits), i)]
+def _compare_probed(plan: Plan, dim: int, k: int, schema: T.StructType):
+    """Work on a block of claims and one of chunks: the k nearest of those pairs that any table's probes let meet."""
+    out = to_arrow_schema(schema)
+    # Where most pairs meet, whole tiles are multiplied and hits looked up; else each bucket with the claims that probe it.
+    sparse = plan.tables * plan.probes * 4 < 1 << plan.bits
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not (asked.num_rows and held.num_rows):
+            return out.empty_table()
+        claims, chunks = (Units.of_column(t.column("vector"), dim) for t in (asked, held))
+        mine, theirs = (t.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, plan.tables) for t in (asked, held))
+        bits = np.array([i.bit_count() for i in range(1 << plan.bits)], np.uint8)
+        ids = held.column("chunk_id").to_pandas().to_numpy()
+        best = TopK(asked.column("claim_id").to_pandas().to_numpy(), claims, k, asked.column("bar").to_numpy())
+
+        def meets(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+            met = np.zeros(len(q), bool)
+            for t in range(plan.tables):
+                met |= bits[mine[q, t] ^ theirs[c, t]] <= plan.flips
+            return met
+
+        if not sparse:
+            best.add(ids, chunks, meets)
+            return pa.Table.from_pandas(best.rows(), schema=out, preserve_index=False)
+        order = in_order(ids)
+        for t in range(plan.tables):
+            bucket = theirs[order, t]
+            at = order[np.argsort(bucket, kind="stable")]
+            first = np.flatnonzero(np.diff(theirs[at, t], prepend=-1))
+            for a, b in zip(first, np.append(first[1:], len(at))):
+                asking = np.flatnonzero(bits[mine[:, t] ^ theirs[at[a], t]] <= plan.flips)
+                for c0 in range(a, b if len(asking) else a, TILE_CHUNKS):
+                    best.compare(asking, ids, chunks, at[c0:min(c0 + TILE_CHUNKS, b)], lambda q, c: _first_met(bits, mine, theirs, plan, t, q, c))
+        return pa.Table.from_pandas(best.rows(), schema=out, preserve_index=False)
+
+    return work
+
+
+def _first_met(bits: np.ndarray, mine: np.ndarray, theirs: np.ndarray, plan: Plan, table: int, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Pairs that no table before this one has let meet: a chunk met in several tables is the same hit."""
+    new = np.ones(len(q), bool)
+    for t in range(table):
+        new &= bits[mine[q, t] ^ theirs[c, t]] > plan.flips
+    return new
 
 
 def approximate_search(claims: DataFrame, index: Signatures, k: int, max_distance: float, folder: str) -> DataFrame:
     """``claim_id, chunk_id, distance, rank``: the nearest chunks found, staged below ``folder``.
 
     Distances are exact, in single precision; ties go to the smaller chunk id. A chunk as near as the index was planned
-    for is found with its recall, nearer ones more often. Claims without a usable vector have no hits.
+    for is found with its recall, nearer ones more often. Claims without a usable vector have no hits. Claims and chunks
+    are dealt over blocks; each vector is sent once to each block of the other side.
     """
     spark, plan = claims.sparkSession, index.plan
     schema = T.StructType([T.StructField("claim_id", claims.schema["claim_id"].dataType), T.StructField("chunk_id", index.id_type),
-                           T.StructField("distance", T.FloatType()), T.StructField("cell", T.IntegerType())])
-    if not index.rows.sum():
-        return spark.createDataFrame([], T.StructType([*schema.fields[:3], T.StructField("rank", T.IntegerType())]))
-    dim, seed, full = index.dim, index.seed, spark.sparkContext.broadcast(index.rows > 0)
+                           T.StructField("distance", T.FloatType())])
+    total = int(index.rows.sum()) // plan.tables
+    if not total:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    dim, seed = index.dim, index.seed
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         normals = planes(plan, dim, seed)
-        flips = [sum(1 << b for b in c) for c in _probe_order(plan)]
         for batch in batches:
-            for low in range(0, len(batch), 1024):
-                part = batch.iloc[low:low + 1024]
-                buckets = _buckets(unit_rows(part["vector"]), plan, normals)
-                for t in range(plan.tables):
-                    for f in flips:
-                        cell = (t << plan.bits) | (buckets[:, t] ^ f)
-                        some = full.value[cell]
-                        if some.any():
-                            yield part[some].assign(cell=cell[some].astype(np.int32))
+            for low in range(0, len(batch), 2048):
+                part = batch.iloc[low:low + 2048]
+                yield part.assign(buckets=list(_buckets(unit_rows(part["vector"]), plan, normals).astype(np.int32)))
 
     good = claims.select("claim_id", "vector").where(unusable_vector("vector", dim).isNull())
-    kind = f"claim_id {schema['claim_id'].dataType.simpleString()}, vector {dict(claims.dtypes)['vector']}, cell int"
-    routed = stage(good.mapInPandas(probe, kind).withColumn("bar", F.lit(float(max_distance)).cast("float")), folder, "probes")
-    # A chunk may be met in several tables; it is the same hit.
-    hits = compare_in_cells(routed, index, k, schema).drop("cell").dropDuplicates(["claim_id", "chunk_id"])
+    kind = f"claim_id {schema['claim_id'].dataType.simpleString()}, vector {dict(claims.dtypes)['vector']}, buckets array<int>"
+    signed = stage(good.mapInPandas(sign, kind).withColumn("bar", F.lit(float(max_distance)).cast("float")), folder, "claims")
+    across, down = blocks_for(signed.count(), dim), blocks_for(total, dim)
+    deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = signed.withColumn("block", deal("claim_id", across)).withColumn("part", each(down))
+    right = index.table(spark, "chunk_id", "vector", "buckets").drop("cell", "shelf").withColumn("part", deal("chunk_id", down)).withColumn("block", each(across))
+    hits = compare_blocks(left, right, ["block", "part"], across * down, _compare_probed(plan, dim, k, schema), schema)
+    hits = hits.dropDuplicates(["claim_id", "chunk_id"])
     return stage(top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank"), folder, "hits")
 
 

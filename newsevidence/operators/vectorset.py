@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tile of the distance matrix held at a time: 32 MiB of doubles.
+# Tile of the distance matrix held at a time: 16 MiB in single precision.
 TILE_CLAIMS = 1_024
 TILE_CHUNKS = 4_096
+#: For places of claims and of chunks: which of these pairs are to be compared.
+Meets = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -44,37 +49,116 @@ def chunk_vector_rejects(chunks: DataFrame, dim: int | None = None) -> DataFrame
     return chunks.select("chunk_id", unusable_vector("vector", dim).alias("reject_reason")).filter("reject_reason is not null")
 
 
+def in_order(ids: np.ndarray) -> np.ndarray:
+    """Places in order of the ids; nulls come last."""
+    return pd.Series(ids).sort_values(kind="stable").index.to_numpy()
+
+
+class Units:
+    """Vectors of a block with their lengths; directions are made tile by tile, in the precision asked for."""
+
+    def __init__(self, raw: np.ndarray, norms: np.ndarray | None = None):
+        self.raw = raw
+        if norms is None:
+            norms = np.concatenate([np.zeros(0), *(np.linalg.norm(raw[a:a + TILE_CHUNKS].astype(np.float64), axis=1)
+                                                   for a in range(0, len(raw), TILE_CHUNKS))])
+        self.norms = np.where(norms > 0, norms, 1.0)
+
+    @classmethod
+    def of_column(cls, column: pa.ChunkedArray, dim: int) -> Units:
+        """Of an Arrow column of usable vectors of ``dim`` numbers."""
+        parts = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in column.chunks if len(c)]
+        return cls(parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros((0, dim), np.float32))
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def exact(self, rows: np.ndarray | slice) -> np.ndarray:
+        return self.raw[rows].astype(np.float64) / self.norms[rows, None]
+
+    def single(self, rows: np.ndarray | slice) -> np.ndarray:
+        return self.exact(rows).astype(np.float32)
+
+
 class TopK:
     """Running k nearest chunks of a block of claims: distance first, then chunk id.
 
-    Works on tiles, so the distance matrix stays small however many claims and chunks a task holds. ``limit`` is the
+    Works on tiles, so the distance matrix stays small however many claims and chunks a task holds. Products are made in
+    single precision first; what they leave in question, by a bound on their error, is computed in double. ``limit`` is the
     largest distance that counts, one number or one per claim.
     """
 
-    def __init__(self, claim_ids: np.ndarray, claims: np.ndarray, k: int, limit: float | np.ndarray):
-        self.claim_ids, self.claims, self.k = claim_ids, claims, k
+    def __init__(self, claim_ids: np.ndarray, claims: np.ndarray | Units, k: int, limit: float | np.ndarray):
+        self.claim_ids, self.k = claim_ids, k
+        self.claims = claims if isinstance(claims, Units) else Units(claims, np.ones(len(claims)))
+        self.near = np.concatenate([np.zeros((0, self.claims.raw.shape[1]), np.float32), *(
+            self.claims.single(slice(a, a + TILE_CHUNKS)) for a in range(0, len(self.claims), TILE_CHUNKS))])
         self.bar = np.broadcast_to(np.asarray(limit, dtype=np.float32), len(claim_ids)).copy()
-        self.best = pd.DataFrame({"q": [], "chunk_id": [], "distance": []})
-
-    def add(self, chunk_ids: np.ndarray, chunks: np.ndarray) -> None:
+        # Rounding of both factors and of each sum of products, each sum being 1 at most; and that of the distance.
+        self.slack = (self.near.shape[1] + 8) * 2.0**-24 + 1e-6
+        self.best = pd.DataFrame({"q": [], "chunk_id": [], "distance": [], "place": []})
+
+    def add(self, chunk_ids: np.ndarray, chunks: np.ndarray | Units, meets: Meets | None = None) -> None:
+        """Compare all claims with more chunks; of the pairs only those that ``meets`` lets through, if given."""
+        chunks = chunks if isinstance(chunks, Units) else Units(chunks, np.ones(len(chunks)))
+        every = np.arange(len(self.claim_ids))
+        order = in_order(chunk_ids)
+        for c0 in range(0, len(order), TILE_CHUNKS):
+            self.compare(every, chunk_ids, chunks, order[c0:c0 + TILE_CHUNKS], meets)
+
+    def compare(self, claims: np.ndarray, chunk_ids: np.ndarray, chunks: Units, at: np.ndarray, meets: Meets | None = None) -> None:
+        """Compare some claims (places) with at most a tile of chunks (places, in order of their ids)."""
+        tile = chunks.single(at).T
         found = []
-        for c0 in range(0, len(chunk_ids), TILE_CHUNKS):
-            part, ids = chunks[c0 : c0 + TILE_CHUNKS].T, chunk_ids[c0 : c0 + TILE_CHUNKS]
-            for q0 in range(0, len(self.claim_ids), TILE_CLAIMS):
-                distance = (1.0 - self.claims[q0 : q0 + TILE_CLAIMS] @ part).astype(np.float32)
-                limit = self.bar[q0 : q0 + TILE_CLAIMS]
-                if distance.shape[1] > self.k:
-                    # Ties at the k-th distance stay in; the chunk id decides about them below.
-                    kth = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]
-                    limit = np.minimum(limit, kth)
-                q, c = np.nonzero(distance <= limit[:, None])
-                found.append(pd.DataFrame({"q": q + q0, "chunk_id": ids[c], "distance": distance[q, c]}))
+        for q0 in range(0, len(claims), TILE_CLAIMS):
+            rows = claims[q0:q0 + TILE_CLAIMS]
+            q, c, distance = self._within(rows, self.near[rows] @ tile, chunks, at, meets)
+            if len(q):
+                found.append(pd.DataFrame({"q": q, "chunk_id": chunk_ids[c], "distance": distance, "place": c}))
         self._keep(found)
 
+    def _within(self, rows: np.ndarray, sim: np.ndarray, chunks: Units, at: np.ndarray, meets: Meets | None):
+        """Claims, chunks and distances of the pairs of a tile that may be among the k nearest."""
+        mask = sim >= (1.0 - self.bar[rows] - self.slack).astype(np.float32)[:, None]
+        n = np.count_nonzero(mask, axis=1)
+        over = np.flatnonzero(n > self.k)
+        if len(over):
+            if meets is not None:
+                mask[over] &= meets(np.repeat(rows[over], len(at)), np.tile(at, len(over))).reshape(len(over), -1)
+            some = np.where(mask[over], sim[over], np.float32(-9))
+            kth = -np.partition(-some, self.k - 1, axis=1)[:, self.k - 1]
+            mask[over] &= some >= (kth - 2 * self.slack)[:, None]
+            n[over] = np.count_nonzero(mask[over], axis=1)
+        # Very many that near: copies. Of equal distances the first k chunk ids are enough.
+        wide = np.flatnonzero(n > 8 * self.k + 32)
+        found = []
+        if len(wide):
+            d = (1.0 - self.claims.exact(rows[wide]) @ chunks.exact(at).T).astype(np.float32)
+            d[~mask[wide]] = np.inf
+            kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1:self.k]
+            tie = d == kth
+            w, c = np.nonzero(((d < kth) | (tie & (np.cumsum(tie, axis=1) <= self.k))) & np.isfinite(d))
+            found.append((rows[wide[w]], at[c], d[w, c]))
+            mask[wide] = False
+        q, c = np.nonzero(mask)
+        q, c = rows[q], at[c]
+        if meets is not None and len(q):
+            met = meets(q, c)
+            q, c = q[met], c[met]
+        step = max(1, (1 << 20) // self.near.shape[1])
+        for a in range(0, len(q), step):
+            b = slice(a, a + step)
+            found.append((q[b], c[b], (1.0 - np.einsum("ij,ij->i", self.claims.exact(q[b]), chunks.exact(c[b]))).astype(np.float32)))
+        if not found:
+            return q, c, np.zeros(0, np.float32)
+        q, c, distance = (np.concatenate(x) for x in zip(*found))
+        good = distance <= self.bar[q]
+        return q[good], c[good], distance[good]
+
     def _keep(self, found: list[pd.DataFrame]) -> None:
-        known = [self.best] if len(self.best) else []
-        if not known and not found:
+        if not found:
             return
+        known = [self.best] if len(self.best) else []
         rows = pd.concat([*known, *found]).sort_values(["q", "distance", "chunk_id"], kind="stable")
         place = rows.groupby("q", sort=False).cumcount()
         self.best = rows[place < self.k]

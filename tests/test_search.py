@@ -176,3 +176,68 @@ def test_approximate_search(spark, tmp_path):
     assert all(known.get((r.claim_id, r.chunk_id), r.distance) == pytest.approx(r.distance, abs=1e-6) for r in found.collect())
     none = build_signatures(to_df(chunks, "chunk_id").limit(0), str(tmp_path / "n"))
     assert approximate_search(to_df(claims, "claim_id"), none, 5, 0.5, str(tmp_path / "rn")).count() == 0
+
+
+def _odd_vectors(rng, n, dim=16):
+    v = rng.normal(size=(n, dim)).astype(np.float32)
+    v[n // 2:n // 2 + n // 5] = v[0]  # many copies
+    return v
+
+
+def test_top_k_is_that_of_double_precision():
+    from newsevidence.operators.vectorset import TopK, unit_rows
+
+    rng = np.random.default_rng(8)
+    q, c = _odd_vectors(rng, 300), _odd_vectors(rng, 900)
+    c[:200] = q[0] + rng.normal(size=(200, 16)).astype(np.float32) * 1e-4
+    ids = rng.permutation(900)
+    for k, limit in ((3, 0.5), (7, 2.0), (60, 0.3)):
+        best = TopK(np.arange(300), unit_rows(list(q)), k, limit)
+        best.add(ids, unit_rows(list(c)))
+        got = {(r.claim_id, r.chunk_id) for r in best.rows().itertuples()}
+        distance = (1 - unit_rows(list(q)) @ unit_rows(list(c)).T).astype(np.float32)
+        want = {(i, ids[j]) for i in range(300) for j in np.lexsort((ids, distance[i]))[:k] if distance[i, j] <= np.float32(limit)}
+        assert len(got ^ want) <= 2  # sums in another order may round a tie the other way
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.95])
+def test_vectors_are_sent_once_to_a_block_and_probed_pairs_are_compared(spark, tmp_path, similarity):
+    from newsevidence.operators import signatures as G
+    from newsevidence.operators.vectorset import unit_rows
+
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(60, 16)) * 2
+    c = (middles[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.4).astype(np.float32)
+    q = c[:1500] + rng.normal(size=(1500, 16)).astype(np.float32) * 0.1
+    to_df = lambda m, n: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{n} long, vector array<float>")
+    index = G.build_signatures(to_df(c, "chunk_id"), str(tmp_path / "i"), similarity=similarity, recall=0.97)
+    plan = index.plan
+    assert (plan.tables * plan.probes * 4 < 1 << plan.bits) == (similarity == 0.95)  # both ways to compare
+    found = G.approximate_search(to_df(q, "claim_id"), index, 4, 0.3, str(tmp_path / "r"))
+    assert spark.read.parquet(f"{index.folder}/chunks").count() == 6000  # once, whatever the number of tables
+    assert spark.read.parquet(str(tmp_path / "r/claims")).count() == 1500
+    u, w = unit_rows(list(q)), unit_rows(list(c))
+    normals = G.planes(plan, 16, index.seed)
+    a, b = G._buckets(u, plan, normals), G._buckets(w, plan, normals)
+    met = np.zeros((1500, 6000), bool)
+    for t in range(plan.tables):
+        met |= np.bitwise_count(a[:, t, None] ^ b[None, :, t]) <= plan.flips
+    distance = np.where(met, (1 - u @ w.T).astype(np.float32), 9)
+    want = {(i, int(j)) for i in range(1500) for j in np.lexsort((np.arange(6000), distance[i]))[:4] if distance[i, j] <= np.float32(0.3)}
+    got = {(r.claim_id, r.chunk_id) for r in found.collect()}
+    assert len(got ^ want) <= 2 and len(want) > 1500
+
+
+def test_claims_go_once_to_a_run_of_cells(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(10)
+    q, c = rng.normal(size=(200, 16)).astype(np.float32), rng.normal(size=(3000, 16)).astype(np.float32)
+    to_df = lambda m, n: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{n} long, vector array<float>")
+    monkeypatch.setattr(C, "BLOCK_BYTES", 500 * 16 * 4)
+    cells = S.build_cells(to_df(c, "chunk_id"), str(tmp_path / "cells"), cell_rows=20)
+    hits = C.search_cells(to_df(q, "claim_id"), cells, 5, 1.5, str(tmp_path / "run"))
+    assert sorted((r.claim_id, r.chunk_id, r["rank"]) for r in hits.collect()) == brute(q, c, 5, 1.5)
+    where = {r.chunk_id: r.cell for r in cells.table(spark, "chunk_id").collect()}
+    assert all(where[r.chunk_id] == r.cell for r in hits.collect())
+    copies = spark.read.parquet(str(tmp_path / "run/routes"))
+    assert len(cells.rows) > 100 and copies.count() <= 200 * (1 + C.blocks_for(3000, 16))  # not one for each cell
+    assert spark.read.parquet(str(tmp_path / "run/away")).where("claim_id is not null").count() <= 200
