@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 
+#: Parts that keys are dealt over. Stated, because sorted ids compress so well that a number chosen by bytes puts millions
+#: of rows into one task, or sends them to all.
+PARTS = 64
+#: Parents that may be sent to every task.
+BROADCAST_ROWS = 500_000
+
 
 def _rows(df: DataFrame, table: str, rule: str, key: Column, detail: Column) -> DataFrame:
     return df.select(
@@ -21,16 +27,25 @@ def _rows(df: DataFrame, table: str, rule: str, key: Column, detail: Column) ->
 
 
 def unique(df: DataFrame, table: str, rule: str, keys: list[Column]) -> DataFrame:
-    """Values that several rows share. Rows are grouped by the columns themselves; the reported key joins them by ``|``."""
+    """Values that several rows share. Rows are grouped by the columns themselves; the reported key joins them by ``|``.
+
+    Nearly all keys are distinct, so nothing is gained by counting before the shuffle.
+    """
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    counted = df.select(*named).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_n"))
-    key = F.concat_ws("|", *[F.coalesce(F.col(f"_k{i}").cast("string"), F.lit("")) for i in range(len(keys))])
+    names = [f"_k{i}" for i in range(len(keys))]
+    counted = df.select(*named).repartition(PARTS, *names).groupBy(*names).agg(F.count("*").alias("_n"))
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
     return _rows(counted.filter("_n > 1"), table, rule, key, F.col("_n"))
 
 
 def foreign_key(df: DataFrame, table: str, column: str, parent: DataFrame, parent_key: str, id_col: str) -> DataFrame:
+    """Rows whose reference has no parent. Parents are counted: few are sent to all tasks, many are sorted in PARTS parts."""
     refs = df.filter(F.col(column).isNotNull()).select(F.col(id_col).alias("_id"), F.col(column).alias("_ref"))
-    orphans = refs.join(parent.select(F.col(parent_key).alias("_ref")), "_ref", "left_anti")
+    known = parent.select(F.col(parent_key).alias("_ref"))
+    if known.count() <= BROADCAST_ROWS:
+        orphans = refs.join(F.broadcast(known), "_ref", "left_anti")
+    else:
+        orphans = refs.repartition(PARTS, "_ref").join(known.repartition(PARTS, "_ref").hint("merge"), "_ref", "left_anti")
     return _rows(orphans, table, f"fk_{column}", F.col("_id"), F.col("_ref"))
 
 

@@ -531,3 +531,44 @@ def test_rejected_patches_claim_nothing(spark):
     kept, rejects = patch_publishers(held, patches, ratings, F.lit(None).cast("timestamp"))
     assert {r.id: r.name for r in kept.collect()} == {1: "one", 2: "Same"}
     assert {r.id: r.reject_reason for r in rejects.collect()} == {1: "rating not found", 9: "not found"}
+
+
+def test_keys_and_ids_are_dealt_over_a_stated_number_of_parts(spark, monkeypatch):
+    from newsevidence.operators import audit as U
+
+    df = spark.range(1000).selectExpr("id", "id % 998 as k", "if(id % 7 = 0, null, id) as ref")
+    found = U.unique(df, "t", "r", [F.col("k")])
+    assert sorted((r["key"], r.detail) for r in found.collect()) == [("0", "2"), ("1", "2")]
+    assert "hashpartitioning(_k0#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and f", {U.PARTS}), REPARTITION_BY_NUM" in plan
+    parent = spark.range(990).withColumnRenamed("id", "pid")
+    few = U.foreign_key(df, "t", "ref", parent, "pid", "id")
+    monkeypatch.setattr(U, "BROADCAST_ROWS", 10)
+    many = U.foreign_key(df, "t", "ref", parent, "pid", "id")
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count(f", {U.PARTS}), REPARTITION_BY_NUM") == 2
+    want = sorted(str(i) for i in range(990, 1000) if i % 7)
+    assert sorted(r["key"] for r in few.collect()) == sorted(r["key"] for r in many.collect()) == want
+
+
+def test_keys_of_stored_vectors_are_made_once(spark, tmp_path, monkeypatch):
+    from newsevidence.operators import vector_store as V
+
+    made, log = V.dedup_hash, str(tmp_path / "calls")
+    from newsevidence.functions.vectors import digest_matrix
+
+    @F.udf("string")
+    def noted(t):
+        with open(log, "a") as f:
+            f.write("x")
+        return t
+
+    monkeypatch.setattr(V, "dedup_hash", lambda c: F.coalesce(noted.asNondeterministic()(made(c)), F.lit("")))
+    texts = spark.createDataFrame([(i, f"text {i % 30}") for i in range(40)] + [(99, None)], "id int, text string").coalesce(1)
+    run = lambda df: V.embed_stored(df, str(tmp_path / "store"), text="text", model="m", embedder=lambda t: digest_matrix(t, 8), dim=8)
+    assert run(texts.where("id < 20")).count() == 20
+    open(log, "w").close()
+    out = {r.id: r.vector for r in run(texts).collect()}
+    assert len(open(log).read()) == 41  # a call per row
+    assert len(out) == 41 and out[3] == out[33] and out[3] != out[4] and out[99] == [0.0] * 8
+    assert spark.read.parquet(str(tmp_path / "store/vectors")).count() == 31
