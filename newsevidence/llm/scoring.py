@@ -33,7 +33,7 @@ _PLACES = 4
 _OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
 _CELLS = 1 << 14
 _KNOWN_UNITS, _POOLED, _SLICE = 500_000, 600_000, 2 << 20
-_JUDGED, _STEP_UNITS = 16, 40_000
+_STEP_UNITS = 40_000
 _NODE = [(seeded(256, 90 + k) >> np.uint64(64 - b)).astype(np.int32) for k, b in enumerate(TABLE_BITS)]
 
 
@@ -163,7 +163,7 @@ def _count_bits(units: _Units, times: np.ndarray, counts: list[np.ndarray]) -> N
         for j in range(8):
             bit, node = _bit(data, j)
             for k, slot in enumerate(slots):
-                counts[k] += np.bincount((slot ^ _NODE[k][node]) * 2 + bit, weight, len(counts[k]))
+                counts[k] += np.bincount((slot ^ _NODE[k].take(node)) * 2 + bit, weight, len(counts[k]))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,10 @@ class Mixer:
 
     def inputs(self, data: np.ndarray, slots: list[np.ndarray], j: int) -> tuple[np.ndarray, np.ndarray]:
         bit, node = _bit(data, j)
-        return bit, np.stack([self.odds[k].take(slot ^ _NODE[k][node]) for k, slot in enumerate(slots)])
+        x = np.empty((len(slots), len(data)), np.float32)
+        for k, slot in enumerate(slots):
+            self.odds[k].take(slot ^ _NODE[k].take(node), out=x[k], mode="clip")  # every place is within the table
+        return bit, x
 
     def others(self, data: np.ndarray, slots: list[np.ndarray], j: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs for units of texts that are themselves part of the counts: ``own``, what one text has of a unit, is
@@ -248,7 +251,7 @@ class Mixer:
         zeros = own - ones
         rows = []
         for k, slot in enumerate(slots):
-            rest = self.counts[k].take(slot ^ _NODE[k][node], axis=0)
+            rest = self.counts[k].take(slot ^ _NODE[k].take(node), axis=0)
             rows.append(_odds(np.maximum(rest[:, 1] - ones, 0), np.maximum(rest[:, 0] - zeros, 0)))
         return bit, np.stack(rows)
 
@@ -256,6 +259,8 @@ class Mixer:
         """Code length in nats of the picked units under each weight vector: shape (units, vectors)."""
         data, unit, slots, borders = units.contexts(pick)
         cost = np.zeros((VECTORS, len(data)), np.float32)
+        # A bit's probability is 1 / (1 + e^z); four such factors, at most e^60, share a logarithm.
+        product = np.ones_like(cost)
         for j in range(8):
             bit, x = self.inputs(data, slots, j)
             sign = (1 - 2 * bit.astype(np.float32))
@@ -265,7 +270,11 @@ class Mixer:
                 z = np.where(part[-1] != 0, self.weights[:, j, p, 1] @ part, self.weights[:, j, p, 0] @ part) * sign[a:b]
                 np.clip(z, -15, 15, out=z)
                 np.exp(z, out=z)
-                cost[:, a:b] += np.log1p(z, out=z)
+                z += 1
+                product[:, a:b] *= z
+            if j % 4 == 3:
+                cost += np.log(product, out=product)
+                product.fill(1)
         return np.stack([np.bincount(unit, c, len(pick)) for c in cost], axis=1)
 
     def refine(self, column: pa.Array, rate: float = 0.05) -> None:
@@ -279,8 +288,8 @@ class Mixer:
 class _Refiner:
     """Moves a mixer's weights: each text counts for the vector that coded it best at the start of the pass.
 
-    Which one that is, is judged by one in _JUDGED of its distinct units, taken by hash. All units move the weights:
-    equal ones of a task are worked through together, with the number of their occurrences for each vector. They are
+    Which one that is, is judged by all its units, as all of them move the weights: equal ones of a task are worked
+    through together, with the number of their occurrences for each vector. They are
     dealt over STEPS steps (by hash, so in no order of the texts); step sizes come from past gradients. ``seen`` counts
     the bits that have moved each weight vector of a gate.
     """
@@ -294,7 +303,7 @@ class _Refiner:
 
     def add(self, column: pa.Array) -> None:
         units = _Units(column)
-        best = self.coder.sums(units, len(column), units.codes % np.uint64(_JUDGED) == 0).argmin(axis=1)
+        best = self.coder.sums(units, len(column)).argmin(axis=1)
         n = len(units.codes)
         times = np.bincount(units.of * VECTORS + best[units.text], minlength=n * VECTORS).reshape(n, VECTORS)
         texts = np.bincount(np.unique(units.of * len(column) + units.text) // len(column), minlength=n)
@@ -344,14 +353,14 @@ class _Coder:
         self.mixer = mixer
         self.codes, self.cost = np.zeros(0, np.uint64), np.zeros((0, VECTORS), np.float32)
 
-    def sums(self, units: _Units, texts: int, some: np.ndarray | None = None) -> np.ndarray:
-        """Code length in nats of each text of a batch under each weight vector; of ``some`` of its distinct units, if given."""
+    def sums(self, units: _Units, texts: int) -> np.ndarray:
+        """Code length in nats of each text of a batch under each weight vector."""
         at = np.searchsorted(self.codes, units.codes)
         at[at == len(self.codes)] = 0
         known = self.codes[at] == units.codes if len(self.codes) else np.zeros(len(units.codes), bool)
         cost = np.zeros((len(units.codes), VECTORS), np.float32)
         cost[known] = self.cost[at[known]]
-        new = np.flatnonzero(~known if some is None else ~known & some)
+        new = np.flatnonzero(~known)
         for pick in units.groups(new):
             cost[pick] = self.mixer.bits(units, pick)
         if len(self.codes) + len(new) > _KNOWN_UNITS:

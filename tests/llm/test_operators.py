@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute as B
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from public_tokenizers import path
@@ -176,6 +178,26 @@ def test_scores(spark, odd, none, plain):
     assert (blind.train_tokens, blind.n_known) == (0, 0) and abs(blind.bits_per_byte - 8) < 1e-5  # one byte for the end
 
 
+def test_every_unit_of_a_text_judges():
+    """Which weight vector a text moves is decided by its whole code length."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    column = pa.array([" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(300)])
+    rows = [(r["cell"], r["counts"]) for b in scoring._gather(iter([pa.record_batch({"text": column})])) for r in b.to_pylist()]
+    mixer = scoring.Mixer.of(rows)
+    refiner = scoring._Refiner(mixer)
+    refiner.add(column)
+    units = scoring._Units(column)
+    nats = mixer.bits(units, np.arange(len(units.codes)))
+    total = np.zeros((len(column), scoring.VECTORS))
+    np.add.at(total, units.text, nats[units.of])
+    want = np.zeros((len(units.codes), scoring.VECTORS))
+    np.add.at(want, (units.of, total.argmin(axis=1)[units.text]), 1)
+    pool = refiner.pool
+    assert pool.codes.tolist() == units.codes.tolist() and pool.sums[pool.place, :scoring.VECTORS].tolist() == want.tolist()
+    assert (want.sum(axis=0) > 0).sum() > 1  # texts differ in what fits them
+
+
 def test_mixing_learns(spark):
     """Prose of known words costs fewer bits than that of unknown ones, and bits refine to fewer."""
     import pyarrow as pa
