@@ -9,20 +9,24 @@ them: the posterior over the vectors is updated with every unit read, which give
 vectors of its probability under each.
 
 Contexts do not reach over the start of a unit (a word with the white space behind it), except for the class of what
-stood before. So a unit's code length depends on the unit alone and is computed once per task.
+stood before. So a unit's code length depends on the unit alone and is computed once per task, and what units begin
+with alike is worked out once for those that are worked through together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, bucket_count, bucket_of, mix, run_folder, seeded, slices, staged, words_of, _powers
+from .common import bucket_count, bucket_of, mix, run_folder, seeded, slices, staged, words_of, _powers
 
 #: Table sizes (powers of two) of the predictors: one to four bytes, word so far. They bound a task's memory.
 TABLE_BITS = (16, 18, 18, 18, 20)
@@ -32,22 +36,70 @@ _END = 255  # never occurs in UTF-8; closes a text
 _PLACES = 4
 _OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
 _CELLS = 1 << 14
-_KNOWN_UNITS, _POOLED, _SLICE = 500_000, 600_000, 2 << 20
+_POOLED, _WAITING, _SLICE, _GROUP, _PIECE = 600_000, 8_000_000, 2 << 20, 1 << 18, 1 << 15
 _STEP_UNITS = 40_000
-_NODE = [(seeded(256, 90 + k) >> np.uint64(64 - b)).astype(np.int32) for k, b in enumerate(TABLE_BITS)]
+_NODE = [(seeded(256, 90 + k) >> np.uint64(64 - b)).astype(np.int64) for k, b in enumerate(TABLE_BITS)]
+#: A node and the bit that follows it, by the node which that leads to.
+_STEP = [(node[:, None] * 2 + np.arange(2)).reshape(-1) for node in _NODE]
+_LETTER = seeded(256, 41)
+_HEAD = 8
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct codes, the place of each code among them, the order that sorts the codes (equal ones as they
+    come), and which ones begin a new code in that order."""
+    # The position takes the place of a hash's low bits: values are sorted much faster than places are.
+    low = np.uint64((1 << len(codes).bit_length()) - 1)
+    order = (np.sort((codes & ~low) | np.arange(len(codes), dtype=np.uint64)) & low).view(np.int64)
+    ranked = codes[order]
+    if (ranked[1:] < ranked[:-1]).any():  # some differ in the low bits alone
+        order = np.argsort(codes, kind="stable")
+        ranked = codes[order]
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    of = np.empty(len(codes), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], of, order, fresh
+
+
+def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted codes are, or have to be put in, among the sorted ones; which ones are there."""
+    at = np.searchsorted(codes, wanted)
+    known = np.zeros(len(wanted), bool)
+    inside = at < len(codes)
+    known[inside] = codes[at[inside]] == wanted[inside]
+    return at, known
+
+
+def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of weighted bytes, and the powers that take their place out of the hash of a range."""
+    # Powers are made in steps, so that slices of about one size don't make them anew.
+    up, down = _powers(-(-(len(data) + 1) >> 18) << 18)
+    total = np.zeros(len(data) + 1, np.uint64)
+    for a in range(0, len(data), _PIECE):  # pieces stay in the cache
+        piece = _LETTER.take(data[a:a + _PIECE])
+        piece *= up[a:a + len(piece)]
+        piece[:1] += total[a:a + 1]
+        np.cumsum(piece, out=total[a + 1:a + 1 + len(piece)])
+    return total, down
 
 
 class _Units:
     """Units of a batch of texts, distinct ones with their bytes.
 
-    ``of`` and ``text`` give the distinct unit and the text of each unit in turn.
+    ``of`` and ``text`` give the distinct unit and the text of each unit in turn; ``times`` and ``texts`` are the numbers
+    of occurrences of a distinct unit and of texts that have it.
     """
 
     def __init__(self, column: pa.Array):
-        texts = [(t or "").encode() for t in column.to_pylist()]
-        data = np.frombuffer(b"".join([x for t in texts for x in (t, b"\xff")]), np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        space = _IS_SPACE[data]
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        joined = pc.binary_join_element_wise(column, pa.scalar(b"\xff", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        joined = joined.combine_chunks() if isinstance(joined, pa.ChunkedArray) else joined
+        _, offsets, values = joined.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[joined.offset:joined.offset + len(joined) + 1]
+        data = np.frombuffer(values, np.uint8)[offsets[0]:offsets[-1]]
+        ends = offsets[1:] - offsets[0]
+        space = (data == 32) | (data - np.uint8(9) < 5)
         begin = np.zeros(len(data), bool)
         begin[1:] = space[:-1] & ~space[1:]
         begin[0:1] = True
@@ -55,10 +107,12 @@ class _Units:
         # The end of a text belongs to its last unit.
         last = ends - 1
         begin[last[(last > 0)]] = False
-        begin[np.concatenate(([0], ends[:-1]))] = True
+        begins = np.concatenate(([0], ends[:-1]))
+        begin[begins] = True
         start = np.flatnonzero(begin)
         stop = np.append(start[1:], len(data))
-        self.text = np.searchsorted(ends, start, side="right")
+        leading = np.searchsorted(start, begins)
+        self.text = np.repeat(np.arange(len(column)), np.diff(leading, append=len(start)))
         kind = np.zeros(256, np.int64)
         kind[[33, 46, 63]] = 1
         kind[[44, 58, 59]] = 2
@@ -66,53 +120,107 @@ class _Units:
         newline = (data[before] == 10).astype(np.int64)
         mark = kind[data[np.maximum(start - 2, 0)]]
         state = 1 + newline * 3 + mark
-        state[np.isin(start, np.concatenate(([0], ends[:-1])))] = 0
-        up, down = _powers(len(data) + 1)
-        table = seeded(256, 41)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * up[:len(data)])))
+        state[leading] = 0
+        total, down = _totals(data)
         code = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(16) + state.astype(np.uint64))
-        self.codes, first, self.of, self.times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        self.codes, self.of, order, fresh = _distinct(code)
+        first = order[fresh]
+        self.times = np.bincount(self.of, minlength=len(first))
+        text = self.text[order]
+        fresh[1:] |= text[1:] != text[:-1]
+        self.texts = np.bincount(self.of[order[fresh]], minlength=len(first))
         self.data, self.start, self.stop, self.state = data, start[first], stop[first], state[first]
-        self.total, self.down = total, down
 
     @classmethod
     def of_parts(cls, data: np.ndarray, start: np.ndarray, stop: np.ndarray, state: np.ndarray) -> _Units:
         """Distinct units alone, their bytes one behind the other."""
         units = cls.__new__(cls)
         units.data, units.start, units.stop, units.state = data, start, stop, state
-        up, down = _powers(len(data) + 1)
-        units.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(seeded(256, 41)[data] * up[:len(data)])))
-        units.down = down
         return units
 
-    def groups(self, pick: np.ndarray, at_once: int = 1 << 18) -> Iterator[np.ndarray]:
+    def groups(self, pick: np.ndarray, at_once: int = _GROUP) -> Iterator[np.ndarray]:
         """The picked distinct units in runs of bounded bytes."""
         size = np.cumsum((self.stop - self.start)[pick]) // at_once
         for part in np.split(pick, np.flatnonzero(np.diff(size)) + 1):
             if len(part):
                 yield part
 
-    def contexts(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
-        """Bytes of the units sorted by place, their unit (index into ``pick``), context slots, ends of the places."""
-        start, length = self.start[pick], (self.stop - self.start)[pick]
-        unit = np.repeat(np.arange(len(pick)), length)
-        place = np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length)
-        at = start[unit] + place
-        group = np.minimum(place, _PLACES - 1)
-        order = np.argsort(group, kind="stable")
-        unit, place, at = unit[order], place[order], at[order]
+    @cached_property
+    def heads(self) -> np.ndarray:
+        """The first bytes of each distinct unit as a number."""
+        length = self.stop - self.start
+        head = np.zeros(len(length), np.uint64)
+        for k in range(_HEAD):
+            byte = self.data.take(self.start + k, mode="clip").astype(np.uint64)
+            byte[length <= k] = 0
+            head = head << np.uint64(8) | byte
+        return head
+
+    def ordered(self, pick: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """The picked units with those that begin alike (and are of equal ``own``) behind each other."""
+        keys = (self.heads[pick], self.state[pick])
+        return pick[np.lexsort(keys if own is None else (*keys, own[pick]))]
+
+    def contexts(self, pick: np.ndarray, own: np.ndarray | None = None) -> _Contexts:
+        """Context slots of the bytes of the picked units.
+
+        What a byte's slots are is settled by what its unit has up to it. So a beginning that a unit shares with the one
+        before it is there once (with ``own``: if that is equal too); it doesn't matter for the result in which order the
+        units come.
+        """
+        start, length, state = self.start[pick], (self.stop - self.start)[pick], self.state[pick]
+        head, same = self.heads[pick], np.zeros(len(pick), np.int64)
+        apart, alike = head[1:] ^ head[:-1], state[1:] == state[:-1]
+        if own is not None:
+            alike &= own[pick][1:] == own[pick][:-1]
+        for k in range(_HEAD):
+            same[1:] += apart < np.uint64(1 << 8 * (_HEAD - 1 - k))
+        same[1:] = np.minimum(same[1:], np.minimum(length[1:], length[:-1])) * alike
+        number, base = np.arange(len(pick)), np.cumsum(length) - length
+        unit = np.repeat(number, length)
+        place = np.arange(len(unit)) - np.repeat(base, length)
+        new = place >= np.repeat(same, length)
+        first, again = np.flatnonzero(new), np.flatnonzero(~new)
+        group = np.minimum(place[first], _PLACES - 1).astype(np.uint8)
+        first = first[np.argsort(group, kind="stable")]
         borders = np.cumsum(np.bincount(group, minlength=_PLACES)).tolist()
-        state = self.state[pick][unit].astype(np.uint64)
+        node = np.empty(len(unit), np.int64)
+        node[first] = np.arange(len(first))
+        # The last unit before that has not taken over the byte at a place is the one all between have it from.
+        owner = np.stack([np.maximum.accumulate(np.where(same <= k, number, 0)) for k in range(_HEAD)], axis=1)
+        p = place[again]
+        node[again] = node[base[owner.reshape(-1)[unit[again] * _HEAD + p]] + p]
+
+        total, down = _totals(self.data[np.repeat(start - base, length) + np.arange(len(unit))])
+        of, place, begin = unit[first], place[first], base[unit[first]]
+        prefix = (total[first] - total[begin]) * down[begin]
+        at = start[of] + place
+        state = state[of].astype(np.uint64)
         back = state + np.uint64(300)
         hashes, value = [], np.zeros(len(at), np.uint64)
         for k in range(4):
-            byte = self.data[np.maximum(at - k - 1, 0)].astype(np.uint64)
+            byte = self.data.take(at - k - 1, mode="clip").astype(np.uint64)
             byte = np.where(place > k, byte, np.where(place == k, back, np.uint64(511)))
             value = value * np.uint64(512) + byte
             hashes.append(mix(value + np.uint64(k + 1)))
-        hashes.append(mix((self.total[at] - self.total[start[unit]]) * self.down[start[unit]] + place.astype(np.uint64) * np.uint64(16) + state))
-        slots = [(h >> np.uint64(64 - b)).astype(np.int32) for h, b in zip(hashes, TABLE_BITS)]
-        return self.data[at], unit, slots, [0, *borders]
+        hashes.append(mix(prefix + place.astype(np.uint64) * np.uint64(16) + state))
+        slots = [(h >> np.uint64(64 - b)).view(np.int64) for h, b in zip(hashes, TABLE_BITS)]
+        return _Contexts(self.data[at], slots, [0, *borders], of, unit, node)
+
+
+class _Contexts(NamedTuple):
+    """Bytes that differ in themselves or in what stands before them, sorted by place.
+
+    ``slots`` are their context slots, ``borders`` the ends of the places, ``of`` the unit that each is taken from;
+    ``unit`` and ``node`` give the unit and the place here of every byte of all units.
+    """
+
+    data: np.ndarray
+    slots: list[np.ndarray]
+    borders: list[int]
+    of: np.ndarray
+    unit: np.ndarray
+    node: np.ndarray
 
 
 class _Pool:
@@ -129,22 +237,22 @@ class _Pool:
         self.lengths: list[np.ndarray] = []
         self.states: list[np.ndarray] = []
 
-    def add(self, units: _Units, numbers: np.ndarray) -> None:
-        at = np.searchsorted(self.codes, units.codes)
-        at[at == len(self.codes)] = 0
-        known = self.codes[at] == units.codes if len(self.codes) else np.zeros(len(units.codes), bool)
-        self.sums[self.place[at[known]]] += numbers[known]
-        new = np.flatnonzero(~known)
+    def add(self, units: _Units, numbers: np.ndarray) -> np.ndarray:
+        """Take in the units with their numbers; the place of each in ``sums`` and ``units()``."""
+        at, known = _find(self.codes, units.codes)
+        where, new = np.empty(len(at), np.int64), np.flatnonzero(~known)
+        where[known] = self.place[at[known]]
+        where[new] = len(self.sums) + np.arange(len(new))
+        self.sums[where[known]] += numbers[known]
         length = (units.stop - units.start)[new]
         inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         self.pieces.append(units.data[np.repeat(units.start[new], length) + inner])
         self.lengths.append(length)
         self.states.append(units.state[new])
-        codes = np.concatenate((self.codes, units.codes[new]))
-        place = np.concatenate((self.place, len(self.sums) + np.arange(len(new))))
+        self.codes = np.insert(self.codes, at[new], units.codes[new])
+        self.place = np.insert(self.place, at[new], where[new])
         self.sums = np.concatenate((self.sums, numbers[new]))
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.place = codes[order], place[order]
+        return where
 
     def units(self) -> _Units:
         stop = np.cumsum(np.concatenate(self.lengths))
@@ -153,17 +261,22 @@ class _Pool:
 
 def _bit(data: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     """The j-th bit of each byte, and the node that the bits before it lead to."""
-    return (data >> (7 - j)) & 1, (data.astype(np.int32) >> (8 - j)) | (1 << j)
+    return (data >> (7 - j)) & 1, (data.astype(np.int64) >> (8 - j)) | (1 << j)
+
+
+def _next(data: np.ndarray, j: int) -> np.ndarray:
+    """The node that each byte's bits up to the j-th lead to."""
+    return (data.astype(np.int64) >> (7 - j)) | (2 << j)
 
 
 def _count_bits(units: _Units, times: np.ndarray, counts: list[np.ndarray]) -> None:
-    for pick in units.groups(np.flatnonzero(times), 1 << 20):
-        data, unit, slots, _ = units.contexts(pick)
-        weight = times[pick][unit].astype(np.float64)
-        for j in range(8):
-            bit, node = _bit(data, j)
-            for k, slot in enumerate(slots):
-                counts[k] += np.bincount((slot ^ _NODE[k].take(node)) * 2 + bit, weight, len(counts[k]))
+    for pick in units.groups(units.ordered(np.flatnonzero(times)), 1 << 20):
+        c = units.contexts(pick)
+        weight = np.tile(np.bincount(c.node, times[pick][c.unit], len(c.data)), 8)
+        steps = [_next(c.data, j) for j in range(8)]
+        for k, slot in enumerate(c.slots):
+            slot = slot * 2
+            counts[k] += np.bincount(np.concatenate([slot ^ _STEP[k].take(step) for step in steps]), weight, len(counts[k]))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +332,12 @@ def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
 
 
+def _gated(weights: np.ndarray, part: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Mixed odds under each weight vector, whose gate says whether the word so far has been met."""
+    both = (weights.reshape(-1, part.shape[0]) @ part).reshape(len(weights), 2, -1)
+    return np.where(met, both[:, 1], both[:, 0])
+
+
 class Mixer:
     """Predictor tables (counts, and log odds made of them), and the weight vectors."""
 
@@ -242,22 +361,29 @@ class Mixer:
             self.odds[k].take(slot ^ _NODE[k].take(node), out=x[k], mode="clip")  # every place is within the table
         return bit, x
 
-    def others(self, data: np.ndarray, slots: list[np.ndarray], j: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def others(self, data: np.ndarray, slots: list[np.ndarray], j: int, own: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs for units of texts that are themselves part of the counts: ``own``, what one text has of a unit, is
-        taken off."""
-        bit, node = _bit(data, j)
-        bit = bit.astype(np.float32)
-        ones = own * bit
-        zeros = own - ones
-        rows = []
+        taken off. ``more`` tells where that is not one."""
+        bit, step = (data >> (7 - j)) & 1, _next(data, j)
+        x = np.empty((len(slots), len(data)), np.float32)
+        # Most units come once in a text; their odds are made once for every slot and bit.
+        ones = own[more] * bit[more]
+        zeros = own[more] - ones
         for k, slot in enumerate(slots):
-            rest = self.counts[k].take(slot ^ _NODE[k].take(node), axis=0)
-            rows.append(_odds(np.maximum(rest[:, 1] - ones, 0), np.maximum(rest[:, 0] - zeros, 0)))
-        return bit, np.stack(rows)
+            at = (slot * 2) ^ _STEP[k].take(step)
+            self.alone[k].take(at, out=x[k], mode="clip")
+            rest = self.counts[k].view(np.complex64)[:, 0].take(at[more] >> 1).view(np.float32).reshape(-1, 2)
+            x[k, more] = _odds(np.maximum(rest[:, 1] - ones, 0), np.maximum(rest[:, 0] - zeros, 0))
+        return bit.astype(np.float32), x
+
+    @cached_property
+    def alone(self) -> list[np.ndarray]:
+        """Log odds of each slot without one zero, and without one one, in turn."""
+        return [np.stack((_odds(c[:, 1], np.maximum(c[:, 0] - 1, 0)), _odds(np.maximum(c[:, 1] - 1, 0), c[:, 0])), axis=1).reshape(-1) for c in self.counts]
 
     def bits(self, units: _Units, pick: np.ndarray) -> np.ndarray:
         """Code length in nats of the picked units under each weight vector: shape (units, vectors)."""
-        data, unit, slots, borders = units.contexts(pick)
+        data, slots, borders, _, unit, at = units.contexts(pick)
         cost = np.zeros((VECTORS, len(data)), np.float32)
         # A bit's probability is 1 / (1 + e^z); four such factors, at most e^60, share a logarithm.
         product = np.ones_like(cost)
@@ -267,7 +393,8 @@ class Mixer:
             for p in range(_PLACES):
                 a, b = borders[p], borders[p + 1]
                 part = x[:, a:b]
-                z = np.where(part[-1] != 0, self.weights[:, j, p, 1] @ part, self.weights[:, j, p, 0] @ part) * sign[a:b]
+                z = _gated(self.weights[:, j, p], part, part[-1] != 0)
+                z *= sign[a:b]
                 np.clip(z, -15, 15, out=z)
                 np.exp(z, out=z)
                 z += 1
@@ -275,13 +402,23 @@ class Mixer:
             if j % 4 == 3:
                 cost += np.log(product, out=product)
                 product.fill(1)
-        return np.stack([np.bincount(unit, c, len(pick)) for c in cost], axis=1)
+        return np.stack([np.bincount(unit, c[at], len(pick)) for c in cost], axis=1)
+
+    def costs(self, units: _Units, pick: np.ndarray) -> np.ndarray:
+        """The same for any number of units."""
+        cost = np.empty((len(pick), VECTORS), np.float32)
+        order = units.ordered(pick)
+        place = np.empty(len(units.start), np.int64)
+        place[pick] = np.arange(len(pick))
+        for part in units.groups(order, _GROUP >> 2):
+            cost[place[part]] = self.bits(units, part)
+        return cost
 
     def refine(self, column: pa.Array, rate: float = 0.05) -> None:
         """One online pass over a column of texts."""
         refiner = _Refiner(self, rate)
         for part in slices(pa.table({"text": column}), bytes_each=_SLICE):
-            refiner.add(part.column("text").combine_chunks())
+            refiner.gather(part.column("text").combine_chunks())
         refiner.settle()
 
 
@@ -296,49 +433,78 @@ class _Refiner:
 
     def __init__(self, mixer: Mixer, rate: float = 0.05):
         self.mixer, self.rate = mixer, rate
-        self.coder = _Coder(Mixer(mixer.counts, mixer.weights.copy(), mixer.odds))
+        self.first = Mixer(mixer.counts, mixer.weights.copy(), mixer.odds)
         self.past = np.full_like(mixer.weights, 1e-3)
         self.seen = np.zeros(mixer.weights.shape[:-1])
         self.pool = _Pool(VECTORS + 2)
+        self.clear()
 
-    def add(self, column: pa.Array) -> None:
+    def clear(self) -> None:
+        self.pool.clear()
+        self.waiting: list[_Texts] = []
+        self.cost = np.zeros((0, VECTORS), np.float32)
+
+    def gather(self, column: pa.Array) -> None:
+        """Take in texts, which are judged later."""
         units = _Units(column)
-        best = self.coder.sums(units, len(column)).argmin(axis=1)
-        n = len(units.codes)
-        times = np.bincount(units.of * VECTORS + best[units.text], minlength=n * VECTORS).reshape(n, VECTORS)
-        texts = np.bincount(np.unique(units.of * len(column) + units.text) // len(column), minlength=n)
-        self.pool.add(units, np.concatenate((times, units.times[:, None], texts[:, None]), axis=1).astype(np.float64))
+        numbers = np.zeros((len(units.codes), VECTORS + 2))
+        numbers[:, -2], numbers[:, -1] = units.times, units.texts
+        self.waiting.append(_Texts.of(units, self.pool.add(units, numbers), len(column)))
         if len(self.pool.sums) > _POOLED:
             self.settle()
+        elif sum(len(texts.unit) for texts in self.waiting) > _WAITING:
+            self.judge(self.pool.units())
+
+    def add(self, column: pa.Array) -> None:
+        """Take in texts and judge them."""
+        self.gather(column)
+        if self.waiting:
+            self.judge(self.pool.units())
+
+    def judge(self, units: _Units) -> None:
+        """Let each waiting text count for the vector that codes it best."""
+        self.cost = np.concatenate((self.cost, self.first.costs(units, np.arange(len(self.cost), len(units.start)))))
+        moved = np.zeros(len(units.start) * VECTORS, np.int64)
+        for texts in self.waiting:
+            best = texts.sums(self.cost).argmin(axis=1)
+            moved += np.bincount(texts.unit.astype(np.int64) * VECTORS + best[texts.text], minlength=len(moved))
+        self.pool.sums[:, :VECTORS] += moved.reshape(-1, VECTORS)
+        self.waiting = []
 
     def settle(self) -> None:
         """Work through what has been gathered."""
         if not len(self.pool.sums):
             return
         units, sums = self.pool.units(), self.pool.sums
+        self.judge(units)
         own = (sums[:, -2] / sums[:, -1]).astype(np.float32)
         turn = np.argsort(mix(np.arange(len(sums), dtype=np.uint64)), kind="stable")
         for step in np.array_split(turn, max(STEPS, STEPS * len(sums) // _STEP_UNITS)):
             for pick in units.groups(step):
-                self._step(*units.contexts(pick), sums[pick, :VECTORS].astype(np.float32), own[pick])
-        self.pool.clear()
+                pick = units.ordered(pick, own)
+                self._step(units.contexts(pick, own), sums[pick, :VECTORS], own[pick])
+        self.clear()
 
-    def _step(self, data, unit, slots, borders, times, own) -> None:
-        times, own = np.ascontiguousarray(times[unit].T), own[unit]
+    def _step(self, contexts: _Contexts, times: np.ndarray, own: np.ndarray) -> None:
+        data, slots, borders, of, unit, node = contexts
+        times = np.stack([np.bincount(node, t[unit], len(data)) for t in times.T]).astype(np.float32)
+        own = own[of]
+        more = np.flatnonzero(own != 1)
         for j in range(8):
-            bit, x = self.mixer.others(data, slots, j, own)
+            bit, x = self.mixer.others(data, slots, j, own, more)
             for p in range(_PLACES):
                 span = slice(borders[p], borders[p + 1])
                 part, many = x[:, span], times[:, span]
-                met = (part[-1] != 0).astype(np.float32)
+                met = part[-1] != 0
                 weights, past = self.mixer.weights[:, j, p], self.past[:, j, p]
-                z = np.where(met > 0, weights[:, 1] @ part, weights[:, 0] @ part)
+                z = _gated(weights, part, met)
+                met = met.astype(np.float32)
                 np.clip(z, -15, 15, out=z)
                 np.exp(np.negative(z, out=z), out=z)
                 z += 1
                 error = (bit[span] - 1 / z) * many
-                known = (error * met) @ part.T
-                for g, gradient in enumerate((error @ part.T - known, known)):
+                every, known = (np.concatenate((error, error * met)) @ part.T).reshape(2, VECTORS, -1)
+                for g, gradient in enumerate((every - known, known)):
                     past[:, g] += gradient**2
                     weights[:, g] += self.rate * gradient / np.sqrt(past[:, g])
                 bits = many @ met
@@ -346,36 +512,61 @@ class _Refiner:
                 self.seen[:, j, p, 0] += many.sum(axis=1) - bits
 
 
+class _Texts(NamedTuple):
+    """Texts of a batch: pooled unit and text of each unit in turn, number of texts."""
+
+    unit: np.ndarray
+    text: np.ndarray
+    count: int
+
+    @classmethod
+    def of(cls, units: _Units, place: np.ndarray, count: int) -> _Texts:
+        return cls(place[units.of].astype(np.int32), units.text.astype(np.int32), count)
+
+    def sums(self, cost: np.ndarray) -> np.ndarray:
+        """Code length in nats of each text under each weight vector."""
+        return np.stack([np.bincount(self.text, c[self.unit], self.count) for c in np.ascontiguousarray(cost.T)], axis=1)
+
+
 class _Coder:
-    """Code lengths of units, each distinct one computed once and kept up to a bound."""
+    """Code lengths of texts; their units are pooled up to a bound, and each distinct one is computed once."""
 
     def __init__(self, mixer: Mixer):
-        self.mixer = mixer
-        self.codes, self.cost = np.zeros(0, np.uint64), np.zeros((0, VECTORS), np.float32)
-
-    def sums(self, units: _Units, texts: int) -> np.ndarray:
-        """Code length in nats of each text of a batch under each weight vector."""
-        at = np.searchsorted(self.codes, units.codes)
-        at[at == len(self.codes)] = 0
-        known = self.codes[at] == units.codes if len(self.codes) else np.zeros(len(units.codes), bool)
-        cost = np.zeros((len(units.codes), VECTORS), np.float32)
-        cost[known] = self.cost[at[known]]
-        new = np.flatnonzero(~known)
-        for pick in units.groups(new):
-            cost[pick] = self.mixer.bits(units, pick)
-        if len(self.codes) + len(new) > _KNOWN_UNITS:
-            self.codes, self.cost = self.codes[:0], self.cost[:0]
-        codes = np.concatenate((self.codes, units.codes[new]))
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.cost = codes[order], np.concatenate((self.cost, cost[new]))[order]
-        return np.stack([np.bincount(units.text, cost[units.of, v].astype(np.float64), texts) for v in range(VECTORS)], axis=1)
+        self.mixer, self.pool = mixer, _Pool(0)
+        self.cost = np.zeros((0, VECTORS), np.float32)
+        self.waiting: list[_Texts] = []
+        self.done: list[np.ndarray] = []
 
-    def totals(self, column: pa.Array) -> np.ndarray:
-        """log10 probability of each text of a batch."""
-        sums = self.sums(_Units(column), len(column))
+    def add(self, column: pa.Array) -> None:
+        units = _Units(column)
+        self.waiting.append(_Texts.of(units, self.pool.add(units, np.zeros((len(units.codes), 0))), len(column)))
+        full = len(self.pool.sums) > _POOLED
+        if full or sum(len(texts.unit) for texts in self.waiting) > _WAITING:
+            self.settle()
+        if full:
+            self.pool.clear()
+            self.cost = self.cost[:0]
+
+    def settle(self) -> None:
+        """Sum up the waiting texts."""
+        if self.waiting:
+            units = self.pool.units()
+            self.cost = np.concatenate((self.cost, self.mixer.costs(units, np.arange(len(self.cost), len(units.start)))))
+            self.done += [texts.sums(self.cost) for texts in self.waiting]
+            self.waiting = []
+
+    def scores(self) -> np.ndarray:
+        """log10 probability of each text added since the last call."""
+        self.settle()
+        sums, self.done = np.concatenate(self.done), []
         least = sums.min(axis=1)
         return -(least - np.log(np.exp(least[:, None] - sums).mean(axis=1))) / np.log(10)
 
+    def totals(self, column: pa.Array) -> np.ndarray:
+        """log10 probability of each text of a batch."""
+        self.add(column)
+        return self.scores()
+
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of a bucket, and the token and text of each occurrence; the end of a text is token 0."""
@@ -388,7 +579,7 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         base += part.num_rows
     codes.append(np.zeros(base, np.uint64))
     texts.append(np.arange(base))
-    distinct, of = np.unique(np.concatenate(codes), return_inverse=True)
+    distinct, of, *_ = _distinct(np.concatenate(codes))
     return distinct, of, np.concatenate(texts)
 
 
@@ -413,11 +604,12 @@ def _score(mixer, total: int, kinds: int):
         logs = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
         n = docs.num_rows
         coder = _Coder(Mixer(*mixer.value))
-        scores = [coder.totals(p.column("text").combine_chunks()) for p in slices(docs, bytes_each=_SLICE)]
+        for part in slices(docs, bytes_each=_SLICE):
+            coder.add(part.column("text").combine_chunks())
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": np.bincount(text, minlength=n), "n_bytes": [len(t.encode()) + 1 for t in docs.column("text").to_pylist()],
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": np.bincount(text, minlength=n), "n_bytes": pc.add(pc.binary_length(docs.column("text")).cast(pa.int64()), 1),
             "n_known": np.bincount(text, (count > 0)[of].astype(np.float64), n).astype(np.int64),
-            "base_score": np.bincount(text, logs[of], n), "score": np.concatenate(scores)})
+            "base_score": np.bincount(text, logs[of], n), "score": coder.scores()})
 
     return run
 
@@ -430,7 +622,7 @@ def _refined(texts: DataFrame, sent) -> DataFrame:
         for batch in batches:
             for part in slices(batch, bytes_each=_SLICE):
                 refiner = refiner or _Refiner(Mixer(sent.value[0], sent.value[1].copy()))
-                refiner.add(part.column("text"))
+                refiner.gather(part.column("text"))
         if refiner is not None:
             refiner.settle()
             seen = refiner.seen.reshape(-1)

@@ -198,6 +198,80 @@ def test_every_unit_of_a_text_judges():
     assert (want.sum(axis=0) > 0).sum() > 1  # texts differ in what fits them
 
 
+def test_beginnings_are_worked_out_once():
+    """Bytes that units begin with alike are there once, and every unit's contexts are those it has alone."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    column = pa.array(["", None, *(" ".join(rng.choices(words, k=rng.randint(0, 9))) + rng.choice(["", ". ", "\n"]) for _ in range(200))])
+    units = scoring._Units(column)
+    own = np.array([rng.choice([1, 1.5]) for _ in units.codes])
+    every = np.arange(len(units.codes))
+    for some, kind in ((units.ordered(every), None), (units.ordered(every, own), own), (every, None), (every[:1], None)):
+        c = units.contexts(some, kind)
+        ends = np.cumsum((units.stop - units.start)[some])
+        assert len(c.node) == ends[-1] and c.borders[-1] == len(c.data) == len(np.unique(c.node))
+        for i, u in enumerate(some.tolist()):
+            alone = units.contexts(every[u:u + 1])
+            at = c.node[ends[i - 1] if i else 0:ends[i]]
+            back = alone.node
+            assert c.data[at].tobytes() == alone.data[back].tobytes() == units.data[units.start[u]:units.stop[u]].tobytes()
+            assert all((x[at] == y[back]).all() for x, y in zip(c.slots, alone.slots))
+            assert (np.searchsorted(c.borders, at, side="right") == np.searchsorted(alone.borders, back, side="right")).all()
+            assert kind is None or (kind[some][c.of[at]] == kind[u]).all()
+    assert len(units.contexts(units.ordered(every)).data) < 0.7 * len(units.contexts(every).node)
+
+
+def test_distinct_codes():
+    rng = np.random.default_rng(7)
+    for codes in (rng.integers(0, 50, 400).astype(np.uint64), rng.choice(rng.integers(0, 1 << 63, 90).astype(np.uint64) * np.uint64(2), 500), np.zeros(1, np.uint64), np.zeros(0, np.uint64)):
+        want, first, of, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+        got, at, order, fresh = scoring._distinct(codes)
+        assert got.tolist() == want.tolist() and at.tolist() == of.tolist() and order[fresh].tolist() == first.tolist()
+        assert order.tolist() == np.argsort(codes, kind="stable").tolist() and np.bincount(at, minlength=len(got)).tolist() == times.tolist()
+
+
+def test_scores_in_parts(monkeypatch):
+    """Bounds on what is pooled or waits don't change what texts cost or which weights they move."""
+    rng = random.Random(9)
+    columns = [pa.array([prose(rng.randrange(40), rng.randint(0, 60)) for _ in range(30)]) for _ in range(4)]
+    rows = [(r["cell"], r["counts"]) for b in scoring._gather(iter([pa.record_batch({"text": c}) for c in columns])) for r in b.to_pylist()]
+
+    def worked():
+        mixer = scoring.Mixer.of(rows)
+        coder, refiner = scoring._Coder(mixer), scoring._Refiner(scoring.Mixer.of(rows))
+        for c in columns:
+            coder.add(c)
+            refiner.gather(c)
+        moved = refiner.pool.sums.copy()
+        refiner.settle()
+        return coder.scores(), refiner.seen, moved
+
+    scores, seen, _ = worked()
+    assert len(scores) == 120 and scores == pytest.approx(np.concatenate([scoring._Coder(scoring.Mixer.of(rows)).totals(c) for c in columns]), rel=1e-5)
+    monkeypatch.setattr(scoring, "_WAITING", 1)
+    parts = worked()
+    assert parts[0] == pytest.approx(scores, rel=1e-5) and (parts[1] == seen).all() and parts[2][:, :scoring.VECTORS].sum() == parts[2][:, -2].sum()
+    monkeypatch.setattr(scoring, "_POOLED", 1)
+    parts = worked()
+    assert parts[0] == pytest.approx(scores, rel=1e-5) and parts[1].sum() == seen.sum()
+
+
+def test_odds_without_own():
+    """What one text has of a unit is taken off, be it one or more."""
+    rng = np.random.default_rng(8)
+    mixer = scoring.Mixer([rng.integers(0, 4, (1 << b, 2)).astype(np.float32) for b in scoring.TABLE_BITS], None)
+    data, own = rng.integers(0, 256, 500).astype(np.uint8), rng.choice([1, 1.5, 2], 500).astype(np.float32)
+    slots = [rng.integers(0, 1 << b, 500) for b in scoring.TABLE_BITS]
+    for j in range(8):
+        bit, x = mixer.others(data, slots, j, own, np.flatnonzero(own != 1))
+        assert bit.tolist() == ((data >> (7 - j)) & 1).tolist()
+        node = (data.astype(np.int64) >> (8 - j)) | (1 << j)
+        for k, slot in enumerate(slots):
+            rest = mixer.counts[k][slot ^ scoring._NODE[k][node]] - own[:, None] * np.stack((1 - bit, bit), axis=1)
+            rest = np.maximum(rest, 0).astype(np.float32)
+            assert np.allclose(x[k], np.log((rest[:, 1] + 0.4) / (rest[:, 0] + 0.4)), atol=1e-6)
+
+
 def test_mixing_learns(spark):
     """Prose of known words costs fewer bits than that of unknown ones, and bits refine to fewer."""
     import pyarrow as pa
