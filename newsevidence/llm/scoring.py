@@ -156,26 +156,23 @@ class _Units:
             head = head << np.uint64(8) | byte
         return head
 
-    def ordered(self, pick: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """The picked units with those that begin alike (and are of equal ``own``) behind each other."""
-        keys = (self.heads[pick], self.state[pick])
-        return pick[np.lexsort(keys if own is None else (*keys, own[pick]))]
+    def ordered(self, pick: np.ndarray) -> np.ndarray:
+        """The picked units with those that begin alike behind each other."""
+        return pick[np.lexsort((self.heads[pick], self.state[pick]))]
 
-    def contexts(self, pick: np.ndarray, own: np.ndarray | None = None) -> _Contexts:
+    def contexts(self, pick: np.ndarray, shared: bool = True) -> _Contexts:
         """Context slots of the bytes of the picked units.
 
-        What a byte's slots are is settled by what its unit has up to it. So a beginning that a unit shares with the one
-        before it is there once (with ``own``: if that is equal too); it doesn't matter for the result in which order the
-        units come.
+        What a byte's slots are is settled by what its unit has up to it. So if ``shared``, a beginning that a unit has
+        in common with the one before it is there once; it doesn't matter for the result in which order the units come.
         """
         start, length, state = self.start[pick], (self.stop - self.start)[pick], self.state[pick]
-        head, same = self.heads[pick], np.zeros(len(pick), np.int64)
-        apart, alike = head[1:] ^ head[:-1], state[1:] == state[:-1]
-        if own is not None:
-            alike &= own[pick][1:] == own[pick][:-1]
-        for k in range(_HEAD):
-            same[1:] += apart < np.uint64(1 << 8 * (_HEAD - 1 - k))
-        same[1:] = np.minimum(same[1:], np.minimum(length[1:], length[:-1])) * alike
+        same = np.zeros(len(pick), np.int64)
+        if shared:
+            head = self.heads[pick]
+            for k in range(_HEAD):
+                same[1:] += (head[1:] ^ head[:-1]) < np.uint64(1 << 8 * (_HEAD - 1 - k))
+            same[1:] = np.minimum(same[1:], np.minimum(length[1:], length[:-1])) * (state[1:] == state[:-1])
         number, base = np.arange(len(pick)), np.cumsum(length) - length
         unit = np.repeat(number, length)
         place = np.arange(len(unit)) - np.repeat(base, length)
@@ -332,12 +329,6 @@ def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
 
 
-def _gated(weights: np.ndarray, part: np.ndarray, met: np.ndarray) -> np.ndarray:
-    """Mixed odds under each weight vector, whose gate says whether the word so far has been met."""
-    both = (weights.reshape(-1, part.shape[0]) @ part).reshape(len(weights), 2, -1)
-    return np.where(met, both[:, 1], both[:, 0])
-
-
 class Mixer:
     """Predictor tables (counts, and log odds made of them), and the weight vectors."""
 
@@ -393,8 +384,7 @@ class Mixer:
             for p in range(_PLACES):
                 a, b = borders[p], borders[p + 1]
                 part = x[:, a:b]
-                z = _gated(self.weights[:, j, p], part, part[-1] != 0)
-                z *= sign[a:b]
+                z = np.where(part[-1] != 0, self.weights[:, j, p, 1] @ part, self.weights[:, j, p, 0] @ part) * sign[a:b]
                 np.clip(z, -15, 15, out=z)
                 np.exp(z, out=z)
                 z += 1
@@ -481,30 +471,28 @@ class _Refiner:
         turn = np.argsort(mix(np.arange(len(sums), dtype=np.uint64)), kind="stable")
         for step in np.array_split(turn, max(STEPS, STEPS * len(sums) // _STEP_UNITS)):
             for pick in units.groups(step):
-                pick = units.ordered(pick, own)
-                self._step(units.contexts(pick, own), sums[pick, :VECTORS], own[pick])
+                # Each unit by itself: sums in single precision depend on what is added in which order.
+                self._step(units.contexts(pick, shared=False), sums[pick, :VECTORS].astype(np.float32), own[pick])
         self.clear()
 
     def _step(self, contexts: _Contexts, times: np.ndarray, own: np.ndarray) -> None:
-        data, slots, borders, of, unit, node = contexts
-        times = np.stack([np.bincount(node, t[unit], len(data)) for t in times.T]).astype(np.float32)
-        own = own[of]
+        data, slots, borders, of, *_ = contexts
+        times, own = np.ascontiguousarray(times[of].T), own[of]
         more = np.flatnonzero(own != 1)
         for j in range(8):
             bit, x = self.mixer.others(data, slots, j, own, more)
             for p in range(_PLACES):
                 span = slice(borders[p], borders[p + 1])
                 part, many = x[:, span], times[:, span]
-                met = part[-1] != 0
+                met = (part[-1] != 0).astype(np.float32)
                 weights, past = self.mixer.weights[:, j, p], self.past[:, j, p]
-                z = _gated(weights, part, met)
-                met = met.astype(np.float32)
+                z = np.where(met > 0, weights[:, 1] @ part, weights[:, 0] @ part)
                 np.clip(z, -15, 15, out=z)
                 np.exp(np.negative(z, out=z), out=z)
                 z += 1
                 error = (bit[span] - 1 / z) * many
-                every, known = (np.concatenate((error, error * met)) @ part.T).reshape(2, VECTORS, -1)
-                for g, gradient in enumerate((every - known, known)):
+                known = (error * met) @ part.T
+                for g, gradient in enumerate((error @ part.T - known, known)):
                     past[:, g] += gradient**2
                     weights[:, g] += self.rate * gradient / np.sqrt(past[:, g])
                 bits = many @ met

@@ -204,10 +204,9 @@ def test_beginnings_are_worked_out_once():
     words = ["".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 14))) for _ in range(300)]
     column = pa.array(["", None, *(" ".join(rng.choices(words, k=rng.randint(0, 9))) + rng.choice(["", ". ", "\n"]) for _ in range(200))])
     units = scoring._Units(column)
-    own = np.array([rng.choice([1, 1.5]) for _ in units.codes])
     every = np.arange(len(units.codes))
-    for some, kind in ((units.ordered(every), None), (units.ordered(every, own), own), (every, None), (every[:1], None)):
-        c = units.contexts(some, kind)
+    for some, shared in ((units.ordered(every), True), (every, False), (every, True), (every[:1], True)):
+        c = units.contexts(some, shared)
         ends = np.cumsum((units.stop - units.start)[some])
         assert len(c.node) == ends[-1] and c.borders[-1] == len(c.data) == len(np.unique(c.node))
         for i, u in enumerate(some.tolist()):
@@ -217,7 +216,7 @@ def test_beginnings_are_worked_out_once():
             assert c.data[at].tobytes() == alone.data[back].tobytes() == units.data[units.start[u]:units.stop[u]].tobytes()
             assert all((x[at] == y[back]).all() for x, y in zip(c.slots, alone.slots))
             assert (np.searchsorted(c.borders, at, side="right") == np.searchsorted(alone.borders, back, side="right")).all()
-            assert kind is None or (kind[some][c.of[at]] == kind[u]).all()
+            assert shared or (some[c.of[at]] == u).all()
     assert len(units.contexts(units.ordered(every)).data) < 0.7 * len(units.contexts(every).node)
 
 
