@@ -14,7 +14,7 @@ from ..functions.text import col, is_blank, normalize_label
 from ..session import shared_dir
 from .cells import Cells, build_cells, common_size, open_cells, search_cells, with_cell_columns  # noqa: F401
 from .keyed import top_per_key
-from .vectorset import TopK, chunk_vector_rejects, claim_vector_rejects, unit_rows, unusable_vector  # noqa: F401
+from .vectorset import TILE_CHUNKS, TopK, chunk_vector_rejects, claim_vector_rejects, tile_rows, unit_rows, unusable_vector  # noqa: F401
 
 # Search defaults and the labels of badly rated sources.
 TOP_K = 5
@@ -80,10 +80,12 @@ def _broadcast_hits(claims: pd.DataFrame, chunks: DataFrame, k: int, max_distanc
             return
         best = TopK(*shared.value, k, max_distance)
         for batch in batches:
-            if len(batch):
-                best.add(batch["chunk_id"].to_numpy(), unit_rows(batch["vector"]))
-        if len(best.best):
-            yield best.rows()
+            step = tile_rows(2 * best.dim, TILE_CHUNKS)
+            for low in range(0, len(batch), step):
+                part = batch.iloc[low:low + step]
+                best.add(part["chunk_id"].to_numpy(), unit_rows(part["vector"]))
+        if best.count.any():
+            yield best.rows().drop(columns="tag")
 
     return chunks.select("chunk_id", "vector").mapInPandas(scan, schema)
 

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import small_batches
 from ..sources.tables import stage
 from .cells import Cells, blocks_for, common_size, compare_blocks, shelve
 from .keyed import top_per_key
-from .vectorset import TILE_CHUNKS, TopK, Units, in_order, unit_rows, unusable_vector
+from .vectorset import TopK, Units, in_order, unit_rows, unusable_vector
 
 #: Copies of the chunk vectors that may be stored, and chunks of a bucket below which smaller ones don't pay.
 MOST_TABLES, BUCKET_ROWS = 8, 64
@@ -103,7 +103,8 @@ def build_signatures(chunks: DataFrame, folder: str, dim: int | None = None, sim
                 yield part.assign(cell=buckets[:, 0], buckets=list(buckets))
 
     kinds = [T.StructField("cell", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))]
-    shelve(good.mapInPandas(place, T.StructType([*good.schema.fields, *kinds])), f"{folder}/chunks")
+    with small_batches(spark):
+        shelve(good.mapInPandas(place, T.StructType([*good.schema.fields, *kinds])), f"{folder}/chunks")
     rows = np.zeros(plan.tables << plan.bits, np.int64)
     counted = spark.read.schema("buckets array<int>").parquet(f"{folder}/chunks").select(F.posexplode("buckets").alias("t", "b")) \
         .select((F.col("t") * F.lit(1 << plan.bits) + F.col("b")).alias("cell")).groupBy("cell").count().toPandas()  # a row per bucket
@@ -112,42 +113,40 @@ def build_signatures(chunks: DataFrame, folder: str, dim: int | None = None, sim
     return Signatures(folder, dim, good.schema["chunk_id"].dataType, none, none, none, rows, plan, seed)
 
 
-def _compare_probed(plan: Plan, dim: int, k: int, schema: T.StructType):
-    """Work on a block of claims and one of chunks: the k nearest of those pairs that any table's probes let meet."""
-    out = to_arrow_schema(schema)
+def _compare_probed(plan: Plan, k: int):
+    """Of a block of claims: the k nearest of those pairs with chunks that any table's probes let meet."""
     # Where most pairs meet, whole tiles are multiplied and hits looked up; else each bucket with the claims that probe it.
     sparse = plan.tables * plan.probes * 4 < 1 << plan.bits
 
-    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not (asked.num_rows and held.num_rows):
-            return out.empty_table()
-        claims, chunks = (Units.of_column(t.column("vector"), dim) for t in (asked, held))
-        mine, theirs = (t.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, plan.tables) for t in (asked, held))
+    def begin(asked: pa.Table, claims: Units):
+        buckets = lambda t: t.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, plan.tables)
+        mine = buckets(asked)
         bits = np.array([i.bit_count() for i in range(1 << plan.bits)], np.uint8)
-        ids = held.column("chunk_id").to_pandas().to_numpy()
         best = TopK(asked.column("claim_id").to_pandas().to_numpy(), claims, k, asked.column("bar").to_numpy())
 
-        def meets(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-            met = np.zeros(len(q), bool)
+        def meet(held: pa.Table, chunks: Units) -> None:
+            ids, theirs = held.column("chunk_id").to_pandas().to_numpy(), buckets(held)
+
+            def meets(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+                met = np.zeros(len(q), bool)
+                for t in range(plan.tables):
+                    met |= bits[mine[q, t] ^ theirs[c, t]] <= plan.flips
+                return met
+
+            if not sparse:
+                best.add(ids, chunks, meets)
+                return
+            order = in_order(ids)
             for t in range(plan.tables):
-                met |= bits[mine[q, t] ^ theirs[c, t]] <= plan.flips
-            return met
-
-        if not sparse:
-            best.add(ids, chunks, meets)
-            return pa.Table.from_pandas(best.rows(), schema=out, preserve_index=False)
-        order = in_order(ids)
-        for t in range(plan.tables):
-            bucket = theirs[order, t]
-            at = order[np.argsort(bucket, kind="stable")]
-            first = np.flatnonzero(np.diff(theirs[at, t], prepend=-1))
-            for a, b in zip(first, np.append(first[1:], len(at))):
-                asking = np.flatnonzero(bits[mine[:, t] ^ theirs[at[a], t]] <= plan.flips)
-                for c0 in range(a, b if len(asking) else a, TILE_CHUNKS):
-                    best.compare(asking, ids, chunks, at[c0:min(c0 + TILE_CHUNKS, b)], lambda q, c: _first_met(bits, mine, theirs, plan, t, q, c))
-        return pa.Table.from_pandas(best.rows(), schema=out, preserve_index=False)
-
-    return work
+                at = order[np.argsort(theirs[order, t], kind="stable")]
+                first = np.flatnonzero(np.diff(theirs[at, t], prepend=-1))
+                for a, b in zip(first, np.append(first[1:], len(at))):
+                    asking = np.flatnonzero(bits[mine[:, t] ^ theirs[at[a], t]] <= plan.flips)
+                    best.compare(asking, ids, chunks, at[a:b], lambda q, c: _first_met(bits, mine, theirs, plan, t, q, c))
+
+        return meet, lambda: best.rows().drop(columns="tag")
+
+    return begin
 
 
 def _first_met(bits: np.ndarray, mine: np.ndarray, theirs: np.ndarray, plan: Plan, table: int, q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -182,15 +181,17 @@ def approximate_search(claims: DataFrame, index: Signatures, k: int, max_distanc
 
     good = claims.select("claim_id", "vector").where(unusable_vector("vector", dim).isNull())
     kind = f"claim_id {schema['claim_id'].dataType.simpleString()}, vector {dict(claims.dtypes)['vector']}, buckets array<int>"
-    signed = stage(good.mapInPandas(sign, kind).withColumn("bar", F.lit(float(max_distance)).cast("float")), folder, "claims")
-    across, down = blocks_for(signed.count(), dim), blocks_for(total, dim)
+    with small_batches(spark):
+        signed = stage(good.mapInPandas(sign, kind).withColumn("bar", F.lit(float(max_distance)).cast("float")), folder, "claims")
+    across, down = blocks_for(signed.count(), dim, k), blocks_for(total, dim)
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = signed.withColumn("block", deal("claim_id", across)).withColumn("part", each(down))
     right = index.table(spark, "chunk_id", "vector", "buckets").drop("cell", "shelf").withColumn("part", deal("chunk_id", down)).withColumn("block", each(across))
-    hits = compare_blocks(left, right, ["block", "part"], across * down, _compare_probed(plan, dim, k, schema), schema)
+    hits = compare_blocks(left, right, ["block", "part"], 2 * across * down, _compare_probed(plan, k), dim, schema)
     hits = hits.dropDuplicates(["claim_id", "chunk_id"])
-    return stage(top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank"), folder, "hits")
+    with small_batches(spark):
+        return stage(top_per_key(hits, ["claim_id"], [F.asc("distance"), F.asc("chunk_id")], k, rank="rank"), folder, "hits")
 
 
 def recall_report(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -10,9 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tile of the distance matrix held at a time: 16 MiB in single precision.
+# Tile of the distance matrix held at a time: 16 MiB in single precision, less where the vectors of a side would pass TILE_BYTES.
 TILE_CLAIMS = 1_024
 TILE_CHUNKS = 4_096
+TILE_BYTES = 16 * 1024 * 1024
+# Directions of claims are kept up to this size; those of more claims are made again for every tile.
+NEAR_BYTES = 32 * 1024 * 1024
+# Places of claims and chunks that are judged at once.
+_PAIRS = 1 << 18
 #: For places of claims and of chunks: which of these pairs are to be compared.
 Meets = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -54,21 +59,31 @@ def in_order(ids: np.ndarray) -> np.ndarray:
     return pd.Series(ids).sort_values(kind="stable").index.to_numpy()
 
 
+def tile_rows(dim: int, most: int) -> int:
+    """Rows of a tile: ``most``, or as many vectors of ``dim`` numbers as take TILE_BYTES in single precision."""
+    return max(1, min(most, TILE_BYTES // (4 * max(dim, 1))))
+
+
 class Units:
     """Vectors of a block with their lengths; directions are made tile by tile, in the precision asked for."""
 
     def __init__(self, raw: np.ndarray, norms: np.ndarray | None = None):
         self.raw = raw
         if norms is None:
-            norms = np.concatenate([np.zeros(0), *(np.linalg.norm(raw[a:a + TILE_CHUNKS].astype(np.float64), axis=1)
-                                                   for a in range(0, len(raw), TILE_CHUNKS))])
+            step = tile_rows(raw.shape[1], TILE_CHUNKS)
+            norms = np.concatenate([np.zeros(0), *(np.linalg.norm(raw[a:a + step].astype(np.float64), axis=1) for a in range(0, len(raw), step))])
         self.norms = np.where(norms > 0, norms, 1.0)
 
     @classmethod
-    def of_column(cls, column: pa.ChunkedArray, dim: int) -> Units:
-        """Of an Arrow column of usable vectors of ``dim`` numbers."""
-        parts = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in column.chunks if len(c)]
-        return cls(parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros((0, dim), np.float32))
+    def of_pieces(cls, pieces: list[pa.Array], dim: int) -> Units:
+        """Of Arrow arrays of usable vectors of ``dim`` numbers. The list is emptied, so that no vector is held twice for long."""
+        raw = np.zeros((sum(len(p) for p in pieces), dim), pieces[0].type.value_type.to_pandas_dtype() if pieces else np.float32)
+        at = 0
+        for i, piece in enumerate(pieces):
+            raw[at:at + len(piece)] = piece.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            at, pieces[i], piece = at + len(piece), None, None
+        pieces.clear()
+        return cls(raw)
 
     def __len__(self) -> int:
         return len(self.raw)
@@ -77,7 +92,9 @@ class Units:
         return self.raw[rows].astype(np.float64) / self.norms[rows, None]
 
     def single(self, rows: np.ndarray | slice) -> np.ndarray:
-        return self.exact(rows).astype(np.float32)
+        """Divided in double precision and rounded once."""
+        raw = self.raw[rows]
+        return np.divide(raw, self.norms[rows, None], out=np.empty(raw.shape, np.float32), dtype=np.float64, casting="same_kind")
 
 
 class TopK:
@@ -85,67 +102,81 @@ class TopK:
 
     Works on tiles, so the distance matrix stays small however many claims and chunks a task holds. Products are made in
     single precision first; what they leave in question, by a bound on their error, is computed in double. ``limit`` is the
-    largest distance that counts, one number or one per claim.
+    largest distance that counts, one number or one per claim. A tile's hits are merged with those of its claims only.
     """
 
     def __init__(self, claim_ids: np.ndarray, claims: np.ndarray | Units, k: int, limit: float | np.ndarray):
         self.claim_ids, self.k = claim_ids, k
         self.claims = claims if isinstance(claims, Units) else Units(claims, np.ones(len(claims)))
-        self.near = np.concatenate([np.zeros((0, self.claims.raw.shape[1]), np.float32), *(
-            self.claims.single(slice(a, a + TILE_CHUNKS)) for a in range(0, len(self.claims), TILE_CHUNKS))])
+        self.dim = self.claims.raw.shape[1]
+        self.near: np.ndarray | None = None
+        if len(self.claims) * self.dim * 4 <= NEAR_BYTES:
+            self.near = self.claims.single(slice(None))
         self.bar = np.broadcast_to(np.asarray(limit, dtype=np.float32), len(claim_ids)).copy()
         # Rounding of both factors and of each sum of products, each sum being 1 at most; and that of the distance.
-        self.slack = (self.near.shape[1] + 8) * 2.0**-24 + 1e-6
-        self.best = pd.DataFrame({"q": [], "chunk_id": [], "distance": [], "place": []})
+        self.slack = (self.dim + 8) * 2.0**-24 + 1e-6
+        # The best of each claim in order: the first ``count`` places of its row.
+        self.count = np.zeros(len(claim_ids), np.int64)
+        self.distance = np.empty((len(claim_ids), k), np.float32)
+        self.chunk_id = np.empty((len(claim_ids), k), np.int64)
+        self.tag = np.empty((len(claim_ids), k), np.int32)
 
     def add(self, chunk_ids: np.ndarray, chunks: np.ndarray | Units, meets: Meets | None = None) -> None:
         """Compare all claims with more chunks; of the pairs only those that ``meets`` lets through, if given."""
         chunks = chunks if isinstance(chunks, Units) else Units(chunks, np.ones(len(chunks)))
-        every = np.arange(len(self.claim_ids))
-        order = in_order(chunk_ids)
-        for c0 in range(0, len(order), TILE_CHUNKS):
-            self.compare(every, chunk_ids, chunks, order[c0:c0 + TILE_CHUNKS], meets)
-
-    def compare(self, claims: np.ndarray, chunk_ids: np.ndarray, chunks: Units, at: np.ndarray, meets: Meets | None = None) -> None:
-        """Compare some claims (places) with at most a tile of chunks (places, in order of their ids)."""
-        tile = chunks.single(at).T
-        found = []
-        for q0 in range(0, len(claims), TILE_CLAIMS):
-            rows = claims[q0:q0 + TILE_CLAIMS]
-            q, c, distance = self._within(rows, self.near[rows] @ tile, chunks, at, meets)
-            if len(q):
-                found.append(pd.DataFrame({"q": q, "chunk_id": chunk_ids[c], "distance": distance, "place": c}))
-        self._keep(found)
+        self.compare(np.arange(len(self.claim_ids)), chunk_ids, chunks, in_order(chunk_ids), meets)
+
+    def compare(self, claims: np.ndarray, chunk_ids: np.ndarray, chunks: Units, at: np.ndarray, meets: Meets | None = None,
+                tags: np.ndarray | None = None) -> None:
+        """Compare some claims (places) with chunks (places, in order of their ids); ``tags`` are kept with the hits."""
+        wide, tall = tile_rows(self.dim, TILE_CHUNKS), tile_rows(self.dim, TILE_CLAIMS)
+        for c0 in range(0, len(at) if len(claims) else 0, wide):
+            some = at[c0:c0 + wide]
+            tile = chunks.single(some).T
+            for q0 in range(0, len(claims), tall):
+                rows = claims[q0:q0 + tall]
+                near = self.claims.single(rows) if self.near is None else self.near[rows]
+                q, c, distance = self._within(rows, near @ tile, chunks, some, meets)
+                if len(q):
+                    self._keep(q, chunk_ids[c], distance, np.zeros(len(c), np.int32) if tags is None else tags[c])
 
     def _within(self, rows: np.ndarray, sim: np.ndarray, chunks: Units, at: np.ndarray, meets: Meets | None):
         """Claims, chunks and distances of the pairs of a tile that may be among the k nearest."""
         mask = sim >= (1.0 - self.bar[rows] - self.slack).astype(np.float32)[:, None]
-        n = np.count_nonzero(mask, axis=1)
+        q, c = np.divmod(np.flatnonzero(mask), len(at))
+        n = np.bincount(q, minlength=len(rows))
         over = np.flatnonzero(n > self.k)
-        if len(over):
-            if meets is not None:
-                mask[over] &= meets(np.repeat(rows[over], len(at)), np.tile(at, len(over))).reshape(len(over), -1)
-            some = np.where(mask[over], sim[over], np.float32(-9))
-            kth = -np.partition(-some, self.k - 1, axis=1)[:, self.k - 1]
-            mask[over] &= some >= (kth - 2 * self.slack)[:, None]
-            n[over] = np.count_nonzero(mask[over], axis=1)
-        # Very many that near: copies. Of equal distances the first k chunk ids are enough.
-        wide = np.flatnonzero(n > 8 * self.k + 32)
         found = []
-        if len(wide):
-            d = (1.0 - self.claims.exact(rows[wide]) @ chunks.exact(at).T).astype(np.float32)
-            d[~mask[wide]] = np.inf
-            kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1:self.k]
-            tie = d == kth
-            w, c = np.nonzero(((d < kth) | (tie & (np.cumsum(tie, axis=1) <= self.k))) & np.isfinite(d))
-            found.append((rows[wide[w]], at[c], d[w, c]))
-            mask[wide] = False
-        q, c = np.nonzero(mask)
+        if len(over):
+            step = max(1, _PAIRS // len(at)) if meets is not None else len(over)
+            for a in range(0, len(over), step):
+                some = over[a:a + step]
+                if meets is not None:
+                    mask[some] &= meets(np.repeat(rows[some], len(at)), np.tile(at, len(some))).reshape(len(some), -1)
+                close = np.where(mask[some], sim[some], np.float32(-9))
+                kth = -np.partition(-close, self.k - 1, axis=1)[:, self.k - 1]
+                mask[some] &= close >= (kth - 2 * self.slack)[:, None]
+                n[some] = np.count_nonzero(mask[some], axis=1)
+            # Very many that near: copies. Of equal distances the first k chunk ids are enough.
+            wide = np.flatnonzero(n > 8 * self.k + 32)
+            if len(wide):
+                exact = chunks.exact(at).T
+                step = tile_rows(2 * self.dim, len(wide))
+                for a in range(0, len(wide), step):
+                    some = wide[a:a + step]
+                    d = (1.0 - self.claims.exact(rows[some]) @ exact).astype(np.float32)
+                    d[~mask[some]] = np.inf
+                    kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1:self.k]
+                    tie = d == kth
+                    w, c = np.nonzero(((d < kth) | (tie & (np.cumsum(tie, axis=1) <= self.k))) & np.isfinite(d))
+                    found.append((rows[some[w]], at[c], d[w, c]))
+                mask[wide] = False
+            q, c = np.divmod(np.flatnonzero(mask), len(at))
         q, c = rows[q], at[c]
         if meets is not None and len(q):
             met = meets(q, c)
             q, c = q[met], c[met]
-        step = max(1, (1 << 20) // self.near.shape[1])
+        step = max(1, (1 << 20) // self.dim)
         for a in range(0, len(q), step):
             b = slice(a, a + step)
             found.append((q[b], c[b], (1.0 - np.einsum("ij,ij->i", self.claims.exact(q[b]), chunks.exact(c[b]))).astype(np.float32)))
@@ -155,19 +186,30 @@ class TopK:
         good = distance <= self.bar[q]
         return q[good], c[good], distance[good]
 
-    def _keep(self, found: list[pd.DataFrame]) -> None:
-        if not found:
-            return
-        known = [self.best] if len(self.best) else []
-        rows = pd.concat([*known, *found]).sort_values(["q", "distance", "chunk_id"], kind="stable")
-        place = rows.groupby("q", sort=False).cumcount()
-        self.best = rows[place < self.k]
-        full = rows[place == self.k - 1]
-        self.bar[full["q"].to_numpy(dtype=int)] = full["distance"].to_numpy(dtype=np.float32)
+    def _keep(self, q: np.ndarray, chunk_id: np.ndarray, distance: np.ndarray, tag: np.ndarray) -> None:
+        if self.chunk_id.dtype != chunk_id.dtype:  # ids of another type: strings, or numbers with nulls among them
+            both = np.result_type(self.chunk_id, chunk_id) if self.count.any() else chunk_id.dtype
+            self.chunk_id = self.chunk_id.astype(both)
+        hit, at = np.unique(q, return_inverse=True)
+        known = self.count[hit]
+        old = np.repeat(np.arange(len(hit)), known)
+        place = np.arange(len(old)) - np.repeat(np.cumsum(known) - known, known)
+        joined = lambda kept, new: np.concatenate([kept[hit[old], place], new])
+        at, distance, chunk_id, tag = np.concatenate([old, at]), joined(self.distance, distance), joined(self.chunk_id, chunk_id), joined(self.tag, tag)
+        if chunk_id.dtype == object:
+            order = pd.DataFrame({"q": at, "distance": distance, "chunk_id": chunk_id}).sort_values(["q", "distance", "chunk_id"], kind="stable").index.to_numpy()
+        else:
+            order = np.lexsort((chunk_id, distance, at))
+        at, many = at[order], np.bincount(at, minlength=len(hit))
+        place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        good = place < self.k
+        at, place, order = hit[at[good]], place[good], order[good]
+        self.distance[at, place], self.chunk_id[at, place], self.tag[at, place] = distance[order], chunk_id[order], tag[order]
+        self.count[hit] = np.minimum(many, self.k)
+        full = hit[many >= self.k]
+        self.bar[full] = self.distance[full, self.k - 1]
 
     def rows(self) -> pd.DataFrame:
-        q = self.best["q"].to_numpy(dtype=int)
-        return pd.DataFrame({
-            "claim_id": self.claim_ids[q], "chunk_id": self.best["chunk_id"].to_numpy(),
-            "distance": self.best["distance"].to_numpy(dtype=np.float32),
-        })
+        q, place = np.nonzero(np.arange(self.k) < self.count[:, None])
+        return pd.DataFrame({"claim_id": self.claim_ids[q], "chunk_id": self.chunk_id[q, place], "distance": self.distance[q, place],
+                             "tag": self.tag[q, place]})

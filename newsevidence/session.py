@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +34,22 @@ def apply_options(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of one batch that goes to Python or comes back where rows are wide; both sides hold several copies of a batch.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside sends rows to Python by at most BATCH_BYTES at a time; the session's own limit holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # Folders of local sessions without a configured one, by application; removed when Python ends.
 _LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 

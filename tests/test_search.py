@@ -241,3 +241,46 @@ def test_claims_go_once_to_a_run_of_cells(spark, monkeypatch, tmp_path):
     copies = spark.read.parquet(str(tmp_path / "run/routes"))
     assert len(cells.rows) > 100 and copies.count() <= 200 * (1 + C.blocks_for(3000, 16))  # not one for each cell
     assert spark.read.parquet(str(tmp_path / "run/away")).where("claim_id is not null").count() <= 200
+
+
+def test_chunks_pass_by_a_block_of_claims_in_pieces(spark, monkeypatch):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    monkeypatch.setattr(C, "HELD_BYTES", 100 * 16 * 4)
+    claims, chunks, _, c = tables(spark, 40, 2000)
+    block = lambda df, key: df.withColumn("block", (F.col(key) % 3).cast("int"))
+
+    def begin(asked, q):
+        pieces = []
+        total = lambda: pd.DataFrame({"claims": [len(q)], "pieces": [len(pieces)], "largest": [max(n for n, _ in pieces)], "sum": [sum(s for _, s in pieces)]})
+        return lambda held, v: pieces.append((held.num_rows, float(v.raw.sum()))), total
+
+    schema = T._parse_datatype_string("claims long, pieces long, largest long, sum double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        got = C.compare_blocks(block(claims, "claim_id"), block(chunks, "chunk_id"), ["block"], 2, begin, 16, schema).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.claims for r in got) == [13, 13, 14]
+    assert all(r.pieces > 4 and r.largest <= 130 for r in got)
+    assert sum(r["sum"] for r in got) == pytest.approx(float(c.sum()), abs=0.1)
+    # What a task holds of wide vectors is a block of claims, however many there are.
+    assert all(rows * 3072 * 4 / C.blocks_for(rows, 3072, 5) <= C.CLAIM_BYTES for rows in (50_000, 100_000, 1_000_000))
+
+
+def test_directions_of_many_wide_claims_are_not_kept(monkeypatch):
+    from newsevidence.operators import vectorset as V
+
+    rng = np.random.default_rng(12)
+    q, c = _odd_vectors(rng, 300, 96), _odd_vectors(rng, 900, 96)
+    ids = rng.permutation(900)
+    bag = lambda best: [best.rows().round(5).values.tolist(), best.near is None]
+    kept = V.TopK(np.arange(300), V.Units(q), 4, 0.9)
+    kept.add(ids, V.Units(c))
+    monkeypatch.setattr(V, "NEAR_BYTES", 0)
+    monkeypatch.setattr(V, "TILE_BYTES", 96 * 4 * 50)
+    again = V.TopK(np.arange(300), V.Units(q), 4, 0.9)
+    for a in range(0, 900, 200):
+        again.add(ids[a:a + 200], V.Units(c[a:a + 200]))
+    assert bag(again) == [bag(kept)[0], True] and not bag(kept)[1] and len(kept.rows()) > 300
