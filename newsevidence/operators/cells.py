@@ -71,9 +71,13 @@ class Cells:
 
 
 def _nearest_pivot(matrix: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    similarity = np.clip(matrix @ pivots.T, -1.0, 1.0)
-    cell = similarity.argmax(axis=1)
-    return cell, np.arccos(similarity[np.arange(len(cell)), cell])
+    cell, angle = np.zeros(len(matrix), np.int64), np.zeros(len(matrix))
+    step = max(1, _JUDGED // max(1, len(pivots)))
+    for a in range(0, len(matrix), step):
+        similarity = matrix[a:a + step] @ pivots.T
+        cell[a:a + step] = best = similarity.argmax(axis=1)
+        angle[a:a + step] = np.arccos(np.clip(similarity[np.arange(len(best)), best], -1.0, 1.0))
+    return cell, angle
 
 
 def common_size(vectors: DataFrame, vector: str = "vector") -> int | None:
@@ -148,12 +152,13 @@ def near_cells(claim: np.ndarray, own: np.ndarray, reach: np.ndarray, cells: Cel
     pivots, full = cells.pivots[some], cells.rows[some] > 0
     lo, hi = (np.where(full, x[some], 0.0) for x in (cells.lo, cells.hi))
     out = np.zeros((len(claim), len(some)), bool)
-    step = max(1, _JUDGED // max(1, len(some)))
+    cos, sin, back = np.cos(hi), np.sin(hi), np.pi - hi
+    step = max(1, _JUDGED // 8 // max(1, len(some)))
     for a in range(0, len(claim), step):
         part, home, far = claim[a:a + step], cells.pivots[own[a:a + step]], reach[a:a + step, None]
         similarity = np.clip(part @ pivots.T, -1.0, 1.0)
         # The rings: the angle to the pivot is at most hi + reach, and at least lo - reach.
-        near = (similarity >= np.cos(np.minimum(hi + far, np.pi))) | (hi + far >= np.pi)
+        near = (similarity >= cos * np.cos(far) - sin * np.sin(far)) | (far >= back)
         if len(lo) and (lo > far.min()).any():
             near &= similarity <= np.cos(np.maximum(lo - far, 0.0))
         # The plane between the own cell and the other; a chunk of the other lies beyond it.

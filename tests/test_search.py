@@ -284,3 +284,46 @@ def test_directions_of_many_wide_claims_are_not_kept(monkeypatch):
     for a in range(0, 900, 200):
         again.add(ids[a:a + 200], V.Units(c[a:a + 200]))
     assert bag(again) == [bag(kept)[0], True] and not bag(kept)[1] and len(kept.rows()) > 300
+
+
+def test_many_pivots_in_bounded_memory():
+    import tracemalloc
+
+    from pyspark.sql import types as T
+
+    rng = np.random.default_rng(13)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    pivots, claim = unit(20_000), unit(3_000)
+    lo, hi = rng.uniform(0, 0.5, 20_000), rng.uniform(0.4, 1.2, 20_000)
+    cells = C.Cells("", 16, T.LongType(), pivots, lo, hi, rng.integers(0, 3, 20_000))
+    tracemalloc.start()
+    try:
+        own, angle = C._nearest_pivot(claim, pivots)
+        near = C.near_cells(claim[:500], own[:500], np.linspace(0.1, 3.1, 500), cells)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120e6  # all products of the first step alone are 480 MB
+    angles = np.arccos(np.clip(claim[:500] @ pivots.T, -1, 1))
+    assert (own[:500] == angles.argmin(axis=1)).all() and np.allclose(angle[:500], angles.min(axis=1))
+    reach = np.linspace(0.1, 3.1, 500)[:, None]
+    across = np.sqrt(np.maximum(2 - 2 * pivots[own[:500]] @ pivots.T, 1e-30))
+    plane = np.arcsin(np.clip((np.cos(angle[:500, None]) - np.cos(angles)) / across, 0, 1))
+    want = (np.maximum(np.maximum(angles - hi, lo - angles), plane) <= reach) & (cells.rows > 0) & (own[:500, None] != np.arange(20_000))
+    assert (near != want).sum() <= 5 and 0.02 < want.mean() < 0.98  # rounding
+
+
+def test_hits_are_merged_with_those_of_their_claims_only():
+    from newsevidence.operators.vectorset import TopK, Units
+
+    rng = np.random.default_rng(14)
+    q, c = rng.normal(size=(50, 8)).astype(np.float32), rng.normal(size=(400, 8)).astype(np.float32)
+    names = np.array([f"c{i:03d}" if i % 40 else None for i in range(400)], object)
+    for ids in (np.arange(400), names):
+        best, some = TopK(np.arange(50), Units(q), 3, 2.0), TopK(np.arange(50), Units(q), 3, 2.0)
+        best.add(ids, Units(c))
+        for a in range(0, 400, 7):  # claims of one half, then of the other
+            for half in (np.arange(25), np.arange(25, 50)):
+                some.compare(half, ids[a:a + 7], Units(c[a:a + 7]), np.arange(len(ids[a:a + 7])), None, np.full(7, a, np.int32))
+        assert best.rows().drop(columns="tag").equals(some.rows().drop(columns="tag")) and len(best.rows()) == 150
+        assert (some.rows()["tag"] % 7 == 0).all() and some.rows()["tag"].max() > 200
