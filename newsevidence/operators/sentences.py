@@ -48,15 +48,15 @@ def _has_letter(word: Column) -> Column:
     return word.rlike(r"\p{L}")
 
 
-def _tokens(docs: DataFrame, text: str) -> Column:
-    return F.filter(F.split(clean_text(text), " "), lambda t: t != "")
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``type, with_stop, plain``: how often each word with a letter ends in a stop, and how often it doesn't."""
-    token = docs.select(F.explode(_tokens(docs, text)).alias("token"))
-    typed = token.select(word_type("token").alias("type"), bare("token").endswith(".").alias("stop")).where(_has_letter(F.col("type")))
-    return typed.groupBy("type").agg(F.count(F.when(F.col("stop"), 1)).alias("with_stop"), F.count(F.when(~F.col("stop"), 1)).alias("plain"))
+    """``type, with_stop, plain``: how often each word with a letter ends in a stop, and how often it doesn't.
+
+    Tokens are counted as they stand first, so that each distinct one is looked into once.
+    """
+    token = docs.select(F.explode(F.split(clean_text(text), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    typed = token.select(word_type("token").alias("type"), bare("token").endswith(".").alias("stop"), "n").where(_has_letter(F.col("type")))
+    total = lambda stop: F.coalesce(F.sum(F.when(stop, F.col("n"))), F.lit(0))
+    return typed.groupBy("type").agg(total(F.col("stop")).alias("with_stop"), total(~F.col("stop")).alias("plain"))
 
 
 def abbreviations(counts: DataFrame, total: int, stops: int) -> DataFrame:
@@ -72,10 +72,8 @@ def abbreviations(counts: DataFrame, total: int, stops: int) -> DataFrame:
 
 def _pairs(docs: DataFrame, text: str) -> DataFrame:
     """``before, mark, after, n``: words around a place where a sentence could end."""
-    tokens = docs.select(_tokens(docs, text).alias("t"))
-    both = F.zip_with("t", F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pair = tokens.select(F.explode(F.filter(both, lambda x: x["b"].isNotNull() & x["a"].rlike(_END))).alias("x"))
-    return pair.groupBy(word_type("x.a").alias("before"), end_mark("x.a").alias("mark"), word_type("x.b").alias("after")).agg(F.count("*").alias("n"))
+    pair = docs.select(_pieces(text).alias("p")).select(F.explode(_places(F.col("p"))).alias("x")).where("x.after is not null")
+    return pair.groupBy(word_type("x.before").alias("before"), end_mark("x.before").alias("mark"), word_type("x.after").alias("after")).agg(F.count("*").alias("n"))
 
 
 def followers(docs: DataFrame, abbreviated: DataFrame, text: str = "text") -> DataFrame:
@@ -122,11 +120,16 @@ def _pieces(text) -> Column:
 
 
 def _last(piece: Column) -> Column:
-    return F.regexp_extract(piece, r"([^ ]+)$", 1)
+    return F.substring_index(piece, " ", -1)
 
 
 def _first(piece: Column) -> Column:
-    return F.regexp_extract(piece, r"^([^ ]+)", 1)
+    return F.substring_index(piece, " ", 1)
+
+
+def _places(pieces: Column) -> Column:
+    """``before, after`` of every piece: its last token and the first one of the next piece, which the last piece hasn't."""
+    return F.zip_with(pieces, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), lambda a, b: F.struct(_last(a).alias("before"), _first(b).alias("after")))
 
 
 def ends_sentence(before: Column, after: Column, is_short: Column, is_starter: Column) -> Column:
@@ -147,7 +150,16 @@ def ends_sentence(before: Column, after: Column, is_short: Column, is_starter: C
 
 
 def _joined(pieces: Column, ends) -> Column:
-    """Sentences: pieces with a boundary, or a blank, between them. ``ends(i, before, after)`` decides."""
+    """Sentences: pieces with a boundary, or a blank, between them. ``ends(i, before, after)`` decides.
+
+    Pieces are bound by an array of one, and a condition that is not deterministic keeps a filter on the sentences above what makes
+    them: pushed down, it would cut the text anew for each of its pieces.
+    """
+    bound = F.get(F.transform(F.array(pieces), lambda p: _sentences(p, ends)), F.lit(0))
+    return F.when(F.spark_partition_id() >= 0, bound)
+
+
+def _sentences(pieces: Column, ends) -> Column:
     def closed(piece: Column, i: Column) -> Column:
         after = F.get(pieces, i + 1)
         glue = F.when(after.isNull(), "").when(ends(i, _last(piece), _first(after)), _MARK).otherwise(" ")
@@ -172,8 +184,7 @@ def split_sentences_trained(docs: DataFrame, model: DataFrame, text: str = "text
         return docs.withColumn("__pieces", _pieces(text)).withColumn(out, _joined(F.col("__pieces"), ends)).drop("__pieces")
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.col(text).cast("binary"))))
     pieces = keyed.where(F.col(text).isNotNull()).select("__key", _pieces(text).alias("p")).dropDuplicates(["__key"])
-    places = pieces.select("__key", F.posexplode(F.zip_with("p", F.slice("p", F.lit(2), F.greatest(F.size("p"), F.lit(1))), lambda a, b: F.struct(
-        _last(a).alias("before"), _first(b).alias("after")))).alias("i", "x")).where("x.after is not null")
+    places = pieces.select("__key", F.posexplode(_places(F.col("p"))).alias("i", "x")).where("x.after is not null")
     places = places.select("__key", "i", "x.before", "x.after", word_type("x.before").alias("t"), word_type("x.after").alias("u"))
     kind = lambda k, name, flag: model.where(F.col("kind") == k).select(F.col("type").alias(name), F.lit(True).alias(flag))
     judged = places.join(kind("abbreviation", "t", "short"), "t", "left").join(kind("starter", "u", "first"), "u", "left")

@@ -1,8 +1,9 @@
 """Sentence boundaries learnt from a small corpus."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from newsevidence.operators.sentences import split_sentences_trained, train_sentences
+from newsevidence.operators.sentences import _pairs, split_sentences_trained, train_sentences, word_counts
 
 FILL = ["We saw Dr. {0} in town. The talk went well. He left at noon.", "Then Mr. {0} spoke for an hour. She stayed. He paid 3.5 dollars.",
         "Some call it a win. The vote was near. The team of Dr. {0} was there.", "He came early. They met at 5 p.m. on Monday. The rain fell."]
@@ -51,3 +52,26 @@ def test_without_a_corpus_every_stop_ends_a_sentence(spark):
     docs = spark.createDataFrame([(1, "Dr. Smith left. He ran.")], "doc_id long, text string")
     assert split_sentences_trained(docs, model).first().sentences == ["Dr.", "Smith left.", "He ran."]
     assert split_sentences_trained(none, model).count() == 0
+
+
+@pytest.mark.parametrize("literals", [4_000, 0])
+def test_a_text_is_cut_once(spark, model, literals):
+    """A filter that Spark infers from an explode must not cut the text again for each of its pieces."""
+    docs = spark.createDataFrame([(1, "The rain fell. He left. " * 2000)], "doc_id long, text string")
+    out = split_sentences_trained(docs, model, literals=literals).select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_replace(") == (1 if literals else 2)  # with a joined model, once more for its places
+    assert [r.sentence for r in out.orderBy("pos").collect()] == ["The rain fell.", "He left."] * 2000
+
+
+def test_words_are_counted_with_and_without_stops(spark):
+    docs = spark.createDataFrame([("He met Dr. Kim, (dr.) Kim and kim.",), ("kim.\tDr",), (None,), ("  ",), ("... 5. !",)], "text string")
+    got = {r.type: (r.with_stop, r.plain) for r in word_counts(docs).collect()}
+    assert got == {"he": (0, 1), "met": (0, 1), "dr": (2, 1), "kim": (2, 2), "and": (0, 1)}
+
+
+def test_places_are_those_between_tokens(spark):
+    docs = spark.createDataFrame([('Well... "Yes!" said J. R. Kim (no.) . ! Ende.',), ("one",), ("",), (None,), ("a. b. a. b",)], "text string")
+    got = {(r.before, r.mark, r.after): r.n for r in _pairs(docs, "text").collect()}
+    assert got == {("well..", ".", "yes"): 1, ("yes", "!", "said"): 1, ("j", ".", "r"): 1, ("r", ".", "kim"): 1, ("no", ".", ""): 1,
+                   ("", ".", ""): 1, ("", "!", "ende"): 1, ("a", ".", "b"): 2, ("b", ".", "a"): 1}
